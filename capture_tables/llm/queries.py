@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, simhash, suffix_dedup, topk
-from .common import table
+from . import bpe, exact_dedup, language_id, packing, simhash, suffix_dedup, topk, toxicity
+from .common import id_modulo, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -17,6 +17,15 @@ def query(run):
     return run
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(id_modulo(4) != 2))
+    return language_id.predict(docs, model).select(
+        "doc_id", (id_modulo(4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
@@ -80,6 +89,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
