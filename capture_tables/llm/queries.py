@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, packing, simhash, suffix_dedup, topk, toxicity
+from . import bpe, exact_dedup, language_id, line_dedup, packing, simhash, suffix_dedup, topk, toxicity
 from .common import id_modulo, table
 
 QUERIES: dict = {}
@@ -51,6 +51,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.col("spans").cast("string").alias("spans"))
 
 
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.whole_numbers(table(spark, sf_dir, "embeddings"), 1024)
