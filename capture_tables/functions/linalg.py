@@ -125,9 +125,19 @@ def from_quaternion(q: list[Column]) -> Matrix:
     ]
 
 
-def rotation_vector(m: Matrix) -> Vector:
-    """The logarithm map, by way of the quaternion; zero near the identity."""
-    w, *v = quaternion(m)
+def with_rotation_vector(df, m: Matrix, names: list[str]):
+    """`df` with the logarithm of the rotation m in three columns: the matrix, its quaternion and
+    the vector are each a projection of their own, which keeps the generated code short."""
+    flat = [f"_m{i}{j}" for i in range(3) for j in range(3)]
+    q = [f"_q{k}" for k in range(4)]
+    out = df.withColumns(dict(zip(flat, [c for row in m for c in row], strict=True)))
+    out = out.withColumns(dict(zip(q, quaternion(matrix("_m")), strict=True)))
+    return out.withColumns(dict(zip(names, rotation_vector(columns(*q)), strict=True))).drop(*flat, *q)
+
+
+def rotation_vector(q: list[Column]) -> Vector:
+    """The logarithm map of a unit quaternion (w, x, y, z); zero near the identity."""
+    w, *v = q
     size = norm(v)
     angle = 2.0 * F.atan2(size, w)
     turned = F.when(angle > F.pi(), angle - 2.0 * F.pi()).otherwise(angle)

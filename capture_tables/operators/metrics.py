@@ -303,8 +303,7 @@ def frame_convention(a: DataFrame, b: DataFrame, by=("seq",), constant_below: fl
     both = renamed(b.select(*by, "frame", *r), r, "p").join(a.select(*by, "frame", *r), [*by, "frame"])
     residual = la.times(la.transpose(la.matrix("r")), la.matrix("pr"))
     rows = both.select(*by, "frame", *la.named(residual))
-    log = la.rotation_vector(la.matrix("r"))
-    rows = rows.withColumns(dict(zip(("vx", "vy", "vz"), log, strict=True)))
+    rows = la.with_rotation_vector(rows, la.matrix("r"), ["vx", "vy", "vz"])
     mean = rows.groupBy(*by).agg(*[F.avg(v).alias(f"m{v}") for v in ("vx", "vy", "vz")])
     spread = F.degrees(la.angle_between(la.matrix("r"), la.from_rotation_vector(la.columns("mvx", "mvy", "mvz"))))
     angle = F.degrees(la.norm(la.columns("vx", "vy", "vz")))

@@ -76,7 +76,7 @@ select seq, frame, cam, conf, fx * px / pz + cx + ((event_id * (cam + 1)) % 5 -
 from fx_seen where pz > 1e-6""",
     "fx_depth": """
 select cast(l_orderkey % 7 as int) as seq, l_orderkey as frame, l_linenumber as v, cast(floor(l_quantity) as int) as u,
-  avg(l_extendedprice) / 10000e0 as z
+  avg(l_extendedprice) / 9973e0 as z
 from lineitem group by l_orderkey, l_linenumber, cast(floor(l_quantity) as int)""",
     "fx_excl": """
 select distinct cast(doc_id % 150 as bigint) as seq, cast(doc_id % 60 as int) as frame from labels where quality = 0""",
