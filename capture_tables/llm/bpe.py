@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
-from .packing import vocabulary_path
+from .packing import byte_alphabet, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: How the word vocabulary's file cuts a text.
@@ -33,14 +33,6 @@ _END = "\n"
 _NEVER = 1 << 60
 
 
-def byte_alphabet() -> list[str]:
-    """The character that stands for each byte in byte-level vocabularies: printable bytes
-    stand for themselves, the others for the code points from 256 on, in order."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = (chr(256 + k) for k in range(256))
-    return [chr(b) if b in shown else next(hidden) for b in range(256)]
-
-
 class Transducer:
     """Word (byte alphabet string) -> token ids, by the merge list of a vocabulary."""
 
