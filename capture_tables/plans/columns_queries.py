@@ -125,11 +125,11 @@ def _(t):
     return b.crop_intrinsics(boxes, 160).select("frame", "box_size", "box_u", "box_v", "kfx", "kcx", "kcy")
 
 
-@query("b13_pose_bbox", """WITH a AS (SELECT p.seq, p.frame, fx * p.tx / p.tz + cx AS u, fy * p.ty / p.tz + cy AS v, greatest(fx, fy) * 3e-1 * 12e-1 / 2 / p.tz AS r FROM fx_pose_gt p JOIN fx_cameras c ON p.cam = c.cam)
+@query("b13_pose_bbox", """WITH a AS (SELECT p.seq, p.frame, fx * p.tx / p.tz + cx AS u, fy * p.ty / p.tz + cy AS v, greatest(fx, fy) * 3137471e-7 * 12e-1 / 2 / p.tz AS r FROM fx_pose_gt p JOIN fx_cameras c ON p.cam = c.cam)
 SELECT seq, frame, R6(u - r) AS "left", R6(u + r) AS "right", R6(v - r) AS top, R6(v + r) AS bottom FROM a""")
 def _(t):
     pose = t("fx_pose_gt").join(t("fx_cameras").select("cam", "fx", "fy", "cx", "cy"), "cam")
-    return b.pose_bbox(pose, 0.3, 1.2).select("seq", "frame", "left", "right", "top", "bottom")
+    return b.pose_bbox(pose, 0.3137471, 1.2).select("seq", "frame", "left", "right", "top", "bottom")
 
 
 @query("b14_to_camera", """SELECT seq, frame, R6(r00 * x + r01 * y + r02 * z + tx) AS x, R6(r10 * x + r11 * y + r12 * z + ty) AS y, R6(r20 * x + r21 * y + r22 * z + tz) AS z FROM fx_obs o JOIN fx_cameras c ON o.cam = c.cam""")
