@@ -57,17 +57,18 @@ class SortedLists:
                 falling = query[used] > 0
                 block = self.up[:, used]
                 picks = np.where(falling, block[n - depth : n - start][::-1], block[start:depth])
-                new = np.unique(picks)
+                met = np.zeros(n, bool)
+                met[picks.ravel()] = True
             else:
-                depth, new = n, np.arange(n)
-            new = new[~seen[new]]
-            seen[new] = True
+                depth, met = n, np.ones(n, bool)
+            new = np.flatnonzero(met & ~seen)
+            seen |= met
             if len(new):
                 part = (self.as_float[new] @ query.astype(np.float64)).astype(np.int64) if floats else self.rows[new] @ query
                 found_at, found = np.concatenate((found_at, new)), np.concatenate((found, part))
                 best = np.lexsort((found_at, -found))[:k]
                 found_at, found = found_at[best], found[best]
-            if depth >= n:
+            if depth >= n or seen.all():
                 break
             last = np.where(falling, self.rows[self.up[n - depth, used], used], self.rows[self.up[depth - 1, used], used])
             if len(found) == k and int(last @ query[used]) < found[-1]:
