@@ -8,8 +8,8 @@ verified over all chunks that can matter; where it stands for several, the ident
 the chunk itself. Two texts are equal if and only if their ordered identifier lists are.
 
 Only lists of 8-byte hashes move for most documents. The chunks themselves are compared for
-documents whose whole list of hashes recurs, and of those each task sends each different
-chunk once. No document is moved as a whole.
+documents whose whole list of hashes recurs, and for the few that share a bucket with one; of
+those each task sends each different chunk once. No document is moved as a whole.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ WHITE_SPACE = " \t\n\x0b\x0c\r"
 CUT_AFTER = "aehloty.,;:0358|"
 LEAST, MOST = 192, 1024
 
+#: Values that a recurring list's hash is cut to: what is broadcast has so many rows at most.
+BUCKETS = 1 << 20
+
 _CHUNK = rf"(?s).{{{LEAST},{MOST - 1}}}?[{CUT_AFTER}]|.{{1,{MOST}}}"
 
 
@@ -44,17 +47,17 @@ def recipes(docs: DataFrame) -> DataFrame:
 
 
 def _collisions(docs: DataFrame, recurring: DataFrame) -> DataFrame:
-    """(hash, chunk) of the chunks in documents of `recurring` (doc_id) whose hash stands for
-    more than one text."""
-    norm = common.id_and_text(docs).join(recurring, "doc_id", "left_semi")
-    cut = norm.select(
-        F.explode(
-            F.array_distinct(
-                F.regexp_extract_all(F.translate("text", WHITE_SPACE, ""), F.lit(_CHUNK), F.lit(0))
-            )
-        ).alias("chunk")
-    )
-    texts = cut.select(F.xxhash64("chunk").alias("hash"), "chunk").distinct()
+    """(hash, chunk) of the chunks whose hash stands for more than one text, among documents
+    whose list of hashes recurs. `recurring` holds such lists' hashes (listed); they are cut to
+    BUCKETS values, so that what every task gets has a bound, and a task filters its own rows.
+    A list in another's bucket only has its chunks compared for nothing."""
+    buckets = recurring.select(F.pmod("listed", F.lit(BUCKETS)).cast("int").alias("bucket")).distinct()
+    norm = common.id_and_text(docs).select(F.translate("text", WHITE_SPACE, "").alias("norm"))
+    cut = norm.select(F.length("norm").alias("n_norm"), F.regexp_extract_all("norm", F.lit(_CHUNK), F.lit(0)).alias("chunks"))
+    listed = F.xxhash64(F.transform("chunks", lambda c: F.xxhash64(c)), "n_norm")
+    near = cut.withColumn("bucket", F.pmod(listed, F.lit(BUCKETS)).cast("int")).join(F.broadcast(buckets), "bucket", "left_semi")
+    chunks = near.select(F.explode(F.array_distinct("chunks")).alias("chunk"))
+    texts = chunks.select(F.xxhash64("chunk").alias("hash"), "chunk").distinct()
     several = texts.groupBy("hash").count().where("count > 1").select("hash")
     return texts.join(several, "hash")
 
@@ -70,8 +73,7 @@ def groups(docs: DataFrame) -> DataFrame:
     base = common.stored(recipes(docs))
     listed = base.withColumn("listed", F.xxhash64("hashes", "n_norm"))
     recurring = listed.groupBy("listed").agg(F.count("*").alias("n")).where("n > 1").select("listed")
-    candidates = listed.join(recurring, "listed", "left_semi").select("doc_id")
-    clash = common.stored(_collisions(docs, candidates.distinct()))
+    clash = common.stored(_collisions(docs, recurring))
     if clash.isEmpty():
         named = base.withColumn("recipe", F.transform("hashes", lambda h: h.cast("string")))
     else:
