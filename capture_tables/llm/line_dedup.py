@@ -4,15 +4,15 @@ A line is the set of its words. All words have one order, rarest first, by how m
 hold them. If two sets have a Jaccard similarity of 0.8 or more, the prefixes of their
 ordered words share a word, and the places of that word bound their overlap. Each line
 therefore goes, by the words of its prefix, into groups of lines that hold such a word; in
-a group a line is matched with the earliest line that passes the length, the positional and
+a group a line is matched with the earliest lines that pass the length, the positional and
 a bitmap filter. The surviving pairs are verified on the words themselves. A line that
 matches an earlier one is removed; lines of fewer than LEAST_WORDS different words take no
 part.
 
 Equal lines within a chunk of text are found before anything moves. Words that one line alone
 holds start no group. A word whose group could be large has it dealt into blocks, and each
-pair of blocks is a group of bounded size. What is still open after the first match fails its
-verification gets all other candidates in a second pass, so that none is lost.
+pair of blocks is a group of bounded size. A line whose first candidates all fail their
+verification, and that has more, gets all of them in a second pass, so that none is lost.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +31,12 @@ SIMILARITY = (4, 5)
 LEAST_WORDS = 5
 #: Counters of the words' frequencies; a word shares one with others that hash alike, which
 #: changes their order and never the result.
-COUNTERS = 1 << 18
-SLICES = 16
+COUNTERS = 1 << 22
+SLICES, SHARES = 256, 32
 BLOCK = 4096
+#: Candidates that a group hands on for a line before their words are compared.
+TRIES = 2
+CHUNK = 4 << 20
 #: Bits of the sets of lines that a pass reads again; a wrong hit costs a row, no result.
 FILTER_BITS = 1 << 24
 
@@ -40,17 +44,18 @@ _GROUP = "cell long, role byte, line_hash long, doc_id long, line int, size int,
 _NAMES = [f.split()[0] for f in _GROUP.split(", ")]
 _TYPES = [pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
 
-_hash = common.HashCache()
+_hash = common.HashCache(250_000)
 
 
-def _sets(text: str) -> list[tuple[int, list[int]]]:
-    """(number, word hashes) of the lines of a text that take part."""
-    out = []
-    for number, line in enumerate(text.encode("utf-8", "surrogatepass").lower().split(b"\n")):
-        words = set(line.split())
-        if len(words) >= LEAST_WORDS:
-            out.append((number, [_hash[w] for w in words]))
-    return out
+def _line_words(text: str) -> list[tuple[int, set[bytes]]]:
+    """(number, different words) of the lines of a text that take part."""
+    data = text.encode("utf-8", "surrogatepass").lower()
+    found = [(number, set(line.split())) for number, line in enumerate(data.split(b"\n"))]
+    return [x for x in found if len(x[1]) >= LEAST_WORDS]
+
+
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hash.__getitem__, words), np.int64, len(words))
 
 
 def prefix_size(n):
@@ -65,29 +70,58 @@ def least_overlap(n, m):
     return -(-(n + m) * top // (top + bottom))
 
 
+def _codes(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte: exact below 200, then by powers of two."""
+    return np.where(counts < 200, counts, np.minimum(192 + np.ceil(np.log2(np.maximum(counts, 1))), 255)).astype(np.uint8)
+
+
+def _at_most(codes: np.ndarray) -> np.ndarray:
+    """The largest count that a code stands for."""
+    c = codes.astype(np.int64)
+    return np.where(c < 200, c, 1 << np.clip(c - 192, 0, 62))
+
+
 def frequencies(docs: DataFrame) -> np.ndarray:
-    """How many lines hold a word, by the word's counter, over all documents."""
+    """How many lines hold a word, by the word's counter and as a code, over all documents. A
+    task hands on its own sums, cut into slices; slices are added in two steps."""
     width = COUNTERS // SLICES
+    schema = "slice long, share int, places binary, counts binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for _, texts in common.chunks(batches):
-            flat = [h for t in texts for _, words in _sets(t) for h in words]
-            total += np.bincount(np.array(flat, np.int64) & (COUNTERS - 1), minlength=COUNTERS)
-        for k in range(SLICES):
-            part = total[k * width : (k + 1) * width]
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.astype("<i8").tobytes()])], ["slice", "counts"])
+        total = np.zeros(COUNTERS, np.int32)
+        for _, texts in common.chunks(batches, CHUNK):
+            words = [w for t in texts for _, found in _line_words(t) for w in found]
+            at, n = np.unique(_hashed(words) & (COUNTERS - 1), return_counts=True)
+            total[at] += n.astype(np.int32)
+        share = TaskContext.get().partitionId() % SHARES
+        at = np.flatnonzero(total)
+        cuts = np.searchsorted(at, np.arange(1, SLICES) * width)
+        parts = [(k, x % width, total[x]) for k, x in enumerate(np.split(at, cuts)) if len(x)]
+        if parts:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([p[0] for p in parts], pa.int64()),
+                    pa.array([share] * len(parts), pa.int32()),
+                    pa.array([p[1].astype("<u4").tobytes() for p in parts]),
+                    pa.array([p[2].astype("<i8").tobytes() for p in parts]),
+                ],
+                ["slice", "share", "places", "counts"],
+            )
 
     def add(rows):
-        import pandas as pd
-
-        total = sum(np.frombuffer(c, "<i8") for c in rows["counts"])
-        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "counts": [total.astype("<i8").tobytes()]})
-
-    parts = common.id_and_text(docs).mapInArrow(count, "slice long, counts binary")
-    out = np.zeros(COUNTERS, np.int64)
-    for row in parts.groupBy("slice").applyInPandas(add, "slice long, counts binary").toLocalIterator():
-        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], "<i8")
+        total = np.zeros(width, np.int64)
+        for places, counts in zip(rows["places"], rows["counts"], strict=True):
+            total[np.frombuffer(places, "<u4")] += np.frombuffer(counts, "<i8")
+        at = np.flatnonzero(total)
+        out = rows[["slice", "share"]].iloc[:1].reset_index(drop=True)
+        return out.assign(places=[at.astype("<u4").tobytes()], counts=[total[at].astype("<i8").tobytes()])
+
+    parts = common.id_and_text(docs).mapInArrow(count, schema)
+    parts = parts.groupBy("slice", "share").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
+    out = np.zeros(COUNTERS, np.uint8)
+    for row in parts.toLocalIterator():
+        at = np.frombuffer(row["places"], "<u4").astype(np.int64) + row["slice"] * width
+        out[at] = _codes(np.frombuffer(row["counts"], "<i8"))
     return out
 
 
@@ -125,10 +159,10 @@ def _grouped(counts, only_words=None, only_lines=None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counts.value
-        for ids, texts in common.chunks(batches):
+        for ids, texts in common.chunks(batches, CHUNK):
             doc, line, words, size = [], [], [], []
             for doc_id, text in zip(ids, texts, strict=True):
-                for number, found in _sets(text):
+                for number, found in _line_words(text):
                     doc.append(doc_id)
                     line.append(number)
                     words += found
@@ -136,7 +170,7 @@ def _grouped(counts, only_words=None, only_lines=None):
             if not doc:
                 continue
             doc, line, size = np.array(doc, np.int64), np.array(line, np.int64), np.array(size, np.int64)
-            words = np.array(words, np.int64)
+            words = _hashed(words)
             scrambled = common.mix64(words.astype(np.uint64))
             heads = np.cumsum(size) - size
             line_hash = (np.add.reduceat(scrambled, heads) * np.uint64(2) + np.uint64(1) + common.mix64(np.bitwise_xor.reduceat(scrambled, heads))).astype(np.int64)
@@ -150,7 +184,7 @@ def _grouped(counts, only_words=None, only_lines=None):
                 n = int(again.sum())
                 yield _rows([line_hash[again], np.ones(n), line_hash[again], doc[again], line[again], size[again], *[np.zeros(n)] * 3, np.zeros(n, bool)])
             row = np.repeat(np.arange(len(size)), size)
-            count = known[words & (COUNTERS - 1)]
+            count = _at_most(known[words & (COUNTERS - 1)])
             ranked = np.lexsort((words, count, row))
             row, words, count = row[ranked], words[ranked], count[ranked]
             place = np.arange(len(row)) - heads[row]
@@ -183,7 +217,7 @@ def _rows(columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, _NAMES)
 
 
-_PAIR = "line_hash long, doc_id long, line int, other_hash long, other_doc long, other_line int, same boolean"
+_PAIR = "line_hash long, doc_id long, line int, other_hash long, other_doc long, other_line int, same boolean, more boolean"
 _PAIR_NAMES = [f.split()[0] for f in _PAIR.split(", ")]
 
 
@@ -192,64 +226,78 @@ def _matched(every: bool):
     every other where `every` (and then for open lines only)."""
 
     def similar(x: list[np.ndarray], late: np.ndarray, early) -> np.ndarray:
-        _, role, _, _, _, size, place, bits0, bits1, _ = x
+        _, role, _, doc, line, size, place, bits0, bits1, _ = x
         n, m = size[late], size[early]
         need = least_overlap(n, m)
         room = 1 + np.minimum(n - place[late], m - place[early]) - 1
         ok = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (room >= need)
         ok &= (role[late] == 0) | (role[late] != role[early])
+        ok &= (doc[late] != doc[early]) | (line[late] != line[early])  # a repeated row is the same line
         apart = n + m - 2 * need
         for bits in (bits0, bits1):
             ok &= np.bitwise_count((bits[late] ^ bits[early]).astype(np.uint64)) <= apart
         return ok
 
-    def group(x: list[np.ndarray], out: list) -> None:
-        """x: the columns of one group, in order of doc_id and line."""
-        n = len(x[0])
-        waiting = np.arange(1, n)
-        if every:
-            waiting = waiting[x[9][1:]]
-        for early in range(n - 1):
-            waiting = waiting[waiting > early]
-            if not len(waiting):
-                break
-            hit = similar(x, waiting, early)
-            if hit.any():
-                late = waiting[hit]
-                out.append((late, np.full(len(late), early)))
-                if not every:
-                    waiting = waiting[~hit]
+    def group(x: list[np.ndarray], lo: int, hi: int, out: list) -> None:
+        """One group, in order of doc_id and line: a matrix of a cheap bound on the words that
+        two lines don't share, then the other filters for what is within it."""
+        size, bits = x[5][lo:hi], x[7][lo:hi].astype(np.uint64)
+        most = 2 * size // 9 + 1  # sets of n and m words differ in (n + m) / 9 at most
+        for at in range(0, hi - lo, 256):
+            late = slice(at, min(at + 256, hi - lo))
+            apart = np.bitwise_count(bits[late, None] ^ bits[None, : late.stop])
+            near = apart <= np.maximum(most[late, None], most[None, : late.stop])
+            a, b = np.nonzero(near)
+            a += at
+            keep = b < a
+            a, b = a[keep] + lo, b[keep] + lo
+            if every:
+                keep = x[9][a]
+                a, b = a[keep], b[keep]
+            ok = similar(x, a, b)
+            if ok.any():
+                out.append((a[ok], b[ok]))
 
     def settle(held: list[np.ndarray], cut: int) -> pa.RecordBatch | None:
         x = [c[:cut] for c in held]
         order = np.lexsort((x[4], x[3], x[0]))
         x = [c[order] for c in x]
-        alike = x[0][1:] == x[0][:-1]
-        bounds = np.concatenate(([0], np.flatnonzero(~alike) + 1, [cut]))
+        bounds = np.concatenate(([0], np.flatnonzero(x[0][1:] != x[0][:-1]) + 1, [cut]))
         sizes = np.diff(bounds)
         found: list = []
-        # groups of up to eight lines at once: pairs at each distance, nearest to the front first
-        small = np.flatnonzero((sizes > 1) & (sizes <= 8))
-        done = np.zeros(cut, bool)
-        for first in range(8):
-            for second in range(first + 1, 8):
-                g = small[sizes[small] > second]
-                if not len(g):
-                    continue
-                early, late = bounds[g] + first, bounds[g] + second
-                ok = similar(x, late, early) & (x[9][late] if every else ~done[late])
-                if ok.any():
-                    found.append((late[ok], early[ok]))
-                    done[late[ok]] = True
+        # groups of up to eight lines all at once, by distance within the group
+        for apart in range(1, 8):
+            heads = np.flatnonzero((sizes > apart) & (sizes <= 8))
+            if not len(heads):
+                break
+            n = sizes[heads] - apart
+            early = np.repeat(bounds[heads], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            late = early + apart
+            if every:
+                keep = x[9][late]
+                early, late = early[keep], late[keep]
+            ok = similar(x, late, early)
+            if ok.any():
+                found.append((late[ok], early[ok]))
         for g in np.flatnonzero(sizes > 8):
-            lo, hi = bounds[g], bounds[g + 1]
-            inner: list = []
-            group([c[lo:hi] for c in x], inner)
-            found += [(a + lo, b + lo) for a, b in inner]
+            group(x, int(bounds[g]), int(bounds[g + 1]), found)
         if not found:
             return None
         late, early = (np.concatenate(p) for p in zip(*found, strict=True))
-        columns = [x[2][late], x[3][late], x[4][late], x[2][early], x[3][early], x[4][early], x[2][late] == x[2][early]]
+        same = x[2][late] == x[2][early]
+        more = np.zeros(len(late), bool)
+        if not every:
+            # a line equal to an earlier one is settled; of others the first TRIES candidates go on
+            order = np.lexsort((early, ~same, late))
+            late, early, same = late[order], early[order], same[order]
+            head = np.concatenate(([True], late[1:] != late[:-1]))
+            first = np.flatnonzero(head)
+            nth = np.arange(len(late)) - np.repeat(first, np.diff(np.concatenate((first, [len(late)]))))
+            settled = np.repeat(same[first], np.diff(np.concatenate((first, [len(late)]))))
+            more = np.concatenate((nth[1:] == TRIES, [False])) & ~settled
+            keep = (nth < TRIES) & (~settled | head)
+            late, early, same, more = late[keep], early[keep], same[keep], more[keep]
+        columns = [x[2][late], x[3][late], x[4][late], x[2][early], x[3][early], x[4][early], same, more]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _PAIR_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +309,7 @@ def _matched(every: bool):
             if repeats.any():
                 d = [c[repeats] for c in part]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in (d[2], d[3], d[4].astype(np.int32), d[2], d[3], d[4].astype(np.int32), np.ones(len(d[0]), bool))], _PAIR_NAMES
+                    [pa.array(c) for c in (d[2], d[3], d[4].astype(np.int32), d[2], d[3], d[4].astype(np.int32), np.ones(len(d[0]), bool), np.zeros(len(d[0]), bool))], _PAIR_NAMES
                 )
                 part = [c[~repeats] for c in part]
             if not len(part[0]):
@@ -293,17 +341,19 @@ def _fetch(text: DataFrame, places: DataFrame) -> DataFrame:
     wanted = text.sparkSession.sparkContext.broadcast(_Bits(places.select(_place_column("doc_id", "line"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in common.chunks(batches):
+        for ids, texts in common.chunks(batches, CHUNK):
             doc, line, words = [], [], []
             for doc_id, text in zip(ids, texts, strict=True):
                 count = text.count("\n") + 1
-                hit = wanted.value.holds(_place_column_of(doc_id, count))
-                if hit.any():
-                    for number, found in _sets(text):
-                        if hit[number]:
+                hit = np.flatnonzero(wanted.value.holds(_place_column_of(doc_id, count)))
+                if len(hit):
+                    lines = text.encode("utf-8", "surrogatepass").lower().split(b"\n")
+                    for number in hit.tolist():
+                        found = list(set(lines[number].split()))
+                        if len(found) >= LEAST_WORDS:
                             doc.append(doc_id)
                             line.append(number)
-                            words.append(np.sort(np.array(found, np.int64)).tobytes())
+                            words.append(np.sort(_hashed(found)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(words, pa.binary())], ["doc_id", "line", "words"])
 
     return text.mapInArrow(run, "doc_id long, line int, words binary")
@@ -353,11 +403,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     counts = spark.sparkContext.broadcast(frequencies(text))  # COUNTERS numbers
     first = common.stored(_pairs(text, counts))
     certain = first.where("same").select("doc_id", "line").distinct()
-    maybe = first.where("not same").select("doc_id", "line", "other_doc", "other_line").distinct()
+    maybe = first.where("not same").groupBy("doc_id", "line", "other_doc", "other_line").agg(F.max("more").alias("more"))
     maybe = common.stored(maybe.join(certain, ["doc_id", "line"], "left_anti"))
-    checked = common.stored(_verified(text, maybe).groupBy("doc_id", "line").agg(F.max("ok").alias("ok")))
+    tried = maybe.groupBy("doc_id", "line").agg(F.max("more").alias("more"))
+    checked = _verified(text, maybe).groupBy("doc_id", "line").agg(F.max("ok").alias("ok"))
+    checked = common.stored(checked.join(tried, ["doc_id", "line"]))
     found = certain.union(checked.where("ok").select("doc_id", "line"))
-    still = checked.where("not ok").select("doc_id", "line")
+    still = checked.where("more and not ok").select("doc_id", "line")
     if still.isEmpty():
         return found
     # the lines left open meet all others of their groups, not only the earliest
