@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +36,11 @@ from . import common
 #: Weight of the unigram in the bigram, in observations.
 MIX = 200.0
 #: Characters of text in a batch, and words in a shard on average.
-BATCH_CHARS, SHARD_WORDS = 24 << 20, 2_000_000
+BATCH_CHARS, SHARD_WORDS = 24 << 20, 1_000_000
+#: Words of a batch that are routed to the shards at once.
+SLICE_WORDS = 2_000_000
 END = b""
-_BEGIN = np.uint64(0x2545F4914F6CDD1D)
+_BEGIN = np.uint64(0x2545F4914F)
 
 
 class EliasFano:
@@ -125,12 +128,14 @@ class Trie:
         return np.memmap(self.file, values.dtype, "r", offset, values.shape)
 
     def look_up(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The gain of each pair; 0 for a pair that the trie does not hold."""
+        """The gain of each pair, given in order of context; 0 for one that the trie does not hold."""
         out = np.zeros(len(context))
-        if not self.n:
+        if not self.n or not len(context):
             return out
-        wanted = context.astype(np.uint64)
+        new = np.concatenate(([True], context[1:] != context[:-1]))  # each context is sought once
+        wanted = context[new].astype(np.uint64)
         at = self.contexts.find(wanted, np.zeros(len(wanted), np.int64), np.full(len(wanted), self.n))
+        at, wanted = (x[np.cumsum(new) - 1] for x in (at, wanted))
         known = np.flatnonzero(at < self.n)
         known = known[self.contexts[at[known]] == wanted[known]]
         at = at[known]
@@ -143,44 +148,53 @@ class Trie:
         return out
 
 
-_TOKENS = "batch long, doc_ids array<long>, train array<boolean>, sizes array<int>, ids binary, place int, word long, n int, n_train int"
+_TOKENS = "batch long, doc_ids array<long>, train array<boolean>, sizes array<int>, ids binary, words binary, counts binary"
 _TOKEN_NAMES = [f.split()[0] for f in _TOKENS.split(", ")]
-_TOKEN_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+_TOKEN_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
 
 
-def _planes(ids: np.ndarray) -> bytes:
-    """Numbers below 2^32 as byte planes, which compress well where most are small."""
-    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _planes(values: np.ndarray, width: int = 4) -> bytes:
+    """Numbers as `width` byte planes, which compress well where most numbers are small."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _from_planes(data: bytes, width: int = 4) -> np.ndarray:
+    whole = np.zeros((len(data) // width, 8), np.uint8)
+    whole[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    found = whole.view("<u8").ravel()
+    return found.astype(np.uint32) if width <= 4 else found
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each different word of each batch."""
+    for batch in batches:
+        for number, words, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            word, count = _from_planes(words, 5).astype(np.int64), _from_planes(counts).astype(np.int32)
+            n = len(word)
+            columns = [pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), pa.array(word), pa.array(count)]
+            yield pa.RecordBatch.from_arrays(columns, ["batch", "place", "word", "n_train"])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each batch of texts, with its words numbered in the batch, and one for each
-    different word in it."""
+    """A row for each batch of texts: their words as numbers in the batch, and of each different
+    word a hash of 40 bits and the number of times that training texts hold it."""
     from xxhash import xxh64_intdigest
 
     number = TaskContext.get().partitionId() << 24
     for ids, texts, train in common.chunks(batches, BATCH_CHARS):
-        known: dict[bytes, int] = {}
+        known: defaultdict[bytes, int] = defaultdict()
+        known.default_factory = known.__len__
         parts, sizes = [], []
         for text in texts:
             words = text.encode("utf-8", "surrogatepass").lower().split()
             words.append(END)
-            parts.append(np.array([known.setdefault(w, len(known)) for w in words], np.uint32))
+            parts.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
             sizes.append(len(words))
         flat = np.concatenate(parts)
-        counted = np.bincount(flat, minlength=len(known))
         trained = np.bincount(flat[np.repeat(np.array(train, bool), sizes)], minlength=len(known))
-        words = np.fromiter((xxh64_intdigest(w, 3) for w in known), np.uint64, len(known)).astype(np.int64)
-        n = len(known)
-        batch = [
-            [number, *[number] * n], [ids, *[None] * n], [train, *[None] * n], [sizes, *[None] * n], [_planes(flat), *[None] * n],
-        ]
-        more = [np.concatenate(([0], x)) for x in (np.arange(n), words, counted, trained)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*batch, *more], _TOKEN_TYPES, strict=True)], _TOKEN_NAMES)
+        words = np.fromiter((xxh64_intdigest(w, 3) for w in known), np.uint64, len(known)) >> np.uint64(24)
+        batch = [[number], [ids], [train], [sizes], [_planes(flat)], [_planes(words, 5)], [_planes(trained)]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(batch, _TOKEN_TYPES, strict=True)], _TOKEN_NAMES)
         number += 1
 
 
@@ -193,30 +207,48 @@ def _routed(total: int, distinct: int, documents: int, shards: int, mix: float):
         if not len(texts):
             return pd.DataFrame({"shard": [], "batch": [], "kind": [], "data": []})
         row = texts.iloc[0]
-        flat = _from_planes(row["ids"]).astype(np.int64)
+        every = _from_planes(row["ids"])
         sizes = np.asarray(row["sizes"], np.int64)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
         words = words.sort_values("place")
-        hashed, count = words["word"].to_numpy(np.int64).astype(np.uint64), words["total"].to_numpy(np.int64)
+        hashed, count = _from_planes(row["words"], 5), words["total"].to_numpy(np.int64)
         share = np.log10((count + 0.5) / smooth)
-        begins = np.cumsum(sizes) - sizes
-        before = np.empty(len(flat), np.int64)
-        before[1:] = flat[:-1]
-        before[begins] = len(hashed)  # the begin of a text is a context of its own
+        # the begin of a text is a context of its own, behind the words
         hashed, context_count = np.append(hashed, _BEGIN), np.append(count, documents)
-        low = share[flat] + np.log10(mix) - np.log10(context_count[before] + mix)
-        sums = [np.bincount(doc, x, len(sizes)) for x in (count[flat] > 0, share[flat], low)]
-        head = np.stack([sizes, *sums])
-        out = [(int(common.mix64(np.array([row["batch"]], np.uint64))[0] % np.uint64(shards)), row["batch"], 0, _pack_head(row, head))]
-        a, b = common.mix64(hashed)[before], hashed[flat]
-        where = np.where(context_count[before] > hot, common.mix64(a + b * np.uint64(0x9E3779B97F4A7C15)), a) % np.uint64(shards)
-        order = np.lexsort((doc, flat, before, where))
-        where = where[order]
-        bounds = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1], [True])))
+        from_context = np.log10(mix) - np.log10(context_count + mix)
+        scrambled, hot_context = common.mix64(hashed), context_count > hot
         train = np.packbits(np.asarray(row["train"], bool))
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            part = order[lo:hi]
-            out.append((int(where[lo]), row["batch"], 1, _pack_pairs(hashed, share, before[part], flat[part], doc[part], train, len(sizes))))
+        ends = np.cumsum(sizes)
+        cuts = np.unique(np.searchsorted(ends, np.arange(SLICE_WORDS, ends[-1], SLICE_WORDS)))
+        cuts = [0, *cuts[(cuts > 0) & (cuts < len(sizes))].tolist(), len(sizes)]
+        heads, out = [], []
+        for first, last in zip(cuts, cuts[1:], strict=False):
+            lo, hi = int(ends[first] - sizes[first]), int(ends[last - 1])
+            flat, own = every[lo:hi].astype(np.int64), sizes[first:last]
+            doc = np.repeat(np.arange(first, last), own)
+            before = np.empty(len(flat), np.int64)
+            before[1:] = flat[:-1]
+            before[np.cumsum(own) - own] = len(count)
+            low = share[flat] + from_context[before]
+            heads.append(np.stack([own, *[np.bincount(doc - first, x, len(own)) for x in (count[flat] > 0, share[flat], low)]]))
+            where = scrambled[before]
+            split = np.flatnonzero(hot_context[before])
+            where[split] = common.mix64(where[split] + hashed[flat[split]] * np.uint64(0x9E3779B97F4A7C15))
+            where = (where % np.uint64(shards)).astype(np.int64)
+            width = len(hashed)
+            if shards * width * width < 1 << 62:
+                order = np.argsort((where * width + before) * width + flat, kind="stable")
+            else:
+                order = np.lexsort((flat, before, where))
+            # a pair with a word that no training text holds is in no trie
+            order = order[(count[flat[order]] > 0) & (context_count[before[order]] > 0)]
+            if not len(order):
+                continue
+            flat, before, doc, where = flat[order], before[order], doc[order], where[order]
+            bounds = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1], [True])))
+            for p, q in zip(bounds[:-1], bounds[1:], strict=True):
+                out.append((int(where[p]), row["batch"], 1, _pack_pairs(hashed, share, before[p:q], flat[p:q], doc[p:q], train, len(sizes))))
+        at = int(common.mix64(np.array([row["batch"]], np.uint64))[0] % np.uint64(shards))
+        out.append((at, row["batch"], 0, _pack_head(row, np.concatenate(heads, axis=1))))
         return pd.DataFrame(out, columns=["shard", "batch", "kind", "data"])
 
     return run
@@ -239,9 +271,9 @@ def _pack_pairs(hashed, share, before, flat, doc, train, documents) -> bytes:
     heads = np.flatnonzero(new_context[new_pair])
     pairs = np.flatnonzero(new_pair)
     parts = [
-        (hashed[before[new_context]] >> np.uint64(32)).astype(np.uint32),
+        hashed[before[new_context]].astype(np.uint32),
         np.diff(np.concatenate((heads, [len(pairs)]))),
-        (hashed[words] >> np.uint64(32)).astype(np.uint32),
+        hashed[words].astype(np.uint32),
         word_at,
         np.diff(np.concatenate((pairs, [len(flat)]))),
         doc,
@@ -279,10 +311,13 @@ def _shard(mix: float):
             count, share = np.bincount(at, count, len(pairs)), share[first]
             held = count > 0
             gain = np.log10(1 + count[held] / (mix * 10.0 ** share[held]))
-            del context, word, at
-            trie = Trie((pairs[held] >> np.uint64(32)).astype(np.uint32), (pairs[held] & np.uint64(0xFFFFFFFF)).astype(np.uint32), gain)
-            for batch, context, word, _, per_pair, doc, train in batches:
-                gains = np.repeat(trie.look_up(context, word), per_pair)
+            del context, word
+            context, word = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            trie = Trie(context[held], word[held], gain)
+            found = trie.look_up(context, word)[at]
+            starts = np.cumsum([0, *[len(b[4]) for b in batches]])
+            for lo, (batch, _, _, _, per_pair, doc, train) in zip(starts, batches, strict=False):
+                gains = np.repeat(found[lo : lo + len(per_pair)], per_pair)
                 total = np.bincount(doc, gains, len(train)).astype("<f4")
                 if total.any():
                     out.append((batch, 1, total.tobytes()))
@@ -323,29 +358,27 @@ def score(docs: DataFrame, train, mix: float = MIX) -> DataFrame:
         F.coalesce(train, F.lit(False)).alias("train"),
     )
     tokens = common.stored(rows.mapInArrow(_tokens, _TOKENS))
-    words = tokens.where("ids is null").select("batch", "place", "word", "n_train")
+    words = tokens.select("batch", "words", "counts").mapInArrow(_words, "batch long, place int, word long, n_train int")
     by_word = Window.partitionBy("word")
     counted = common.stored(
         words.select(
             "batch",
             "place",
-            "word",
             F.sum("n_train").over(by_word).alias("total"),
             (F.row_number().over(by_word.orderBy("batch")) == 1).alias("first"),
         )
     )
     facts = counted.where("first").agg(F.sum("total").alias("n"), F.sum((F.col("total") > 0).cast("long")).alias("v")).first()
     total, distinct = facts["n"] or 0, facts["v"] or 0
-    sizes = tokens.where("ids is not null").select("train", "sizes")
+    sizes = tokens.select("train", "sizes")
     learnt = F.aggregate("train", F.lit(0).cast("long"), lambda n, x: n + x.cast("long"))
     of_batch = F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x)
     seen = sizes.agg(F.sum(learnt).alias("docs"), F.sum(of_batch).alias("words")).first()
     shards = max(8, -(-(seen["words"] or 0) // SHARD_WORDS))
     routed = (
-        tokens.where("ids is not null")
-        .select("batch", "doc_ids", "train", "sizes", "ids")
+        tokens.select("batch", "doc_ids", "train", "sizes", "ids", "words")
         .groupBy("batch")
-        .cogroup(counted.select("batch", "place", "word", "total").groupBy("batch"))
+        .cogroup(counted.select("batch", "place", "total").groupBy("batch"))
         .applyInPandas(_routed(total, distinct, seen["docs"] or 0, shards, mix), "shard long, batch long, kind int, data binary")
     )
     found = routed.groupBy("shard").applyInPandas(_shard(mix), "batch long, kind int, data binary")
