@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -10,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text handled at once inside a task, in characters; a longer document is taken alone.
-CHUNK_CHARS = 8 << 20
+#: Text handled at once inside a task, in bytes; a longer document is taken alone.
+CHUNK_CHARS = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,25 +61,29 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again: lineage ends
     here, and a lost executor costs nothing that was finished."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # the shuffles behind it are garbage now; Spark deletes their files once the driver's JVM
+    # has collected it, which left alone may take half an hour
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Iterator[tuple]:
-    """Lists (doc ids, texts, *other columns) of up to `limit` characters, never across
+    """Lists (doc ids, texts, *other columns) of up to `limit` bytes of text, never across
     Arrow batches. The first two columns are doc_id and text."""
     for batch in batches:
-        columns = [column.to_pylist() for column in batch.columns]
         start = size = 0
-        for k, text in enumerate(columns[1]):
-            if size and size + len(text) > limit:
-                yield tuple(column[start:k] for column in columns)
+        for k, length in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+            if size and size + (length or 0) > limit:
+                yield tuple(column.to_pylist() for column in batch.slice(start, k - start).columns)
                 start, size = k, 0
-            size += len(text)
+            size += length or 0
         if start < batch.num_rows:
-            yield tuple(column[start:] for column in columns)
+            yield tuple(column.to_pylist() for column in batch.slice(start).columns)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -94,7 +100,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class HashCache(dict):
     """word bytes -> 64-bit hash (signed), forgotten when it holds too many words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         from xxhash import xxh64_intdigest
 
         super().__init__()
