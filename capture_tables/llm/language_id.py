@@ -20,6 +20,8 @@ from . import common
 FEATURES = 1 << 14
 #: Training documents of each language that the weights are fitted on, in expectation.
 PER_LANGUAGE = 600
+#: Languages that are learnt, at most: the most frequent.
+LANGUAGES = 1000
 UNKNOWN = "und"
 #: Of the follow-the-regularised-leader steps: rate, smoothing, L1 and L2 penalties, epochs.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.05, 0.01, 3
@@ -117,9 +119,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
         return {"languages": []}
     idf = np.log((1 + n) / (1 + frequencies[1:])) + 1
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # FEATURES numbers
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     unit = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.join(counts, "lang").where(unit < F.lit(float(per_language)) / F.col("n"))
+    chosen = rows.join(F.broadcast(counts), "lang").where(unit < F.lit(float(per_language)) / F.col("n"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, langs in common.chunks(batches):
