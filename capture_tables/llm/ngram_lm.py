@@ -104,7 +104,7 @@ class Trie:
     def __init__(self, context: np.ndarray, word: np.ndarray, gain: np.ndarray):
         """Pairs sorted by context, then word, both unsigned 32-bit, without repeats."""
         self.file = tempfile.TemporaryFile()
-        self.codes = np.unique(np.quantile(gain, np.linspace(0, 1, 256))) if len(gain) else np.zeros(1)
+        self.codes = np.linspace(gain.min(), gain.max(), 256) if len(gain) else np.zeros(1)
         middle = (self.codes[1:] + self.codes[:-1]) / 2
         code = np.searchsorted(middle, gain).astype(np.uint8)
         head = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.empty(0, np.int64)
