@@ -50,7 +50,7 @@ def tracked_sessions(frames: DataFrame, late: str, gap: str, by=("seq",)) -> Dat
 
 def smoothed(frames: DataFrame, column: str, least_cutoff: float = 1.0, beta: float = 0.1, speed_cutoff: float = 1.0) -> DataFrame:
     """seq, event_id, ts, smooth: causal one-euro filtering of each track; the state is three
-    numbers and goes after an hour without a frame."""
+    numbers for each track."""
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -61,19 +61,18 @@ def smoothed(frames: DataFrame, column: str, least_cutoff: float = 1.0, beta: fl
         f = OneEuro(least_cutoff, beta, speed_cutoff, held)
         out = [float(f.step(np.float64(x), t.timestamp())) for x, t in zip(rows["x"], rows["ts"], strict=True)]
         state.update((float(f.value), float(f.speed), float(f.time)))
-        state.setTimeoutDuration(3_600_000)
         yield pd.DataFrame({"seq": rows["seq"], "event_id": rows["event_id"], "ts": rows["ts"], "smooth": out})
 
     picked = frames.select("seq", "event_id", "ts", F.col(column).cast("double").alias("x"))
     return picked.groupBy("seq").applyInPandasWithState(
-        step, "seq long, event_id long, ts timestamp, smooth double", "value double, speed double, time double", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "seq long, event_id long, ts timestamp, smooth double", "value double, speed double, time double", "append", GroupStateTimeout.NoTimeout
     )
 
 
 def visibility_gate(frames: DataFrame, threshold: float, omega: float, base: float = 13.0, fps: float = 30.0) -> DataFrame:
     """seq, event_id, gap (seconds since the last visible frame), gate (degrees), mask_source: the
-    event whose mask is the most recent of 20 pixels or more. Idle tracks' state goes after an
-    hour."""
+    event whose mask is the most recent of 20 pixels or more. The state is two numbers for each
+    track."""
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -91,13 +90,13 @@ def visibility_gate(frames: DataFrame, threshold: float, omega: float, base: flo
             if r.vis > threshold:
                 seen = t
         state.update((seen, source))
-        state.setTimeoutDuration(3_600_000)
+
         gap = pd.Series(gaps, dtype="Float64", index=rows.index)
         yield pd.DataFrame({"seq": rows["seq"], "event_id": rows["event_id"], "gap": gap, "gate": base + gap * fps * omega, "mask_source": pd.Series(sources, dtype="Int64", index=rows.index)})
 
     picked = frames.select("seq", "event_id", "ts", F.col("vis").cast("double").alias("vis"), F.col("area").cast("double").alias("area"))
     return picked.groupBy("seq").applyInPandasWithState(
-        step, "seq long, event_id long, gap double, gate double, mask_source long", "seen double, source long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "seq long, event_id long, gap double, gate double, mask_source long", "seen double, source long", "append", GroupStateTimeout.NoTimeout
     )
 
 
