@@ -6,10 +6,11 @@ ordered words share a word, and the places of that word bound their overlap. Eac
 therefore goes, by the words of its prefix, into groups of lines that hold such a word; in
 a group a line is matched with the earliest lines that pass the length, the positional and
 a bitmap filter. The surviving pairs are verified on the words themselves. A line that
-matches an earlier one is removed; lines of fewer than LEAST_WORDS different words take no
-part.
+matches an earlier one is removed. Lines of fewer than `least_words` different words take no
+part; with 1, every line that holds a word does.
 
-Equal lines within a chunk of text are found before anything moves. Words that one line alone
+Sets of up to EXACT words are similar to equal sets only, so that these lines meet by their
+hash alone. Equal lines within a chunk of text are found before anything moves. Words that one line alone
 holds start no group. A word whose group could be large has it dealt into blocks, and each
 pair of blocks is a group of bounded size. A line whose first candidates all fail their
 verification, and that has more, gets all of them in a second pass, so that none is lost.
@@ -29,6 +30,10 @@ from . import common
 
 SIMILARITY = (4, 5)
 LEAST_WORDS = 5
+#: Words of the largest set that no set but an equal one is similar to (4 of 5 words are 0.8).
+EXACT = 3
+#: Roles of rows: a repeat within its chunk, and a line that only an equal one matches.
+REPEAT, ALIKE = 1, 4
 #: Counters of the words' frequencies; a word shares one with others that hash alike, which
 #: changes their order and never the result.
 COUNTERS = 1 << 22
@@ -47,11 +52,11 @@ _TYPES = [pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32(),
 _hash = common.HashCache(250_000)
 
 
-def _line_words(text: str) -> list[tuple[int, set[bytes]]]:
-    """(number, different words) of the lines of a text that take part."""
+def _line_words(text: str, least: int) -> list[tuple[int, set[bytes]]]:
+    """(number, different words) of the lines of a text that hold `least` words or more."""
     data = text.encode("utf-8", "surrogatepass").lower()
     found = [(number, set(line.split())) for number, line in enumerate(data.split(b"\n"))]
-    return [x for x in found if len(x[1]) >= LEAST_WORDS]
+    return [x for x in found if len(x[1]) >= least]
 
 
 def _hashed(words: list[bytes]) -> np.ndarray:
@@ -81,16 +86,18 @@ def _at_most(codes: np.ndarray) -> np.ndarray:
     return np.where(c < 200, c, 1 << np.clip(c - 192, 0, 62))
 
 
-def frequencies(docs: DataFrame) -> np.ndarray:
-    """How many lines hold a word, by the word's counter and as a code, over all documents. A
-    task hands on its own sums, cut into slices; slices are added in two steps."""
+def frequencies(docs: DataFrame, least_words: int = LEAST_WORDS) -> np.ndarray:
+    """How many lines of more than EXACT words hold a word, by the word's counter and as a code,
+    over all documents. A task hands on its own sums, cut into slices; slices are added in two
+    steps."""
+    least = max(least_words, EXACT + 1)
     width = COUNTERS // SLICES
     schema = "slice long, share int, places binary, counts binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int32)
         for _, texts in common.chunks(batches, CHUNK):
-            words = [w for t in texts for _, found in _line_words(t) for w in found]
+            words = [w for t in texts for _, found in _line_words(t, least) for w in found]
             at, n = np.unique(_hashed(words) & (COUNTERS - 1), return_counts=True)
             total[at] += n.astype(np.int32)
         share = TaskContext.get().partitionId() % SHARES
@@ -153,16 +160,16 @@ def _place_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return common.mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)).astype(np.int64)
 
 
-def _grouped(counts, only_words=None, only_lines=None):
-    """Map side: rows (group, line) for the prefix words, and rows for lines that repeat one
-    of their own chunk."""
+def _grouped(counts, least: int, only_words=None, only_lines=None):
+    """Map side: rows (group, line) for the prefix words, rows for lines that repeat one of
+    their own chunk, and one row for each other line of up to EXACT words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counts.value
         for ids, texts in common.chunks(batches, CHUNK):
             doc, line, words, size = [], [], [], []
             for doc_id, text in zip(ids, texts, strict=True):
-                for number, found in _line_words(text):
+                for number, found in _line_words(text, least):
                     doc.append(doc_id)
                     line.append(number)
                     words += found
@@ -182,13 +189,18 @@ def _grouped(counts, only_words=None, only_lines=None):
             again[a] = (line_hash[a] == line_hash[b]) & ((doc[a] != doc[b]) | (line[a] != line[b]))
             if again.any() and only_words is None:
                 n = int(again.sum())
-                yield _rows([line_hash[again], np.ones(n), line_hash[again], doc[again], line[again], size[again], *[np.zeros(n)] * 3, np.zeros(n, bool)])
+                dealt = _place_hash(doc[again], line[again])  # nothing to compare: a common line is spread
+                yield _rows([dealt, np.full(n, REPEAT), line_hash[again], doc[again], line[again], size[again], *[np.zeros(n)] * 3, np.zeros(n, bool)])
+            alike = (size <= EXACT) & ~again
+            if alike.any() and only_words is None:
+                n = int(alike.sum())
+                yield _rows([line_hash[alike], np.full(n, ALIKE), line_hash[alike], doc[alike], line[alike], size[alike], *[np.zeros(n)] * 3, np.zeros(n, bool)])
             row = np.repeat(np.arange(len(size)), size)
             count = _at_most(known[words & (COUNTERS - 1)])
             ranked = np.lexsort((words, count, row))
             row, words, count = row[ranked], words[ranked], count[ranked]
             place = np.arange(len(row)) - heads[row]
-            keep = (place < prefix_size(size)[row]) & (count > 1) & ~again[row]
+            keep = (place < prefix_size(size)[row]) & (count > 1) & (~again & (size > EXACT))[row]
             if only_words is not None:
                 keep &= only_words.value.holds(words)
             row, words, count, place = row[keep], words[keep], count[keep], place[keep]
@@ -258,11 +270,30 @@ def _matched(every: bool):
             if ok.any():
                 out.append((a[ok], b[ok]))
 
-    def settle(held: list[np.ndarray], cut: int) -> pa.RecordBatch | None:
+    def equal(x: list[np.ndarray]) -> pa.RecordBatch | None:
+        """Each line of up to EXACT words, but the earliest of its hash, with that earliest."""
+        order = np.lexsort((x[4], x[3], x[2]))
+        hashes, doc, line = (x[k][order] for k in (2, 3, 4))
+        head = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+        first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+        late = np.flatnonzero((doc != doc[first]) | (line != line[first]))
+        if not len(late):
+            return None
+        first = first[late]
+        columns = [hashes[late], doc[late], line[late], hashes[first], doc[first], line[first], np.ones(len(late), bool), np.zeros(len(late), bool)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _PAIR_NAMES)
+
+    def settled(held: list[np.ndarray], cut: int) -> Iterator[pa.RecordBatch]:
         x = [c[:cut] for c in held]
+        alike = x[1] == ALIKE
+        for part, found in ((alike, equal), (~alike, settle)):
+            if part.any() and (out := found([c[part] for c in x])) is not None:
+                yield _narrow(out)
+
+    def settle(x: list[np.ndarray]) -> pa.RecordBatch | None:
         order = np.lexsort((x[4], x[3], x[0]))
         x = [c[order] for c in x]
-        bounds = np.concatenate(([0], np.flatnonzero(x[0][1:] != x[0][:-1]) + 1, [cut]))
+        bounds = np.concatenate(([0], np.flatnonzero(x[0][1:] != x[0][:-1]) + 1, [len(order)]))
         sizes = np.diff(bounds)
         found: list = []
         # groups of up to eight lines all at once, by distance within the group
@@ -293,9 +324,9 @@ def _matched(every: bool):
             head = np.concatenate(([True], late[1:] != late[:-1]))
             first = np.flatnonzero(head)
             nth = np.arange(len(late)) - np.repeat(first, np.diff(np.concatenate((first, [len(late)]))))
-            settled = np.repeat(same[first], np.diff(np.concatenate((first, [len(late)]))))
-            more = np.concatenate((nth[1:] == TRIES, [False])) & ~settled
-            keep = (nth < TRIES) & (~settled | head)
+            certain = np.repeat(same[first], np.diff(np.concatenate((first, [len(late)]))))
+            more = np.concatenate((nth[1:] == TRIES, [False])) & ~certain
+            keep = (nth < TRIES) & (~certain | head)
             late, early, same, more = late[keep], early[keep], same[keep], more[keep]
         columns = [x[2][late], x[3][late], x[4][late], x[2][early], x[3][early], x[4][early], same, more]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _PAIR_NAMES)
@@ -305,7 +336,7 @@ def _matched(every: bool):
         for batch in batches:
             part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             part = [c if c.dtype == bool else c.astype(np.int64) for c in part]
-            repeats = part[1] == 1  # found within its chunk: nothing to compare
+            repeats = part[1] == REPEAT  # found within its chunk: nothing to compare
             if repeats.any():
                 d = [c[repeats] for c in part]
                 yield pa.RecordBatch.from_arrays(
@@ -316,11 +347,11 @@ def _matched(every: bool):
                 continue
             held = part if held is None else [np.concatenate(p) for p in zip(held, part, strict=True)]
             cut = int(np.searchsorted(held[0], held[0][-1]))
-            if cut and (out := settle(held, cut)) is not None:
-                yield _narrow(out)
+            if cut:
+                yield from settled(held, cut)
             held = [c[cut:] for c in held]
-        if held is not None and len(held[0]) and (out := settle(held, len(held[0]))) is not None:
-            yield _narrow(out)
+        if held is not None and len(held[0]):
+            yield from settled(held, len(held[0]))
 
     return run
 
@@ -330,8 +361,8 @@ def _narrow(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, _PAIR_NAMES)
 
 
-def _pairs(text: DataFrame, counts, every: bool = False, words=None, lines=None) -> DataFrame:
-    rows = text.mapInArrow(_grouped(counts, words, lines), _GROUP)
+def _pairs(text: DataFrame, counts, least: int, every: bool = False, words=None, lines=None) -> DataFrame:
+    rows = text.mapInArrow(_grouped(counts, least, words, lines), _GROUP)
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_matched(every), _PAIR)
 
 
@@ -350,7 +381,7 @@ def _fetch(text: DataFrame, places: DataFrame) -> DataFrame:
                     lines = text.encode("utf-8", "surrogatepass").lower().split(b"\n")
                     for number in hit.tolist():
                         found = list(set(lines[number].split()))
-                        if len(found) >= LEAST_WORDS:
+                        if len(found) > EXACT:
                             doc.append(doc_id)
                             line.append(number)
                             words.append(np.sort(_hashed(found)).tobytes())
@@ -390,18 +421,18 @@ def _verified(text: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.mapInArrow(verify, "doc_id long, line int, ok boolean")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, line) of the lines that repeat or nearly repeat an earlier one: a line of a
     smaller doc_id, or one before it in its own document, with a Jaccard similarity of word
     sets of 0.8 or more, whether or not that line is itself removed. Lines are counted from 0.
 
-    Null and empty texts have no line that takes part. Rows that repeat a doc_id are taken for
+    Lines of `least_words` different words or more take part. Null and empty texts have none. Rows that repeat a doc_id are taken for
     one document; rows without doc_id take no part. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     text = common.id_and_text(docs).where("doc_id is not null")
-    counts = spark.sparkContext.broadcast(frequencies(text))  # COUNTERS numbers
-    first = common.stored(_pairs(text, counts))
+    counts = spark.sparkContext.broadcast(frequencies(text, least_words))  # COUNTERS numbers
+    first = common.stored(_pairs(text, counts, least_words))
     certain = first.where("same").select("doc_id", "line").distinct()
     maybe = first.where("not same").groupBy("doc_id", "line", "other_doc", "other_line").agg(F.max("more").alias("more"))
     maybe = common.stored(maybe.join(certain, ["doc_id", "line"], "left_anti"))
@@ -415,7 +446,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # the lines left open meet all others of their groups, not only the earliest
     lines = spark.sparkContext.broadcast(_Bits(_numpy_places(still)))
     words = spark.sparkContext.broadcast(_Bits(_words_of(text, still)))
-    more = _pairs(text, counts, True, words, lines)
+    more = _pairs(text, counts, max(least_words, EXACT + 1), True, words, lines)
     more = more.select("doc_id", "line", "other_doc", "other_line", "same").distinct().join(still, ["doc_id", "line"], "left_semi")
     more = common.stored(more)
     extra = _verified(text, more.where("not same").drop("same")).where("ok").select("doc_id", "line")
@@ -440,9 +471,9 @@ def _words_of(text: DataFrame, places: DataFrame) -> DataFrame:
     return _fetch(text, places).join(places, ["doc_id", "line"], "left_semi").select("words").mapInArrow(run, "word long")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per doc_id: doc_id, n_lines, n_removed, removed (line numbers in order)."""
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    gone = removed_lines(docs, least_words).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     sizes = common.id_and_text(docs).where("doc_id is not null").groupBy("doc_id").agg(
         F.max(F.size(F.split("text", "\n"))).cast("long").alias("n_lines")
     )
@@ -450,10 +481,10 @@ def report(docs: DataFrame) -> DataFrame:
     return sizes.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
-def remove_lines(docs: DataFrame) -> DataFrame:
+def remove_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """`docs` without the repeated lines in their texts; every column stays. Documents of which
     only white space is left go, unless that was so before. Rows without doc_id stay."""
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
+    gone = removed_lines(docs, least_words).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(F.col("_gone"), k)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)

@@ -146,6 +146,32 @@ def test_repeated_lines(docs, empty):
     assert set(line_dedup.remove_lines(docs).columns) == set(docs.columns)
 
 
+def test_short_lines_take_part(spark, tmp_path, docs):
+    """Against brute force without a least length, in the operator, op4 and the pipeline."""
+    import corpus_pipeline
+    from capture_tables.llm import queries
+
+    short = ["Les.\nun deux", "les.\n\n深い森の中で", "a b c d\nDEUX un\n深い森の中で", "e d c b a\nun deux trois", "a b c d e f\nun deux\n   "]
+    short += ["k l m n o", "n m l k", "n m l k", "one", "x y z", "x y w"]
+    rows = [(1000 + k, t) for k, t in enumerate(short)]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame([*rows, rows[2]], "doc_id long, text string"))
+    path = str(tmp_path)
+    both.repartition(3).write.parquet(f"{path}/documents.parquet")
+    lines, wanted = [], {}
+    for k, t in [*pairs(), *rows]:
+        wanted[k] = []
+        for n, line in enumerate(t.encode().lower().split(b"\n")):
+            s = set(line.split())
+            if s:
+                if any(5 * len(s & o) >= 4 * len(s | o) for o in lines):
+                    wanted[k].append(n)
+                lines.append(s)
+    assert {k - 1000: wanted[k] for k, _ in rows} == {0: [], 1: [0], 2: [1, 2], 3: [0], 4: [0, 1], 5: [], 6: [0], 7: [0], 8: [0], 9: [], 10: []}
+    assert {r.doc_id: r.removed for r in queries.op4_line_dedup(spark, path).collect()} == wanted
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, both, path).collect()}
+    assert kept[1001] == "\n深い森の中で" and kept[1002] == "a b c d" and 1006 not in kept
+
+
 def test_top_k(spark):
     r = np.random.default_rng(3)
     data = [(k, [float(x) for x in r.normal(size=8)]) for k in range(300)]
