@@ -1,10 +1,12 @@
-"""Toxicity as ordinal severity: a cumulative-link model over words that mark toxic texts.
+"""Toxicity as ordinal severity: a cumulative-link model over the words of labelled texts.
 
 P(grade > k) = sigmoid(w . x - t_k): one weight for each word, shared by all grades, and
-ordered thresholds t_0 < t_1 < ... The features x say which marker words a text holds; the
-words are those whose presence goes with the label "toxic" far beyond chance in the labelled
-sample. The label itself is yes or no, so a toxic row's grade follows from how many
-different markers it holds: FEW and MANY part mild, plain and severe. The result is the
+ordered thresholds t_0 < t_1 < ... The features x say which words a text holds, out of all
+that LEAST_DOCS labelled texts hold; none is left out for being weak. A feature's value is how
+far the word's toxic texts are from the number expected, in units of STEP standard deviations,
+so that the ridge holds back words that tell little. The label itself is yes or no, so a toxic row's grade follows from how many different markers it
+holds, words of which more than half of the texts are toxic: FEW and MANY part mild, plain
+and severe. The result is the
 expected grade, and a document is rejected where P(grade > 0) is at least one half.
 """
 
@@ -21,8 +23,8 @@ from . import common
 
 #: Labelled documents that the model is fitted on, at most; they are chosen by a hash of the id.
 SAMPLE = 20_000
-#: Marker words, at most, and the least likelihood ratio and number of documents of one.
-MARKERS, LEAST_RATIO, LEAST_DOCS = 2000, 40.0, 4
+#: The least number of labelled documents of a word, and the unit of a feature's value.
+LEAST_DOCS, STEP = 4, 10.0
 FEW, MANY = 3, 5
 GRADES = 4
 REJECT_AT = 0.5
@@ -65,27 +67,33 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     )
 
 
-def markers(rows: DataFrame, limit: int = MARKERS) -> list[str]:
-    """Words that toxic rows hold far more often than others, strongest first."""
+def vocabulary(rows: DataFrame) -> list[str]:
+    """The words that LEAST_DOCS rows hold, if some rows are toxic and some are not; `rows` are
+    a bounded sample."""
     totals = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
-    n, t = totals["n"], totals["t"] or 0
-    if not t or t == n:
+    if not totals["t"] or totals["t"] == totals["n"]:
         return []
-    word = rows.select("toxic", F.explode("words").alias("word")).groupBy("word")
-    counts = word.agg(F.count("*").cast("double").alias("d"), F.sum("toxic").cast("double").alias("a"))
-    d, a = F.col("d"), F.col("a")
-
-    def part(observed, expected):
-        return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
-
-    ratio = 2 * (
-        part(a, d * t / n)
-        + part(d - a, d * (n - t) / n)
-        + part(t - a, (n - d) * t / n)
-        + part(n - d - t + a, (n - d) * (n - t) / n)
-    )
-    strong = counts.withColumn("ratio", ratio).where((d >= LEAST_DOCS) & (a * n > d * t) & (F.col("ratio") >= LEAST_RATIO))
-    return [r["word"] for r in strong.orderBy(F.desc("ratio"), "word").limit(limit).collect()]
+    counts = rows.select(F.explode("words").alias("word")).groupBy("word").count()
+    return [r["word"] for r in counts.where(F.col("count") >= LEAST_DOCS).orderBy("word").select("word").collect()]
+
+
+def evidence(docs: np.ndarray, toxic: np.ndarray, rate: float) -> np.ndarray:
+    """How far `toxic` of a word's `docs` texts are from the `rate` of all texts."""
+    return np.abs(toxic - docs * rate) / np.sqrt(docs * rate * (1 - rate)) / STEP
+
+
+class _Sparse:
+    """A matrix by its entries, for products with vectors."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        self.row, self.column, self.value, self.shape = row, column, value, shape
+
+    def __matmul__(self, vector: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * vector[self.column], self.shape[0])
+
+    @property
+    def T(self) -> _Sparse:
+        return _Sparse(self.column, self.row, self.value, self.shape[::-1])
 
 
 def _sigmoid(x):
@@ -119,9 +127,9 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 400
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """{"words": {word: weight}, "thresholds": [...]}, fitted in one task on the bounded sample.
-    Without toxic labels there is no marker, and no document is graded above 0."""
+    Without toxic labels there is no model, and no document is graded above 0."""
     rows = common.stored(labelled(docs, labels, sample))
-    chosen = markers(rows)
+    chosen = vocabulary(rows)
     place = {w: k for k, w in enumerate(chosen)}
     if not chosen:
         return {"words": {}, "thresholds": [30.0 + k for k in range(GRADES - 1)]}
@@ -131,12 +139,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         for batch in batches:
             toxic += batch.column(0).to_pylist()
             held += [[place[w] for w in found if w in place] for found in batch.column(1).to_pylist()]
-        x = np.zeros((len(held), len(place)), np.float32)
-        for row, found in enumerate(held):
-            x[row, found] = 1
-        many = np.array([len(f) for f in held])
-        grade = np.where(np.array(toxic) == 0, 0, 1 + (many >= FEW) + (many >= MANY))
-        w, t = fit_ordinal(x, grade, GRADES)
+        toxic = np.array(toxic)
+        row, column = np.repeat(np.arange(len(held)), [len(f) for f in held]), np.array([k for f in held for k in f], np.int64)
+        docs_of, toxic_of = np.bincount(column, minlength=len(place)), np.bincount(column, toxic[row], len(place))
+        value = evidence(docs_of, toxic_of, toxic.mean())
+        many = np.bincount(row, (2 * toxic_of > docs_of)[column], len(held))
+        grade = np.where(toxic == 0, 0, 1 + (many >= FEW) + (many >= MANY))
+        w, t = fit_ordinal(_Sparse(row, column, value[column], (len(held), len(place))), grade, GRADES)
+        w = w * value
         yield pa.RecordBatch.from_arrays([pa.array([w.tolist()]), pa.array([t.tolist()])], ["w", "t"])
 
     model = rows.coalesce(1).mapInArrow(train, "w array<double>, t array<double>").first()
@@ -145,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
 def grade(docs: DataFrame, model: dict) -> DataFrame:
     """One row per document: doc_id, severity (expected grade), p_toxic, grade (most likely),
-    rejected. A null or empty text holds no marker. Rows that repeat a doc_id or have none are
+    rejected. A null or empty text holds no word. Rows that repeat a doc_id or have none are
     graded like any other; an empty table gives an empty one."""
     weights = {w.encode(): v for w, v in model["words"].items()}
     thresholds = np.array(model["thresholds"])

@@ -303,6 +303,27 @@ def test_toxic_documents_go_and_clean_ones_stay(spark):
     assert toxicity.remove_toxic(docs, marks.where("false")).count() == 402
 
 
+def test_few_labels_make_a_model(spark):
+    """Words of five toxic labels reject other documents, as do the words planted in sf0.001."""
+    bad = ["vile", "nasty", "rotten", "filthy"]
+    few = [(k, words(40, 7000 + k) + (" " + " ".join(bad) if k % 10 == 0 else ""), int(k % 10 == 0)) for k in range(100)]
+    docs = spark.createDataFrame(few, "doc_id long, text string, toxic int")
+    kept = toxicity.remove_toxic(docs, docs.where("doc_id < 50").select("doc_id", "toxic"))
+    assert {r.doc_id for r in kept.collect()} == {k for k in range(100) if k % 10}
+
+    import corpus_pipeline
+
+    planted = {b"trash", b"idiot", b"pathetic", b"disgusting", b"worthless", b"stupid", b"clown", b"loser", b"scum", b"moron"}
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet") for name in ("documents", "labels"))
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, "/root/testdata/sf0.001").collect()}
+    toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    clean = {r.doc_id for r in labels.where("toxic = 0").collect()}
+    texts_of = {r.doc_id: r.text or "" for r in docs.collect()}
+    held = {k for k, t in texts_of.items() if len(toxicity.words(t) & planted) >= 2}
+    assert len(held) >= 5 and not held & kept, (held & kept, len(held))
+    assert not toxic & kept and clean <= kept
+
+
 def test_severity_thresholds_stay_in_order():
     x = np.array([[0.0], [0.0], [1.0], [1.0]] * 20)
     w, t = toxicity.fit_ordinal(x, np.array([0, 0, 1, 2] * 20), 3)
