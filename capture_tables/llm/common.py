@@ -86,6 +86,19 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Itera
             yield tuple(column.to_pylist() for column in batch.slice(start).columns)
 
 
+def slices(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of up to `limit` bytes of text (the second column), as they are."""
+    for batch in batches:
+        start = size = 0
+        for k, length in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+            if size and size + (length or 0) > limit:
+                yield batch.slice(start, k - start)
+                start, size = k, 0
+            size += length or 0
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit values (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)
@@ -97,6 +110,77 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes of text hashed at once; a longer word is hashed alone.
+_SEGMENT = 1 << 16
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.isin(np.arange(256), [0x20, *range(9, 14)])
+_VALUES = mix64(np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint64) + np.uint64(0xA0761D6478BD642F))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse modulo 2^64."""
+    if len(_powers[0]) < n:
+        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        for k, base in enumerate((_BASE, inverse)):
+            _powers[k] = np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(n - 1, base))))
+    return _powers[0][:n], _powers[1][:n]
+
+
+class Scan:
+    """The words `[^\\x20\\x09-\\x0D]+` of a string column without nulls, A-Z lower-cased, found
+    and hashed as whole arrays: `hashes` (64 bits), `starts` and `ends` (bytes in `data`), and
+    `bounds`, where each row's text starts in `data`, with the last one's end."""
+
+    def __init__(self, column: pa.Array):
+        wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        whole = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+        self.data, self.bounds = whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+        n = len(self.data)
+        word = ~_SPACE[self.data]
+        first = np.zeros(n + 1, bool)
+        first[self.bounds] = True
+        begin, end = word.copy(), word.copy()
+        begin[1:] &= ~word[:-1] | first[1:n]
+        end[:-1] &= ~word[1:] | first[1:n]
+        self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        self.hashes = np.empty(len(self.starts), np.uint64)
+        lo = 0
+        while lo < len(self.starts):
+            base = self.starts[lo]
+            hi = max(lo + 1, int(np.searchsorted(self.ends, base + _SEGMENT, "right")))
+            size = int(self.ends[hi - 1] - base)
+            up, down = powers(max(size, _SEGMENT))
+            values = _VALUES[self.data[base : base + size]] * down[:size]
+            sums = np.cumsum(values, dtype=np.uint64)
+            a, b = self.starts[lo:hi] - base, self.ends[lo:hi] - base - 1
+            self.hashes[lo:hi] = mix64((sums[b] - sums[a] + values[a]) * up[a])
+            lo = hi
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def per_row(self) -> np.ndarray:
+        """The number of words of each row."""
+        return np.diff(np.searchsorted(self.starts, self.bounds))
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, number in its row's text from 0, number of words) of each line with a word."""
+        breaks = np.flatnonzero(self.data == 10)
+        rows = np.searchsorted(self.bounds[:-1], breaks, "right") - 1
+        heads = np.searchsorted(breaks, self.bounds[:-1])
+        row = np.concatenate((np.arange(len(self.bounds) - 1), rows))
+        number = np.concatenate((np.zeros(len(self.bounds) - 1, np.int64), np.arange(len(breaks)) - heads[rows] + 1))
+        order = np.lexsort((number, row))
+        row, number = row[order], number[order]
+        first = np.searchsorted(self.starts, np.concatenate((self.bounds[:-1], breaks))[order])
+        words = np.diff(np.concatenate((first, [len(self)])))
+        full = words > 0
+        return row[full], number[full], words[full]
+
+
 class HashCache(dict):
     """word bytes -> 64-bit hash (signed), forgotten when it holds too many words."""
 

@@ -1,19 +1,23 @@
 """Near-duplicate lines by an exact set-similarity join with prefix filtering.
 
-A line is the set of its words. All words have one order, rarest first, by how many lines
-hold them. If two sets have a Jaccard similarity of 0.8 or more, the prefixes of their
-ordered words share a word, and the places of that word bound their overlap. Each line
-therefore goes, by the words of its prefix, into groups of lines that hold such a word; in
-a group a line is matched with the earliest lines that pass the length, the positional and
-a bitmap filter. The surviving pairs are verified on the words themselves. A line that
-matches an earlier one is removed. Lines of fewer than `least_words` different words take no
-part; with 1, every line that holds a word does.
-
-Sets of up to EXACT words are similar to equal sets only, so that these lines meet by their
-hash alone. Equal lines within a chunk of text are found before anything moves. Words that one line alone
-holds start no group. A word whose group could be large has it dealt into blocks, and each
-pair of blocks is a group of bounded size. A line whose first candidates all fail their
+A line is the set of its words. All words have one order, rarest first, by how often the
+corpus holds them. If two sets have a Jaccard similarity of 0.8 or more, the prefixes of
+their ordered words share a word, and the places of that word bound their overlap.
+
+Equal sets are brought together first, by 128 bits of hash, and the earliest line of each
+stands for all. Such a set goes, by the words of its prefix, into groups of sets that hold
+such a word there; in a group a set is matched with the earliest sets that pass the length,
+the positional and a bitmap filter. The words of the surviving pairs are fetched and their
+Jaccard similarity verified. A line that matches an earlier one is removed.
+
+Sets of up to EXACT words are similar to equal sets only. Words that stand in one prefix
+alone start no group. A word that many prefixes hold has its group dealt into blocks, and
+each pair of blocks is a group of bounded size. A set whose first candidates all fail their
 verification, and that has more, gets all of them in a second pass, so that none is lost.
+
+Words are told apart by 64 bits of hash. Only the words of one pair of lines ever meet, so
+that two lines of 50 words are misjudged once in some 10^16 pairs; different sets that agree
+in 128 bits are expected once among 10^19 different lines.
 """
 
 from __future__ import annotations
@@ -29,38 +33,29 @@ from pyspark.sql import functions as F
 from . import common
 
 SIMILARITY = (4, 5)
-LEAST_WORDS = 5
 #: Words of the largest set that no set but an equal one is similar to (4 of 5 words are 0.8).
 EXACT = 3
-#: Roles of rows: a repeat within its chunk, and a line that only an equal one matches.
-REPEAT, ALIKE = 1, 4
 #: Counters of the words' frequencies; a word shares one with others that hash alike, which
-#: changes their order and never the result.
+#: changes their order and the size of blocks, and never the result.
 COUNTERS = 1 << 22
-SLICES, SHARES = 256, 32
+SLICES, SHARES = 64, 16
 BLOCK = 4096
-#: Candidates that a group hands on for a line before their words are compared.
+#: Candidates that a group hands on for a set before their words are compared.
 TRIES = 2
-CHUNK = 4 << 20
-#: Bits of the sets of lines that a pass reads again; a wrong hit costs a row, no result.
-FILTER_BITS = 1 << 24
-
-_GROUP = "cell long, role byte, line_hash long, doc_id long, line int, size int, place int, bits0 long, bits1 long, open boolean"
-_NAMES = [f.split()[0] for f in _GROUP.split(", ")]
-_TYPES = [pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-
-_hash = common.HashCache(250_000)
-
-
-def _line_words(text: str, least: int) -> list[tuple[int, set[bytes]]]:
-    """(number, different words) of the lines of a text that hold `least` words or more."""
-    data = text.encode("utf-8", "surrogatepass").lower()
-    found = [(number, set(line.split())) for number, line in enumerate(data.split(b"\n"))]
-    return [x for x in found if len(x[1]) >= least]
-
-
-def _hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hash.__getitem__, words), np.int64, len(words))
+#: Text handled at once, in bytes; a longer document is taken alone.
+CHUNK = 1 << 20
+#: Pairs that are compared at once.
+PAIRS = 1 << 19
+#: Places of a sieve for each value it holds, and at most.
+SIEVE, SIEVE_MOST = 16, 1 << 29
+
+_SET = "h0 long, h1 long, doc_id long, print long, line int, size int, bits0 long, bits1 long, bits2 long, bits3 long, prefix binary"
+_SET_NAMES = [f.split()[0] for f in _SET.split(", ")]
+_SET_TYPES = [*[pa.int64()] * 4, *[pa.int32()] * 2, *[pa.int64()] * 4, pa.binary()]
+_GROUP = "cell long, h0 long, doc_id long, facts long, bits0 long, bits1 long, bits2 long, bits3 long"
+_GROUP_NAMES = [f.split()[0] for f in _GROUP.split(", ")]
+_PAIR = "late long, early long, more boolean"
+PLACE = ["doc_id", "print", "line"]
 
 
 def prefix_size(n):
@@ -86,408 +81,414 @@ def _at_most(codes: np.ndarray) -> np.ndarray:
     return np.where(c < 200, c, 1 << np.clip(c - 192, 0, 62))
 
 
-def frequencies(docs: DataFrame, least_words: int = LEAST_WORDS) -> np.ndarray:
-    """How many lines of more than EXACT words hold a word, by the word's counter and as a code,
-    over all documents. A task hands on its own sums, cut into slices; slices are added in two
-    steps."""
-    least = max(least_words, EXACT + 1)
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text, print (a hash of the text): rows of one doc_id and different texts are
+    documents of their own."""
+    text = common.id_and_text(docs).where("doc_id is not null")
+    return text.select("doc_id", "text", F.xxhash64("text").alias("print"))
+
+
+def _counted(rows: DataFrame, hashes) -> np.ndarray:
+    """How often each counter's values occur in all rows, as codes. `hashes` gives arrays of
+    64-bit values from batches. A task hands on its own sums, cut into slices; slices are
+    added in two steps as they arrive."""
     width = COUNTERS // SLICES
-    schema = "slice long, share int, places binary, counts binary"
+    schema = "slice int, share int, places binary, counts binary"
+
+    def packed(slices, share: int) -> Iterator[pa.RecordBatch]:
+        for k, total in slices:
+            at = np.flatnonzero(total)
+            if len(at):
+                columns = [[k], [share], [at.astype("<u2").tobytes()], [np.minimum(total[at], (1 << 31) - 1).astype("<i4").tobytes()]]
+                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["slice", "share", "places", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int32)
-        for _, texts in common.chunks(batches, CHUNK):
-            words = [w for t in texts for _, found in _line_words(t, least) for w in found]
-            at, n = np.unique(_hashed(words) & (COUNTERS - 1), return_counts=True)
-            total[at] += n.astype(np.int32)
-        share = TaskContext.get().partitionId() % SHARES
-        at = np.flatnonzero(total)
-        cuts = np.searchsorted(at, np.arange(1, SLICES) * width)
-        parts = [(k, x % width, total[x]) for k, x in enumerate(np.split(at, cuts)) if len(x)]
-        if parts:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([p[0] for p in parts], pa.int64()),
-                    pa.array([share] * len(parts), pa.int32()),
-                    pa.array([p[1].astype("<u4").tobytes() for p in parts]),
-                    pa.array([p[2].astype("<i8").tobytes() for p in parts]),
-                ],
-                ["slice", "share", "places", "counts"],
-            )
+        for values in hashes(batches):
+            np.add.at(total, (values & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        yield from packed(enumerate(total.reshape(SLICES, width)), TaskContext.get().partitionId() % SHARES)
 
-    def add(rows):
-        total = np.zeros(width, np.int64)
-        for places, counts in zip(rows["places"], rows["counts"], strict=True):
-            total[np.frombuffer(places, "<u4")] += np.frombuffer(counts, "<i8")
-        at = np.flatnonzero(total)
-        out = rows[["slice", "share"]].iloc[:1].reset_index(drop=True)
-        return out.assign(places=[at.astype("<u4").tobytes()], counts=[total[at].astype("<i8").tobytes()])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, places, counts in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                total = totals.setdefault(k, np.zeros(width, np.int64))
+                total[np.frombuffer(places.as_buffer(), "<u2")] += np.frombuffer(counts.as_buffer(), "<i4")
+        yield from packed(totals.items(), TaskContext.get().partitionId() % SHARES)
 
-    parts = common.id_and_text(docs).mapInArrow(count, schema)
-    parts = parts.groupBy("slice", "share").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
+    parts = rows.mapInArrow(count, schema).repartition("slice", "share").mapInArrow(add, schema)
     out = np.zeros(COUNTERS, np.uint8)
-    for row in parts.toLocalIterator():
-        at = np.frombuffer(row["places"], "<u4").astype(np.int64) + row["slice"] * width
-        out[at] = _codes(np.frombuffer(row["counts"], "<i8"))
+    for row in parts.repartition("slice").mapInArrow(add, schema).collect():  # of SLICES slices
+        at = np.frombuffer(row["places"], "<u2").astype(np.int64) + row["slice"] * width
+        out[at] = _codes(np.frombuffer(row["counts"], "<i4"))
     return out
 
 
-class _Bits:
-    """A set of 64-bit values in a fixed number of bits, that may hold others as well."""
+def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for part in common.slices(batches, CHUNK):
+        yield common.Scan(part.column(1)).hashes
+
+
+def _prefix_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        yield _blobs(batch.column(_SET_NAMES.index("prefix")))[0]
+
+
+def _blobs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, how many in each row) of a column of packed 64-bit values."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return np.frombuffer(whole[offsets[0] : offsets[-1]].tobytes(), np.uint64), np.diff(offsets) // 8
+
+
+class Lines:
+    """The lines of a part of the corpus as sets of word hashes, each in the order of `codes`
+    (or of the hashes), rarest first: row and number of each line, its size, and the words."""
+
+    def __init__(self, column: pa.Array, codes: np.ndarray | None, least: int = 1):
+        scan = common.Scan(column)
+        self.row, self.number, words = scan.lines()
+        hashes, line = scan.hashes, np.repeat(np.arange(len(words), dtype=np.uint64), words)
+        rarity = codes[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) if codes is not None else np.uint64(0)
+        key = line << np.uint64(40) | rarity << np.uint64(32) | hashes >> np.uint64(32)
+        order = np.argsort(key)
+        key, hashes = key[order], hashes[order]
+        alike = key[1:] == key[:-1]
+        if (hashes[1:] != hashes[:-1])[alike].any():  # 32 bits are not enough here
+            line, key = line[order], key >> np.uint64(32)
+            order = np.lexsort((hashes, key))
+            line, hashes = line[order], hashes[order]
+        else:
+            line = key >> np.uint64(40)
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
+        self.words = hashes[new]
+        self.size = np.bincount(line[new].astype(np.int64), minlength=len(words))
+        if least > 1 and (few := self.size < least).any():
+            self.words = self.words[np.repeat(~few, self.size)]
+            self.row, self.number, self.size = self.row[~few], self.number[~few], self.size[~few]
+        self.heads = np.cumsum(self.size) - self.size
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of hash for each set."""
+        if not len(self.size):
+            return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        scrambled = common.mix64(self.words ^ np.uint64(0x5851F42D4C957F2D))
+        return tuple(common.mix64(np.add.reduceat(x, self.heads) + self.size.astype(np.uint64)) for x in (scrambled, common.mix64(scrambled)))
+
+    def bits(self) -> list[np.ndarray]:
+        """A bitmap of 256 bits for each set."""
+        where, bit = self.words >> np.uint64(62), np.uint64(1) << (self.words >> np.uint64(56) & np.uint64(63))
+        return [np.bitwise_or.reduceat(np.where(where == k, bit, np.uint64(0)), self.heads) for k in range(4)]
+
+
+def _sets(counts, least: int):
+    """Map side: a row for each different set of a part of the corpus, at its earliest line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.slices(batches, CHUNK):
+            lines = Lines(part.column(1), counts.value, least)
+            if not len(lines.size):
+                continue
+            h0, h1 = lines.hashes()
+            doc, prints = part.column(0).to_numpy()[lines.row], part.column(2).to_numpy()[lines.row]
+            order = np.lexsort((lines.number, prints, doc, h1, h0))
+            first = np.ones(len(order), bool)
+            first[1:] = (h0[order][1:] != h0[order][:-1]) | (h1[order][1:] != h1[order][:-1])
+            at = np.sort(order[first])
+            size = np.where(lines.size > EXACT, prefix_size(lines.size), 0)[at]
+            words = np.repeat(lines.heads[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            prefix = pa.Array.from_buffers(
+                pa.binary(), len(at), [None, pa.py_buffer((np.concatenate(([0], np.cumsum(size))) * 8).astype(np.int32)), pa.py_buffer(lines.words[words].tobytes())]
+            )
+            columns = [h0[at], h1[at], doc[at], prints[at], lines.number[at], lines.size[at], *[b[at] for b in lines.bits()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, _SET_TYPES, strict=False)] + [prefix], _SET_NAMES)
+
+    return run
+
+
+class Sieve:
+    """A set of 64-bit values in SIEVE bits for each, that lets others through as well, some
+    one in ten. Of so many values that it would be larger than SIEVE_MOST bits it lets all
+    through: what it lets through is always joined with the values themselves."""
 
     def __init__(self, values: DataFrame):
+        """`values` holds one column of longs."""
+        n = values.count()
+        self.bits = 1 << max(16, (SIEVE * n).bit_length())
+        self.packed = None
+        if self.bits > SIEVE_MOST:
+            return
+        bits = self.bits
+
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(FILTER_BITS, bool)
             for batch in batches:
-                bits[batch.column(0).to_numpy().astype(np.uint64) % np.uint64(FILTER_BITS)] = True
-            if bits.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(bits).astype(np.int64))], ["bit"])
-
-        at = values.mapInArrow(mark, "bit long").distinct().groupBy(F.shiftright("bit", 16).alias("part")).agg(
-            F.collect_list(F.col("bit")).alias("bits")
-        )  # a part has 2^16 bits at most
-        bits = np.zeros(FILTER_BITS, bool)
-        for row in at.toLocalIterator():
-            bits[row["bits"]] = True
-        self.packed = np.packbits(bits)
-
-    def holds(self, values: np.ndarray) -> np.ndarray:
-        at = values.astype(np.uint64) % np.uint64(FILTER_BITS)
+                at = np.unique(common.mix64(batch.column(0).to_numpy().astype(np.uint64)) & np.uint64(bits - 1))
+                part = at >> np.uint64(16)
+                heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                low = [x.astype("<u2").tobytes() for x in np.split(at & np.uint64(0xFFFF), heads[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(part[heads].astype(np.int64)), pa.array(low, pa.binary())], ["part", "low"])
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, low in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    held.setdefault(k, np.zeros(1 << 16, bool))[np.frombuffer(low.as_buffer(), "<u2")] = True
+            for k, part in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(part).tobytes()])], ["part", "low"])
+
+        held = np.zeros(bits // 8, np.uint8)
+        parts = values.mapInArrow(mark, "part long, low binary").repartition("part").mapInArrow(join, "part long, low binary")
+        for row in parts.collect():  # SIEVE_MOST bits at most
+            held[row["part"] << 13 : (row["part"] + 1) << 13] = np.frombuffer(row["low"], np.uint8)
+        self.packed = held
+
+    def passes(self, values: np.ndarray) -> np.ndarray:
+        if self.packed is None:
+            return np.ones(len(values), bool)
+        at = common.mix64(values.astype(np.uint64)) & np.uint64(self.bits - 1)
         return (self.packed[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
 
-def _place_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return common.mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)).astype(np.int64)
+_LATE_BLOCK, _EARLY_BLOCK, _OPEN = np.int64(1) << 61, np.int64(1) << 60, np.int64(1) << 59
 
 
-def _grouped(counts, least: int, only_words=None, only_lines=None):
-    """Map side: rows (group, line) for the prefix words, rows for lines that repeat one of
-    their own chunk, and one row for each other line of up to EXACT words."""
+def _prefixes(counts, only_words=None):
+    """Rows (group, set) for the prefix words that others hold there too. Rows of sets have an
+    `open` column behind; with `only_words` groups of other words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = counts.value
-        for ids, texts in common.chunks(batches, CHUNK):
-            doc, line, words, size = [], [], [], []
-            for doc_id, text in zip(ids, texts, strict=True):
-                for number, found in _line_words(text, least):
-                    doc.append(doc_id)
-                    line.append(number)
-                    words += found
-                    size.append(len(found))
-            if not doc:
-                continue
-            doc, line, size = np.array(doc, np.int64), np.array(line, np.int64), np.array(size, np.int64)
-            words = _hashed(words)
-            scrambled = common.mix64(words.astype(np.uint64))
-            heads = np.cumsum(size) - size
-            line_hash = (np.add.reduceat(scrambled, heads) * np.uint64(2) + np.uint64(1) + common.mix64(np.bitwise_xor.reduceat(scrambled, heads))).astype(np.int64)
-            bits0 = np.bitwise_or.reduceat(np.uint64(1) << (scrambled & np.uint64(63)), heads).astype(np.int64)
-            bits1 = np.bitwise_or.reduceat(np.uint64(1) << (scrambled >> np.uint64(58)), heads).astype(np.int64)
-            order = np.lexsort((line, doc, line_hash))
-            again = np.zeros(len(order), bool)
-            a, b = order[1:], order[:-1]
-            again[a] = (line_hash[a] == line_hash[b]) & ((doc[a] != doc[b]) | (line[a] != line[b]))
-            if again.any() and only_words is None:
-                n = int(again.sum())
-                dealt = _place_hash(doc[again], line[again])  # nothing to compare: a common line is spread
-                yield _rows([dealt, np.full(n, REPEAT), line_hash[again], doc[again], line[again], size[again], *[np.zeros(n)] * 3, np.zeros(n, bool)])
-            alike = (size <= EXACT) & ~again
-            if alike.any() and only_words is None:
-                n = int(alike.sum())
-                yield _rows([line_hash[alike], np.full(n, ALIKE), line_hash[alike], doc[alike], line[alike], size[alike], *[np.zeros(n)] * 3, np.zeros(n, bool)])
-            row = np.repeat(np.arange(len(size)), size)
-            count = _at_most(known[words & (COUNTERS - 1)])
-            ranked = np.lexsort((words, count, row))
-            row, words, count = row[ranked], words[ranked], count[ranked]
-            place = np.arange(len(row)) - heads[row]
-            keep = (place < prefix_size(size)[row]) & (count > 1) & (~again & (size > EXACT))[row]
+        names = {name: k for k, name in enumerate(_SET_NAMES)}
+        for batch in batches:
+            words, n = _blobs(batch.column(names["prefix"]))
+            row = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            count = _at_most(counts.value[(words & np.uint64(COUNTERS - 1)).astype(np.int64)])
+            keep = count > 1
             if only_words is not None:
-                keep &= only_words.value.holds(words)
+                keep &= only_words.value.passes(words)
             row, words, count, place = row[keep], words[keep], count[keep], place[keep]
             if not len(row):
                 continue
-            is_open = np.ones(len(size), bool) if only_lines is None else only_lines.value.holds(_place_hash(doc, line))
+            h0 = batch.column(names["h0"]).to_numpy()
             blocks = -(-count // BLOCK)
-            own = common.mix64(line_hash.astype(np.uint64))[row] % blocks.astype(np.uint64)
             copy = np.repeat(np.arange(len(row)), blocks)
+            own = (common.mix64(h0.astype(np.uint64))[row] % blocks.astype(np.uint64))[copy]
             other = (np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)).astype(np.uint64)
-            mine = own[copy]
-            low, high = np.minimum(mine, other), np.maximum(mine, other)
-            cell = common.mix64(words[copy].astype(np.uint64) + low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F))
-            role = np.where(low == high, 0, np.where(mine == low, 2, 3))
+            low, high = np.minimum(own, other), np.maximum(own, other)
+            cell = common.mix64(words[copy] + low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F))
+            facts = batch.column(names["size"]).to_numpy().astype(np.int64)[row] << 28 | np.minimum(place, (1 << 28) - 1)
+            facts = facts[copy] | np.where(own < other, _EARLY_BLOCK, 0) | np.where(own > other, _LATE_BLOCK, 0)
+            facts |= np.where(batch.column(len(_SET_NAMES)).to_numpy(zero_copy_only=False)[row][copy], _OPEN, 0)
             r = row[copy]
-            yield _rows([cell.astype(np.int64), role, line_hash[r], doc[r], line[r], size[r], place[copy], bits0[r], bits1[r], is_open[r]])
+            columns = [cell.astype(np.int64), h0[r], batch.column(names["doc_id"]).to_numpy()[r], facts]
+            columns += [batch.column(names[f"bits{k}"]).to_numpy()[r] for k in range(4)]
+            for lo in range(0, len(r), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)]) for c in columns], _GROUP_NAMES)
 
     return run
 
 
-def _rows(columns: list) -> pa.RecordBatch:
-    made = []
-    for column, kind in zip(columns, _TYPES, strict=True):
-        column = np.asarray(column)
-        made.append(pa.array(column if column.dtype == bool else column.astype(kind.to_pandas_dtype()), kind))
-    return pa.RecordBatch.from_arrays(made, _NAMES)
-
-
-_PAIR = "line_hash long, doc_id long, line int, other_hash long, other_doc long, other_line int, same boolean, more boolean"
-_PAIR_NAMES = [f.split()[0] for f in _PAIR.split(", ")]
+def _candidates(cell, h0, doc, facts, bits, every: bool, tries: int, pairs: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(late, early, more) of whole groups, where `more` says that a set has other candidates:
+    a sort by group and size, then each row with those behind it that are not too large."""
+    size, place = facts >> 28 & ((1 << 31) - 1), facts & ((1 << 28) - 1)
+    side = facts >> 60 & 3
+    number = np.cumsum(np.concatenate(([0], cell[1:] != cell[:-1])))
+    order = np.lexsort((size, number))
+    h0, doc, size, place, side, number = (x[order] for x in (h0, doc, size, place, side, number))
+    open_, bits = (facts & _OPEN != 0)[order], [b[order].astype(np.uint64) for b in bits]
+    key = number << 32 | size
+    width = np.searchsorted(key, number << 32 | size * SIMILARITY[1] // SIMILARITY[0], "right") - np.arange(len(key)) - 1
+    total = np.cumsum(width)
+    late, early, group = [], [], []
+    lo = 0
+    while lo < len(key):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + pairs, "right")))
+        w = width[lo:hi]
+        i = np.repeat(np.arange(lo, hi), w)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
+        n, m = size[i], size[j]
+        need = least_overlap(n, m)
+        ok = (np.minimum(n - place[i], m - place[j]) >= need) & ((side[i] == 0) | (side[i] != side[j]))
+        i, j, most = i[ok], j[ok], (n + m - 2 * need)[ok]
+        apart = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits)
+        ok = (apart <= most) & (h0[i] != h0[j])
+        i, j = i[ok], j[ok]
+        for a, b in ((i[doc[i] >= doc[j]], j[doc[i] >= doc[j]]), (j[doc[j] >= doc[i]], i[doc[j] >= doc[i]])):
+            if every:
+                b, a = b[open_[a]], a[open_[a]]
+            late.append(a)
+            early.append(b)
+        lo = hi
+    late, early = np.concatenate(late), np.concatenate(early)
+    if every:
+        yield h0[late], h0[early], np.zeros(len(late), bool)
+        return
+    order = np.lexsort((h0[early], doc[early], late))
+    late, early = late[order], early[order]
+    head = np.flatnonzero(np.concatenate(([True], late[1:] != late[:-1]))) if len(late) else np.empty(0, np.int64)
+    length = np.diff(np.concatenate((head, [len(late)])))
+    nth = np.arange(len(late)) - np.repeat(head, length)
+    more = np.repeat(length > tries, length)
+    keep = nth < tries
+    yield h0[late[keep]], h0[early[keep]], more[keep]
 
 
 def _matched(every: bool):
-    """Reduce side: for the lines of a group the earliest other that passes the filters, or
-    every other where `every` (and then for open lines only)."""
-
-    def similar(x: list[np.ndarray], late: np.ndarray, early) -> np.ndarray:
-        _, role, _, doc, line, size, place, bits0, bits1, _ = x
-        n, m = size[late], size[early]
-        need = least_overlap(n, m)
-        room = 1 + np.minimum(n - place[late], m - place[early]) - 1
-        ok = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (room >= need)
-        ok &= (role[late] == 0) | (role[late] != role[early])
-        ok &= (doc[late] != doc[early]) | (line[late] != line[early])  # a repeated row is the same line
-        apart = n + m - 2 * need
-        for bits in (bits0, bits1):
-            ok &= np.bitwise_count((bits[late] ^ bits[early]).astype(np.uint64)) <= apart
-        return ok
-
-    def group(x: list[np.ndarray], lo: int, hi: int, out: list) -> None:
-        """One group, in order of doc_id and line: a matrix of a cheap bound on the words that
-        two lines don't share, then the other filters for what is within it."""
-        size, bits = x[5][lo:hi], x[7][lo:hi].astype(np.uint64)
-        most = 2 * size // 9 + 1  # sets of n and m words differ in (n + m) / 9 at most
-        for at in range(0, hi - lo, 256):
-            late = slice(at, min(at + 256, hi - lo))
-            apart = np.bitwise_count(bits[late, None] ^ bits[None, : late.stop])
-            near = apart <= np.maximum(most[late, None], most[None, : late.stop])
-            a, b = np.nonzero(near)
-            a += at
-            keep = b < a
-            a, b = a[keep] + lo, b[keep] + lo
-            if every:
-                keep = x[9][a]
-                a, b = a[keep], b[keep]
-            ok = similar(x, a, b)
-            if ok.any():
-                out.append((a[ok], b[ok]))
-
-    def equal(x: list[np.ndarray]) -> pa.RecordBatch | None:
-        """Each line of up to EXACT words, but the earliest of its hash, with that earliest."""
-        order = np.lexsort((x[4], x[3], x[2]))
-        hashes, doc, line = (x[k][order] for k in (2, 3, 4))
-        head = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-        first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-        late = np.flatnonzero((doc != doc[first]) | (line != line[first]))
-        if not len(late):
-            return None
-        first = first[late]
-        columns = [hashes[late], doc[late], line[late], hashes[first], doc[first], line[first], np.ones(len(late), bool), np.zeros(len(late), bool)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _PAIR_NAMES)
-
-    def settled(held: list[np.ndarray], cut: int) -> Iterator[pa.RecordBatch]:
-        x = [c[:cut] for c in held]
-        alike = x[1] == ALIKE
-        for part, found in ((alike, equal), (~alike, settle)):
-            if part.any() and (out := found([c[part] for c in x])) is not None:
-                yield _narrow(out)
-
-    def settle(x: list[np.ndarray]) -> pa.RecordBatch | None:
-        order = np.lexsort((x[4], x[3], x[0]))
-        x = [c[order] for c in x]
-        bounds = np.concatenate(([0], np.flatnonzero(x[0][1:] != x[0][:-1]) + 1, [len(order)]))
-        sizes = np.diff(bounds)
-        found: list = []
-        # groups of up to eight lines all at once, by distance within the group
-        for apart in range(1, 8):
-            heads = np.flatnonzero((sizes > apart) & (sizes <= 8))
-            if not len(heads):
-                break
-            n = sizes[heads] - apart
-            early = np.repeat(bounds[heads], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            late = early + apart
-            if every:
-                keep = x[9][late]
-                early, late = early[keep], late[keep]
-            ok = similar(x, late, early)
-            if ok.any():
-                found.append((late[ok], early[ok]))
-        for g in np.flatnonzero(sizes > 8):
-            group(x, int(bounds[g]), int(bounds[g + 1]), found)
-        if not found:
-            return None
-        late, early = (np.concatenate(p) for p in zip(*found, strict=True))
-        same = x[2][late] == x[2][early]
-        more = np.zeros(len(late), bool)
-        if not every:
-            # a line equal to an earlier one is settled; of others the first TRIES candidates go on
-            order = np.lexsort((early, ~same, late))
-            late, early, same = late[order], early[order], same[order]
-            head = np.concatenate(([True], late[1:] != late[:-1]))
-            first = np.flatnonzero(head)
-            nth = np.arange(len(late)) - np.repeat(first, np.diff(np.concatenate((first, [len(late)]))))
-            certain = np.repeat(same[first], np.diff(np.concatenate((first, [len(late)]))))
-            more = np.concatenate((nth[1:] == TRIES, [False])) & ~certain
-            keep = (nth < TRIES) & (~certain | head)
-            late, early, same, more = late[keep], early[keep], same[keep], more[keep]
-        columns = [x[2][late], x[3][late], x[4][late], x[2][early], x[3][early], x[4][early], same, more]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _PAIR_NAMES)
+    """Reduce side, over rows sorted by group: the pairs whose words are to be compared, for
+    each set with the earliest others, or with all where `every` (and then of open sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
+
+        def found(cut: int) -> Iterator[pa.RecordBatch]:
+            x = [c[:cut] for c in held]
+            for late, early, more in _candidates(*x[:4], x[4:], every, TRIES, PAIRS):
+                if len(late):
+                    yield pa.RecordBatch.from_arrays([pa.array(late), pa.array(early), pa.array(more)], ["late", "early", "more"])
+
         for batch in batches:
-            part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            part = [c if c.dtype == bool else c.astype(np.int64) for c in part]
-            repeats = part[1] == REPEAT  # found within its chunk: nothing to compare
-            if repeats.any():
-                d = [c[repeats] for c in part]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in (d[2], d[3], d[4].astype(np.int32), d[2], d[3], d[4].astype(np.int32), np.ones(len(d[0]), bool), np.zeros(len(d[0]), bool))], _PAIR_NAMES
-                )
-                part = [c[~repeats] for c in part]
-            if not len(part[0]):
-                continue
+            part = [c.to_numpy() for c in batch.columns]
             held = part if held is None else [np.concatenate(p) for p in zip(held, part, strict=True)]
-            cut = int(np.searchsorted(held[0], held[0][-1]))
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if cut:
-                yield from settled(held, cut)
-            held = [c[cut:] for c in held]
+                yield from found(cut)
+                held = [c[cut:] for c in held]
         if held is not None and len(held[0]):
-            yield from settled(held, len(held[0]))
+            yield from found(len(held[0]))
 
     return run
 
 
-def _narrow(batch: pa.RecordBatch) -> pa.RecordBatch:
-    columns = [c.cast(pa.int32()) if name in ("line", "other_line") else c for name, c in zip(_PAIR_NAMES, batch.columns, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, _PAIR_NAMES)
-
+def _pairs(sets: DataFrame, counts, every: bool = False, words=None) -> DataFrame:
+    rows = sets.mapInArrow(_prefixes(counts, words), _GROUP)
+    pairs = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_matched(every), _PAIR)
+    return pairs.groupBy("late", "early").agg(F.max("more").alias("more"))
 
-def _pairs(text: DataFrame, counts, least: int, every: bool = False, words=None, lines=None) -> DataFrame:
-    rows = text.mapInArrow(_grouped(counts, least, words, lines), _GROUP)
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_matched(every), _PAIR)
 
+def _place_hash(doc: np.ndarray, prints: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return common.mix64(common.mix64(doc.astype(np.uint64)) ^ prints.astype(np.uint64) + line.astype(np.uint64))
 
-def _fetch(text: DataFrame, places: DataFrame) -> DataFrame:
-    """doc_id, line, words (as sorted hashes, packed) of the lines in `places`, and perhaps of
-    others."""
-    wanted = text.sparkSession.sparkContext.broadcast(_Bits(places.select(_place_column("doc_id", "line"))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in common.chunks(batches, CHUNK):
-            doc, line, words = [], [], []
-            for doc_id, text in zip(ids, texts, strict=True):
-                count = text.count("\n") + 1
-                hit = np.flatnonzero(wanted.value.holds(_place_column_of(doc_id, count)))
-                if len(hit):
-                    lines = text.encode("utf-8", "surrogatepass").lower().split(b"\n")
-                    for number in hit.tolist():
-                        found = list(set(lines[number].split()))
-                        if len(found) > EXACT:
-                            doc.append(doc_id)
-                            line.append(number)
-                            words.append(np.sort(_hashed(found)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(words, pa.binary())], ["doc_id", "line", "words"])
-
-    return text.mapInArrow(run, "doc_id long, line int, words binary")
-
-
-def _place_column(doc: str, line: str):
-    """A number for a line's place, the same in Spark and in numpy."""
-    return F.col(doc) * F.lit(1_000_003) + F.col(line).cast("long") * F.lit(7919)
-
-
-def _place_column_of(doc: int, lines: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.int64(doc) * np.int64(1_000_003) + np.arange(lines, dtype=np.int64) * np.int64(7919)
-
-
-def _verified(text: DataFrame, pairs: DataFrame) -> DataFrame:
-    """`pairs` (doc_id, line, other_doc, other_line) with the outcome in `ok`."""
-    own = pairs.select("doc_id", "line")
-    places = own.union(pairs.select("other_doc", "other_line")).distinct()
-    sets = common.stored(_fetch(text, places).dropDuplicates(["doc_id", "line"]))
-    other = sets.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("other_words"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, bottom = SIMILARITY
-        for batch in batches:
-            ok = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(bottom * shared >= top * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["doc_id", "line", "ok"])
+def _place_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = _place_hash(*[batch.column(k).to_numpy() for k in range(3)])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], ["at"])
 
-    rows = pairs.join(sets, ["doc_id", "line"]).join(other, ["other_doc", "other_line"]).select("doc_id", "line", "words", "other_words")
-    return rows.mapInArrow(verify, "doc_id long, line int, ok boolean")
 
+def _words_at(text: DataFrame, places: DataFrame) -> DataFrame:
+    """`places` (doc_id, print, line and more) with the words of those lines, as hashes."""
+    sieve = text.sparkSession.sparkContext.broadcast(Sieve(places.select(*PLACE).mapInArrow(_place_hashes, "at long")))
 
-def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, line) of the lines that repeat or nearly repeat an earlier one: a line of a
-    smaller doc_id, or one before it in its own document, with a Jaccard similarity of word
-    sets of 0.8 or more, whether or not that line is itself removed. Lines are counted from 0.
-
-    Lines of `least_words` different words or more take part. Null and empty texts have none. Rows that repeat a doc_id are taken for
-    one document; rows without doc_id take no part. An empty table gives an empty one.
-    """
-    spark = docs.sparkSession
-    text = common.id_and_text(docs).where("doc_id is not null")
-    counts = spark.sparkContext.broadcast(frequencies(text, least_words))  # COUNTERS numbers
-    first = common.stored(_pairs(text, counts, least_words))
-    certain = first.where("same").select("doc_id", "line").distinct()
-    maybe = first.where("not same").groupBy("doc_id", "line", "other_doc", "other_line").agg(F.max("more").alias("more"))
-    maybe = common.stored(maybe.join(certain, ["doc_id", "line"], "left_anti"))
-    tried = maybe.groupBy("doc_id", "line").agg(F.max("more").alias("more"))
-    checked = _verified(text, maybe).groupBy("doc_id", "line").agg(F.max("ok").alias("ok"))
-    checked = common.stored(checked.join(tried, ["doc_id", "line"]))
-    found = certain.union(checked.where("ok").select("doc_id", "line"))
-    still = checked.where("more and not ok").select("doc_id", "line")
-    if still.isEmpty():
-        return found
-    # the lines left open meet all others of their groups, not only the earliest
-    lines = spark.sparkContext.broadcast(_Bits(_numpy_places(still)))
-    words = spark.sparkContext.broadcast(_Bits(_words_of(text, still)))
-    more = _pairs(text, counts, max(least_words, EXACT + 1), True, words, lines)
-    more = more.select("doc_id", "line", "other_doc", "other_line", "same").distinct().join(still, ["doc_id", "line"], "left_semi")
-    more = common.stored(more)
-    extra = _verified(text, more.where("not same").drop("same")).where("ok").select("doc_id", "line")
-    return found.union(more.where("same").select("doc_id", "line")).union(extra).distinct()
-
-
-def _numpy_places(places: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = _place_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(place)], ["place"])
-
-    return places.mapInArrow(run, "place long")
-
-
-def _words_of(text: DataFrame, places: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.frombuffer(w, np.int64) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], ["word"])
+        for part in common.slices(batches, CHUNK):
+            lines = Lines(part.column(1), None)
+            doc, prints = part.column(0).to_numpy()[lines.row], part.column(2).to_numpy()[lines.row]
+            hit = sieve.value.passes(_place_hash(doc, prints, lines.number))
+            words = pa.ListArray.from_arrays(
+                pa.array(np.concatenate(([0], np.cumsum(lines.size[hit]))).astype(np.int32)), pa.array(lines.words[np.repeat(hit, lines.size)].astype(np.int64))
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(prints[hit]), pa.array(lines.number[hit].astype(np.int32)), words], [*PLACE, "words"])
 
-    return _fetch(text, places).join(places, ["doc_id", "line"], "left_semi").select("words").mapInArrow(run, "word long")
+    found = text.mapInArrow(run, "doc_id long, print long, line int, words array<long>")
+    return places.join(found.dropDuplicates(PLACE), PLACE)
 
 
-def report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per doc_id: doc_id, n_lines, n_removed, removed (line numbers in order)."""
-    gone = removed_lines(docs, least_words).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    sizes = common.id_and_text(docs).where("doc_id is not null").groupBy("doc_id").agg(
-        F.max(F.size(F.split("text", "\n"))).cast("long").alias("n_lines")
-    )
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return sizes.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+def _verified(text: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """h0, ok: for each set of `pairs` (late, early) whether it is similar to an earlier one."""
+    wanted = pairs.select(F.col("late").alias("h0")).union(pairs.select("early")).distinct()
+    places = common.stored(sets.select("h0", *PLACE).join(wanted, "h0"))
+    words = common.stored(_words_at(text, places))
+    a, b = (words.select(F.col("h0").alias(side), F.struct(*PLACE).alias(f"{side}_at"), F.col("words").alias(f"{side}_words")) for side in ("late", "early"))
+    both = pairs.join(a, "late").join(b, "early").where("early_at < late_at")
+    top, bottom = SIMILARITY
+    shared = F.size(F.array_intersect("late_words", "early_words"))
+    ok = shared * bottom >= (F.size("late_words") + F.size("early_words") - shared) * top
+    return both.select(F.col("late").alias("h0"), F.col("late_at").alias("at"), ok.alias("ok")).groupBy("h0", "at").agg(F.max("ok").alias("ok"))
+
+
+def kept_lines(docs: DataFrame, least_words: int = 1) -> DataFrame:
+    """(doc_id, print, line) of the lines that stay out of those of `least_words` different
+    words or more: the others repeat or nearly repeat an earlier one, a line of a smaller
+    doc_id or one before it in its own document, with a Jaccard similarity of word sets of 0.8
+    or more, whether or not that line is itself removed. Lines are counted from 0; `print` is
+    the hash of the text.
+
+    Null and empty texts have no lines that hold words. Rows of the same doc_id and text are
+    one document; rows of one doc_id and different texts are several, of which the one with the
+    smaller hash comes first. Rows without doc_id take no part. An empty table gives an empty
+    one.
+    """
+    spark = docs.sparkSession
+    text = _texts(docs)
+    order = spark.sparkContext.broadcast(_counted(text, _word_hashes))  # COUNTERS bytes
+    rows = text.mapInArrow(_sets(order, least_words), _SET)
+    rest = [name for name in _SET_NAMES if name not in ("h0", "h1")]
+    sets = common.stored(rows.groupBy("h0", "h1").agg(F.min(F.struct(*rest)).alias("first")).select("h0", "h1", *[f"first.{name}" for name in rest]))
+    counts = spark.sparkContext.broadcast(_counted(sets, _prefix_hashes))  # COUNTERS bytes
+    pairs = common.stored(_pairs(sets.withColumn("open", F.lit(False)), counts))
+    tried = pairs.groupBy(F.col("late").alias("h0")).agg(F.max("more").alias("more"))
+    checked = common.stored(_verified(text, sets, pairs).join(tried, "h0"))
+    gone = checked.where("ok").select("h0", "at")
+    still = checked.where("more and not ok").select("h0").distinct()
+    if not still.isEmpty():
+        # the sets left open meet all others of their groups, not only the earliest
+        opened = common.stored(sets.join(still.withColumn("open", F.lit(True)), "h0", "left").select(*_SET_NAMES, F.coalesce("open", F.lit(False)).alias("open")))
+        words = spark.sparkContext.broadcast(Sieve(opened.where("open").mapInArrow(_prefix_words, "word long")))
+        more = common.stored(_pairs(opened, counts, True, words).join(pairs.select("late", "early"), ["late", "early"], "left_anti"))
+        gone = gone.union(_verified(text, sets, more).where("ok").select("h0", "at"))
+    gone = gone.select("h0", "at.*")
+    return sets.select("h0", *PLACE).join(gone, ["h0", *PLACE], "left_anti").select(*PLACE)
+
+
+def _prefix_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for words in _prefix_hashes(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64))], ["word"])
+
+
+def _numbers(lines, least: int):
+    """The numbers of the lines that take part."""
+    words = lambda x: F.filter(F.split(F.lower(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")), " "), lambda w: w != "")
+    if least <= 1:
+        part = lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != ""
+    else:
+        part = lambda x: F.size(F.array_distinct(words(x))) >= least
+    return F.filter(F.transform(lines, lambda x, k: F.when(part(x), k)), lambda k: k.isNotNull())
+
+
+def _kept(docs: DataFrame, least: int) -> DataFrame:
+    return kept_lines(docs, least).groupBy("doc_id", "print").agg(F.collect_list("line").alias("kept"))
+
+
+def report(docs: DataFrame, least_words: int = 1) -> DataFrame:
+    """One row for each different (doc_id, text): doc_id, n_lines, n_removed, removed (line
+    numbers in order). Rows without doc_id are left out."""
+    lines = F.split("text", "\n")
+    sizes = _texts(docs).select("doc_id", "print", F.size(lines).cast("long").alias("n_lines"), _numbers(lines, least_words).alias("all"))
+    sizes = sizes.dropDuplicates(["doc_id", "print"])
+    removed = F.array_sort(F.array_except("all", F.coalesce("kept", F.array().cast("array<int>"))))
+    found = sizes.join(_kept(docs, least_words), ["doc_id", "print"], "left").select("doc_id", "n_lines", removed.alias("removed"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
-def remove_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def remove_lines(docs: DataFrame, least_words: int = 1) -> DataFrame:
     """`docs` without the repeated lines in their texts; every column stays. Documents of which
-    only white space is left go, unless that was so before. Rows without doc_id stay."""
-    gone = removed_lines(docs, least_words).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(F.col("_gone"), k)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    marked = docs.join(gone, "doc_id", "left").withColumn("text", text)
-    blank = F.col("_gone").isNotNull() & F.col("text").rlike(r"\A[\x20\x09-\x0D]*\z")
-    return marked.where(~F.coalesce(blank, F.lit(False))).select(*docs.columns)
+    only white space is left go, unless that was so before. Rows without doc_id stay, and so
+    do texts from which nothing goes, as they are."""
+    kept = _kept(docs, least_words).select(F.col("doc_id").alias("__line_doc"), F.col("print").alias("__line_print"), F.col("kept").alias("__line_kept"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    lines = F.split(text, "\n")
+    marked = docs.withColumn("__line_key", F.xxhash64(text))
+    marked = marked.join(kept, (F.col("doc_id").cast("long") == F.col("__line_doc")) & (F.col("__line_key") == F.col("__line_print")), "left")
+    gone = F.array_except(_numbers(lines, least_words), F.coalesce("__line_kept", F.array().cast("array<int>")))
+    marked = marked.withColumn("__line_gone", F.when(F.col("doc_id").isNotNull(), gone))
+    cut = F.size(F.coalesce("__line_gone", F.array().cast("array<int>"))) > 0
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__line_gone"))
+    short = F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n")
+    marked = marked.withColumn("__line_text", F.when(cut, short))
+    blank = F.translate("__line_text", " \t\n\x0b\x0c\r", "") == ""
+    columns = [F.coalesce("__line_text", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    return marked.where(F.col("__line_text").isNull() | ~blank).select(*columns)

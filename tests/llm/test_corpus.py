@@ -130,46 +130,70 @@ def test_repeated_passages(docs, empty):
     assert suffix_dedup.repeats(empty).count() == 0
 
 
-def test_repeated_lines(docs, empty):
-    lines, wanted = [], defaultdict(list)
-    for k, t in pairs():
+def removed_by_brute_force(rows):
+    """{(doc_id, text): numbers of removed lines}; rows of one doc_id come by their text's hash."""
+    seen, wanted = [], {}
+    for k, t, _ in rows:
+        wanted[k, t] = []
         for n, line in enumerate(t.encode().lower().split(b"\n")):
             s = set(line.split())
-            if len(s) >= 5:
-                if any(5 * len(s & o) >= 4 * len(s | o) for o in lines):
-                    wanted[k].append(n)
-                lines.append(s)
-    found = {r.doc_id: r.removed for r in line_dedup.report(docs).collect()}
-    assert found == {k: wanted[k] for k, _ in pairs()}
-    assert sum(map(len, wanted.values())) >= 4
-    assert line_dedup.report(empty).count() == 0
-    assert set(line_dedup.remove_lines(docs).columns) == set(docs.columns)
-
-
-def test_short_lines_take_part(spark, tmp_path, docs):
-    """Against brute force without a least length, in the operator, op4 and the pipeline."""
+            if s:
+                if any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
+                    wanted[k, t].append(n)
+                seen.append(s)
+    return wanted
+
+
+def line_texts():
+    short = ["Les.\nun deux", "les.\n\n深い森の中で", "a b c d\nDEUX un\n深い森の中で", "e d c b a\nun deux trois", "a b c d e f\nun deux\n   "]
+    return short + ["k l m n o", "n m l k", "n m l k", "one", "x y z", "x y w"]
+
+
+def with_lines(spark, docs):
+    """Documents with short lines, near copies, repeated rows, and ids that are large, negative,
+    null or shared by different texts."""
+    rows = [(1000 + k, t) for k, t in enumerate(line_texts())]
+    r = random.Random(11)
+    base = words(30, 77).split()
+    for k in range(60):  # a group of near copies, some of them similar to few others only
+        w = list(base)
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(30)] = r.choice(VOCABULARY)
+        rows.append((2000 + k, " ".join(w)))
+    rows += [(1000, "another text\nLes."), ((1 << 63) - 7, "far away\n" + words(9, 100)), (-5, "below zero\nk l m n o"), (None, "un deux")]
+    more = spark.createDataFrame([*rows, rows[2]], "doc_id long, text string")
+    both = docs.select("doc_id", "text").union(more)
+    prints = both.where("doc_id is not null").selectExpr("doc_id", "coalesce(text, '') as text", "xxhash64(coalesce(text, '')) as print").distinct()
+    return both, sorted((tuple(x) for x in prints.collect()), key=lambda x: (x[0], x[2]))
+
+
+def test_repeated_lines(spark, tmp_path, docs, empty, monkeypatch):
+    """Against brute force, in the operator, op4 and the pipeline, with small groups dealt."""
     import corpus_pipeline
     from capture_tables.llm import queries
 
-    short = ["Les.\nun deux", "les.\n\n深い森の中で", "a b c d\nDEUX un\n深い森の中で", "e d c b a\nun deux trois", "a b c d e f\nun deux\n   "]
-    short += ["k l m n o", "n m l k", "n m l k", "one", "x y z", "x y w"]
-    rows = [(1000 + k, t) for k, t in enumerate(short)]
-    both = docs.select("doc_id", "text").union(spark.createDataFrame([*rows, rows[2]], "doc_id long, text string"))
+    both, rows = with_lines(spark, docs)
     path = str(tmp_path)
     both.repartition(3).write.parquet(f"{path}/documents.parquet")
-    lines, wanted = [], {}
-    for k, t in [*pairs(), *rows]:
-        wanted[k] = []
-        for n, line in enumerate(t.encode().lower().split(b"\n")):
-            s = set(line.split())
-            if s:
-                if any(5 * len(s & o) >= 4 * len(s | o) for o in lines):
-                    wanted[k].append(n)
-                lines.append(s)
-    assert {k - 1000: wanted[k] for k, _ in rows} == {0: [], 1: [0], 2: [1, 2], 3: [0], 4: [0, 1], 5: [], 6: [0], 7: [0], 8: [0], 9: [], 10: []}
-    assert {r.doc_id: r.removed for r in queries.op4_line_dedup(spark, path).collect()} == wanted
-    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, both, path).collect()}
-    assert kept[1001] == "\n深い森の中で" and kept[1002] == "a b c d" and 1006 not in kept
+    wanted = removed_by_brute_force(rows)
+    removed = lambda found: sorted((x.doc_id, x.n_lines, x.removed) for x in found.collect())
+    expected = sorted((k, t.count("\n") + 1, gone) for (k, t), gone in wanted.items())
+    assert sum(len(x[2]) for x in expected) >= 40
+    assert removed(queries.op4_line_dedup(spark, path)) == expected
+    kept = {(x.doc_id, x.text) for x in corpus_pipeline.drop_repeated_lines(spark, both, path).collect()}
+    assert (1001, "\n深い森の中で") in kept and (1002, "a b c d") in kept and (None, "un deux") in kept
+    assert not {k for k, _ in kept} & {1006, 1007}
+    assert (1000, "another text") in kept or (1000, "un deux") in kept
+    monkeypatch.setattr(line_dedup, "TRIES", 1)
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    monkeypatch.setattr(line_dedup, "PAIRS", 50)
+    assert removed(line_dedup.report(both)) == expected
+    monkeypatch.setattr(line_dedup, "SIEVE_MOST", 1)
+    assert removed(line_dedup.report(both)) == expected
+    assert line_dedup.report(empty).count() == 0 == line_dedup.remove_lines(empty).count()
+    assert line_dedup.remove_lines(docs).columns == docs.columns
+    long_lines = line_dedup.report(both, least_words=5).collect()
+    assert all(len(set(t.encode().lower().split(b"\n")[n].split())) >= 5 for x in long_lines for k, t, _ in rows if k == x.doc_id and t.count("\n") + 1 == x.n_lines and k > 1001 for n in x.removed)
 
 
 def test_top_k(spark):
