@@ -49,11 +49,16 @@ PAIRS = 1 << 19
 #: Places of a sieve for each value it holds, and at most.
 SIEVE, SIEVE_MOST = 16, 1 << 29
 
-_SET = "h0 long, h1 long, doc_id long, print long, line int, size int, bits0 long, bits1 long, bits2 long, bits3 long, prefix binary"
+_SET = "h0 long, h1 long, doc_id long, print long, line int, size int, bits0 long, bits1 long, prefix binary"
 _SET_NAMES = [f.split()[0] for f in _SET.split(", ")]
-_SET_TYPES = [*[pa.int64()] * 4, *[pa.int32()] * 2, *[pa.int64()] * 4, pa.binary()]
-_GROUP = "cell long, h0 long, doc_id long, facts long, bits0 long, bits1 long, bits2 long, bits3 long"
-_GROUP_NAMES = [f.split()[0] for f in _GROUP.split(", ")]
+_SET_TYPES = [*[pa.int64()] * 4, *[pa.int32()] * 2, *[pa.int64()] * 2, pa.binary()]
+#: Sets with a number, and whether their candidates are still sought.
+_NUMBERED = ["id", "doc_id", "size", "bits0", "bits1", "prefix", "open"]
+#: Bytes of a word's hash in a prefix: enough to find those that may share it.
+PREFIX_BYTES = 5
+#: Prefix words that are sent to one shard, on average.
+SHARD = 300_000
+_ENTRY = np.dtype([("cell", "<u8"), ("id", "<i8"), ("doc", "<i8"), ("size", "<i4"), ("place", "<i4"), ("bits0", "<u8"), ("bits1", "<u8")])
 _PAIR = "late long, early long, more boolean"
 PLACE = ["doc_id", "print", "line"]
 
@@ -132,15 +137,25 @@ def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 def _prefix_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for batch in batches:
-        yield _blobs(batch.column(_SET_NAMES.index("prefix")))[0]
+        yield _unpacked(batch.column(0))[0]
 
 
-def _blobs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(values, how many in each row) of a column of packed 64-bit values."""
+def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of `sizes` values a row, in PREFIX_BYTES bytes each."""
+    data = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PREFIX_BYTES])
+    offsets = (np.concatenate(([0], np.cumsum(sizes))) * PREFIX_BYTES).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, how many in each row) of such a column."""
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     whole = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
-    return np.frombuffer(whole[offsets[0] : offsets[-1]].tobytes(), np.uint64), np.diff(offsets) // 8
+    part = whole[offsets[0] : offsets[-1]].reshape(-1, PREFIX_BYTES)
+    out = np.zeros((len(part), 8), np.uint8)
+    out[:, :PREFIX_BYTES] = part
+    return out.view("<u8").ravel(), np.diff(offsets) // PREFIX_BYTES
 
 
 class Lines:
@@ -179,9 +194,10 @@ class Lines:
         return tuple(common.mix64(np.add.reduceat(x, self.heads) + self.size.astype(np.uint64)) for x in (scrambled, common.mix64(scrambled)))
 
     def bits(self) -> list[np.ndarray]:
-        """A bitmap of 256 bits for each set."""
-        where, bit = self.words >> np.uint64(62), np.uint64(1) << (self.words >> np.uint64(56) & np.uint64(63))
-        return [np.bitwise_or.reduceat(np.where(where == k, bit, np.uint64(0)), self.heads) for k in range(4)]
+        """128 bits for each set, each telling whether an odd number of its words fall on it:
+        two sets' bits differ in as many places as the sets differ in words at most."""
+        where, bit = self.words >> np.uint64(63), np.uint64(1) << (self.words >> np.uint64(57) & np.uint64(63))
+        return [np.bitwise_xor.reduceat(np.where(where == k, bit, np.uint64(0)), self.heads) for k in range(2)]
 
 
 def _sets(counts, least: int):
@@ -200,9 +216,7 @@ def _sets(counts, least: int):
             at = np.sort(order[first])
             size = np.where(lines.size > EXACT, prefix_size(lines.size), 0)[at]
             words = np.repeat(lines.heads[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            prefix = pa.Array.from_buffers(
-                pa.binary(), len(at), [None, pa.py_buffer((np.concatenate(([0], np.cumsum(size))) * 8).astype(np.int32)), pa.py_buffer(lines.words[words].tobytes())]
-            )
+            prefix = _packed(lines.words[words], size)
             columns = [h0[at], h1[at], doc[at], prints[at], lines.number[at], lines.size[at], *[b[at] for b in lines.bits()]]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, _SET_TYPES, strict=False)] + [prefix], _SET_NAMES)
 
@@ -252,17 +266,18 @@ class Sieve:
         return (self.packed[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
 
-_LATE_BLOCK, _EARLY_BLOCK, _OPEN = np.int64(1) << 61, np.int64(1) << 60, np.int64(1) << 59
+#: Flags above the place of a word in its prefix.
+_EARLY_BLOCK, _LATE_BLOCK, _OPEN = 1 << 28, 1 << 29, 1 << 30
 
 
-def _prefixes(counts, only_words=None):
-    """Rows (group, set) for the prefix words that others hold there too. Rows of sets have an
-    `open` column behind; with `only_words` groups of other words are left out."""
+def _prefixes(counts, shards: int, only_words=None):
+    """Rows (shard, entries): the prefix words that others hold there too, each with its set.
+    With `only_words` groups of other words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = {name: k for k, name in enumerate(_SET_NAMES)}
         for batch in batches:
-            words, n = _blobs(batch.column(names["prefix"]))
+            ids, doc, size, bits0, bits1 = (batch.column(k).to_numpy() for k in range(5))
+            words, n = _unpacked(batch.column(5))
             row = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             count = _at_most(counts.value[(words & np.uint64(COUNTERS - 1)).astype(np.int64)])
@@ -272,40 +287,56 @@ def _prefixes(counts, only_words=None):
             row, words, count, place = row[keep], words[keep], count[keep], place[keep]
             if not len(row):
                 continue
-            h0 = batch.column(names["h0"]).to_numpy()
             blocks = -(-count // BLOCK)
             copy = np.repeat(np.arange(len(row)), blocks)
-            own = (common.mix64(h0.astype(np.uint64))[row] % blocks.astype(np.uint64))[copy]
+            own = (common.mix64(ids.astype(np.uint64))[row] % blocks.astype(np.uint64))[copy]
             other = (np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)).astype(np.uint64)
             low, high = np.minimum(own, other), np.maximum(own, other)
             cell = common.mix64(words[copy] + low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F))
-            facts = batch.column(names["size"]).to_numpy().astype(np.int64)[row] << 28 | np.minimum(place, (1 << 28) - 1)
-            facts = facts[copy] | np.where(own < other, _EARLY_BLOCK, 0) | np.where(own > other, _LATE_BLOCK, 0)
-            facts |= np.where(batch.column(len(_SET_NAMES)).to_numpy(zero_copy_only=False)[row][copy], _OPEN, 0)
-            r = row[copy]
-            columns = [cell.astype(np.int64), h0[r], batch.column(names["doc_id"]).to_numpy()[r], facts]
-            columns += [batch.column(names[f"bits{k}"]).to_numpy()[r] for k in range(4)]
-            for lo in range(0, len(r), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)]) for c in columns], _GROUP_NAMES)
+            shard = cell % np.uint64(shards)
+            order = np.argsort(shard, kind="stable")
+            r, shard = row[copy][order], shard[order].astype(np.int64)
+            place = np.minimum(place, _EARLY_BLOCK - 1)[copy] | np.where(own < other, _EARLY_BLOCK, 0) | np.where(own > other, _LATE_BLOCK, 0)
+            place = place[order] | np.where(batch.column(6).to_numpy(zero_copy_only=False)[r], _OPEN, 0)
+            columns = [cell[order] >> np.uint64(24), ids[r], doc[r], size[r], place, bits0[r], bits1[r]]
+            bounds = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
+            entries = [_planes([c[lo:hi] for c in columns]) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[bounds[:-1]]), pa.array(entries, pa.binary())], ["shard", "entries"])
 
     return run
 
 
-def _candidates(cell, h0, doc, facts, bits, every: bool, tries: int, pairs: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(late, early, more) of whole groups, where `more` says that a set has other candidates:
-    a sort by group and size, then each row with those behind it that are not too large."""
-    size, place = facts >> 28 & ((1 << 31) - 1), facts & ((1 << 28) - 1)
-    side = facts >> 60 & 3
+def _planes(columns: list[np.ndarray]) -> bytes:
+    """Columns of _ENTRY one after the other, numbers as byte planes, which compress well."""
+    out = []
+    for column, name in zip(columns, _ENTRY.names, strict=True):
+        kind = _ENTRY[name]
+        out.append(np.ascontiguousarray(column.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T).tobytes())
+    return b"".join(out)
+
+
+def _from_planes(data: bytes) -> list[np.ndarray]:
+    n, at, out = len(data) // _ENTRY.itemsize, 0, []
+    for name in _ENTRY.names:
+        kind = _ENTRY[name]
+        planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += n * kind.itemsize
+    return out
+
+
+def _candidates(x: list[np.ndarray], every: bool, tries: int, pairs: int) -> tuple[np.ndarray, ...]:
+    """(late, early, more) of a shard, where `more` says that a set has other candidates: a
+    sort by group and size, then each row with those behind it that are not too large."""
+    cell, ids, doc, size, place, bits0, bits1 = x
+    order = np.lexsort((size, cell))
+    cell, ids, doc, size, place, bits0, bits1 = (c[order] for c in (cell, ids, doc, size.astype(np.int64), place.astype(np.int64), bits0, bits1))
+    side, open_, place = place >> 28 & 3, place & _OPEN != 0, place & (_EARLY_BLOCK - 1)
     number = np.cumsum(np.concatenate(([0], cell[1:] != cell[:-1])))
-    order = np.lexsort((size, number))
-    h0, doc, size, place, side, number = (x[order] for x in (h0, doc, size, place, side, number))
-    open_, bits = (facts & _OPEN != 0)[order], [b[order].astype(np.uint64) for b in bits]
-    key = number << 32 | size
-    width = np.searchsorted(key, number << 32 | size * SIMILARITY[1] // SIMILARITY[0], "right") - np.arange(len(key)) - 1
+    width = np.searchsorted(number << 32 | size, number << 32 | size * SIMILARITY[1] // SIMILARITY[0], "right") - np.arange(len(size)) - 1
     total = np.cumsum(width)
-    late, early, group = [], [], []
-    lo = 0
-    while lo < len(key):
+    late, early, lo = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+    while lo < len(size):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + pairs, "right")))
         w = width[lo:hi]
         i = np.repeat(np.arange(lo, hi), w)
@@ -314,58 +345,55 @@ def _candidates(cell, h0, doc, facts, bits, every: bool, tries: int, pairs: int)
         need = least_overlap(n, m)
         ok = (np.minimum(n - place[i], m - place[j]) >= need) & ((side[i] == 0) | (side[i] != side[j]))
         i, j, most = i[ok], j[ok], (n + m - 2 * need)[ok]
-        apart = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits)
-        ok = (apart <= most) & (h0[i] != h0[j])
+        apart = np.bitwise_count(bits0[i] ^ bits0[j]).astype(np.int64) + np.bitwise_count(bits1[i] ^ bits1[j])
+        ok = (apart <= most) & (ids[i] != ids[j])
         i, j = i[ok], j[ok]
         for a, b in ((i[doc[i] >= doc[j]], j[doc[i] >= doc[j]]), (j[doc[j] >= doc[i]], i[doc[j] >= doc[i]])):
             if every:
-                b, a = b[open_[a]], a[open_[a]]
+                a, b = a[open_[a]], b[open_[a]]
             late.append(a)
             early.append(b)
         lo = hi
     late, early = np.concatenate(late), np.concatenate(early)
-    if every:
-        yield h0[late], h0[early], np.zeros(len(late), bool)
-        return
-    order = np.lexsort((h0[early], doc[early], late))
+    if every or not len(late):
+        return ids[late], ids[early], np.zeros(len(late), bool)
+    order = np.lexsort((ids[early], doc[early], late))
     late, early = late[order], early[order]
-    head = np.flatnonzero(np.concatenate(([True], late[1:] != late[:-1]))) if len(late) else np.empty(0, np.int64)
+    head = np.flatnonzero(np.concatenate(([True], late[1:] != late[:-1])))
     length = np.diff(np.concatenate((head, [len(late)])))
-    nth = np.arange(len(late)) - np.repeat(head, length)
-    more = np.repeat(length > tries, length)
-    keep = nth < tries
-    yield h0[late[keep]], h0[early[keep]], more[keep]
+    keep = np.arange(len(late)) - np.repeat(head, length) < tries
+    return ids[late[keep]], ids[early[keep]], np.repeat(length > tries, length)[keep]
 
 
 def _matched(every: bool):
-    """Reduce side, over rows sorted by group: the pairs whose words are to be compared, for
+    """Reduce side, over rows sorted by shard: the pairs whose words are to be compared, for
     each set with the earliest others, or with all where `every` (and then of open sets)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def found(cut: int) -> Iterator[pa.RecordBatch]:
-            x = [c[:cut] for c in held]
-            for late, early, more in _candidates(*x[:4], x[4:], every, TRIES, PAIRS):
-                if len(late):
-                    yield pa.RecordBatch.from_arrays([pa.array(late), pa.array(early), pa.array(more)], ["late", "early", "more"])
+    def found(blobs: list) -> pa.RecordBatch:
+        parts = zip(*[_from_planes(b) for b in blobs], strict=True)
+        columns = _candidates([np.concatenate(p) for p in parts], every, TRIES, PAIRS)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["late", "early", "more"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, blobs = None, []
         for batch in batches:
-            part = [c.to_numpy() for c in batch.columns]
-            held = part if held is None else [np.concatenate(p) for p in zip(held, part, strict=True)]
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if cut:
-                yield from found(cut)
-                held = [c[cut:] for c in held]
-        if held is not None and len(held[0]):
-            yield from found(len(held[0]))
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if shard != last and blobs:
+                    yield found(blobs)
+                    blobs = []
+                last = shard
+                blobs.append(blob.as_py())
+        if blobs:
+            yield found(blobs)
 
     return run
 
 
 def _pairs(sets: DataFrame, counts, every: bool = False, words=None) -> DataFrame:
-    rows = sets.mapInArrow(_prefixes(counts, words), _GROUP)
-    pairs = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_matched(every), _PAIR)
+    """(late, early, more) of the sets (_NUMBERED)."""
+    entries = sets.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    rows = sets.mapInArrow(_prefixes(counts, max(8, entries // PREFIX_BYTES // SHARD), words), "shard long, entries binary")
+    pairs = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_matched(every), _PAIR)
     return pairs.groupBy("late", "early").agg(F.max("more").alias("more"))
 
 
@@ -398,16 +426,16 @@ def _words_at(text: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _verified(text: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """h0, ok: for each set of `pairs` (late, early) whether it is similar to an earlier one."""
-    wanted = pairs.select(F.col("late").alias("h0")).union(pairs.select("early")).distinct()
-    places = common.stored(sets.select("h0", *PLACE).join(wanted, "h0"))
+    """id, ok: for each set of `pairs` (late, early) whether it is similar to an earlier one."""
+    wanted = pairs.select(F.col("late").alias("id")).union(pairs.select("early")).distinct()
+    places = common.stored(sets.select("id", *PLACE).join(wanted, "id"))
     words = common.stored(_words_at(text, places))
-    a, b = (words.select(F.col("h0").alias(side), F.struct(*PLACE).alias(f"{side}_at"), F.col("words").alias(f"{side}_words")) for side in ("late", "early"))
+    a, b = (words.select(F.col("id").alias(side), F.struct(*PLACE).alias(f"{side}_at"), F.col("words").alias(f"{side}_words")) for side in ("late", "early"))
     both = pairs.join(a, "late").join(b, "early").where("early_at < late_at")
     top, bottom = SIMILARITY
     shared = F.size(F.array_intersect("late_words", "early_words"))
     ok = shared * bottom >= (F.size("late_words") + F.size("early_words") - shared) * top
-    return both.select(F.col("late").alias("h0"), F.col("late_at").alias("at"), ok.alias("ok")).groupBy("h0", "at").agg(F.max("ok").alias("ok"))
+    return both.select(F.col("late").alias("id"), ok.alias("ok")).groupBy("id").agg(F.max("ok").alias("ok"))
 
 
 def kept_lines(docs: DataFrame, least_words: int = 1) -> DataFrame:
@@ -427,21 +455,23 @@ def kept_lines(docs: DataFrame, least_words: int = 1) -> DataFrame:
     order = spark.sparkContext.broadcast(_counted(text, _word_hashes))  # COUNTERS bytes
     rows = text.mapInArrow(_sets(order, least_words), _SET)
     rest = [name for name in _SET_NAMES if name not in ("h0", "h1")]
-    sets = common.stored(rows.groupBy("h0", "h1").agg(F.min(F.struct(*rest)).alias("first")).select("h0", "h1", *[f"first.{name}" for name in rest]))
-    counts = spark.sparkContext.broadcast(_counted(sets, _prefix_hashes))  # COUNTERS bytes
-    pairs = common.stored(_pairs(sets.withColumn("open", F.lit(False)), counts))
-    tried = pairs.groupBy(F.col("late").alias("h0")).agg(F.max("more").alias("more"))
-    checked = common.stored(_verified(text, sets, pairs).join(tried, "h0"))
-    gone = checked.where("ok").select("h0", "at")
-    still = checked.where("more and not ok").select("h0").distinct()
+    firsts = rows.groupBy("h0", "h1").agg(F.min(F.struct(*rest)).alias("first"))
+    sets = common.stored(firsts.select(F.monotonically_increasing_id().alias("id"), *[f"first.{name}" for name in rest]))
+    counts = spark.sparkContext.broadcast(_counted(sets.select("prefix"), _prefix_hashes))  # COUNTERS bytes
+    numbered = sets.select(*[F.lit(False).alias(c) if c == "open" else c for c in _NUMBERED])
+    pairs = common.stored(_pairs(numbered, counts))
+    tried = pairs.groupBy(F.col("late").alias("id")).agg(F.max("more").alias("more"))
+    checked = common.stored(_verified(text, sets, pairs).join(tried, "id"))
+    gone = checked.where("ok").select("id")
+    still = checked.where("more and not ok").select("id")
     if not still.isEmpty():
         # the sets left open meet all others of their groups, not only the earliest
-        opened = common.stored(sets.join(still.withColumn("open", F.lit(True)), "h0", "left").select(*_SET_NAMES, F.coalesce("open", F.lit(False)).alias("open")))
-        words = spark.sparkContext.broadcast(Sieve(opened.where("open").mapInArrow(_prefix_words, "word long")))
+        opened = sets.join(still.withColumn("open", F.lit(True)), "id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        opened = common.stored(opened.select(*_NUMBERED))
+        words = spark.sparkContext.broadcast(Sieve(opened.where("open").select("prefix").mapInArrow(_prefix_words, "word long")))
         more = common.stored(_pairs(opened, counts, True, words).join(pairs.select("late", "early"), ["late", "early"], "left_anti"))
-        gone = gone.union(_verified(text, sets, more).where("ok").select("h0", "at"))
-    gone = gone.select("h0", "at.*")
-    return sets.select("h0", *PLACE).join(gone, ["h0", *PLACE], "left_anti").select(*PLACE)
+        gone = gone.union(_verified(text, sets, more).where("ok").select("id"))
+    return sets.select("id", *PLACE).join(gone, "id", "left_anti").select(*PLACE)
 
 
 def _prefix_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
