@@ -59,7 +59,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.whole_numbers(table(spark, sf_dir, "embeddings"), 1024)
-    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0, 10)
 
 
 ORACLE_SQL["op5_topk"] = """

@@ -193,21 +193,48 @@ def test_repeated_lines(spark, tmp_path, docs, empty, monkeypatch):
     assert line_dedup.remove_lines(docs).columns == docs.columns
 
 
+def best_of(whole, asks, k):
+    """Sorted (query_id, [(vec_id, score), ...]) by brute force; whole: (vec_id, vector) rows."""
+    out = []
+    for i, (q, v) in enumerate(whole):
+        if asks(q):
+            others = [(-sum(map(int.__mul__, v, w)), x) for j, (x, w) in enumerate(whole) if j != i and len(w) == len(v)]
+            out.append((q, [(x, -s) for s, x in sorted(others)[:k]]))
+    return sorted(out)
+
+
 def test_top_k(spark):
     r = np.random.default_rng(3)
-    data = [(k, [float(x) for x in r.normal(size=8)]) for k in range(300)]
-    data += [(300, None), (301, [1.0, None] * 4), (302, [float("nan")] * 8), (303, [0.0] * 8), (304, data[7][1]), (305, [1.0])]
-    vectors = topk.whole_numbers(spark.createDataFrame(data, "vec_id long, embedding array<float>"))
-    whole = {row.vec_id: np.array(row.v) for row in vectors.collect()}
-    assert set(whole) == {*range(300), 303, 304, 305}
-    found = defaultdict(list)
-    for row in topk.top_k(vectors, vectors.where("vec_id % 20 = 0 or vec_id = 303"), 5, block=64).orderBy("query_id", "rank").collect():
-        found[row.query_id].append((row.vec_id, row.score))
-    for q, got in found.items():
-        best = sorted((-int(v @ whole[q]), k) for k, v in whole.items() if k != q and len(v) == len(whole[q]))[:5]
-        assert got == [(k, -s) for s, k in best]
-    assert len(found) == 16
-    assert topk.top_k(vectors.where("false"), vectors, 5).count() == 0
+    data = [(k, [float(x) for x in r.normal(size=8) * (1 + 20 * (k % 37 == 0))]) for k in range(400)]
+    data += [(500, None), (501, [1.0, None] * 4), (502, [float("nan")] * 8), (503, [0.0] * 8), (504, data[7][1]), (505, [1.0]), (None, [1.0] * 8)]
+    data += [(20, data[3][1]), (20, data[20][1]), (40, data[40][1]), (510, [4e7] * 3), (511, [-4e7] * 3), (512, [1.0] * 3), (520, [2.0] * 3)]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("v", F.lit("clash")).withColumn("mark", F.lit(None))
+    vectors = topk.whole_numbers(table).cache()
+    whole = [(row.vec_id, row.v) for row in vectors.collect()]
+    assert {k for k, _ in whole} == {*range(400), 503, 504, 505, 510, 511, 512, 520}
+    asks = lambda k: k % 20 == 0 or k == 503 or k == 510
+    for block in (64, 4096):
+        found = defaultdict(list)
+        for row in topk.top_k(vectors, F.expr("vec_id % 20 = 0 or vec_id in (503, 510)"), 5, block).collect():
+            found[row.query_id].append((row.rank, row.vec_id, row.score))
+        wanted = defaultdict(list)
+        for q, best in best_of(whole, asks, 5):
+            wanted[q] += [(n, x, max(min(s, (1 << 63) - 1), -(1 << 63))) for n, (x, s) in enumerate(best, 1)]
+        assert {q: sorted(x) for q, x in found.items()} == {q: sorted(x) for q, x in wanted.items()}
+    assert topk.top_k(vectors.where("false"), F.lit(True), 5).count() == 0 == topk.top_k(vectors, F.lit(None).cast("boolean"), 5).count()
+
+
+def test_walks_end_early_where_they_can():
+    r = np.random.default_rng(4)
+    rows = r.integers(-50, 50, (2000, 3))
+    rows[5], rows[77] = (900, 900, 900), (890, 900, 900)
+    lists = topk.SortedLists(np.arange(2000), np.arange(2000), rows)
+    queries = np.array([[3, 2, 1], [-1, 0, 0], [0, 0, 0]])
+    for least in (None, 4000):
+        found = lists.top(queries, np.array([5, -1, 7]), 2, [least] * 3)
+        for q, own, (at, scores) in zip(queries, (5, -1, 7), found, strict=True):
+            best = sorted((-int(x @ q), k) for k, x in enumerate(rows) if k != own)[:2]
+            assert least is not None and -best[0][0] < least or list(zip((-scores).tolist(), at.tolist(), strict=True))[:1] == best[:1]
 
 
 def test_bpe_equals_the_library_and_streams():
