@@ -15,9 +15,11 @@ from __future__ import annotations
 import codecs
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,7 +55,13 @@ class Transducer:
             raise ValueError("a token has two merges")
         self._left: dict[str, list[tuple[str, int]]] = {}
         self._right: dict[str, list[tuple[str, int]]] = {}
-        self._apart: dict[tuple[str, str], bool] = {}
+        self._apart: dict[int, bool] = {}
+        #: Finds all tokens of a word; one that ends it has the end mark as its last symbol.
+        self.automaton = ahocorasick.Automaton()
+        self.token_of = {self.ids[token]: token for token in self.tokens}
+        for token in self.tokens:
+            self.automaton.add_word(token, (self.length[token], token.endswith(_END), self.ids[token]))
+        self.automaton.make_automaton()
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Merges by rank, leftmost first: the definition that the transducer must meet."""
@@ -92,11 +100,6 @@ class Transducer:
         """True if tokens a and b stay as they are when one follows the other: at no time has
         the pair across their border a merge that comes before those inside a and b. Of
         merges of one rank the leftmost comes first."""
-        found = self._apart.get((a, b))
-        if found is not None:
-            return found
-        if len(self._apart) > 600_000:
-            self._apart.clear()
         left, right = self._spine(a, 1, self._right), self._spine(b, 0, self._left)
         i = j = 0
         found = True
@@ -112,25 +115,41 @@ class Transducer:
                 i += 1
             else:
                 j += 1
-        self._apart[a, b] = found
+        return found
+
+    def _apart_of(self, key: int) -> bool:
+        """`apart` of two token ids, packed in one number, remembered."""
+        if len(self._apart) > 600_000:
+            self._apart.clear()
+        found = self._apart[key] = self.apart(self.token_of[key >> 32], self.token_of[key & 0xFFFFFFFF])
         return found
 
     def encode(self, word: str) -> list[int]:
         """Ids of one word; one longer than the window is streamed."""
-        n, tokens, apart = len(word), self.tokens, self.apart
+        n = len(word)
         if n > 4 * self.lookahead:
             return list(self.stream(word))
-        last: list[str | None] = [None] * (n + 1)
-        before = [0] * (n + 1)
-        for p in range(1, n + 1):
-            for start in range(max(0, p - self.lookahead), p):
-                token = word[start:p] if p < n else word[start:] + self.end
-                if token in tokens and (not start or last[start] is not None and apart(last[start], token)):
-                    last[p], before[p] = token, start
-                    break
+        ended, known = bool(self.end), self._apart
+        last, before = [-1] * (n + 1), [0] * (n + 1)
+        for at, (length, ends, token) in self.automaton.iter(word + self.end):
+            p = at + 1 - ends
+            if last[p] >= 0 or p == n and ends is not ended:
+                continue
+            start = p - length
+            if start:
+                left = last[start]
+                if left < 0:
+                    continue
+                key = left << 32 | token
+                apart = known.get(key)
+                if apart is None:
+                    apart = self._apart_of(key)
+                if not apart:
+                    continue
+            last[p], before[p] = token, start
         out, p = [], n
         while p:
-            out.append(self.ids[last[p]])
+            out.append(last[p])
             p = before[p]
         return out[::-1]
 
@@ -199,7 +218,7 @@ class Decoder:
         self.bytes = {symbol: b for b, symbol in enumerate(byte_alphabet())}
 
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
-        return (self.tokens[k] for k in ids if k in self.tokens)
+        return map(self.tokens.__getitem__, filter(self.tokens.__contains__, ids))
 
     def text(self, ids: Iterable[int]) -> Iterator[str]:
         state = codecs.getincrementaldecoder("utf-8")("replace")
@@ -213,10 +232,24 @@ class Decoder:
             yield rest
 
 
+class _Known(dict):
+    """What was translated already; it is forgotten when there is too much of it."""
+
+    def __init__(self, translate, limit: int):
+        super().__init__()
+        self.translate, self.limit = translate, limit
+
+    def __missing__(self, text: str):
+        if len(self) >= self.limit:
+            self.clear()
+        found = self[text] = self.translate(text)
+        return found
+
+
 class WordBpe:
     """Texts -> (ids as bytes, decoded text) with each different word translated once."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -227,56 +260,38 @@ class WordBpe:
         self.decoder = Decoder(vocab, model["end_of_word_suffix"] or "")
         self.special = {t["content"]: t["id"] for t in added}
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if added else None
-        self.words = regex.compile(WORD_PATTERN)
+        self.cut = regex.compile(WORD_PATTERN).findall
         self.space = regex.compile(r"\s")
         self.alphabet = byte_alphabet()
-        self.limit = limit
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= self.limit:
-                self.pieces.clear()
-            word = piece if piece.isascii() and piece.isprintable() else "".join([self.alphabet[b] for b in piece.encode("utf-8", "surrogatepass")])
-            ids = self.pieces[piece] = tuple(self.transducer.encode(word))
-        return ids
+        self.pieces = _Known(self._piece, limit)
+        self.known = _Known(self._word, limit)
+
+    def _piece(self, piece: str) -> tuple[bytes, str]:
+        word = piece if piece.isascii() and piece.isprintable() else "".join([self.alphabet[b] for b in piece.encode("utf-8", "surrogatepass")])
+        ids = self.transducer.encode(word)
+        return array("I", ids).tobytes(), " ".join(self.decoder.stream(ids))
 
     def _word(self, word: str) -> tuple[bytes, str]:
-        ids = [k for piece in self.words.findall(word) for k in self._piece(piece)]
-        return np.array(ids, "<u4").tobytes(), " ".join(self.decoder.stream(ids))
+        if word.isascii() and word.isalpha():
+            return self.pieces[word]
+        found = [self.pieces[piece] for piece in self.cut(word)]
+        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])
 
-    def _plain(self, text: str) -> Iterator[tuple[bytes, str]]:
+    def _plain(self, text: str) -> tuple[bytes, str]:
         text = text.replace("Σ", "σ") if "Σ" in text else text
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         text = text.lower()
-        known = self.known
         words = text.split() if text.isascii() and text.isprintable() else self.space.split(text)
-        for word in words:
-            found = known.get(word)
-            if found is None:
-                if len(known) >= self.limit:
-                    known.clear()
-                found = known[word] = self._word(word)
-            if found[0]:
-                yield found
+        found = list(map(self.known.__getitem__, words))
+        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])
 
     def translate(self, text: str) -> tuple[bytes, str]:
         if not text:
             return b"", ""
         parts = self.special_pattern.split(text) if self.special_pattern and "<|" in text else [text]
-        ids, decoded = [], []
-        for part in parts:
-            if part in self.special:
-                ids.append(np.array([self.special[part]], "<u4").tobytes())
-                decoded.append(part)
-            elif part:
-                for found in self._plain(part):
-                    ids.append(found[0])
-                    decoded.append(found[1])
-        return b"".join(ids), " ".join(decoded)
+        found = [(array("I", [self.special[x]]).tobytes(), x) if x in self.special else self._plain(x) for x in parts if x]
+        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])
 
 
 _models: dict[str, WordBpe] = {}

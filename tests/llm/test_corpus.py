@@ -4,6 +4,7 @@ with nulls, empty and long texts, ties, repeated rows and columns with clashing
 import random
 import zlib
 from collections import Counter, defaultdict
+from hashlib import sha256
 
 import numpy as np
 import pytest
@@ -248,6 +249,7 @@ def test_bpe_equals_the_library_and_streams():
         assert np.frombuffer(got, "<u4").tolist() == ids
         assert decoded == library.decode(ids, skip_special_tokens=False)
     tr = model.transducer
+    assert not {t for t in tr.tokens if tr.encode(t.removesuffix("\n")) != [tr.ids[x] for x in tr.merged(tr.symbols_of(t.removesuffix("\n") + "\n"))]}
     for _ in range(300):
         w = "".join(r.choice("thenaiors") for _ in range(r.randint(1, 200)))
         plain = [tr.ids[x] for x in tr.merged(tr.symbols_of(w + "\n"))]
@@ -256,6 +258,20 @@ def test_bpe_equals_the_library_and_streams():
     assert back == "été 日本 😀 "
 
 
+def test_bpe_over_a_table(docs, empty):
+    """op7's digests by the library, with nulls, empty and long texts and a repeated row."""
+    library = Tokenizer.from_file(packing.vocabulary_path(bpe.VOCABULARY))
+    rows = bpe.encode(docs, with_texts=True).collect()
+    assert sorted(r.doc_id for r in rows) == sorted([*range(len(texts())), 8])
+    for r in rows:
+        ids = library.encode(texts()[r.doc_id] or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (r.ids, r.decoded, r.n_tokens) == (ids, decoded, len(ids))
+        assert r.ids_sha256 == sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == sha256(decoded.encode()).hexdigest()
+    assert bpe.encode(empty).count() == 0
+
+
 def test_packing_places_every_id_once(docs, empty):
     library = Tokenizer.from_file(packing.vocabulary_path(packing.VOCABULARY))
     rows = packing.pack(docs.where("doc_id <> 8")).collect()
