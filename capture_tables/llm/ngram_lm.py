@@ -1,46 +1,49 @@
 """Language-model scores from an Elias-Fano trie of word n-grams.
 
-The model interpolates a bigram with the add-half unigram:
-P(w | v) = (c(v w) + M p(w)) / (c(v) + M), with p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). So
-log P(w | v) is what the counts of single words say, log (M p(w) / (c(v) + M)), plus a gain
-log (1 + c(v w) / (M p(w))) for pairs that the trie holds. Both parts are sums over a text's
-words, and may be found in different places.
-
-Texts are taken in batches of a few megabytes. The counts of single words are summed over
-the corpus by word and go back to each batch that has the word; no task holds a vocabulary of
-the corpus. Pairs go to shards by the hash of their context, and those of a context so
-frequent that it would overfill its shard by the hash of the pair. Each shard counts the
-pairs of the training texts and builds its part of the trie: a level of contexts and a level
-of successors, both monotone sequences in Elias-Fano form, pointers from one to the other
-likewise, and one byte for each pair that stands for its quantised gain. The levels lie in a
-memory-mapped file for as long as the shard's task runs. A pair is looked up by finding its
-context, then its successor by binary search between the context's two pointers.
+The model adds the counts of a trigram and of its shorter forms, with weights:
+P(w | u v) = (c(u v w) + B c(v w) + G p(w)) / (c(u v) + B c(v) + G), with the unigram
+p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). Its numerator says how often w follows, and its
+denominator how often the context stands, so that both may be found apart: where all
+occurrences of w are, the counts of w, v w and u v w are known, and those of w and v w are
+also what the denominator of the next word needs. A text's score is the sum of both.
+
+Training words are counted first, by word. Then each occurrence of a word goes, with the two
+words before it, to the shard of the word's hash; of a word so frequent that it would overfill
+its shard, to the shard of the hash of it and the word before it. Occurrences travel in
+packed form, each different word, pair and triple of a batch of texts once. A shard numbers
+its words, counts the training texts' n-grams and builds its part of the trie: a level of
+words, below each the words that stand before it, and below those the words before them. All
+levels are monotone sequences in Elias-Fano form, with pointers from one to the next likewise,
+and two bytes for each entry's quantised logarithm. They lie in a memory-mapped file for as
+long as the shard's task runs. A trigram is looked up word by word, each by binary search
+between its parent's two pointers; where a word is not there, what was found so far counts.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Weight of the unigram in the bigram, in observations.
-MIX = 200.0
-#: Characters of text in a batch, and words in a shard on average.
-BATCH_CHARS, SHARD_WORDS = 24 << 20, 1_000_000
-#: Words of a batch that are routed to the shards at once.
-SLICE_WORDS = 2_000_000
-END = b""
-_BEGIN = np.uint64(0x2545F4914F)
+#: Weights of the bigram's count and of the unigram, in observations of the trigram.
+PAIR_WEIGHT, WORD_WEIGHT = 0.02, 4.0
+#: Bytes of text in a batch, and words in a shard on average.
+BATCH, SHARD_WORDS = 12 << 20, 1_500_000
+#: Words that are dealt by pairs: those with more occurrences than this share of a shard and of
+#: the corpus; so there are no more than HOT of them.
+HOT = 1_000_000
+#: Bytes of text counted at once, and different words that a task holds before handing them on.
+CHUNK, HELD = 1 << 20, 2_000_000
+END, BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 
 
 class EliasFano:
@@ -99,23 +102,40 @@ class EliasFano:
 
 
 class Trie:
-    """Contexts, their successors and the quantised gains of the pairs."""
+    """Words, the words before them and the words before those, with quantised logarithms of
+    the model's numerators at every level, and of its denominators at the first two."""
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, gain: np.ndarray):
-        """Pairs sorted by context, then word, both unsigned 32-bit, without repeats."""
+    def __init__(self, c_word, pair, c_pair, triple, c_triple, total: float, pair_weight: float, word_weight: float):
+        """c_word: counts by word number; pair: sorted `word << 32 | before`; triple: sorted
+        `place in pair << 32 | before`; c_pair, c_triple: their counts."""
         self.file = tempfile.TemporaryFile()
-        self.codes = np.linspace(gain.min(), gain.max(), 256) if len(gain) else np.zeros(1)
-        middle = (self.codes[1:] + self.codes[:-1]) / 2
-        code = np.searchsorted(middle, gain).astype(np.uint8)
-        head = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.empty(0, np.int64)
-        sizes = np.diff(np.concatenate((head, [len(context)])))
-        self.n = len(head)
-        self.contexts = EliasFano(context[head], self._keep)
-        self.pointers = EliasFano(np.concatenate((head, [len(context)])), self._keep)
-        # successors of the kth context are written from k * 2^32 on: one monotone sequence
-        base = np.repeat(np.arange(len(head), dtype=np.uint64), sizes) << np.uint64(32)
-        self.successors = EliasFano(base + word.astype(np.uint64), self._keep)
-        self.gains = self._keep(code)
+        share = word_weight * (c_word + 0.5) / total
+        numerator = pair_weight * c_pair + share[pair >> 32]
+        self.unknown = (np.log10(word_weight * 0.5 / total), -np.log10(word_weight))
+        word, held = np.flatnonzero(c_word > 0), np.flatnonzero(c_pair > 0)
+        deep = np.flatnonzero(c_triple > 0)
+        self.words = EliasFano(word, self._keep)
+        place = np.zeros(len(c_word) + 1, np.int64)
+        place[1:] = np.cumsum(c_word > 0)
+        parent = place[pair[held] >> 32]
+        self.pairs, self.to_pairs = self._level(parent, pair[held] & 0xFFFFFFFF, len(word))
+        at = np.zeros(len(pair) + 1, np.int64)
+        at[1:] = np.cumsum(c_pair > 0)
+        owner = at[triple[deep] >> 32]
+        self.triples, self.to_triples = self._level(owner, triple[deep] & 0xFFFFFFFF, len(held))
+        self.numerators = [self._quantised(np.log10(x)) for x in (share[word], numerator[held], c_triple[deep] + numerator[triple[deep] >> 32])]
+        inner = pair_weight * c_word
+        self.denominators = [self._quantised(-np.log10(x)) for x in (inner[word] + word_weight, c_pair[held] + inner[pair[held] >> 32] + word_weight)]
+
+    def _level(self, parent: np.ndarray, below: np.ndarray, parents: int) -> tuple[EliasFano, EliasFano]:
+        """What is below the kth parent is written from k * 2^32 on: one monotone sequence."""
+        pointers = np.searchsorted(parent, np.arange(parents + 1))
+        return EliasFano(parent.astype(np.uint64) << np.uint64(32) | below.astype(np.uint64), self._keep), EliasFano(pointers, self._keep)
+
+    def _quantised(self, values: np.ndarray) -> tuple[np.ndarray, float, float]:
+        low = float(values.min()) if len(values) else 0.0
+        step = max((float(values.max()) - low) / 65535, 1e-12) if len(values) else 1.0
+        return self._keep(np.round((values - low) / step).astype(np.uint16)), low, step
 
     def _keep(self, values: np.ndarray) -> np.ndarray:
         values = np.ascontiguousarray(values)
@@ -127,262 +147,283 @@ class Trie:
         self.file.flush()
         return np.memmap(self.file, values.dtype, "r", offset, values.shape)
 
-    def look_up(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The gain of each pair, given in order of context; 0 for one that the trie does not hold."""
-        out = np.zeros(len(context))
-        if not self.n or not len(context):
+    @staticmethod
+    def _value(codes: tuple[np.ndarray, float, float], at: np.ndarray) -> np.ndarray:
+        return codes[0][at] * codes[2] + codes[1]
+
+    def _below(self, level: EliasFano, pointers: EliasFano, parent: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Where `wanted` stands below each parent (a place in the level above), or -1."""
+        out = np.full(len(parent), -1, np.int64)
+        known = np.flatnonzero(parent >= 0)
+        if not len(known) or not level.n:
             return out
-        new = np.concatenate(([True], context[1:] != context[:-1]))  # each context is sought once
-        wanted = context[new].astype(np.uint64)
-        at = self.contexts.find(wanted, np.zeros(len(wanted), np.int64), np.full(len(wanted), self.n))
-        at, wanted = (x[np.cumsum(new) - 1] for x in (at, wanted))
-        known = np.flatnonzero(at < self.n)
-        known = known[self.contexts[at[known]] == wanted[known]]
-        at = at[known]
-        low, high = self.pointers[at].astype(np.int64), self.pointers[at + 1].astype(np.int64)
-        target = (at.astype(np.uint64) << np.uint64(32)) + word[known].astype(np.uint64)
-        place = self.successors.find(target, low, high)
+        above = parent[known]
+        low, high = pointers[above].astype(np.int64), pointers[above + 1].astype(np.int64)
+        target = above.astype(np.uint64) << np.uint64(32) | wanted[known].astype(np.uint64)
+        place = level.find(target, low, high)
         hit = np.flatnonzero(place < high)
-        hit = hit[self.successors[place[hit]] == target[hit]]
-        out[known[hit]] = self.codes[self.gains[place[hit]]]
+        hit = hit[level[place[hit]] == target[hit]]
+        out[known[hit]] = place[hit]
         return out
 
-
-_TOKENS = "batch long, doc_ids array<long>, train array<boolean>, sizes array<int>, ids binary, words binary, counts binary"
-_TOKEN_NAMES = [f.split()[0] for f in _TOKENS.split(", ")]
-_TOKEN_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
-
-
-def _planes(values: np.ndarray, width: int = 4) -> bytes:
-    """Numbers as `width` byte planes, which compress well where most numbers are small."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def _from_planes(data: bytes, width: int = 4) -> np.ndarray:
-    whole = np.zeros((len(data) // width, 8), np.uint8)
-    whole[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
-    found = whole.view("<u8").ravel()
-    return found.astype(np.uint32) if width <= 4 else found
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each different word of each batch."""
-    for batch in batches:
-        for number, words, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            word, count = _from_planes(words, 5).astype(np.int64), _from_planes(counts).astype(np.int32)
-            n = len(word)
-            columns = [pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), pa.array(word), pa.array(count)]
-            yield pa.RecordBatch.from_arrays(columns, ["batch", "place", "word", "n_train"])
-
-
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each batch of texts: their words as numbers in the batch, and of each different
-    word a hash of 40 bits and the number of times that training texts hold it."""
-    from xxhash import xxh64_intdigest
-
-    number = TaskContext.get().partitionId() << 24
-    for ids, texts, train in common.chunks(batches, BATCH_CHARS):
-        known: defaultdict[bytes, int] = defaultdict()
-        known.default_factory = known.__len__
-        parts, sizes = [], []
-        for text in texts:
-            words = text.encode("utf-8", "surrogatepass").lower().split()
-            words.append(END)
-            parts.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
-            sizes.append(len(words))
-        flat = np.concatenate(parts)
-        trained = np.bincount(flat[np.repeat(np.array(train, bool), sizes)], minlength=len(known))
-        words = np.fromiter((xxh64_intdigest(w, 3) for w in known), np.uint64, len(known)) >> np.uint64(24)
-        batch = [[number], [ids], [train], [sizes], [_planes(flat)], [_planes(words, 5)], [_planes(trained)]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(batch, _TOKEN_TYPES, strict=True)], _TOKEN_NAMES)
-        number += 1
-
-
-def _routed(total: int, distinct: int, documents: int, shards: int, mix: float):
-    """Of one batch: the unigram part of each text's scores, and its pairs for the shards."""
-    smooth = total + 0.5 * (distinct + 1)
-    hot = max(1000, total // (4 * shards))
-
-    def run(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        if not len(texts):
-            return pd.DataFrame({"shard": [], "batch": [], "kind": [], "data": []})
-        row = texts.iloc[0]
-        every = _from_planes(row["ids"])
-        sizes = np.asarray(row["sizes"], np.int64)
-        words = words.sort_values("place")
-        hashed, count = _from_planes(row["words"], 5), words["total"].to_numpy(np.int64)
-        share = np.log10((count + 0.5) / smooth)
-        # the begin of a text is a context of its own, behind the words
-        hashed, context_count = np.append(hashed, _BEGIN), np.append(count, documents)
-        from_context = np.log10(mix) - np.log10(context_count + mix)
-        scrambled, hot_context = common.mix64(hashed), context_count > hot
-        train = np.packbits(np.asarray(row["train"], bool))
-        ends = np.cumsum(sizes)
-        cuts = np.unique(np.searchsorted(ends, np.arange(SLICE_WORDS, ends[-1], SLICE_WORDS)))
-        cuts = [0, *cuts[(cuts > 0) & (cuts < len(sizes))].tolist(), len(sizes)]
-        heads, out = [], []
-        for first, last in zip(cuts, cuts[1:], strict=False):
-            lo, hi = int(ends[first] - sizes[first]), int(ends[last - 1])
-            flat, own = every[lo:hi].astype(np.int64), sizes[first:last]
-            doc = np.repeat(np.arange(first, last), own)
-            before = np.empty(len(flat), np.int64)
-            before[1:] = flat[:-1]
-            before[np.cumsum(own) - own] = len(count)
-            low = share[flat] + from_context[before]
-            heads.append(np.stack([own, *[np.bincount(doc - first, x, len(own)) for x in (count[flat] > 0, share[flat], low)]]))
-            where = scrambled[before]
-            split = np.flatnonzero(hot_context[before])
-            where[split] = common.mix64(where[split] + hashed[flat[split]] * np.uint64(0x9E3779B97F4A7C15))
-            where = (where % np.uint64(shards)).astype(np.int64)
-            width = len(hashed)
-            if shards * width * width < 1 << 62:
-                order = np.argsort((where * width + before) * width + flat, kind="stable")
+    def look_up(self, pair: np.ndarray, triple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(logarithms of the numerators of the triples, of the denominators behind the pairs)."""
+        word = pair >> 32
+        new = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        wanted = word[new].astype(np.uint64)
+        at = self.words.find(wanted, np.zeros(len(new), np.int64), np.full(len(new), self.words.n))
+        hit = np.flatnonzero(at < self.words.n)
+        hit = hit[self.words[at[hit]] == wanted[hit]]
+        first = np.full(len(new), -1, np.int64)
+        first[hit] = at[hit]
+        first = np.repeat(first, np.diff(np.concatenate((new, [len(pair)]))))
+        second = self._below(self.pairs, self.to_pairs, first, pair & 0xFFFFFFFF)
+        numerator, denominator = np.full(len(pair), self.unknown[0]), np.full(len(pair), self.unknown[1])
+        for k, place in enumerate((first, second)):
+            held = place >= 0
+            numerator[held], denominator[held] = self._value(self.numerators[k], place[held]), self._value(self.denominators[k], place[held])
+        above = triple >> 32
+        third = self._below(self.triples, self.to_triples, second[above], triple & 0xFFFFFFFF)
+        out, held = numerator[above], third >= 0
+        out[held] = self._value(self.numerators[2], third[held])
+        return out, denominator
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned numbers as byte planes, as many as the largest of them needs, with a header."""
+    values = np.asarray(values).astype("<u8")
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return np.array([len(values), width], "<i8").tobytes() + np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    n, width = (int(x) for x in np.frombuffer(data, "<i8", 2, at))
+    whole = np.zeros((n, 8), np.uint8)
+    whole[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 16).reshape(width, n).T
+    return whole.view("<u8").ravel(), at + 16 + n * width
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n): how often training texts hold each word; and without word, all texts' words."""
+    every, held, counts = 0, [], []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        words, at = np.unique(np.concatenate(held), return_inverse=True)
+        return words, np.bincount(at, np.concatenate(counts), len(words)).astype(np.int64)
+
+    def rows(words: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(n)], ["word", "n"])
+
+    for part in common.slices(batches, CHUNK):
+        train = part.column(2).to_numpy(zero_copy_only=False)
+        scan = common.Scan(part.column(1))
+        every += len(scan) + part.num_rows
+        words, n = np.unique(scan.hashes[np.repeat(train, scan.per_row())], return_counts=True)
+        held.append(np.append(words, END))
+        counts.append(np.append(n, train.sum()))
+        if sum(map(len, held)) > 2 * HELD:
+            words, n = merged()
+            held, counts = [words], [n]
+            if len(words) > HELD:
+                yield rows(words, n)
+                held, counts = [], []
+    if held:
+        words, n = merged()
+        yield rows(words[n > 0], n[n > 0])
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([every])], ["word", "n"])
+
+
+def _in(values: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Where the values are in the sorted array `found`."""
+    if not len(found):
+        return np.zeros(len(values), bool)
+    return found[np.minimum(np.searchsorted(found, values), len(found) - 1)] == values
+
+
+def _routed(hot, shards: int):
+    """Rows (shard, batch, kind, data): of each batch its texts, and the occurrences of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        for part in common.slices(batches, BATCH):
+            scan = common.Scan(part.column(1))
+            sizes = scan.per_row() + 1
+            ends = np.cumsum(sizes)
+            every = np.full(ends[-1], END)
+            inner = np.ones(ends[-1], bool)
+            inner[ends - 1] = False
+            every[inner] = scan.hashes
+            del scan
+            hashed, word = np.unique(every, return_inverse=True)
+            del every
+            # numbered by shard, so that a sort by word is one by shard
+            home = common.mix64(hashed) % np.uint64(shards)
+            order = np.argsort(home, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            hashed, home, word = np.append(hashed[order], BEGIN), home[order].astype(np.int64), rank[word]
+            begin = len(home)
+            before, second = np.empty_like(word), np.empty_like(word)
+            before[1:], second[2:] = word[:-1], word[:-2]
+            first = ends - sizes
+            before[first] = second[first] = begin
+            second[first[sizes > 1] + 1] = begin
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            if len(hashed) < 1 << 21:
+                order = np.argsort((word << 42) + (before << 21) + second)
             else:
-                order = np.lexsort((flat, before, where))
-            # a pair with a word that no training text holds is in no trie
-            order = order[(count[flat[order]] > 0) & (context_count[before[order]] > 0)]
-            if not len(order):
-                continue
-            flat, before, doc, where = flat[order], before[order], doc[order], where[order]
+                order = np.lexsort((second, before, word))
+            word, before, second, doc = word[order], before[order], second[order], doc[order]
+            where = home[word]
+            if (split := np.flatnonzero(_in(hashed[:-1], hot.value[0])[word])).size:
+                where[split] = (common.mix64(hashed[word[split]] + hashed[before[split]] * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(where, kind="stable")
+                word, before, second, doc, where = word[order], before[order], second[order], doc[order], where[order]
+            train = part.column(2).to_numpy(zero_copy_only=False)
+            flags = np.packbits(train).tobytes()
             bounds = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1], [True])))
-            for p, q in zip(bounds[:-1], bounds[1:], strict=True):
-                out.append((int(where[p]), row["batch"], 1, _pack_pairs(hashed, share, before[p:q], flat[p:q], doc[p:q], train, len(sizes))))
-        at = int(common.mix64(np.array([row["batch"]], np.uint64))[0] % np.uint64(shards))
-        out.append((at, row["batch"], 0, _pack_head(row, np.concatenate(heads, axis=1))))
-        return pd.DataFrame(out, columns=["shard", "batch", "kind", "data"])
+            out = [(int(common.mix64(np.array([number], np.uint64))[0] % np.uint64(shards)), 0, _packed_head(part, train, sizes))]
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                out.append((int(where[lo]), 1, _packed(hashed, word[lo:hi], before[lo:hi], second[lo:hi], doc[lo:hi], flags, len(sizes))))
+            for lo in range(0, len(out), 64):
+                some = out[lo : lo + 64]
+                columns = [[x[0] for x in some], [number] * len(some), [x[1] for x in some], [x[2] for x in some]]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["shard", "batch", "kind", "data"])
+            number += 1
 
     return run
 
 
-def _pack_head(row, columns: np.ndarray) -> bytes:
-    ids = np.array([x if x is not None and x == x else 0 for x in row["doc_ids"]], np.int64)
-    null = np.array([x is None or x != x for x in row["doc_ids"]], bool)
-    return np.array([len(ids)], np.int64).tobytes() + ids.tobytes() + np.asarray(row["train"], np.uint8).tobytes() + null.astype(np.uint8).tobytes() + columns.astype("<f8").tobytes()
-
-
-def _pack_pairs(hashed, share, before, flat, doc, train, documents) -> bytes:
-    """Occurrences of pairs, sorted by context and word: each different context, word and pair
-    once, then the texts, as byte planes and compressed."""
-    import zlib
-
-    new_context = np.concatenate(([True], before[1:] != before[:-1]))
-    new_pair = new_context | np.concatenate(([True], flat[1:] != flat[:-1]))
-    words, word_at = np.unique(flat[new_pair], return_inverse=True)
-    heads = np.flatnonzero(new_context[new_pair])
-    pairs = np.flatnonzero(new_pair)
-    parts = [
-        hashed[before[new_context]].astype(np.uint32),
-        np.diff(np.concatenate((heads, [len(pairs)]))),
-        hashed[words].astype(np.uint32),
-        word_at,
-        np.diff(np.concatenate((pairs, [len(flat)]))),
-        doc,
-    ]
-    quantised = np.clip(np.round(-share[words] * 16), 0, 255).astype(np.uint8)
-    packed = [_planes(np.asarray(p)) for p in parts] + [quantised.tobytes(), train.tobytes()]
-    sizes = np.array([documents, *map(len, packed)], np.int64)
-    return sizes.tobytes() + zlib.compress(b"".join(packed), 1)
-
-
-def _unpack_pairs(data: bytes):
-    import zlib
-
-    sizes = np.frombuffer(data[:72], np.int64)
-    body, at, parts = zlib.decompress(data[72:]), 0, []
-    for size in sizes[1:]:
-        parts.append(body[at : at + int(size)])
-        at += int(size)
-    context, per_context, word, word_at, per_pair, doc = (_from_planes(p).astype(np.int64) for p in parts[:6])
-    share = np.frombuffer(parts[6], np.uint8) / -16.0
-    train = np.unpackbits(np.frombuffer(parts[7], np.uint8), count=int(sizes[0])).astype(bool)
-    return np.repeat(context, per_context), word[word_at], share[word_at], per_pair, doc, train
-
-
-def _shard(mix: float):
+def _packed_head(part: pa.RecordBatch, train: np.ndarray, sizes: np.ndarray) -> bytes:
+    ids = part.column(0)
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    known = ids.fill_null(0).to_numpy().astype(np.int64)
+    return b"".join(map(_planes, (known.view(np.uint64), null, train, sizes)))
+
+
+def _packed(hashed, word, before, second, doc, flags: bytes, texts: int) -> bytes:
+    """Occurrences, sorted by word, word before and word before that: each different word,
+    pair and triple once, then the texts."""
+    new_word = np.concatenate(([True], word[1:] != word[:-1]))
+    new_pair = new_word | np.concatenate(([True], before[1:] != before[:-1]))
+    new_triple = new_pair | np.concatenate(([True], second[1:] != second[:-1]))
+    pairs, triples = np.flatnonzero(new_pair), np.flatnonzero(new_triple)
+    size = lambda new, of: np.diff(np.concatenate((np.flatnonzero(new), [of])))
+    heads = (word[new_word], before[pairs], second[triples])
+    words, at = np.unique(np.concatenate(heads), return_inverse=True)
+    cuts = np.cumsum([len(h) for h in heads])
+    parts = [hashed[words], at[: cuts[0]], size(new_word[pairs], len(pairs)), at[cuts[0] : cuts[1]], size(new_pair[triples], len(triples)), at[cuts[1] :], size(new_triple, len(word)), doc]
+    return np.array([texts, len(flags)], "<i8").tobytes() + flags + b"".join(map(_planes, parts))
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    texts, length = (int(x) for x in np.frombuffer(data, "<i8", 2))
+    train = np.unpackbits(np.frombuffer(data, np.uint8, length, 16), count=texts).astype(bool)
+    at, parts = 16 + length, []
+    for _ in range(8):
+        part, at = _from_planes(data, at)
+        parts.append(part if not parts else part.astype(np.int64))
+    return train, parts
+
+
+def _shard(hot, total: float, pair_weight: float, word_weight: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = [(r.batch, 0, r.data) for r in rows.itertuples() if r.kind == 0]
-        batches = [(r.batch, *_unpack_pairs(r.data)) for r in rows.itertuples() if r.kind == 1]
-        if batches:
-            context = np.concatenate([b[1] for b in batches]).astype(np.uint64)
-            word = np.concatenate([b[2] for b in batches]).astype(np.uint64)
-            share = np.concatenate([b[3] for b in batches])
-            count = np.concatenate([np.bincount(np.repeat(np.arange(len(b[4])), b[4]), b[6][b[5]], len(b[4])) for b in batches])
-            pairs, first, at = np.unique(context << np.uint64(32) | word, return_index=True, return_inverse=True)
-            count, share = np.bincount(at, count, len(pairs)), share[first]
-            held = count > 0
-            gain = np.log10(1 + count[held] / (mix * 10.0 ** share[held]))
-            del context, word
-            context, word = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            trie = Trie(context[held], word[held], gain)
-            found = trie.look_up(context, word)[at]
-            starts = np.cumsum([0, *[len(b[4]) for b in batches]])
-            for lo, (batch, _, _, _, per_pair, doc, train) in zip(starts, batches, strict=False):
-                gains = np.repeat(found[lo : lo + len(per_pair)], per_pair)
-                total = np.bincount(doc, gains, len(train)).astype("<f4")
-                if total.any():
-                    out.append((batch, 1, total.tobytes()))
+        out = [(b, 0, d) for b, k, d in zip(rows["batch"], rows["kind"], rows["data"], strict=True) if k == 0]
+        given = [(b, *_unpacked(d)) for b, k, d in zip(rows["batch"], rows["kind"], rows["data"], strict=True) if k == 1]
+        del rows
+        if given:
+            hashes = np.unique(np.concatenate([p[0] for _, _, p in given]))
+            pairs, triples = [], []
+            for _, _, (words, w, per_word, v, per_pair, u, _, _) in given:
+                number = np.searchsorted(hashes, words)
+                pairs.append(np.repeat(number[w], per_word) << 32 | number[v])
+                triples.append((np.repeat(np.arange(len(v)), per_pair), number[u]))
+            pair, pair_at = np.unique(np.concatenate(pairs), return_inverse=True)
+            starts = np.cumsum([0, *map(len, pairs)])
+            of = [pair_at[lo + local] for lo, (local, _) in zip(starts, triples, strict=False)]
+            triple, triple_at = np.unique(np.concatenate([p << 32 | u for p, (_, u) in zip(of, triples, strict=True)]), return_inverse=True)
+            learnt = np.concatenate([np.bincount(np.repeat(np.arange(len(p[6])), p[6]), train[p[7]], len(p[6])) for _, train, p in given])
+            c_triple = np.bincount(triple_at, learnt, len(triple))
+            c_pair = np.bincount(triple >> 32, c_triple, len(pair))
+            c_word = np.bincount(pair >> 32, c_pair, len(hashes))
+            known, counts = hot.value
+            if (frequent := np.flatnonzero(_in(hashes, known))).size:  # other shards have them too
+                c_word[frequent] = counts[np.searchsorted(known, hashes[frequent])]
+            numerator, denominator = Trie(c_word, pair, c_pair, triple, c_triple, total, pair_weight, word_weight).look_up(pair, triple)
+            ending = pair >> 32 == np.searchsorted(hashes, END) if END in hashes else np.zeros(len(pair), bool)
+            value = numerator + np.where(ending, 0.0, denominator)[triple >> 32]
+            base, seen = np.log10(c_word + 0.5)[pair >> 32][triple >> 32], (c_word > 0)[pair >> 32][triple >> 32]
+            lo = 0
+            for batch, train, p in given:
+                each, doc = triple_at[lo : lo + len(p[6])], p[7]
+                lo += len(p[6])
+                at, inner = np.unique(doc, return_inverse=True)
+                sums = [np.bincount(inner, np.repeat(x[each], p[6]), len(at)) for x in (seen, base, value)]
+                out.append((batch, 1, _planes(at) + _planes(sums[0].astype(np.int64)) + sums[1].astype("<f4").tobytes() + sums[2].astype("<f4").tobytes()))
         return pd.DataFrame(out, columns=["batch", "kind", "data"])
 
     return run
 
 
-def _scores(rows: pd.DataFrame) -> pd.DataFrame:
-    head = next(d for k, d in zip(rows["kind"], rows["data"], strict=True) if k == 0)
-    n = int(np.frombuffer(head[:8], np.int64)[0])
-    ids, flags = np.frombuffer(head[8 : 8 + 8 * n], np.int64), np.frombuffer(head[8 + 8 * n : 8 + 10 * n], np.uint8)
-    size, known, base, low = np.frombuffer(head[8 + 10 * n :], "<f8").reshape(4, n)
-    gain = sum((np.frombuffer(d, "<f4").astype(float) for k, d in zip(rows["kind"], rows["data"], strict=True) if k == 1), np.zeros(n))
-    return pd.DataFrame(
-        {
-            "doc_id": pd.array(ids, "Int64").copy() if not flags[n:].any() else pd.array([None if f else int(i) for i, f in zip(ids, flags[n:], strict=True)], "Int64"),
-            "trained": flags[:n].astype(bool),
-            "n_tokens": size.astype(np.int64),
-            "n_known": known.astype(np.int64),
-            "base_score": base,
-            "score": low + gain,
-        }
-    )
+def _scores(total: float, begin: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        head = next(d for k, d in zip(rows["kind"], rows["data"], strict=True) if k == 0)
+        ids, at = _from_planes(head, 0)
+        null, at = _from_planes(head, at)
+        train, at = _from_planes(head, at)
+        sizes, _ = _from_planes(head, at)
+        known, base, score = (np.zeros(len(ids)) for _ in range(3))
+        for kind, data in zip(rows["kind"], rows["data"], strict=True):
+            if kind == 1:
+                doc, at = _from_planes(data, 0)
+                seen, at = _from_planes(data, at)
+                doc = doc.astype(np.int64)
+                known[doc] += seen
+                base[doc] += np.frombuffer(data, "<f4", len(doc), at)
+                score[doc] += np.frombuffer(data, "<f4", len(doc), at + 4 * len(doc))
+        return pd.DataFrame(
+            {
+                "doc_id": pd.array([None if n else i for i, n in zip(ids.view(np.int64).tolist(), null.tolist(), strict=True)], "Int64"),
+                "trained": train.astype(bool),
+                "n_tokens": sizes.astype(np.int64),
+                "n_known": known.astype(np.int64),
+                "base_score": base - sizes * np.log10(total),
+                "score": score + begin,
+            }
+        )
+
+    return run
 
 
-def score(docs: DataFrame, train, mix: float = MIX) -> DataFrame:
+def score(docs: DataFrame, train, pair_weight: float = PAIR_WEIGHT, word_weight: float = WORD_WEIGHT) -> DataFrame:
     """One row per document: doc_id, trained, n_tokens, n_known, train_tokens, base_score, score.
 
     `train` is the condition, a Column over `docs`, for a text to be learnt from. A token is a
     word, A-Z lower-cased, or the end of a text. A null or empty text is its end alone. Rows
     that repeat a doc_id, or have none, are learnt from and scored each. Without training texts
-    every count is 0. An empty table gives an empty one.
+    every count is 0. Words are told apart by 64 bits of hash. An empty table gives an empty one.
     """
+    context = docs.sparkSession.sparkContext
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(train, F.lit(False)).alias("train"),
     )
-    tokens = common.stored(rows.mapInArrow(_tokens, _TOKENS))
-    words = tokens.select("batch", "words", "counts").mapInArrow(_words, "batch long, place int, word long, n_train int")
-    by_word = Window.partitionBy("word")
-    counted = common.stored(
-        words.select(
-            "batch",
-            "place",
-            F.sum("n_train").over(by_word).alias("total"),
-            (F.row_number().over(by_word.orderBy("batch")) == 1).alias("first"),
-        )
-    )
-    facts = counted.where("first").agg(F.sum("total").alias("n"), F.sum((F.col("total") > 0).cast("long")).alias("v")).first()
-    total, distinct = facts["n"] or 0, facts["v"] or 0
-    sizes = tokens.select("train", "sizes")
-    learnt = F.aggregate("train", F.lit(0).cast("long"), lambda n, x: n + x.cast("long"))
-    of_batch = F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x)
-    seen = sizes.agg(F.sum(learnt).alias("docs"), F.sum(of_batch).alias("words")).first()
-    shards = max(8, -(-(seen["words"] or 0) // SHARD_WORDS))
-    routed = (
-        tokens.select("batch", "doc_ids", "train", "sizes", "ids", "words")
-        .groupBy("batch")
-        .cogroup(counted.select("batch", "place", "total").groupBy("batch"))
-        .applyInPandas(_routed(total, distinct, seen["docs"] or 0, shards, mix), "shard long, batch long, kind int, data binary")
-    )
-    found = routed.groupBy("shard").applyInPandas(_shard(mix), "batch long, kind int, data binary")
+    counts = common.stored(rows.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    facts = counts.where("word is not null").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    every = counts.where("word is null").agg(F.sum("n")).first()[0] or 0
+    tokens = facts["n"] or 0
+    total = tokens + 0.5 * (facts["v"] + 1)
+    shards = max(8, -(-every // SHARD_WORDS))
+    frequent = counts.where(F.col("word").isNotNull() & (F.col("n") > max(SHARD_WORDS // 4, tokens // HOT))).collect()
+    table = sorted((x["word"] & ((1 << 64) - 1), x["n"]) for x in frequent)  # HOT at most, since all together have `tokens`
+    hot = context.broadcast((np.array([x[0] for x in table], np.uint64), np.array([x[1] for x in table], float)))
+    learnt = int(rows.where("train").count())
+    begin = -np.log10(learnt * (1 + pair_weight) + word_weight)
+    routed = rows.mapInArrow(_routed(hot, shards), "shard long, batch long, kind int, data binary")
+    found = routed.groupBy("shard").applyInPandas(_shard(hot, total, pair_weight, word_weight), "batch long, kind int, data binary")
     scored = found.groupBy("batch").applyInPandas(
-        _scores, "doc_id long, trained boolean, n_tokens long, n_known long, base_score double, score double"
+        _scores(total, begin), "doc_id long, trained boolean, n_tokens long, n_known long, base_score double, score double"
     )
-    return scored.withColumn("train_tokens", F.lit(total).cast("long"))
+    return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))

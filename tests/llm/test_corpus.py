@@ -309,21 +309,33 @@ def test_packing_pads_one_window_at_most():
     assert sum(fill.values()) == sum(sizes) and sum(v < 64 for v in fill.values()) <= 1
 
 
-def test_language_model_scores(docs, empty):
-    found = {r.doc_id: r for r in ngram_lm.score(docs.where("doc_id <> 8"), F.col("doc_id") % 5 != 1, mix=20.0).collect()}
-    tokens = {k: [*t.encode().lower().split(), b""] for k, t in pairs() if k != 8}
-    train = [k for k in tokens if k % 5 != 1]
-    count = Counter(w for k in train for w in tokens[k])
+def test_language_model_scores(spark, docs, empty, monkeypatch):
+    """Against brute force, with frequent words dealt by pairs."""
+    both = docs.union(spark.createDataFrame([(None, "Same words words", *[None] * 6), (-4, words(300, 3), *[None] * 6)], SCHEMA))
+    rows = [(r.doc_id, r.text or "", bool(r.doc_id is not None and np.fmod(r.doc_id, 5) != 1)) for r in both.collect()]
+    tokens = [["<s>", "<s>", *t.encode().lower().split(), b""] for _, t, _ in rows]
+    learnt = [w for w, (_, _, train) in zip(tokens, rows) if train]
+    count = Counter(x for w in learnt for x in w[2:])
+    two = Counter(x for w in learnt for x in zip(w[1:], w[2:]))
+    three = Counter(x for w in learnt for x in zip(w, w[1:], w[2:]))
     n, v = sum(count.values()), len(count)
-    two = Counter(p for k in train for p in zip([None, *tokens[k]], tokens[k]))
-    context = Counter(x for k in train for x in [None, *tokens[k][:-1]])
     p = lambda w: (count[w] + 0.5) / (n + 0.5 * (v + 1))
-    for k, w in tokens.items():
-        r = found[k]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in count for x in w), n)
-        assert r.base_score == pytest.approx(sum(np.log10(p(x)) for x in w))
-        model = sum(np.log10((two[a, b] + 20.0 * p(b)) / (context[a] + 20.0)) for a, b in zip([None, *w], w))
-        assert abs(r.score - model) <= 0.06 * len(w)  # shares and gains are quantised
+    context = Counter(x for w in learnt for x in w[1:-1])
+    pairs = Counter(x for w in learnt for x in zip(w[:-2], w[1:-1]))
+    model = lambda a, b, c: (three[a, b, c] + 0.1 * two[b, c] + 4 * p(c)) / (pairs[a, b] + 0.1 * context[b] + 4)
+    wanted = []
+    for (k, _, _), w in zip(rows, tokens):
+        wanted.append((k or -1, len(w) - 2, sum(x in count for x in w[2:]), n, sum(np.log10(p(x)) for x in w[2:]), sum(np.log10(model(*x)) for x in zip(w, w[1:], w[2:]))))
+    wanted.sort()
+    for hot in (False, True):
+        if hot:
+            monkeypatch.setattr(ngram_lm, "SHARD_WORDS", 400)
+            monkeypatch.setattr(ngram_lm, "BATCH", 3000)
+        found = ngram_lm.score(both, F.col("doc_id") % 5 != 1, 0.1, 4.0).collect()
+        got = sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found)
+        assert [x[:4] for x in got] == [x[:4] for x in wanted]
+        for x, y in zip(got, wanted):
+            assert x[4] == pytest.approx(y[4], rel=1e-6) and abs(x[5] - y[5]) <= 0.001 * y[1]  # quantised
     assert ngram_lm.score(empty, F.lit(True)).count() == 0
     assert ngram_lm.score(docs, F.lit(False)).first().train_tokens == 0
 
