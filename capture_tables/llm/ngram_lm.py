@@ -37,7 +37,7 @@ from . import common
 #: Weights of the bigram's count and of the unigram, in observations of the trigram.
 PAIR_WEIGHT, WORD_WEIGHT = 0.02, 4.0
 #: Bytes of text in a batch, and words in a shard on average.
-BATCH, SHARD_WORDS = 12 << 20, 1_500_000
+BATCH, SHARD_WORDS = 12 << 20, 1_000_000
 #: Words that are dealt by pairs: those with more occurrences than this share of a shard and of
 #: the corpus; so there are no more than HOT of them.
 HOT = 1_000_000
@@ -255,12 +255,12 @@ def _routed(hot, shards: int):
             every[inner] = scan.hashes
             del scan
             hashed, word = np.unique(every, return_inverse=True)
-            del every
+            del every, inner
             # numbered by shard, so that a sort by word is one by shard
             home = common.mix64(hashed) % np.uint64(shards)
             order = np.argsort(home, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
             hashed, home, word = np.append(hashed[order], BEGIN), home[order].astype(np.int64), rank[word]
             begin = len(home)
             before, second = np.empty_like(word), np.empty_like(word)
@@ -268,9 +268,9 @@ def _routed(hot, shards: int):
             first = ends - sizes
             before[first] = second[first] = begin
             second[first[sizes > 1] + 1] = begin
-            doc = np.repeat(np.arange(len(sizes)), sizes)
+            doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
             if len(hashed) < 1 << 21:
-                order = np.argsort((word << 42) + (before << 21) + second)
+                order = np.argsort((word.astype(np.int64) << 42) + (before.astype(np.int64) << 21) + second)
             else:
                 order = np.lexsort((second, before, word))
             word, before, second, doc = word[order], before[order], second[order], doc[order]
@@ -303,27 +303,33 @@ def _packed_head(part: pa.RecordBatch, train: np.ndarray, sizes: np.ndarray) ->
 
 
 def _packed(hashed, word, before, second, doc, flags: bytes, texts: int) -> bytes:
-    """Occurrences, sorted by word, word before and word before that: each different word,
-    pair and triple once, then the texts."""
+    """Occurrences, sorted by word, word before and word before that: each different word, pair
+    and triple once, then the texts. The words before are told apart by 48 bits, since only
+    those before one word are ever compared."""
+    import zstandard
+
     new_word = np.concatenate(([True], word[1:] != word[:-1]))
     new_pair = new_word | np.concatenate(([True], before[1:] != before[:-1]))
     new_triple = new_pair | np.concatenate(([True], second[1:] != second[:-1]))
     pairs, triples = np.flatnonzero(new_pair), np.flatnonzero(new_triple)
     size = lambda new, of: np.diff(np.concatenate((np.flatnonzero(new), [of])))
-    heads = (word[new_word], before[pairs], second[triples])
-    words, at = np.unique(np.concatenate(heads), return_inverse=True)
-    cuts = np.cumsum([len(h) for h in heads])
-    parts = [hashed[words], at[: cuts[0]], size(new_word[pairs], len(pairs)), at[cuts[0] : cuts[1]], size(new_pair[triples], len(triples)), at[cuts[1] :], size(new_triple, len(word)), doc]
-    return np.array([texts, len(flags)], "<i8").tobytes() + flags + b"".join(map(_planes, parts))
+    contexts, at = np.unique(np.concatenate((before[pairs], second[triples])), return_inverse=True)
+    parts = [hashed[word[new_word]], size(new_word[pairs], len(pairs)), hashed[contexts] >> np.uint64(16), at[: len(pairs)], size(new_pair[triples], len(triples)), at[len(pairs) :], size(new_triple, len(word)), doc]
+    head = np.array([texts, len(flags)], "<i8").tobytes() + flags
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(map(_planes, parts)))
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(which texts are learnt from, the parts)."""
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(data)
     texts, length = (int(x) for x in np.frombuffer(data, "<i8", 2))
     train = np.unpackbits(np.frombuffer(data, np.uint8, length, 16), count=texts).astype(bool)
     at, parts = 16 + length, []
-    for _ in range(8):
+    for k in range(8):
         part, at = _from_planes(data, at)
-        parts.append(part if not parts else part.astype(np.int64))
+        parts.append(part if k in (0, 2) else part.astype(np.int32))
     return train, parts
 
 
@@ -332,35 +338,42 @@ def _shard(hot, total: float, pair_weight: float, word_weight: float):
         out = [(b, 0, d) for b, k, d in zip(rows["batch"], rows["kind"], rows["data"], strict=True) if k == 0]
         given = [(b, *_unpacked(d)) for b, k, d in zip(rows["batch"], rows["kind"], rows["data"], strict=True) if k == 1]
         del rows
-        if given:
-            hashes = np.unique(np.concatenate([p[0] for _, _, p in given]))
-            pairs, triples = [], []
-            for _, _, (words, w, per_word, v, per_pair, u, _, _) in given:
-                number = np.searchsorted(hashes, words)
-                pairs.append(np.repeat(number[w], per_word) << 32 | number[v])
-                triples.append((np.repeat(np.arange(len(v)), per_pair), number[u]))
-            pair, pair_at = np.unique(np.concatenate(pairs), return_inverse=True)
-            starts = np.cumsum([0, *map(len, pairs)])
-            of = [pair_at[lo + local] for lo, (local, _) in zip(starts, triples, strict=False)]
-            triple, triple_at = np.unique(np.concatenate([p << 32 | u for p, (_, u) in zip(of, triples, strict=True)]), return_inverse=True)
-            learnt = np.concatenate([np.bincount(np.repeat(np.arange(len(p[6])), p[6]), train[p[7]], len(p[6])) for _, train, p in given])
-            c_triple = np.bincount(triple_at, learnt, len(triple))
-            c_pair = np.bincount(triple >> 32, c_triple, len(pair))
-            c_word = np.bincount(pair >> 32, c_pair, len(hashes))
-            known, counts = hot.value
-            if (frequent := np.flatnonzero(_in(hashes, known))).size:  # other shards have them too
-                c_word[frequent] = counts[np.searchsorted(known, hashes[frequent])]
-            numerator, denominator = Trie(c_word, pair, c_pair, triple, c_triple, total, pair_weight, word_weight).look_up(pair, triple)
-            ending = pair >> 32 == np.searchsorted(hashes, END) if END in hashes else np.zeros(len(pair), bool)
-            value = numerator + np.where(ending, 0.0, denominator)[triple >> 32]
-            base, seen = np.log10(c_word + 0.5)[pair >> 32][triple >> 32], (c_word > 0)[pair >> 32][triple >> 32]
-            lo = 0
-            for batch, train, p in given:
-                each, doc = triple_at[lo : lo + len(p[6])], p[7]
-                lo += len(p[6])
-                at, inner = np.unique(doc, return_inverse=True)
-                sums = [np.bincount(inner, np.repeat(x[each], p[6]), len(at)) for x in (seen, base, value)]
-                out.append((batch, 1, _planes(at) + _planes(sums[0].astype(np.int64)) + sums[1].astype("<f4").tobytes() + sums[2].astype("<f4").tobytes()))
+        if not given:
+            return pd.DataFrame(out, columns=["batch", "kind", "data"])
+        hashes, contexts = (np.unique(np.concatenate([p[k] for _, _, p in given])) for k in (0, 2))
+        pairs, triples, learnt = [], [], []
+        for _, train, p in given:
+            word, context = np.searchsorted(hashes, p[0]), np.searchsorted(contexts, p[2])
+            pairs.append(np.repeat(word, p[1]) << 32 | context[p[3]])
+            triples.append((np.repeat(np.arange(len(p[3]), dtype=np.int32), p[4]), context[p[5]].astype(np.int32)))
+            learnt.append(np.bincount(np.repeat(np.arange(len(p[6]), dtype=np.int32), p[6]), train[p[7]], len(p[6])).astype(np.int32))
+            p[1:6] = []  # sizes of triples and texts are needed again
+        pair, pair_at = np.unique(np.concatenate(pairs), return_inverse=True)
+        starts = np.cumsum([0, *map(len, pairs)])
+        del pairs
+        triple = np.concatenate([pair_at[lo + local] << 32 | second for lo, (local, second) in zip(starts, triples, strict=False)])
+        del triples, pair_at
+        triple, triple_at = np.unique(triple, return_inverse=True)
+        c_triple = np.bincount(triple_at, np.concatenate(learnt), len(triple))
+        del learnt
+        c_pair = np.bincount(triple >> 32, c_triple, len(pair))
+        c_word = np.bincount(pair >> 32, c_pair, len(hashes))
+        known, counts = hot.value
+        if (frequent := np.flatnonzero(_in(hashes, known))).size:  # other shards have them too
+            c_word[frequent] = counts[np.searchsorted(known, hashes[frequent])]
+        numerator, denominator = Trie(c_word, pair, c_pair, triple, c_triple, total, pair_weight, word_weight).look_up(pair, triple)
+        word = (pair >> 32)[triple >> 32]
+        ending = hashes[word] == END
+        value = numerator + np.where(ending, 0.0, denominator[triple >> 32])
+        base, seen = np.log10(c_word + 0.5)[word], (c_word > 0)[word]
+        del numerator, denominator, word, ending, triple, pair
+        lo = 0
+        for batch, _, (_, sizes, doc) in given:
+            each = triple_at[lo : lo + len(sizes)]
+            lo += len(sizes)
+            at, inner = np.unique(doc, return_inverse=True)
+            sums = [np.bincount(inner, np.repeat(x[each], sizes), len(at)) for x in (seen, base, value)]
+            out.append((batch, 1, _planes(at) + _planes(sums[0].astype(np.int64)) + sums[1].astype("<f4").tobytes() + sums[2].astype("<f4").tobytes()))
         return pd.DataFrame(out, columns=["batch", "kind", "data"])
 
     return run
