@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import atexit
 import gc
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capture_tables.functions.shared import shared_path
+
 #: Text handled at once inside a task, in bytes; a longer document is taken alone.
 CHUNK_CHARS = 4 << 20
 
@@ -32,37 +33,40 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     )
 
 
+def documents(docs: DataFrame) -> DataFrame:
+    """doc_id, text, print (a hash of the text): rows of one doc_id and different texts are
+    documents of their own."""
+    text = id_and_text(docs).where("doc_id is not null")
+    return text.select("doc_id", "text", F.xxhash64("text").alias("print"))
+
+
 def id_modulo(divisor: int):
     """crc32 of the doc_id's decimal text, modulo `divisor`."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(divisor))
 
 
-_own: dict[str, str] = {}
-
+_folders: dict[str, str] = {}
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it.
 
-    Where none is named, a local session gets a temporary one of its own, removed at exit; a
-    cluster session is refused, since a machine's own folder would lose other machines' files.
-    """
-    conf = spark.sparkContext.getConf()
-    named = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="capture-tables-")
-        atexit.register(shutil.rmtree, _own["dir"], True)
-    return f"file://{_own['dir']}"
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may be gone already; the folder then stays
+        return
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again: lineage ends
-    here, and a lost executor costs nothing that was finished."""
+    here, and a lost executor costs nothing that was finished. An application has one folder
+    for all of them, which goes when the driver ends: results may be read until then."""
     spark, schema = df.sparkSession, df.schema
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = shared_path(spark, "stored")
+        atexit.register(_remove, spark, _folders[app])
+    path = f"{_folders[app]}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     # the shuffles behind it are garbage now; Spark deletes their files once the driver's JVM
     # has collected it, which left alone may take half an hour
@@ -130,16 +134,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Scan:
     """The words `[^\\x20\\x09-\\x0D]+` of a string column without nulls, A-Z lower-cased, found
     and hashed as whole arrays: `hashes` (64 bits), `starts` and `ends` (bytes in `data`), and
-    `bounds`, where each row's text starts in `data`, with the last one's end."""
+    `bounds`, where each row's text starts in `data`, with the last one's end. With `beginnings`,
+    numbers of bytes, `begun` has for each (places, hashes): the longer words, by these first
+    bytes. `gap` tells which bytes part words."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, beginnings: tuple[int, ...] = (), gap: np.ndarray = _SPACE):
         wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
         _, offsets, data = column.buffers()
         offsets = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
         whole = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
         self.data, self.bounds = whole[offsets[0] : offsets[-1]], offsets - offsets[0]
         n = len(self.data)
-        word = ~_SPACE[self.data]
+        word = ~gap[self.data]
         first = np.zeros(n + 1, bool)
         first[self.bounds] = True
         begin, end = word.copy(), word.copy()
@@ -147,6 +153,7 @@ class Scan:
         end[:-1] &= ~word[1:] | first[1:n]
         self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         self.hashes = np.empty(len(self.starts), np.uint64)
+        begun: list[list] = [[(np.empty(0, np.int64), np.empty(0, np.uint64))] for _ in beginnings]
         lo = 0
         while lo < len(self.starts):
             base = self.starts[lo]
@@ -157,7 +164,12 @@ class Scan:
             sums = np.cumsum(values, dtype=np.uint64)
             a, b = self.starts[lo:hi] - base, self.ends[lo:hi] - base - 1
             self.hashes[lo:hi] = mix64((sums[b] - sums[a] + values[a]) * up[a])
+            for found, k in zip(begun, beginnings, strict=True):
+                long = np.flatnonzero(b - a >= k)
+                c = a[long]
+                found.append((long + lo, mix64((sums[c + k - 1] - sums[c] + values[c]) * up[c] + np.uint64(k))))
             lo = hi
+        self.begun = [tuple(map(np.concatenate, zip(*found, strict=True))) for found in begun]
 
     def __len__(self) -> int:
         return len(self.hashes)
@@ -181,18 +193,55 @@ class Scan:
         return row[full], number[full], words[full]
 
 
-class HashCache(dict):
-    """word bytes -> 64-bit hash (signed), forgotten when it holds too many words."""
-
-    def __init__(self, limit: int = 250_000):
-        from xxhash import xxh64_intdigest
-
-        super().__init__()
-        self.limit, self.digest = limit, xxh64_intdigest
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self.digest(word, 7) - (1 << 63)
-        self[word] = value
-        return value
+#: Counters of values by their hash; a value shares one with others that hash alike, so that a
+#: count is an upper bound. A task's sums are cut into SLICES, and those added in SHARES first.
+COUNTERS = 1 << 22
+SLICES, SHARES = 64, 16
+
+
+def _codes(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte: exact below 200, then by powers of two."""
+    return np.where(counts < 200, counts, np.minimum(192 + np.ceil(np.log2(np.maximum(counts, 1))), 255)).astype(np.uint8)
+
+
+def at_most(codes: np.ndarray) -> np.ndarray:
+    """The largest count that a code stands for."""
+    c = codes.astype(np.int64)
+    return np.where(c < 200, c, 1 << np.clip(c - 192, 0, 62))
+
+
+def counted(rows: DataFrame, hashes) -> np.ndarray:
+    """How often each counter's values occur in all rows, as codes. `hashes` gives arrays of
+    64-bit values from batches. A task hands on its own sums, cut into slices; slices are
+    added in two steps as they arrive."""
+    width = COUNTERS // SLICES
+    schema = "slice int, share int, places binary, counts binary"
+
+    def packed(slices, share: int) -> Iterator[pa.RecordBatch]:
+        for k, total in slices:
+            at = np.flatnonzero(total)
+            if len(at):
+                columns = [[k], [share], [at.astype("<u2").tobytes()], [np.minimum(total[at], (1 << 31) - 1).astype("<i4").tobytes()]]
+                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["slice", "share", "places", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int32)
+        for values in hashes(batches):
+            np.add.at(total, (values & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        yield from packed(enumerate(total.reshape(SLICES, width)), TaskContext.get().partitionId() % SHARES)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, places, counts in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                total = totals.setdefault(k, np.zeros(width, np.int64))
+                total[np.frombuffer(places.as_buffer(), "<u2")] += np.frombuffer(counts.as_buffer(), "<i4")
+        yield from packed(totals.items(), TaskContext.get().partitionId() % SHARES)
+
+    parts = rows.mapInArrow(count, schema).repartition("slice", "share").mapInArrow(add, schema)
+    out = np.zeros(COUNTERS, np.uint8)
+    for row in parts.repartition("slice").mapInArrow(add, schema).collect():  # of SLICES slices
+        at = np.frombuffer(row["places"], "<u2").astype(np.int64) + row["slice"] * width
+        out[at] = _codes(np.frombuffer(row["counts"], "<i4"))
+    return out

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +35,6 @@ from . import common
 SIMILARITY = (4, 5)
 #: Words of the largest set that no set but an equal one is similar to (4 of 5 words are 0.8).
 EXACT = 3
-#: Counters of the words' frequencies; a word shares one with others that hash alike, which
-#: changes their order and the size of blocks, and never the result.
-COUNTERS = 1 << 22
-SLICES, SHARES = 64, 16
 BLOCK = 4096
 #: Candidates that a group hands on for a set before their words are compared.
 TRIES = 2
@@ -75,61 +71,6 @@ def least_overlap(n, m):
     return -(-(n + m) * top // (top + bottom))
 
 
-def _codes(counts: np.ndarray) -> np.ndarray:
-    """Counts in a byte: exact below 200, then by powers of two."""
-    return np.where(counts < 200, counts, np.minimum(192 + np.ceil(np.log2(np.maximum(counts, 1))), 255)).astype(np.uint8)
-
-
-def _at_most(codes: np.ndarray) -> np.ndarray:
-    """The largest count that a code stands for."""
-    c = codes.astype(np.int64)
-    return np.where(c < 200, c, 1 << np.clip(c - 192, 0, 62))
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text, print (a hash of the text): rows of one doc_id and different texts are
-    documents of their own."""
-    text = common.id_and_text(docs).where("doc_id is not null")
-    return text.select("doc_id", "text", F.xxhash64("text").alias("print"))
-
-
-def _counted(rows: DataFrame, hashes) -> np.ndarray:
-    """How often each counter's values occur in all rows, as codes. `hashes` gives arrays of
-    64-bit values from batches. A task hands on its own sums, cut into slices; slices are
-    added in two steps as they arrive."""
-    width = COUNTERS // SLICES
-    schema = "slice int, share int, places binary, counts binary"
-
-    def packed(slices, share: int) -> Iterator[pa.RecordBatch]:
-        for k, total in slices:
-            at = np.flatnonzero(total)
-            if len(at):
-                columns = [[k], [share], [at.astype("<u2").tobytes()], [np.minimum(total[at], (1 << 31) - 1).astype("<i4").tobytes()]]
-                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["slice", "share", "places", "counts"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int32)
-        for values in hashes(batches):
-            np.add.at(total, (values & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-        yield from packed(enumerate(total.reshape(SLICES, width)), TaskContext.get().partitionId() % SHARES)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, places, counts in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                total = totals.setdefault(k, np.zeros(width, np.int64))
-                total[np.frombuffer(places.as_buffer(), "<u2")] += np.frombuffer(counts.as_buffer(), "<i4")
-        yield from packed(totals.items(), TaskContext.get().partitionId() % SHARES)
-
-    parts = rows.mapInArrow(count, schema).repartition("slice", "share").mapInArrow(add, schema)
-    out = np.zeros(COUNTERS, np.uint8)
-    for row in parts.repartition("slice").mapInArrow(add, schema).collect():  # of SLICES slices
-        at = np.frombuffer(row["places"], "<u2").astype(np.int64) + row["slice"] * width
-        out[at] = _codes(np.frombuffer(row["counts"], "<i4"))
-    return out
-
-
 def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for part in common.slices(batches, CHUNK):
         yield common.Scan(part.column(1)).hashes
@@ -160,13 +101,19 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 class Lines:
     """The lines of a part of the corpus as sets of word hashes, each in the order of `codes`
-    (or of the hashes), rarest first: row and number of each line, its size, and the words."""
+    (or of the hashes), rarest first: row and number of each line, its size, and the words.
+    `wanted` tells by rows and numbers which lines are looked at, if not all."""
 
-    def __init__(self, column: pa.Array, codes: np.ndarray | None, least: int = 1):
+    def __init__(self, column: pa.Array, codes: np.ndarray | None = None, least: int = 1, wanted=None):
         scan = common.Scan(column)
         self.row, self.number, words = scan.lines()
-        hashes, line = scan.hashes, np.repeat(np.arange(len(words), dtype=np.uint64), words)
-        rarity = codes[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) if codes is not None else np.uint64(0)
+        hashes = scan.hashes
+        if wanted is not None:
+            hit = wanted(self.row, self.number)
+            hashes = hashes[np.repeat(hit, words)]
+            self.row, self.number, words = self.row[hit], self.number[hit], words[hit]
+        line = np.repeat(np.arange(len(words), dtype=np.uint64), words)
+        rarity = codes[(hashes & np.uint64(common.COUNTERS - 1)).astype(np.int64)].astype(np.uint64) if codes is not None else np.uint64(0)
         key = line << np.uint64(40) | rarity << np.uint64(32) | hashes >> np.uint64(32)
         order = np.argsort(key)
         key, hashes = key[order], hashes[order]
@@ -280,7 +227,7 @@ def _prefixes(counts, shards: int, only_words=None):
             words, n = _unpacked(batch.column(5))
             row = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            count = _at_most(counts.value[(words & np.uint64(COUNTERS - 1)).astype(np.int64)])
+            count = common.at_most(counts.value[(words & np.uint64(common.COUNTERS - 1)).astype(np.int64)])
             keep = count > 1
             if only_words is not None:
                 keep &= only_words.value.passes(words)
@@ -397,29 +344,36 @@ def _pairs(sets: DataFrame, counts, every: bool = False, words=None) -> DataFram
     return pairs.groupBy("late", "early").agg(F.max("more").alias("more"))
 
 
-def _place_hash(doc: np.ndarray, prints: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return common.mix64(common.mix64(doc.astype(np.uint64)) ^ prints.astype(np.uint64) + line.astype(np.uint64))
+def _place_hash(doc: np.ndarray, prints: np.ndarray, line=None) -> np.ndarray:
+    """A number for a document, or for one of its lines."""
+    whole = common.mix64(common.mix64(doc.astype(np.uint64)) ^ prints.astype(np.uint64))
+    return whole if line is None else common.mix64(whole + line.astype(np.uint64) + np.uint64(1))
 
 
-def _place_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = _place_hash(*[batch.column(k).to_numpy() for k in range(3)])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], ["at"])
+def _place_hashes(columns: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _place_hash(*[batch.column(k).to_numpy() for k in range(columns)])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], ["at"])
+
+    return run
 
 
 def _words_at(text: DataFrame, places: DataFrame) -> DataFrame:
     """`places` (doc_id, print, line and more) with the words of those lines, as hashes."""
-    sieve = text.sparkSession.sparkContext.broadcast(Sieve(places.select(*PLACE).mapInArrow(_place_hashes, "at long")))
+    context, texts = text.sparkSession.sparkContext, places.select("doc_id", "print").distinct()
+    of_texts = context.broadcast(Sieve(texts.mapInArrow(_place_hashes(2), "at long")))
+    of_lines = context.broadcast(Sieve(places.select(*PLACE).mapInArrow(_place_hashes(3), "at long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, CHUNK):
-            lines = Lines(part.column(1), None)
-            doc, prints = part.column(0).to_numpy()[lines.row], part.column(2).to_numpy()[lines.row]
-            hit = sieve.value.passes(_place_hash(doc, prints, lines.number))
-            words = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], np.cumsum(lines.size[hit]))).astype(np.int32)), pa.array(lines.words[np.repeat(hit, lines.size)].astype(np.int64))
-            )
-            yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(prints[hit]), pa.array(lines.number[hit].astype(np.int32)), words], [*PLACE, "words"])
+        for batch in batches:
+            some = batch.filter(pa.array(of_texts.value.passes(_place_hash(batch.column(0).to_numpy(), batch.column(2).to_numpy()))))
+            for part in common.slices(iter([some]), CHUNK):
+                doc, prints = part.column(0).to_numpy(), part.column(2).to_numpy()
+                lines = Lines(part.column(1), wanted=lambda row, number: of_lines.value.passes(_place_hash(doc[row], prints[row], number)))
+                offsets = pa.array(np.concatenate(([0], np.cumsum(lines.size))).astype(np.int32))
+                columns = [doc[lines.row], prints[lines.row], lines.number.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(offsets, pa.array(lines.words.astype(np.int64)))], [*PLACE, "words"])
 
     found = text.mapInArrow(run, "doc_id long, print long, line int, words array<long>")
     return places.join(found.dropDuplicates(PLACE), PLACE)
@@ -451,13 +405,13 @@ def kept_lines(docs: DataFrame, least_words: int = 1) -> DataFrame:
     one.
     """
     spark = docs.sparkSession
-    text = _texts(docs)
-    order = spark.sparkContext.broadcast(_counted(text, _word_hashes))  # COUNTERS bytes
+    text = common.documents(docs)
+    order = spark.sparkContext.broadcast(common.counted(text, _word_hashes))  # common.COUNTERS bytes
     rows = text.mapInArrow(_sets(order, least_words), _SET)
     rest = [name for name in _SET_NAMES if name not in ("h0", "h1")]
     firsts = rows.groupBy("h0", "h1").agg(F.min(F.struct(*rest)).alias("first"))
     sets = common.stored(firsts.select(F.monotonically_increasing_id().alias("id"), *[f"first.{name}" for name in rest]))
-    counts = spark.sparkContext.broadcast(_counted(sets.select("prefix"), _prefix_hashes))  # COUNTERS bytes
+    counts = spark.sparkContext.broadcast(common.counted(sets.select("prefix"), _prefix_hashes))  # common.COUNTERS bytes
     numbered = sets.select(*[F.lit(False).alias(c) if c == "open" else c for c in _NUMBERED])
     pairs = common.stored(_pairs(numbered, counts))
     tried = pairs.groupBy(F.col("late").alias("id")).agg(F.max("more").alias("more"))
@@ -479,46 +433,45 @@ def _prefix_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64))], ["word"])
 
 
-def _numbers(lines, least: int):
-    """The numbers of the lines that take part."""
-    words = lambda x: F.filter(F.split(F.lower(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")), " "), lambda w: w != "")
-    if least <= 1:
-        part = lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != ""
-    else:
-        part = lambda x: F.size(F.array_distinct(words(x))) >= least
-    return F.filter(F.transform(lines, lambda x, k: F.when(part(x), k)), lambda k: k.isNotNull())
+def _numbers(least: int):
+    """doc_id, print, n_lines and the numbers of the lines that take part."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.slices(batches, CHUNK):
+            row, number = common.Scan(part.column(1)).lines()[:2] if least <= 1 else (x := Lines(part.column(1), least=least)) and (x.row, x.number)
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=part.num_rows)))).astype(np.int32)
+            lines = pc.add(pc.count_substring(part.column(1), "\n").cast(pa.int64()), 1)
+            every = pa.ListArray.from_arrays(pa.array(offsets), pa.array(number.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lines, every], ["doc_id", "print", "n_lines", "every"])
 
-def _kept(docs: DataFrame, least: int) -> DataFrame:
-    return kept_lines(docs, least).groupBy("doc_id", "print").agg(F.collect_list("line").alias("kept"))
+    return run
 
 
 def report(docs: DataFrame, least_words: int = 1) -> DataFrame:
-    """One row for each different (doc_id, text): doc_id, n_lines, n_removed, removed (line
-    numbers in order). Rows without doc_id are left out."""
-    lines = F.split("text", "\n")
-    sizes = _texts(docs).select("doc_id", "print", F.size(lines).cast("long").alias("n_lines"), _numbers(lines, least_words).alias("all"))
+    """One row for each different (doc_id, text): doc_id, print (a hash of the text), n_lines,
+    n_removed, removed (line numbers in order). Rows without doc_id are left out."""
+    kept = kept_lines(docs, least_words).groupBy("doc_id", "print").agg(F.collect_list("line").alias("kept"))
+    sizes = common.documents(docs).mapInArrow(_numbers(least_words), "doc_id long, print long, n_lines long, every array<int>")
     sizes = sizes.dropDuplicates(["doc_id", "print"])
-    removed = F.array_sort(F.array_except("all", F.coalesce("kept", F.array().cast("array<int>"))))
-    found = sizes.join(_kept(docs, least_words), ["doc_id", "print"], "left").select("doc_id", "n_lines", removed.alias("removed"))
-    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+    removed = F.array_sort(F.array_except("every", F.coalesce("kept", F.array().cast("array<int>"))))
+    found = sizes.join(kept, ["doc_id", "print"], "left").select("doc_id", "print", "n_lines", removed.alias("removed"))
+    return found.select("doc_id", "print", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def remove_lines(docs: DataFrame, least_words: int = 1) -> DataFrame:
     """`docs` without the repeated lines in their texts; every column stays. Documents of which
     only white space is left go, unless that was so before. Rows without doc_id stay, and so
     do texts from which nothing goes, as they are."""
-    kept = _kept(docs, least_words).select(F.col("doc_id").alias("__line_doc"), F.col("print").alias("__line_print"), F.col("kept").alias("__line_kept"))
+    gone = report(docs, least_words).where("n_removed > 0").select(
+        F.col("doc_id").alias("__line_doc"), F.col("print").alias("__line_print"), F.col("removed").alias("__line_gone")
+    )
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.split(text, "\n")
     marked = docs.withColumn("__line_key", F.xxhash64(text))
-    marked = marked.join(kept, (F.col("doc_id").cast("long") == F.col("__line_doc")) & (F.col("__line_key") == F.col("__line_print")), "left")
-    gone = F.array_except(_numbers(lines, least_words), F.coalesce("__line_kept", F.array().cast("array<int>")))
-    marked = marked.withColumn("__line_gone", F.when(F.col("doc_id").isNotNull(), gone))
-    cut = F.size(F.coalesce("__line_gone", F.array().cast("array<int>"))) > 0
+    marked = marked.join(gone, (F.col("doc_id").cast("long") == F.col("__line_doc")) & (F.col("__line_key") == F.col("__line_print")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__line_gone"))
     short = F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n")
-    marked = marked.withColumn("__line_text", F.when(cut, short))
+    marked = marked.withColumn("__line_text", F.when(F.col("__line_gone").isNotNull(), short))
     blank = F.translate("__line_text", " \t\n\x0b\x0c\r", "") == ""
     columns = [F.coalesce("__line_text", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
     return marked.where(F.col("__line_text").isNull() | ~blank).select(*columns)

@@ -53,7 +53,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(table(spark, sf_dir, "documents"), least_words=1)
+    return line_dedup.report(table(spark, sf_dir, "documents")).drop("print")
 
 
 @query
