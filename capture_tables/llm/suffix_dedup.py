@@ -4,14 +4,21 @@ A document is a sequence of words. Of each LEAST = 50 consecutive words, the one
 window's smallest SEED-word hash starts is its minimiser; equal windows have it at the same
 place, so suffixes at those positions alone show every repeat of 50 words or more. Such a
 suffix is kept with its extensions: for every window whose minimiser it is, how far the
-window reaches to the left of it, and a hash of the whole window, left part, seed and right
-part. Rows are sorted by seed, extension and place, and neighbours compared: a window equal
-to the one before it repeats a passage that stands earlier. Windows that overlap join to
+window reaches to the left of it, and 64 bits of hash of the whole window, left part, seed and
+right part. Rows are sorted by seed, extension and place, and neighbours compared: a window
+equal to the one before it repeats a passage that stands earlier. Windows that overlap join to
 longer passages, so that matches are extended to their full length left and right.
 
 Each task compares its own rows first and sends of each different window only the earliest
 place, so that a passage which a third of all documents share reaches the sorted rows once
-for each chunk of text and not once for each document.
+for each chunk of text and not once for each document. Suffixes at each seed are counted
+first. One that more than HOT suffixes start with sends its windows by their own hashes, so
+that its rows spread; only equal windows need to meet. Of equal windows a task holds the
+earliest alone.
+
+Windows are equal if their seed, the place in it and their own 64 bits agree. Of n different
+windows about one seed some n^2 / 2^65 pairs are taken for equal: one in 37 million for a
+million windows, one in 37 for a billion.
 """
 
 from __future__ import annotations
@@ -27,14 +34,17 @@ from . import common
 
 LEAST = 50
 SEED = 16
+#: Suffixes of one seed that are compared in one place.
+HOT = 10_000
+#: Text handled at once, in bytes; and windows that a task holds of one key before it keeps the
+#: earliest of equal ones alone.
+CHUNK, HELD = 2 << 20, 800_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Kinds of rows that leave the map side.
 _SUFFIX, _SPAN, _SIZE = 0, 1, 2
-_SCHEMA = "seed long, kind byte, doc_id long, at int, left int, windows binary"
-_NAMES = ["seed", "kind", "doc_id", "at", "left", "windows"]
-_TYPES = [pa.int64(), pa.int8(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-
-_words = common.HashCache()
+_SCHEMA = "seed long, kind byte, doc_id long, print long, at int, left int, windows binary"
+_NAMES = ["seed", "kind", "doc_id", "print", "at", "left", "windows"]
+_TYPES = [pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
 
 def _powers(n: int) -> np.ndarray:
@@ -75,81 +85,92 @@ def _windows(words: np.ndarray, sizes: np.ndarray, least: int, seed: int) -> tup
     return starts, place, seeds[place], whole[starts]
 
 
-def _repeats(key: np.ndarray, left: np.ndarray, window: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Sort and compare neighbours: True where an equal window stands at an earlier place.
-    Rows at the very same place are the same passage."""
-    order = np.lexsort((start, doc, window, left, key))
+def _repeats(key, left, window, doc, prints, start) -> tuple[np.ndarray, np.ndarray]:
+    """Sort and compare neighbours: (where an equal window stands at an earlier place, where no
+    equal window stands before in that order). Rows at the very same place are the same passage."""
+    late, head = np.zeros(len(key), bool), np.ones(len(key), bool)
+    whole = window.astype(np.uint64) ^ common.mix64(key.astype(np.uint64) + left.astype(np.uint64) * _BASE)
+    order = np.argsort(whole)
+    alike = whole[order][1:] == whole[order][:-1]
+    some = order[np.concatenate((alike, [False])) | np.concatenate(([False], alike))]  # most stand once
+    order = some[np.lexsort((start[some], prints[some], doc[some], window[some], left[some], key[some]))]
     same = np.zeros(len(order), bool)
     a, b = order[1:], order[:-1]
     same[1:] = (key[a] == key[b]) & (left[a] == left[b]) & (window[a] == window[b])
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    first = order[head]
-    out = np.empty(len(order), bool)
-    out[order] = same & ((doc[order] != doc[first]) | (start[order] != start[first]))
-    return out
+    first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    late[order] = same & ((doc[order] != doc[first]) | (prints[order] != prints[first]) | (start[order] != start[first]))
+    head[order] = ~same
+    return late, head
 
 
-def _spans(doc: np.ndarray, start: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, first word, word after the last) of overlapping windows joined."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+def _spans(doc, prints, start, least: int) -> tuple[np.ndarray, ...]:
+    """(doc, print, first word, word after the last) of overlapping windows joined."""
+    order = np.lexsort((start, prints, doc))
+    doc, prints, start = doc[order], prints[order], start[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + least)
+    new[1:] = (doc[1:] != doc[:-1]) | (prints[1:] != prints[:-1]) | (start[1:] > start[:-1] + least)
     at = np.flatnonzero(new)
     last = np.concatenate((at[1:], [len(doc)])) - 1
-    return doc[at], start[at], start[last] + least
+    return doc[at], prints[at], start[at], start[last] + least
 
 
 def _batch(columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
 
 
-def _span_batch(doc: np.ndarray, start: np.ndarray, least: int) -> pa.RecordBatch:
-    doc, lo, hi = _spans(doc, start, least)
+def _span_batch(doc, prints, start, least: int) -> pa.RecordBatch:
+    doc, prints, lo, hi = _spans(doc, prints, start, least)
     n = len(doc)
-    return _batch([common.mix64(doc.astype(np.uint64)).astype(np.int64), np.full(n, _SPAN), doc, lo, hi, [None] * n])
+    return _batch([_spread(doc, prints), np.full(n, _SPAN), doc, prints, lo, hi, [None] * n])
+
+
+def _spread(doc: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    return common.mix64(doc.astype(np.uint64) ^ common.mix64(prints.astype(np.uint64))).astype(np.int64)
+
+
+def _seeds(least: int, seed: int):
+    """The seeds of the suffixes of all texts, one for each suffix."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for part in common.slices(batches, CHUNK):
+            scan = common.Scan(part.column(1))
+            _, place, seeds, _ = _windows(scan.hashes, scan.per_row(), least, seed)
+            new = np.ones(len(place), bool)
+            new[1:] = place[1:] != place[:-1]
+            yield seeds[new]
 
-def _suffixes(least: int, seed: int):
+    return run
+
+
+def _suffixes(counts, least: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in common.chunks(batches):
-            cut = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-            sizes = np.array([len(w) for w in cut], np.int64)
-            words = np.fromiter((_words[w] for c in cut for w in c), np.int64, int(sizes.sum())).astype(np.uint64)
-            del cut
-            doc_of, begins = np.array(ids, np.int64), np.cumsum(sizes) - sizes
-            n = len(ids)
-            yield _batch([common.mix64(doc_of.astype(np.uint64)).astype(np.int64), np.full(n, _SIZE), doc_of, sizes, np.zeros(n, np.int64), [None] * n])
+        for part in common.slices(batches, CHUNK):
+            doc_of, print_of = part.column(0).to_numpy(), part.column(2).to_numpy()
+            scan = common.Scan(part.column(1))
+            words, sizes = scan.hashes, scan.per_row()
+            del scan
+            begins, n = np.cumsum(sizes) - sizes, len(sizes)
+            yield _batch([_spread(doc_of, print_of), np.full(n, _SIZE), doc_of, print_of, sizes, np.zeros(n, np.int64), [None] * n])
             start, place, seeds, whole = _windows(words, sizes, least, seed)
             if not len(start):
                 continue
             row = np.searchsorted(begins, start, "right") - 1  # of empty documents with its begin, the one behind
-            doc, at = doc_of[row], start - begins[row]
-            left = place - start
-            late = _repeats(seeds, left, whole, doc, at)
+            doc, prints, at, left = doc_of[row], print_of[row], start - begins[row], place - start
+            late, head = _repeats(seeds, left, whole, doc, prints, at)
             if late.any():
-                yield _span_batch(doc[late], at[late], least)
-            keep = np.flatnonzero(~late)
-            # a row for each run of windows, in order, that share a minimiser
-            place, start, doc, at, left = (x[keep] for x in (place, start, doc, at, left))
-            seeds, short = seeds[keep], whole[keep].astype(np.uint32)
+                yield _span_batch(doc[late], prints[late], at[late], least)
+            keep = np.flatnonzero(head)
+            place, start, doc, prints, at, left, seeds, whole = (x[keep] for x in (place, start, doc, prints, at, left, seeds, whole))
+            hot = common.at_most(counts.value[(seeds & np.uint64(common.COUNTERS - 1)).astype(np.int64)]) > HOT
+            # a row for each run of windows, in order, that share a minimiser; at hot ones for each window
             new = np.ones(len(keep), bool)
-            new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
+            new[1:] = hot[1:] | (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
             heads = np.flatnonzero(new)
-            blob = pa.array(np.split(short, heads[1:]), pa.list_(pa.uint32()))
-            offsets = blob.offsets.to_numpy() * 4
-            binary = pa.Array.from_buffers(pa.binary(), len(blob), [None, pa.py_buffer(offsets.astype(np.int32)), blob.values.buffers()[1]])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(seeds[heads].astype(np.int64)),
-                    pa.array(np.full(len(heads), _SUFFIX, np.int8)),
-                    pa.array(doc[heads]),
-                    pa.array(at[heads].astype(np.int32)),
-                    pa.array(left[heads].astype(np.int32)),
-                    binary,
-                ],
-                _NAMES,
-            )
+            key = np.where(hot, common.mix64(seeds ^ common.mix64(whole + left.astype(np.uint64))), seeds)[heads]
+            offsets = (np.concatenate((heads, [len(keep)])) * 8).astype(np.int32)
+            windows = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(whole).tobytes())])
+            columns = [key.astype(np.int64), np.full(len(heads), _SUFFIX, np.int8), doc[heads], prints[heads], at[heads].astype(np.int32), left[heads].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), windows], _NAMES)
 
     return run
 
@@ -158,29 +179,23 @@ def _neighbours(least: int):
     """Rows of one partition, sorted by seed: the passages that stand elsewhere earlier, and
     the sizes handed through."""
 
-    def compare(rows: list[np.ndarray], blobs: list) -> pa.RecordBatch | None:
-        key, doc, at, left = rows
-        counts = np.array([len(b) // 4 for b in blobs], np.int64)
-        window = np.frombuffer(b"".join(blobs), "<u4")
+    def windows(batch: pa.RecordBatch) -> list[np.ndarray]:
+        """key, left, window, doc, print, start of each window of the rows."""
+        key, doc, prints, at, left = (batch.column(k).to_numpy() for k in (0, 2, 3, 4, 5))
+        _, offsets, data = batch.column(6).buffers()
+        offsets = np.frombuffer(offsets, np.int32)[batch.column(6).offset :][: batch.num_rows + 1].astype(np.int64)
+        counts = np.diff(offsets) // 8
+        window = np.frombuffer(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].tobytes(), np.uint64)
         row = np.repeat(np.arange(len(counts)), counts)
         step = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        late = _repeats(key[row], left[row] - step, window, doc[row], at[row] + step)
-        return _span_batch(doc[row][late], (at[row] + step)[late], least) if late.any() else None
+        return [key[row], left[row] - step, window, doc[row], prints[row], at[row] + step]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-        blobs: list = []
-
-        def flush(cut: int) -> pa.RecordBatch | None:
-            nonlocal held, blobs
-            key = held[0][:cut]
-            alike = np.zeros(cut, bool)
-            alike[1:] = key[1:] == key[:-1]
-            alike[:-1] |= alike[1:].copy()
-            at = np.flatnonzero(alike)  # seeds that stand at one place only repeat nothing
-            out = compare([x[:cut][at] for x in held], [blobs[k] for k in at]) if len(at) else None
-            held, blobs = [x[cut:] for x in held], blobs[cut:]
-            return out
+
+        def compared(x: list[np.ndarray]) -> tuple[pa.RecordBatch | None, np.ndarray]:
+            late, head = _repeats(*x)
+            return (_span_batch(x[3][late], x[4][late], x[5][late], least) if late.any() else None), head
 
         for batch in batches:
             kind = batch.column(1).to_numpy()
@@ -189,41 +204,53 @@ def _neighbours(least: int):
                 batch = batch.filter(pa.array(~other))
             if not batch.num_rows:
                 continue
-            part = [batch.column(k).to_numpy() for k in (0, 2, 3, 4)]
+            part = windows(batch)
             held = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
-            blobs += batch.column(5).to_pylist()
             cut = int(np.searchsorted(held[0], held[0][-1]))  # the last seed may go on
-            if cut and (out := flush(cut)) is not None:
+            if cut:
+                out, _ = compared([x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+                if out is not None:
+                    yield out
+            if len(held[0]) > HELD:
+                out, head = compared(held)
+                held = [x[head] for x in held]
+                if out is not None:
+                    yield out
+        if held is not None and len(held[0]):
+            out, _ = compared(held)
+            if out is not None:
                 yield out
-        if held is not None and len(held[0]) and (out := flush(len(held[0]))) is not None:
-            yield out
 
     return run
 
 
 def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
-    """One row per doc_id: doc_id, n_words, spans (array of [first, after last] word numbers,
-    from 0, in order, apart from each other), n_removed (words in them).
+    """One row for each different (doc_id, text): doc_id, print (a hash of the text), n_words,
+    spans (array of [first, after last] word numbers, from 0, in order, apart from each other),
+    n_removed (words in them).
 
     A word is in a span if it lies in a run of `least` words, white space and the case of A-Z
     apart, that also stands earlier: in a document of smaller doc_id, or before it in its own.
-    Null and empty texts have no words. Rows that repeat a doc_id are taken for one document,
-    so that none is emptied by its own copy; rows without doc_id take no part. An empty table
-    gives an empty one.
+    Null and empty texts have no words. Rows of the same doc_id and text are one document, so
+    that none is emptied by its own copy; rows of one doc_id and different texts are several,
+    of which the one with the smaller hash comes first. Rows without doc_id take no part. An
+    empty table gives an empty one.
     """
-    text = common.id_and_text(docs).where("doc_id is not null")
-    rows = text.mapInArrow(_suffixes(least, seed), _SCHEMA)
+    text = common.documents(docs)
+    counts = docs.sparkSession.sparkContext.broadcast(common.counted(text, _seeds(least, seed)))  # COUNTERS bytes
+    rows = text.mapInArrow(_suffixes(counts, least, seed), _SCHEMA)
     rows = rows.repartition("seed").sortWithinPartitions("seed").mapInArrow(_neighbours(least), _SCHEMA)
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.when(F.col("kind") == _SPAN, F.struct(F.col("at").alias("first"), F.col("left").alias("last"))))),
         F.expr("cast(array() as array<struct<first:int,last:int>>)"),
         _join_spans,
     )
-    spans = rows.groupBy("doc_id").agg(
+    spans = rows.groupBy("doc_id", "print").agg(
         F.max(F.when(F.col("kind") == _SIZE, F.col("at"))).cast("long").alias("n_words"), merged.alias("spans")
     )
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
-    return spans.select("doc_id", "n_words", "spans", removed.alias("n_removed"))
+    return spans.select("doc_id", "print", "n_words", "spans", removed.alias("n_removed"))
 
 
 def _join_spans(done, span):
@@ -237,35 +264,33 @@ def _join_spans(done, span):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import re
-
-    word = re.compile(rb"[^\x20\x09-\x0D]+")
     for batch in batches:
         out = []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            places = [m.span() for m in word.finditer(data)]
-            kept, at = [], 0
+        for k, spans in enumerate(batch.column(2).to_pylist()):
+            scan = common.Scan(batch.column(1).slice(k, 1))
+            data, kept, at = scan.data.tobytes(), [], 0
             for s in spans:
-                kept.append(data[at : places[s["first"]][0]])
-                at = places[s["last"] - 1][1]
-            out.append(b"".join([*kept, data[at:]]).decode("utf-8", "surrogatepass"))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "_text"])
+                kept.append(data[at : scan.starts[s["first"]]])
+                at = int(scan.ends[s["last"] - 1])
+            out.append(b"".join([*kept, data[at:]]).decode("utf-8", "replace"))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(out, pa.string())], ["__cut_doc", "__cut_print", "__cut_text"])
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
     """`docs` with repeated passages cut out of their texts; every column stays. Documents of
     which nothing but white space is left go, unless that was so before. Rows without doc_id
     stay as they are."""
-    spans = repeats(docs, least, seed).where(F.size("spans") > 0).select("doc_id", "spans")
+    spans = repeats(docs, least, seed).where(F.size("spans") > 0).select("doc_id", "print", "spans")
     cut = (
-        common.id_and_text(docs.where("text is not null"))
-        .join(spans, "doc_id")
-        .dropDuplicates(["doc_id"])
-        .select("doc_id", "text", "spans")
-        .mapInArrow(_cut, "doc_id long, _text string")
+        common.documents(docs)
+        .join(spans, ["doc_id", "print"])
+        .dropDuplicates(["doc_id", "print"])
+        .select("doc_id", "text", "spans", "print")
+        .mapInArrow(_cut, "__cut_doc long, __cut_print long, __cut_text string")
     )
-    blank = F.col("_text").rlike(r"\A[\x20\x09-\x0D]*\z")
-    text = F.coalesce("_text", "text").alias("text")
+    blank = F.translate("__cut_text", " \t\n\x0b\x0c\r", "") == ""
+    text = F.coalesce("__cut_text", "text").alias("text")
     columns = [text if c == "text" else F.col(c) for c in docs.columns]
-    return docs.join(cut, "doc_id", "left").where(F.col("_text").isNull() | ~blank).select(*columns)
+    own = docs.withColumn("__cut_own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    found = own.join(cut, (F.col("doc_id").cast("long") == F.col("__cut_doc")) & (F.col("__cut_own") == F.col("__cut_print")), "left")
+    return found.where(F.col("__cut_text").isNull() | ~blank).select(*columns)
