@@ -1,6 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-N-grams of one to three characters are hashed to FEATURES places. The document frequencies
+N-grams of one to three characters are hashed to FEATURES places, or to so many fewer that there
+are no more than WEIGHTS for all languages together. The document frequencies
 behind the IDF come from all training documents. The weights are learnt by
 follow-the-regularised-leader with an L1 and an L2 penalty, on a sample of bounded size, and
 a part of the sample that the weights never saw sets the temperature of the probabilities.
@@ -20,20 +21,27 @@ from . import common
 FEATURES = 1 << 14
 #: Training documents of each language that the weights are fitted on, in expectation.
 PER_LANGUAGE = 600
-#: Languages that are learnt, at most: the most frequent.
-LANGUAGES = 1000
+#: Weights of a model, at most: 4,096 languages have all FEATURES each, and more have fewer.
+WEIGHTS = 1 << 26
+#: Rows of the table of languages that is broadcast; a longer one is joined by its key.
+BROADCAST = 10_000
 UNKNOWN = "und"
 #: Of the follow-the-regularised-leader steps: rate, smoothing, L1 and L2 penalties, epochs.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.05, 0.01, 3
 
 
-def grams(text: str) -> np.ndarray:
+def places_for(languages: int) -> int:
+    """A power of two of places, whose weights for all languages are within WEIGHTS."""
+    return min(FEATURES, 1 << max(4, (WEIGHTS // max(1, languages)).bit_length() - 1))
+
+
+def grams(text: str, places: int) -> np.ndarray:
     """The hashed places of all n-grams of a text, one for each time one occurs."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     one = (c + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     two = (one[:-1] ^ (one[1:] >> np.uint64(7))) * np.uint64(0xC2B2AE3D27D4EB4F)
     three = (two[:-1] ^ (one[2:] >> np.uint64(11))) * np.uint64(0x165667B19E3779F9)
-    return (np.concatenate((one, two, three)) >> np.uint64(64 - FEATURES.bit_length() + 1)).astype(np.int64)
+    return (np.concatenate((one, two, three)) >> np.uint64(64 - places.bit_length() + 1)).astype(np.int64)
 
 
 def has_letter(text: str) -> bool:
@@ -42,31 +50,31 @@ def has_letter(text: str) -> bool:
 
 def features(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, values): log-scaled counts times IDF, of length one."""
-    counts = np.bincount(grams(text), minlength=FEATURES)
+    counts = np.bincount(grams(text, len(idf)), minlength=len(idf))
     at = np.flatnonzero(counts)
     value = np.log1p(counts[at]) * idf[at]
     return at, value / max(float(np.sqrt(value @ value)), 1e-12)
 
 
-def document_frequencies(docs: DataFrame) -> np.ndarray:
+def document_frequencies(docs: DataFrame, places: int) -> np.ndarray:
     """[number of documents, then the documents that hold each place] over all rows of doc_id
     and text: each task sums its own, and Spark sums the tasks' by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(FEATURES, np.int64), 0
+        total, n = np.zeros(places, np.int64), 0
         for _, texts in common.chunks(batches):
             for text in texts:
-                seen = np.zeros(FEATURES, bool)
-                seen[grams(text)] = True
+                seen = np.zeros(places, bool)
+                seen[grams(text, places)] = True
                 total += seen
                 n += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((at, [FEATURES]))), pa.array(np.concatenate((total[at], [n])))], ["place", "n"]
+            [pa.array(np.concatenate((at, [places]))), pa.array(np.concatenate((total[at], [n])))], ["place", "n"]
         )
 
     rows = docs.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(FEATURES + 1, np.int64)
+    out = np.zeros(places + 1, np.int64)
     out[rows["place"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return np.roll(out, 1)
 
@@ -74,9 +82,10 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 class Leader:
     """Follow-the-regularised-leader for softmax regression with elastic-net penalties."""
 
-    def __init__(self, classes: int):
-        self.z = np.zeros((FEATURES + 1, classes))  # the last row is the bias
-        self.n = np.zeros((FEATURES + 1, classes))
+    def __init__(self, places: int, classes: int):
+        self.bias = places  # the last row
+        self.z = np.zeros((places + 1, classes))
+        self.n = np.zeros((places + 1, classes))
 
     def weights(self, at=slice(None)) -> np.ndarray:
         z = self.z[at]
@@ -84,7 +93,7 @@ class Leader:
         return np.where(np.abs(z) <= L1, 0, -(z - np.sign(z) * L1) / scale)
 
     def learn(self, at: np.ndarray, value: np.ndarray, label: int) -> None:
-        at, value = np.append(at, FEATURES), np.append(value, 1.0)
+        at, value = np.append(at, self.bias), np.append(value, 1.0)
         w = self.weights(at)
         p = softmax(value @ w)
         p[label] -= 1
@@ -113,15 +122,17 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     """A model from rows of doc_id, text and lang; rows whose lang is null teach nothing."""
     rows = docs.where("lang is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    frequencies = document_frequencies(rows.select("doc_id", "text"))
+    counts = common.stored(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    languages = counts.count()
+    places = places_for(languages)
+    frequencies = document_frequencies(rows.select("doc_id", "text"), places)
     n = int(frequencies[0])
     if not n:
         return {"languages": []}
     idf = np.log((1 + n) / (1 + frequencies[1:])) + 1
-    shared = docs.sparkSession.sparkContext.broadcast(idf)  # FEATURES numbers
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    shared = docs.sparkSession.sparkContext.broadcast(idf)  # FEATURES numbers at most
     unit = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.join(F.broadcast(counts), "lang").where(unit < F.lit(float(per_language)) / F.col("n"))
+    chosen = rows.join(F.broadcast(counts) if languages <= BROADCAST else counts, "lang").where(unit < F.lit(float(per_language)) / F.col("n"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, langs in common.chunks(batches):
@@ -146,17 +157,18 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
         if not langs:
             return
         names = sorted(set(langs))
-        labels = np.array([names.index(x) for x in langs])
+        number = {name: k for k, name in enumerate(names)}
+        labels = np.array([number[x] for x in langs])
         scrambled = np.argsort(common.mix64(np.array([i or 0 for i in ids], np.int64).astype(np.uint64)), kind="stable")
         held = scrambled[: len(scrambled) // 5]
-        leader = Leader(len(names))
+        leader = Leader(places, len(names))
         for _ in range(EPOCHS):
             for k in scrambled[len(held) :]:
                 leader.learn(at[k], value[k], labels[k])
         w = leader.weights()
         scale = 1.0
         if len(held):
-            logits = np.stack([value[k] @ w[at[k]] + w[FEATURES] for k in held])
+            logits = np.stack([value[k] @ w[at[k]] + w[places] for k in held])
             scale = temperature(logits, labels[held])
         yield pa.RecordBatch.from_arrays(
             [pa.array([names]), pa.array([w.astype("<f4").tobytes()]), pa.array([scale])], ["languages", "weights", "scale"]
@@ -170,7 +182,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     return {
         "languages": names,
         "idf": idf,
-        "weights": np.frombuffer(model["weights"], "<f4").reshape(FEATURES + 1, len(names)).astype(float),
+        "weights": np.frombuffer(model["weights"], "<f4").reshape(places + 1, len(names)).astype(float),
         "scale": model["scale"],
     }
 
@@ -182,7 +194,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     language. Rows that repeat a doc_id are predicted each; an empty table gives an empty one.
     """
     names = model["languages"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # WEIGHTS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -193,7 +205,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                     found.append((UNKNOWN, 0.0))
                     continue
                 at, value = features(text, m["idf"])
-                p = softmax(m["scale"] * (value @ m["weights"][at] + m["weights"][FEATURES]))
+                p = softmax(m["scale"] * (value @ m["weights"][at] + m["weights"][-1]))
                 best = int(np.argmax(p))
                 found.append((names[best], float(p[best])))
             yield pa.RecordBatch.from_arrays(

@@ -1,13 +1,16 @@
-"""Toxicity as ordinal severity: a cumulative-link model over the words of labelled texts.
-
-P(grade > k) = sigmoid(w . x - t_k): one weight for each word, shared by all grades, and
-ordered thresholds t_0 < t_1 < ... The features x say which words a text holds, out of all
-that LEAST_DOCS labelled texts hold; none is left out for being weak. A feature's value is how
-far the word's toxic texts are from the number expected, in units of STEP standard deviations,
-so that the ridge holds back words that tell little. The label itself is yes or no, so a toxic row's grade follows from how many different markers it
-holds, words of which more than half of the texts are toxic: FEW and MANY part mild, plain
-and severe. The result is the
-expected grade, and a document is rejected where P(grade > 0) is at least one half.
+"""Toxicity as ordinal severity: a cumulative-link model over words and beginnings of words.
+
+P(grade > k) = sigmoid(w . x - t_k): one weight for each feature, shared by all grades, and
+ordered thresholds t_0 < t_1 < ... The features x say which words a text holds, and which
+beginnings of words, out of all that LEAST_DOCS labelled texts hold; none is left out for being
+weak. A feature's value is how far its toxic texts are from the number expected, in units of
+STEP standard deviations, so that the ridge holds back features that tell little. Features go by
+64 bits of hash.
+
+The label itself is yes or no. A toxic row's grade is learnt on rows that it is not among: each
+half of the labelled texts is scored by a model of the other half, and the half's toxic texts
+are parted by their scores into mild, plain and severe. The result is the expected grade, and a
+document is rejected where P(grade > 0) is at least one half.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,22 +27,31 @@ from . import common
 
 #: Labelled documents that the model is fitted on, at most; they are chosen by a hash of the id.
 SAMPLE = 20_000
-#: The least number of labelled documents of a word, and the unit of a feature's value.
+#: The least number of labelled documents of a feature, and the unit of a feature's value.
 LEAST_DOCS, STEP = 4, 10.0
-FEW, MANY = 3, 5
+#: Bytes of the beginnings of words.
+BEGINNINGS = (4, 5, 7)
 GRADES = 4
+#: Steps of a fit, and of the fits that grade.
+ROUNDS, GRADING = 200, 80
 REJECT_AT = 0.5
+#: Text handled at once, in bytes; a longer document is taken alone.
+CHUNK = 1 << 20
 
-_SPACED = bytes(c if chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256))
+#: What parts words: ASCII but for letters and digits.
+_GAP = np.array([c < 0x80 and not chr(c).isalnum() for c in range(256)])
 
 
-def words(text: str) -> set[bytes]:
-    """The different words of a text: A-Z lower-cased, ASCII punctuation taken for space."""
-    return set(text.encode("utf-8", "surrogatepass").lower().translate(_SPACED).split())
+def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the features of a column of texts, repeats included."""
+    scan = common.Scan(column, BEGINNINGS, _GAP)
+    row = np.repeat(np.arange(len(column)), scan.per_row())
+    return np.concatenate([row, *[row[at] for at, _ in scan.begun]]), np.concatenate([scan.hashes, *[h for _, h in scan.begun]])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """toxic (0/1), words: of up to `sample` labelled documents, each different text once."""
+    """print, toxic (0/1), features: of up to `sample` labelled documents; equal texts with one
+    label once. A document is toxic if one of its labels says so."""
     known = labels.where("doc_id is not null and toxic is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") != 0).cast("int").alias("toxic")
     )
@@ -46,40 +59,23 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+        for part in common.slices(batches, CHUNK):
+            row, found = features(part.column(1))
+            order = np.lexsort((found, row))
+            row, found = row[order], found[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=part.num_rows)))).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[new].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), held], ["print", "toxic", "features"])
 
-        for _, texts, toxic in common.chunks(batches):
-            found = [list(words(t)) for t in texts]
-            prints = [xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in texts]
-            # a word that is not UTF-8, of a broken surrogate, is no marker
-            found = [[w.decode("utf-8", "ignore") for w in f] for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(prints, pa.int64()), pa.array(toxic, pa.int32()), pa.array(found, pa.list_(pa.string()))],
-                ["print", "toxic", "words"],
-            )
-
-    rows = common.id_and_text(docs).join(F.broadcast(known), "doc_id")  # `sample` rows at most
-    return (
-        rows.select("doc_id", "text", "toxic")
-        .mapInArrow(run, "print long, toxic int, words array<string>")
-        .dropDuplicates(["print"])
-        .select("toxic", "words")
-    )
-
-
-def vocabulary(rows: DataFrame) -> list[str]:
-    """The words that LEAST_DOCS rows hold, if some rows are toxic and some are not; `rows` are
-    a bounded sample."""
-    totals = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
-    if not totals["t"] or totals["t"] == totals["n"]:
-        return []
-    counts = rows.select(F.explode("words").alias("word")).groupBy("word").count()
-    return [r["word"] for r in counts.where(F.col("count") >= LEAST_DOCS).orderBy("word").select("word").collect()]
+    rows = common.documents(docs).join(F.broadcast(known), "doc_id")  # `sample` rows at most
+    return rows.select("doc_id", "text", "print", "toxic").mapInArrow(run, "print long, toxic int, features array<long>").dropDuplicates(["print", "toxic"])
 
 
 def evidence(docs: np.ndarray, toxic: np.ndarray, rate: float) -> np.ndarray:
-    """How far `toxic` of a word's `docs` texts are from the `rate` of all texts."""
-    return np.abs(toxic - docs * rate) / np.sqrt(docs * rate * (1 - rate)) / STEP
+    """How far `toxic` of a feature's `docs` texts are from the `rate` of all texts."""
+    return np.abs(toxic - docs * rate) / np.sqrt(np.maximum(docs * rate * (1 - rate), 1e-12)) / STEP
 
 
 class _Sparse:
@@ -100,7 +96,7 @@ def _sigmoid(x):
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 400, ridge: float = 1e-4):
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, rounds: int = ROUNDS, ridge: float = 1e-4):
     """(weights, thresholds) of the cumulative-link model by gradient steps on the likelihood.
     The thresholds are a first one and positive gaps, so that they stay in order."""
     n, m = x.shape
@@ -125,49 +121,91 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 400
     return at[:m], np.cumsum(np.concatenate((at[m : m + 1], np.exp(at[m + 1 :]))))
 
 
+def _fitted(row: np.ndarray, column: np.ndarray, toxic: np.ndarray, grade: np.ndarray, grades: int, width: int, rounds: int):
+    """(weight of each feature, thresholds) from the rows of `toxic` and `grade`."""
+    docs_of, toxic_of = np.bincount(column, minlength=width), np.bincount(column, toxic[row], width)
+    value = evidence(docs_of, toxic_of, toxic.mean())
+    w, t = fit_ordinal(_Sparse(row, column, value[column], (len(toxic), width)), grade, grades, rounds)
+    return w * value, t
+
+
+def graded(row: np.ndarray, column: np.ndarray, toxic: np.ndarray, width: int) -> np.ndarray:
+    """0 for a row that is not toxic; of a half's toxic rows 1, 2 or 3 by the thirds of the scores
+    that a model of the other half gives them."""
+    half, grade = np.arange(len(toxic)) % 2, np.zeros(len(toxic), np.int64)
+    place = np.cumsum(half) * half + np.cumsum(1 - half) * (1 - half) - 1  # of a row in its half
+    for k in (0, 1):
+        mine, other = np.flatnonzero(half == k), np.flatnonzero(half != k)
+        score = np.zeros(len(mine))
+        if 0 < toxic[other].sum() < len(other):
+            there = half[row] != k
+            w, _ = _fitted(place[row[there]], column[there], toxic[other], toxic[other], 2, width, GRADING)
+            score = np.bincount(place[row[~there]], w[column[~there]], len(mine))
+        bad = np.flatnonzero(toxic[mine])
+        rank = np.argsort(np.argsort(score[bad], kind="stable"), kind="stable")
+        grade[mine[bad]] = 1 + rank * (GRADES - 1) // max(1, len(bad))
+    return grade
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """{"words": {word: weight}, "thresholds": [...]}, fitted in one task on the bounded sample.
-    Without toxic labels there is no model, and no document is graded above 0."""
+    """{"hashes": sorted features, "weights": theirs, "thresholds": [...]}, fitted in one task on
+    the bounded sample. Unless some labelled texts are toxic and some are not there is no model,
+    and no document is graded above 0."""
     rows = common.stored(labelled(docs, labels, sample))
-    chosen = vocabulary(rows)
-    place = {w: k for k, w in enumerate(chosen)}
-    if not chosen:
-        return {"words": {}, "thresholds": [30.0 + k for k in range(GRADES - 1)]}
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, toxic = [], []
+        prints, toxic, sizes, held = [], [], [], []
         for batch in batches:
-            toxic += batch.column(0).to_pylist()
-            held += [[place[w] for w in found if w in place] for found in batch.column(1).to_pylist()]
-        toxic = np.array(toxic)
-        row, column = np.repeat(np.arange(len(held)), [len(f) for f in held]), np.array([k for f in held for k in f], np.int64)
-        docs_of, toxic_of = np.bincount(column, minlength=len(place)), np.bincount(column, toxic[row], len(place))
-        value = evidence(docs_of, toxic_of, toxic.mean())
-        many = np.bincount(row, (2 * toxic_of > docs_of)[column], len(held))
-        grade = np.where(toxic == 0, 0, 1 + (many >= FEW) + (many >= MANY))
-        w, t = fit_ordinal(_Sparse(row, column, value[column], (len(held), len(place))), grade, GRADES)
-        w = w * value
-        yield pa.RecordBatch.from_arrays([pa.array([w.tolist()]), pa.array([t.tolist()])], ["w", "t"])
-
-    model = rows.coalesce(1).mapInArrow(train, "w array<double>, t array<double>").first()
-    return {"words": dict(zip(chosen, model["w"], strict=True)), "thresholds": list(model["t"])}
+            prints.append(batch.column(0).to_numpy())
+            toxic.append(batch.column(1).to_numpy())
+            sizes.append(pc.list_value_length(batch.column(2)).to_numpy())
+            held.append(pc.list_flatten(batch.column(2)).to_numpy().view(np.uint64))
+        if not prints:
+            return
+        prints, toxic, sizes = np.concatenate(prints), np.concatenate(toxic), np.concatenate(sizes).astype(np.int64)
+        order = np.lexsort((-toxic, prints))
+        kept = order[np.concatenate(([True], prints[order][1:] != prints[order][:-1]))]  # of equal texts the toxic one
+        number = np.full(len(prints), -1)
+        number[kept] = np.arange(len(kept))
+        row, toxic = np.repeat(number, sizes), toxic[kept]
+        if not 0 < toxic.sum() < len(toxic):
+            return
+        hashes, column, count = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        place = np.cumsum(count >= LEAST_DOCS) - 1
+        keep = (row >= 0) & (count >= LEAST_DOCS)[column]
+        row, column, hashes = row[keep], place[column[keep]], hashes[count >= LEAST_DOCS]
+        grade = graded(row, column, toxic, len(hashes))
+        w, t = _fitted(row, column, toxic, grade, GRADES, len(hashes), ROUNDS)
+        yield pa.RecordBatch.from_arrays([pa.array([hashes.tobytes()]), pa.array([w.tobytes()]), pa.array([t.tolist()])], ["h", "w", "t"])
+
+    model = rows.coalesce(1).mapInArrow(train, "h binary, w binary, t array<double>").first()
+    if model is None:
+        return {"hashes": np.empty(0, np.uint64), "weights": np.empty(0), "thresholds": [30.0 + k for k in range(GRADES - 1)]}
+    return {"hashes": np.frombuffer(model["h"], np.uint64), "weights": np.frombuffer(model["w"], float), "thresholds": list(model["t"])}
 
 
 def grade(docs: DataFrame, model: dict) -> DataFrame:
     """One row per document: doc_id, severity (expected grade), p_toxic, grade (most likely),
-    rejected. A null or empty text holds no word. Rows that repeat a doc_id or have none are
+    rejected. A null or empty text holds no feature. Rows that repeat a doc_id or have none are
     graded like any other; an empty table gives an empty one."""
-    weights = {w.encode(): v for w, v in model["words"].items()}
+    shared = docs.sparkSession.sparkContext.broadcast((model["hashes"], model["weights"]))  # of a bounded sample
     thresholds = np.array(model["thresholds"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in common.chunks(batches):
-            s = np.array([sum(weights[w] for w in sorted(weights.keys() & words(t))) for t in texts], float)
+        hashes, weights = shared.value
+        for part in common.slices(batches, CHUNK):
+            s = np.zeros(part.num_rows)
+            if len(hashes):
+                row, found = features(part.column(1))
+                at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+                held = hashes[at] == found
+                each = np.unique(row[held] * len(hashes) + at[held])
+                s = np.bincount(each // len(hashes), weights[each % len(hashes)], part.num_rows)
             over = _sigmoid(s[:, None] - thresholds[None, :])
             each = np.diff(np.concatenate((np.ones((len(s), 1)), over, np.zeros((len(s), 1))), axis=1), axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()),
+                    part.column(0),
                     pa.array(over.sum(axis=1)),
                     pa.array(over[:, 0]),
                     pa.array((-each).argmax(axis=1).astype(np.int32)),
