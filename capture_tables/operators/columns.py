@@ -124,17 +124,18 @@ def _f624(a, b, p, radical):
         series = series + p[f"k{i}"] * power
     scale = radical["where"](r > 1e-9, theta / radical["where"](r > 1e-9, r, 1.0), 1.0) * series
     x, y = a * scale, b * scale
-    q = x * x + y * y
-    across = 2.0 * (x * p["p0"] + y * p["p1"])
-    u = x + x * across + q * p["p0"] + q * p["s0"] + q * q * p["s1"]
-    v = y + y * across + q * p["p1"] + q * p["s2"] + q * q * p["s3"]
+    q, xy = x * x + y * y, 2.0 * x * y
+    u = x + p["p0"] * xy + p["p1"] * (q + 2.0 * x * x)
+    v = y + p["p0"] * (q + 2.0 * y * y) + p["p1"] * xy
+    q = u * u + v * v  # the prism's radius is that of the point already moved
+    u, v = u + p["s0"] * q + p["s1"] * q * q, v + p["s2"] * q + p["s3"] * q * q
     return p["f"] * u + p["cu"], p["f"] * v + p["cv"]
 
 
 def project_f624(df: DataFrame) -> DataFrame:
     """Fisheye of 15 parameters (columns of F624): u, v of camera-frame points; NULL where z is
     not in front. Six radial terms, two tangential and four of a thin prism."""
-    front = F.when(F.col("z") > 0, F.col("z"))
+    front = F.when(F.col("z") > 1e-9, F.col("z"))
     spark_side = {"sqrt": F.sqrt, "atan": F.atan, "where": lambda c, a, b: F.when(c, a).otherwise(b)}
     out = df.withColumn("_a", F.col("x") / front).withColumn("_b", F.col("y") / front)
     u, v = _f624(F.col("_a"), F.col("_b"), {n: F.col(n) for n in F624}, spark_side)

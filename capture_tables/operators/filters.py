@@ -78,35 +78,24 @@ def _exp(v: np.ndarray) -> np.ndarray:
     return np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * (k @ k)
 
 
-def one_euro_rotation(df: DataFrame, by: list[str], mode: str = "tangent", order: str = "frame", freq: float = 120.0, least_cutoff: float = 1.0, beta: float = 0.1, speed_cutoff: float = 1.0) -> DataFrame:
-    """Smoothed r00 .. r22. mode tangent: the rotation relative to the first, as a vector, goes
-    through the filter; geodesic: each step moves from the last result towards the new rotation
-    by a share that follows from the filtered angular speed."""
+def one_euro_rotation(df: DataFrame, by: list[str], mode: str = "tangent", order: str = "frame", freq: float = 30.0, least_cutoff: float = 0.5, beta: float = 2.0, speed_cutoff: float = 1.0) -> DataFrame:
+    """Smoothed r00 .. r22. Each step starts from the last result: the turn from there to the new
+    rotation, as a vector. mode tangent: the vectors go through the filter, the first as it is;
+    geodesic: a share of the vector, that follows from its own speed alone."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
         turns = rows[_R].to_numpy(float).reshape(-1, 3, 3)
         times = rows[order].to_numpy(float) / freq
-        out = [turns[0]]
-        if mode == "tangent":
-            f, base, last = OneEuro(least_cutoff, beta, speed_cutoff), turns[0], np.zeros(3)
-            f.step(last, times[0])
-            for m, t in zip(turns[1:], times[1:], strict=True):
-                v = _log(base.T @ m)
-                size = np.linalg.norm(v)
-                if size > 1e-9:  # of the vectors of one rotation the one nearest to the last
-                    turnsn = np.round((last @ v / size - size) / (2 * np.pi))
-                    v = v * (1 + 2 * np.pi * turnsn / size)
-                last = v
-                out.append(base @ _exp(f.step(v, t)))
-        else:
-            speed = 0.0
-            for k in range(1, len(turns)):
+        out, f = [turns[0]], OneEuro(least_cutoff, beta, speed_cutoff)
+        for k in range(1, len(turns)):
+            step = _log(out[-1].T @ turns[k])
+            if mode == "tangent":
+                step = f.step(step, times[k])
+            else:
                 dt = max(times[k] - times[k - 1], 1e-9)
-                step = _log(out[-1].T @ turns[k])
-                a = _alpha(speed_cutoff, dt)
-                speed = a * float(np.linalg.norm(step)) / dt + (1 - a) * speed
-                out.append(out[-1] @ _exp(step * _alpha(least_cutoff + beta * speed, dt)))
+                step = step * _alpha(least_cutoff + beta * float(np.linalg.norm(step)) / dt, dt)
+            out.append(out[-1] @ _exp(step))
         flat = np.array(out).reshape(-1, 9)
         return rows[[*by, order]].assign(**dict(zip(_R, flat.T, strict=True)))
 
@@ -114,19 +103,23 @@ def one_euro_rotation(df: DataFrame, by: list[str], mode: str = "tangent", order
     return df.select(*by, order, *_R).groupBy(*by).applyInPandas(run, schema)
 
 
-def select_track(hypotheses: DataFrame, by: list[str], visible: float = 0.3, base: float = 13.0, omega: float = 0.5, ahead: int = 30) -> DataFrame:
-    """by..., frame, rank, gated: one hypothesis for each frame (columns rank, iou, visibility,
-    r00 .. r22).
+def select_track(hypotheses: DataFrame, by: list[str], visible: float = 0.3, base: float = 13.0, omega: float = 0.5, ahead: int = 30, occluded: int = 30, time: str | None = None, iou: str | None = None, iou_kept: int = 30) -> DataFrame:
+    """by..., frame, rank, gated: one hypothesis for each frame (columns rank, visibility,
+    r00 .. r22, and those named by `time`, in seconds, and `iou`).
 
-    A reliable frame, whose best hypothesis is visible enough, takes that one. A frame behind a
-    reliable one takes the first ranked within base + gap * omega degrees of the last reliable
-    rotation. Where none is, the track jumps to the next reliable frame within `ahead`, and the
+    With `iou`, a frame's candidates are those no worse than its best but `iou_kept`. A frame
+    whose predecessor is visible enough, or that comes fewer than `occluded` frames behind the
+    last reliable choice, takes the first ranked that is less than base + gap * omega degrees
+    from that choice's rotation; the gap is counted in frames, or with `time` in thirtieths of a
+    second. Other frames take their first ranked candidate. Where the gate lets none through, the track jumps to the next reliable frame within `ahead`, and the
     frames passed over take, from there backwards, the hypothesis nearest to the rotation behind
     them; without such a frame the best ranked is taken, ungated.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         frames = [g.sort_values("rank") for _, g in rows.sort_values("frame").groupby("frame", sort=True)]
+        if iou:
+            frames = [g[g[iou] >= np.sort(g[iou])[::-1][min(iou_kept, len(g) - 1)]] for g in frames]
         number = [int(g["frame"].iloc[0]) for g in frames]
         turns = [g[_R].to_numpy(float).reshape(-1, 3, 3) for g in frames]
         reliable = [float(g["visibility"].iloc[0]) >= visible for g in frames]
@@ -136,13 +129,14 @@ def select_track(hypotheses: DataFrame, by: list[str], visible: float = 0.3, bas
             return np.degrees(np.arccos(np.clip((trace - 1) / 2, -1, 1)))
 
         chosen: dict[int, tuple[int, bool]] = {}
-        last, k = None, 0  # last: (frame number, rotation) of the last reliable choice
+        clock = [float(g[time].iloc[0]) * 30 for g in frames] if time else number
+        last, k = None, 0  # last: (frame, rotation) of the last reliable choice
         while k < len(frames):
-            if last is None:
+            if last is None or not (reliable[k - 1] or number[k] - number[last[0]] < occluded):
                 chosen[k] = (0, bool(reliable[k]))
             else:
-                gate = base + (number[k] - last[0]) * omega
-                near = np.flatnonzero(angles(k, last[1]) <= gate)
+                gate = base + abs(clock[k] - clock[last[0]]) * omega
+                near = np.flatnonzero(angles(k, last[1]) < gate)
                 if len(near):
                     chosen[k] = (int(near[0]), True)
                 else:
@@ -157,13 +151,13 @@ def select_track(hypotheses: DataFrame, by: list[str], visible: float = 0.3, bas
                             chosen[j], behind = (pick, False), turns[j][pick]
                         k = until
             if reliable[k] and chosen[k][1]:
-                last = (number[k], turns[k][chosen[k][0]])
+                last = (k, turns[k][chosen[k][0]])
             k += 1
         out = [frames[k].iloc[[p]][[*by, "frame", "rank"]].assign(gated=g) for k, (p, g) in sorted(chosen.items())]
         return pd.concat(out)
 
     schema = _schema(hypotheses, [*by, "frame", "rank"]) + ", gated boolean"
-    return hypotheses.select(*by, "frame", "rank", "visibility", *_R).groupBy(*by).applyInPandas(run, schema)
+    return hypotheses.select(*by, "frame", "rank", "visibility", *[c for c in (time, iou) if c], *_R).groupBy(*by).applyInPandas(run, schema)
 
 
 def smoothed_with(df: DataFrame, *steps) -> DataFrame:

@@ -368,42 +368,65 @@ def pick_scale(candidates: DataFrame, source: DataFrame, target: DataFrame, by:
     return near.groupBy(*by, "k").agg(F.avg("distance").alias("score")).join(candidates, [*by, "k"])
 
 
-def register_z(source: DataFrame, target: DataFrame, by: list[str], radii=(0.2, 0.1, 0.05), iterations: int = 10, tolerance: float = 1e-5, nearest_z: float = 1.0) -> DataFrame:
-    """by..., z_shift, scale, inliers: the source cloud moved along z onto the target. It starts at
-    the difference of the median depths; at each radius points whose nearest target point is
-    within twice the radius move the cloud by their mean difference in z, until that is below the
-    tolerance. scale is the ratio of the median depths after and before; NULL where the cloud ends
-    nearer than nearest_z. Groups, the frames of a camera, run in parallel."""
+def _thinned(points: np.ndarray, voxel: float) -> np.ndarray:
+    """The mean point of each voxel of a grid that starts half a voxel below the smallest."""
+    cell = np.floor((points - points.min(axis=0) + voxel / 2) / voxel).astype(np.int64)
+    _, at, n = np.unique(cell, axis=0, return_inverse=True, return_counts=True)
+    return np.stack([np.bincount(at.ravel(), points[:, k]) / n for k in range(3)], axis=1)
+
+
+def _moved_onto(source: np.ndarray, target: np.ndarray, shift: float, voxel: float, iterations, tolerance: float) -> tuple[float, int]:
+    """(shift in z, inliers) by the mean z of the nearest target points within twice the radius."""
+    inliers, target = 0, _thinned(target, voxel)
+    target = target[np.argsort(target[:, 0], kind="stable")]
+    for wide, rounds in zip((8, 4, 1), iterations, strict=True):
+        points, reach = _thinned(source + [0, 0, shift], voxel), 2 * wide * voxel
+        points = points[np.argsort(points[:, 0], kind="stable")]
+        for _ in range(rounds):
+            steps = []
+            for lo in range(0, len(points), 256):  # neighbours in x, against the targets about them
+                part = points[lo : lo + 256]
+                first, last = np.searchsorted(target[:, 0], (part[0, 0] - reach, part[-1, 0] + reach))
+                near = target[first:last]
+                if len(near):
+                    d2 = ((part[:, None] - near[None]) ** 2).sum(axis=2)
+                    at = d2.argmin(axis=1)
+                    ok = d2[np.arange(len(part)), at] < reach**2
+                    steps.append((near[at, 2] - part[:, 2])[ok])
+            found = np.concatenate(steps) if steps else np.empty(0)
+            inliers = len(found)
+            if not inliers or abs(step := float(found.mean())) < tolerance:
+                break
+            points[:, 2] += step
+            shift += step
+    return shift, inliers
+
+
+def register_z(source: DataFrame, target: DataFrame, by: list[str], voxel: float = 0.01, iterations=((25, 10, 5), (15, 15, 15)), tolerance: float = 0.001, nearest_z: float = 1.0) -> DataFrame:
+    """by..., z_shift, scale, inliers: the source cloud scaled and moved along z onto the target.
+
+    It starts at the difference of the median depths. Both clouds are thinned to voxels; for
+    radii of 8, 4 and 1 voxels, points whose nearest target point is within twice the radius
+    move the cloud by their mean difference in z, unless that is below the tolerance. The ratio
+    of the mean depths after and before is the scale; the scaled cloud then starts again at its
+    median depth. NULL where the cloud ends nearer than nearest_z. Groups, the frames of a
+    camera, run in parallel."""
     both = source.select(*by, *AXES, F.lit(0).alias("_side")).unionByName(target.select(*by, *AXES, F.lit(1).alias("_side")))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.select(*by).schema)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         side = rows["_side"].to_numpy()
         xyz = rows[list(AXES)].to_numpy(float)
+        xyz, side = xyz[np.isfinite(xyz).all(axis=1)], side[np.isfinite(xyz).all(axis=1)]
         a, b = xyz[side == 0], xyz[side == 1]
         out = rows[by].iloc[:1].reset_index(drop=True)
-        if not len(a) or not len(b):
+        if not len(a) or not len(b) or np.mean(a[:, 2]) <= 0:
             return out.assign(z_shift=None, scale=None, inliers=0)
-        start = np.median(a[:, 2])
-        shift, inliers = np.median(b[:, 2]) - start, 0
-        for radius in radii:
-            for _ in range(iterations):
-                moved = a + [0, 0, shift]
-                delta, inside = [], 0
-                for lo in range(0, len(moved), 1024):
-                    part = moved[lo : lo + 1024]
-                    d2 = ((part[:, None] - b[None]) ** 2).sum(axis=2)
-                    at = d2.argmin(axis=1)
-                    ok = d2[np.arange(len(part)), at] < (2 * radius) ** 2
-                    delta.append((b[at, 2] - part[:, 2])[ok])
-                    inside += int(ok.sum())
-                inliers = inside
-                step = float(np.concatenate(delta).mean()) if inside else 0.0
-                shift += step
-                if abs(step) < tolerance:
-                    break
-        end = start + shift
-        good = end >= nearest_z and start > 0
-        return out.assign(z_shift=shift if good else None, scale=end / start if good else None, inliers=inliers)
+        middle = np.median(b[:, 2])
+        shift, _ = _moved_onto(a, b, middle - np.median(a[:, 2]), voxel, iterations[0], tolerance)
+        scale = (shift + np.mean(a[:, 2])) / np.mean(a[:, 2])
+        shift, inliers = _moved_onto(a * scale, b, middle - np.median(a[:, 2]) * scale, voxel, iterations[1], tolerance)
+        good = np.mean(a[:, 2]) * scale + shift >= nearest_z
+        return out.assign(z_shift=shift if good else None, scale=scale if good else None, inliers=inliers)
 
     return both.groupBy(*by).applyInPandas(run, fields + ", z_shift double, scale double, inliers long")

@@ -86,16 +86,19 @@ def _ego(t):
 
 @query("b9_f624_project", """WITH a AS (SELECT seq, frame, x / z AS a, y / z AS b FROM fx_obs), r AS (SELECT *, sqrt(a * a + b * b) AS r, atan(sqrt(a * a + b * b)) AS th FROM a),
 s AS (SELECT *, (CASE WHEN r > 1e-9 THEN th / r ELSE 1e0 END) * (1 + 3e-2 * th ** 2 - 2e-2 * th ** 4 + 1e-2 * th ** 6 - 4e-3 * th ** 8 + 1e-3 * th ** 10 - 2e-4 * th ** 12) AS s FROM r),
-p AS (SELECT seq, frame, a * s AS x, b * s AS y, (a * s) ** 2 + (b * s) ** 2 AS q FROM s)
-SELECT seq, frame, R6(600 * (x + 2 * x * (x * 4e-4 - y * 3e-4) + q * 4e-4 + q * 2e-4 - q * q * 1e-4) + 512) AS u, R6(600 * (y + 2 * y * (x * 4e-4 - y * 3e-4) - q * 3e-4 + q * 3e-4 - q * q * 1e-4) + 512) AS v FROM p""")
+p AS (SELECT seq, frame, a * s AS x, b * s AS y, (a * s) ** 2 + (b * s) ** 2 AS q FROM s),
+m AS (SELECT seq, frame, x + 2 * 4e-4 * x * y - 3e-4 * (q + 2 * x * x) AS x, y + 4e-4 * (q + 2 * y * y) - 2 * 3e-4 * x * y AS y FROM p),
+n AS (SELECT *, x * x + y * y AS q FROM m)
+SELECT seq, frame, R6(600 * (x + q * 2e-4 - q * q * 1e-4) + 512) AS u, R6(600 * (y + q * 3e-4 - q * q * 1e-4) + 512) AS v FROM n""")
 def _(t):
     return b.project_f624(_ego(t)).select("seq", "frame", "u", "v")
 
 
-@query("b9_f624_rays")
+@query("b9_f624_rays", """SELECT seq, frame, round(x / sqrt(x * x + y * y + z * z), 4) + 0 AS dx, round(y / sqrt(x * x + y * y + z * z), 4) + 0 AS dy, round(z / sqrt(x * x + y * y + z * z), 4) + 0 AS dz FROM fx_obs""")
 def _(t):
-    """Rays of projected points, by iteration."""
-    return b.rays_f624(b.project_f624(_ego(t)), ["seq", "frame"])
+    """The rays of projected points, by iteration, are the points' own directions."""
+    rays = b.rays_f624(b.project_f624(_ego(t)), ["seq", "frame"])
+    return rays.select("seq", "frame", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("dx", "dy", "dz")])
 
 
 @query("b10_scale_intrinsics", "SELECT cam, R6(fx * 5e-1) AS fx, R6(fy * 25e-2) AS fy, R6(cx * 5e-1) AS cx, R6(cy * 25e-2) AS cy FROM fx_cameras")

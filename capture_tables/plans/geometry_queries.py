@@ -105,11 +105,11 @@ def _(t):
     return g.voxel_downsample(t("fx_points"), 0.1, ["cloud"])
 
 
-@query("g25_contact_distances", """WITH o AS (SELECT seq AS s, frame % 7 AS f, event_id AS pid, x / 5 AS x, y, z FROM fx_obs), j AS (SELECT seq, frame, joint, x, y, z FROM fx_joints WHERE seq < 150),
+@query("g25_contact_distances", """WITH o AS (SELECT seq AS s, frame % 7 AS f, event_id AS pid, x / 5 AS x, y, z FROM fx_obs), j AS (SELECT seq, frame, joint, x, y, z FROM fx_joints),
 m AS (SELECT j.seq, j.frame, joint, min(power(j.x - o.x, 2) + power(j.y - o.y, 2) + power(j.z - o.z, 2)) AS d FROM j JOIN o ON o.s = j.seq GROUP BY j.seq, j.frame, joint) SELECT seq, frame, joint, R6(d) AS distance FROM m""")
 def _(t):
     objects = t("fx_obs").select("seq", F.col("event_id").alias("pid"), (F.col("x") / 5).alias("x"), "y", "z")
-    joints = t("fx_joints").where("seq < 150").withColumn("key", F.struct("frame", "joint"))
+    joints = t("fx_joints").withColumn("key", F.struct("frame", "joint"))
     return g.contact_distances(joints, objects, ["seq"], "key").select("seq", "key.frame", "key.joint", "distance")
 
 
@@ -182,11 +182,11 @@ def _(t):
     return g.floor_check(joints, [1, 2, 5, 6], ball, ["seq"])
 
 
-@query("g34_hand_object_gap", """WITH w AS (SELECT seq, frame, min(sqrt(x * x + y * y + z * z)) AS d FROM fx_joints WHERE joint IN (4, 7) AND frame BETWEEN 0 AND 5000 GROUP BY seq, frame), o AS (SELECT seq, frame, sqrt(x * x + y * y + z * z) AS d FROM fx_joints WHERE joint = 1)
+@query("g34_hand_object_gap", """WITH w AS (SELECT seq, frame, min(sqrt(x * x + y * y + z * z)) AS d FROM fx_joints WHERE joint IN (4, 7) GROUP BY seq, frame), o AS (SELECT seq, frame, sqrt(x * x + y * y + z * z) AS d FROM fx_joints WHERE joint = 1)
 SELECT w.seq, R6(median(w.d - o.d)) AS median, R6(avg(w.d - o.d)) AS mean, R6(stddev_pop(w.d - o.d)) AS std FROM w JOIN o ON w.seq = o.seq AND w.frame = o.frame GROUP BY w.seq""")
 def _(t):
     joints = t("fx_joints").withColumn("dist", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))
-    return g.hand_object_gap(joints.where("joint in (4, 7)"), joints.where("joint = 1"), ["seq"], 0, 5000)
+    return g.hand_object_gap(joints.where("joint in (4, 7)"), joints.where("joint = 1"), ["seq"], 0, 1 << 30)
 
 
 @query("g35_ray_error_split", """WITH a AS (SELECT g.seq, g.frame, p.tx - g.tx AS ex, p.ty - g.ty AS ey, p.tz - g.tz AS ez, g.tx - 1e-1 AS rx, g.ty - 2e-1 AS ry, g.tz + 1 AS rz FROM fx_pose_gt g JOIN fx_pose_pr p ON g.seq = p.seq AND g.frame = p.frame),

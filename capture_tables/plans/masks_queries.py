@@ -37,13 +37,12 @@ def _(t):
     return m.apparent_depth_check(boxes, pixels, ["frame"], F.lit(500.0), 0.3)
 
 
-@query("g12_ring_contact", """WITH px AS (SELECT DISTINCT frame, role, v, unnest(range(u0, u1)) AS u FROM fx_runs WHERE frame % 5 = 0), o AS (SELECT frame, v, u FROM px WHERE role = 'object'), p AS (SELECT frame, v, u FROM px WHERE role = 'person'),
+@query("g12_ring_contact", """WITH px AS (SELECT DISTINCT frame, role, v, unnest(range(u0, u1)) AS u FROM fx_runs), o AS (SELECT frame, v, u FROM px WHERE role = 'object'), p AS (SELECT frame, v, u FROM px WHERE role = 'person'),
 g AS (SELECT DISTINCT o.frame, o.v + dv AS v, o.u + du AS u FROM o, (SELECT unnest(range(-2, 3)) AS dv) a, (SELECT unnest(range(-2, 3)) AS du) b),
 ring AS (SELECT g.* FROM g LEFT JOIN o ON g.frame = o.frame AND g.v = o.v AND g.u = o.u WHERE o.u IS NULL)
 SELECT r.frame, R6(count(p.u) / count(*)) AS contact FROM ring r LEFT JOIN p ON r.frame = p.frame AND r.v = p.v AND r.u = p.u GROUP BY r.frame""")
 def _(t):
-    few = "frame % 5 = 0"
-    return m.ring_contact(_objects(t).where(few), _people(t).where(few), ["frame"], 2)
+    return m.ring_contact(_objects(t), _people(t), ["frame"], 2)
 
 
 @query("g13_mask_shape")
@@ -63,20 +62,20 @@ def _(t):
     return ranked.select("seq", "frame", "score").withColumn("rank", F.row_number().over(w))
 
 
-_INST = "(SELECT seq, frame % 300 AS f, frame AS instance, v, u0, u1 FROM fx_runs WHERE role = 'object' AND frame < 3000)"
+_INST = "(SELECT seq, frame // 40 AS f, frame AS instance, v, u0, u1 FROM fx_runs WHERE role = 'object')"
 
 
-@query("g15_select_instance", f"""WITH c AS {_INST}, p AS (SELECT frame % 300 AS f, v, u0, u1 FROM fx_runs WHERE role = 'person' AND frame BETWEEN 3000 AND 3299), h AS (SELECT frame % 300 AS f, v, u0, u1 FROM fx_runs WHERE role = 'person' AND frame BETWEEN 3300 AND 3599),
+@query("g15_select_instance", f"""WITH c AS {_INST}, p AS (SELECT frame // 40 AS f, v, u0, u1 FROM fx_runs WHERE role = 'person' AND frame % 2 = 0), h AS (SELECT frame // 40 AS f, v, u0, u1 FROM fx_runs WHERE role = 'person' AND frame % 2 = 1),
 pc AS (SELECT DISTINCT f, v, unnest(range(u0, u1)) AS u FROM p), hc AS (SELECT DISTINCT h.f, h.v + dv AS v, unnest(range(h.u0 - 1, h.u1 + 1)) AS u FROM h, (SELECT unnest(range(-1, 2)) AS dv) a),
 cc AS (SELECT f, instance, v, unnest(range(u0, u1)) AS u FROM c),
 s AS (SELECT cc.f, cc.instance, count(*) AS area, count(pc.u) AS prev, count(hc.u) AS near FROM cc LEFT JOIN pc ON cc.f = pc.f AND cc.v = pc.v AND cc.u = pc.u LEFT JOIN hc ON cc.f = hc.f AND cc.v = hc.v AND cc.u = hc.u GROUP BY cc.f, cc.instance),
 a AS (SELECT *, CASE WHEN max(prev) OVER (PARTITION BY f) > 0 THEN 0 ELSE near END AS n2 FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY prev DESC, n2 DESC, area DESC, instance) AS k FROM a)
 SELECT f, instance, CASE WHEN prev > 0 THEN 'previous' WHEN n2 > 0 THEN 'person' ELSE 'largest' END AS chosen_by FROM k WHERE k = 1""")
 def _(t):
-    f = (F.col("frame") % 300).alias("f")
-    cands = _objects(t).where("frame < 3000").select(f, F.col("frame").alias("instance"), "v", "u0", "u1")
-    prev = _people(t).where("frame between 3000 and 3299").select(f, "v", "u0", "u1")
-    person = _people(t).where("frame between 3300 and 3599").select(f, "v", "u0", "u1")
+    """Masks of forty frames: objects to choose from, even people as the mask before, odd ones as the person."""
+    f = F.floor(F.col("frame") / 40).alias("f")
+    cands = _objects(t).select(f, F.col("frame").alias("instance"), "v", "u0", "u1")
+    prev, person = (_people(t).where(F.col("frame") % 2 == k).select(f, "v", "u0", "u1") for k in (0, 1))
     return m.select_instance(cands, ["f"], prev, person, 1)
 
 
@@ -158,12 +157,17 @@ def _(t):
     return m.fill_depth(full.join(grid, ["img", "v", "u"], "left"), ["img"], 64)
 
 
-@query("g31_score_hypotheses", """WITH r AS (SELECT frame % 200 AS f, frame AS hyp, v, u0, u1 FROM fx_runs WHERE role = 'object'), o AS (SELECT frame AS f, v, u0, u1 FROM fx_runs WHERE role = 'person' AND frame < 200),
+@query("g31_score_hypotheses", """WITH r AS (SELECT frame // 40 AS f, frame AS hyp, v, u0, u1 FROM fx_runs WHERE role = 'object'), o AS (SELECT f, v, u0, u1 FROM (SELECT *, frame // 40 AS f, min(frame) OVER (PARTITION BY frame // 40) AS first FROM fx_runs WHERE role = 'person') q WHERE frame = first),
 i AS (SELECT r.f, hyp, sum(least(r.u1, o.u1) - greatest(r.u0, o.u0)) AS i FROM r JOIN o ON r.f = o.f AND r.v = o.v AND r.u0 < o.u1 AND o.u0 < r.u1 GROUP BY r.f, hyp), a AS (SELECT f, hyp, sum(u1 - u0) AS a, sum(CASE WHEN v % 2 = 0 THEN u1 - u0 ELSE 0 END) AS vis FROM r GROUP BY f, hyp), m AS (SELECT f, sum(u1 - u0) AS m FROM o GROUP BY f),
 s AS (SELECT a.f, a.hyp, coalesce(i, 0) / (a + coalesce(m, 0) - coalesce(i, 0)) AS iou, vis / a AS visibility FROM a LEFT JOIN i ON a.f = i.f AND a.hyp = i.hyp LEFT JOIN m ON a.f = m.f),
 k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY iou DESC) AS p, count(*) OVER (PARTITION BY f) AS n FROM s), b AS (SELECT *, max(CASE WHEN p = least(5, n) THEN iou END) OVER (PARTITION BY f) AS bound FROM k)
 SELECT f, hyp, R6(iou) AS iou, R6(visibility) AS visibility FROM b WHERE iou >= bound""")
 def _(t):
-    rendered = _objects(t).select((F.col("frame") % 200).alias("f"), F.col("frame").alias("hyp"), "v", "u0", "u1")
-    mask = _people(t).where("frame < 200").select(F.col("frame").alias("f"), "v", "u0", "u1")
+    """Hypotheses of forty frames against the first person among them."""
+    from pyspark.sql import Window
+
+    f = F.floor(F.col("frame") / 40).alias("f")
+    rendered = _objects(t).select(f, F.col("frame").alias("hyp"), "v", "u0", "u1")
+    people = _people(t).select(f, "frame", "v", "u0", "u1").withColumn("first", F.min("frame").over(Window.partitionBy("f")))
+    mask = people.where("frame = first").select("f", "v", "u0", "u1")
     return m.score_hypotheses(rendered, rendered.where("v % 2 = 0"), mask, ["f"], 5)

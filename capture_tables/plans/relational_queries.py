@@ -122,31 +122,30 @@ def _(t):
     return c.mask_overlap(runs.where("role = 'object'"), runs.where("role = 'person'"), ["frame"])
 
 
-@query("c12_observation_combos", """WITH o AS (SELECT seq, cam, obs, u FROM (SELECT seq, cam, frame % 20 AS f, frame AS obs, u, row_number() OVER (PARTITION BY seq, cam ORDER BY frame) AS k FROM fx_rays WHERE conf > 5e-1) q WHERE k <= 2 AND cam < 3),
-p AS (SELECT a.seq, row_number() OVER (PARTITION BY a.seq ORDER BY a.obs, b.obs, c.obs) - 1 AS combo, a.u AS u0, b.u AS u1, c.u AS u2
-  FROM o a JOIN o b ON a.seq = b.seq AND b.cam = 1 JOIN o c ON a.seq = c.seq AND c.cam = 2 WHERE a.cam = 0)
-SELECT seq, CAST(combo AS INTEGER) AS combo, R6(u0) AS u0, R6(u1) AS u1, R6(u2) AS u2 FROM p""")
-def _(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("seq", "cam").orderBy("frame")
-    rays = t("fx_rays").where("conf > 0.5 and cam < 3").withColumn("k", F.row_number().over(w)).where("k <= 2")
-    rays = rays.select("seq", "cam", F.col("frame").alias("obs"), "u")
-    combos = c.observation_combos(rays, ["seq"], ["u"])
-    at = lambda k: F.max(F.when(F.col("cam") == k, F.col("u")))
-    wide = combos.groupBy("seq", "combo").agg(at(0).alias("u0"), at(1).alias("u1"), at(2).alias("u2"))
-    return wide.where("u0 is not null and u1 is not null and u2 is not null")
+@query("c12_observation_combos", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY seq, grp, cam ORDER BY frame) AS k FROM (SELECT seq, frame // (CASE WHEN seq % 10 = 0 THEN 7 ELSE 2 END) AS grp, cam, frame, u FROM fx_rays) q),
+n AS (SELECT seq, grp, product(c) AS n FROM (SELECT seq, grp, cam, count(*) AS c FROM o GROUP BY seq, grp, cam) q GROUP BY seq, grp),
+w AS (SELECT o.* FROM o JOIN n ON o.seq = n.seq AND o.grp = n.grp WHERE n.n <= 256 OR o.k = 1),
+p AS (SELECT a.seq, a.grp, row_number() OVER (PARTITION BY a.seq, a.grp ORDER BY a.frame, b.frame, c.frame, d.frame) - 1 AS combo, a.u AS u0, b.u AS u1, c.u AS u2, d.u AS u3
+  FROM w a JOIN w b ON a.seq = b.seq AND a.grp = b.grp AND b.cam = 1 JOIN w c ON a.seq = c.seq AND a.grp = c.grp AND c.cam = 2 JOIN w d ON a.seq = d.seq AND a.grp = d.grp AND d.cam = 3 WHERE a.cam = 0)
+SELECT seq, CAST(grp AS INTEGER) AS grp, CAST(combo AS INTEGER) AS combo, R6(u0) AS u0, R6(u1) AS u1, R6(u2) AS u2, R6(u3) AS u3 FROM p""")
+def _(t):
+    """Groups of two frames, and of seven for some sequences, whose choices are too many."""
+    grp = F.floor(F.col("frame") / F.when(F.col("seq") % 10 == 0, 7).otherwise(2)).cast("int").alias("grp")
+    rays = t("fx_rays").select("seq", grp, "cam", F.col("frame").alias("obs"), "u")
+    combos = c.observation_combos(rays, ["seq", "grp"], ["u"])
+    at = lambda k: F.max(F.when(F.col("cam") == k, F.col("u"))).alias(f"u{k}")
+    wide = combos.groupBy("seq", "grp", "combo").agg(*map(at, range(4)))
+    return wide.where("u0 is not null and u1 is not null and u2 is not null and u3 is not null")
 
 
 @query("c13_match_offsets", """WITH p AS (SELECT idx - 120 AS pos, cells FROM fx_thumbs WHERE idx >= 120 AND idx <= 180 AND (idx - 120) % 20 = 0),
-o AS (SELECT CAST(unnest(range(100, 140)) AS INTEGER) AS "offset")
+o AS (SELECT idx AS "offset" FROM fx_thumbs)
 SELECT "offset", R6(avg(list_sum(list_transform(range(1, len(p.cells) + 1), lambda i: abs(p.cells[i] - s.cells[i]))) / len(p.cells))) AS score
 FROM o JOIN p ON true JOIN fx_thumbs s ON s.idx = "offset" + p.pos GROUP BY "offset" HAVING count(*) = 4""")
 def _(t):
     thumbs = t("fx_thumbs")
     probes = thumbs.where("idx between 120 and 180 and (idx - 120) % 20 = 0").select((F.col("idx") - 120).alias("pos"), "cells")
-    offsets = thumbs.where("idx >= 100 and idx < 140").select(F.col("idx").alias("offset"))
-    return c.match_offsets(probes, thumbs, offsets)
+    return c.match_offsets(probes, thumbs, thumbs.select(F.col("idx").alias("offset")))
 
 
 @query("c14_compare_tracks", """SELECT s.seq, s.frame, R6(a.x) AS raw, R6(b.y) AS smooth FROM (SELECT seq, CAST(unnest(range(0, max(frame) + 1)) AS INTEGER) AS frame FROM fx_obs GROUP BY seq) s
@@ -160,9 +159,9 @@ def _(t):
 
 
 @query("c15_pairwise_distances", """SELECT a.frame, a.joint AS a, b.joint AS b, R6(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2))) AS distance
-FROM fx_joints a JOIN fx_joints b ON a.frame = b.frame AND a.joint < b.joint WHERE a.seq % 3 = 0 AND b.seq % 3 = 0""")
+FROM fx_joints a JOIN fx_joints b ON a.frame = b.frame AND a.joint < b.joint""")
 def _(t):
-    return c.pairwise_distances(t("fx_joints").where("seq % 3 = 0"), ["frame"], "joint")
+    return c.pairwise_distances(t("fx_joints"), ["frame"], "joint")
 
 
 @query("c16_align_lengths", """WITH t AS (SELECT seq, frame, x, row_number() OVER (PARTITION BY seq ORDER BY frame) AS k, count(*) OVER (PARTITION BY seq) AS n FROM fx_obs),

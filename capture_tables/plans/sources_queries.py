@@ -9,10 +9,15 @@ from capture_tables.sources import readers as a
 from capture_tables.sources import sinks
 
 
-def _each(rows, by, value):
-    """A file for each document: the rows' partitions are folders."""
+#: Rows of one document.
+UNIT = 200
+
+
+def _each(rows, value):
+    """A file for each document of up to UNIT customers, so that files grow in number."""
     path = shared_path(rows.sparkSession, "docs")
-    rows.groupBy(by).agg(value.alias("value")).repartition(F.col(by)).write.partitionBy(by).text(path)
+    unit = F.floor(F.col("c_custkey") / UNIT)
+    rows.groupBy(unit.alias("unit")).agg(value.alias("value")).repartition("unit").write.partitionBy("unit").text(path)
     return path + "/*"
 
 
@@ -23,7 +28,7 @@ _NAME = "'s' || c_custkey"
 def _(t):
     seq = F.concat(F.lit("s"), F.col("c_custkey").cast("string"))
     pick = lambda test: F.collect_list(F.when((F.col("c_custkey") % 5 == 0) == test, seq))
-    path = _each(t("customer"), "c_mktsegment", F.to_json(F.struct(pick(F.lit(False)).alias("train"), pick(F.lit(True)).alias("test"))))
+    path = _each(t("customer"), F.to_json(F.struct(pick(F.lit(False)).alias("train"), pick(F.lit(True)).alias("test"))))
     return a.read_splits(t("customer").sparkSession, path)
 
 
@@ -34,7 +39,7 @@ def _(t):
     view = F.concat(F.lit("s"), k.cast("string"), F.lit("/k"), (k % 4).cast("string"))
     frame = F.concat(F.lit("s"), k.cast("string"), F.lit("/t"), F.lpad((k % 60).cast("string"), 4, "0"), F.lit(".000/k"), (k % 4).cast("string"))
     value = F.to_json(F.struct(F.collect_list(F.when(k % 3 == 0, frame)).alias("frames"), F.collect_list(F.when(k % 7 == 0, view)).alias("exclude")))
-    frames, views = a.read_exclusions(t("customer").sparkSession, _each(t("customer"), "c_mktsegment", value))
+    frames, views = a.read_exclusions(t("customer").sparkSession, _each(t("customer"), value))
     return frames.unionByName(views, allowMissingColumns=True)
 
 
@@ -43,7 +48,7 @@ def _(t):
     k = F.col("c_custkey")
     pair = F.struct(F.concat(F.lit("s"), k.cast("string")).alias("key"), F.concat(F.lit("k"), (k % 4).cast("string")).alias("value"))
     value = F.to_json(F.map_from_entries(F.collect_list(F.when(k % 2 == 0, pair))))
-    return a.read_selected_views(t("customer").sparkSession, _each(t("customer"), "c_mktsegment", value))
+    return a.read_selected_views(t("customer").sparkSession, _each(t("customer"), value))
 
 
 @query("a4_read_calibration", """SELECT cast(s_suppkey as varchar) AS cam, 1408 AS width, 'KANNALABRANDTK3' AS model, R6(600e0 + s_nationkey) AS k0, R6(cos(s_suppkey / 10e0)) AS r00, R6(-sin(s_suppkey / 10e0)) AS r02, R6(-(cos(s_suppkey / 10e0) * s_nationkey - sin(s_suppkey / 10e0) * 2)) AS tx FROM supplier""")
@@ -64,7 +69,7 @@ _CELL = [[(i * 4 + j) / 10 for j in range(4)] for i in range(3)]
 def _(t):
     rows = F.array(*[F.array(*[F.col("c_acctbal") / 7 + c for c in row]) for row in _CELL])
     value = F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("c_custkey").cast("string").alias("key"), rows.alias("value")))))
-    return a.read_frame_poses(t("customer").sparkSession, _each(t("customer"), "c_mktsegment", value)).select("frame", "r11", "r22", "tx", "tz")
+    return a.read_frame_poses(t("customer").sparkSession, _each(t("customer"), value)).select("frame", "r11", "r22", "tx", "tz")
 
 
 @query("a6_read_rgb_params", "SELECT 'camera-rgb' AS label, 'f624' AS model, R6(sum(i * (7 + (SELECT arg_min(c_acctbal, c_custkey) FROM customer)))) AS weighted FROM (SELECT unnest(range(0, 15)) AS i) r")
@@ -78,12 +83,12 @@ def _(t):
     return found.select("label", "model", F.aggregate("params", F.lit(0.0), lambda s, x: s + x).alias("weighted"))
 
 
-@query("a7_read_frame_times", """SELECT c_mktsegment AS segment, 'color' AS stream, cast(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 as int) AS frame, R6(c_custkey * 33333 / 1e6) AS t_sec FROM customer""")
+@query("a7_read_frame_times", """SELECT c_custkey // 200 AS unit, 'color' AS stream, cast(row_number() OVER (PARTITION BY c_custkey // 200 ORDER BY c_custkey) - 1 as int) AS frame, R6(c_custkey * 33333 / 1e6) AS t_sec FROM customer""")
 def _(t):
     stamps = F.transform(F.array_sort(F.collect_list("c_custkey")), lambda k: k * 33333)
-    path = _each(t("customer"), "c_mktsegment", F.to_json(F.struct(stamps.alias("color"), F.array().cast("array<long>").alias("depth"))))
+    path = _each(t("customer"), F.to_json(F.struct(stamps.alias("color"), F.array().cast("array<long>").alias("depth"))))
     found = a.read_frame_times(t("customer").sparkSession, path)
-    return found.select(F.regexp_extract("file", "c_mktsegment=([A-Z]+)", 1).alias("segment"), "stream", "frame", "t_sec")
+    return found.select(F.regexp_extract("file", "unit=([0-9]+)", 1).cast("long").alias("unit"), "stream", "frame", "t_sec")
 
 
 @query("a8_unpack_arrays", """SELECT idx, cast(i - 1 as int) AS frame, cast(j - 1 as int) AS cam, R6(cells[i]) AS a, R6(cells[i * 4 + j]) AS b FROM fx_thumbs, (SELECT unnest(range(1, 9)) AS i) r, (SELECT unnest(range(1, 5)) AS j) s""")
@@ -112,21 +117,20 @@ def _(t):
     return a.mask_to_runs(t("fx_thumbs").select("idx", counts.alias("counts"), F.lit(8).alias("height")), ["idx"])
 
 
-@query("a12_read_clicks", "SELECT c_name AS point, 'cam' || (c_custkey % 3) AS cam, R6(c_acctbal) AS u, R6(c_acctbal / 3) AS v, cast(1000 + c_custkey % 3 as int) AS width, 768 AS height FROM customer WHERE c_custkey < 300")
+@query("a12_read_clicks", "SELECT c_name AS point, 'cam' || (c_custkey % 3) AS cam, R6(c_acctbal) AS u, R6(c_acctbal / 3) AS v, cast(1000 + c_custkey % 3 as int) AS width, 768 AS height FROM customer")
 def _(t):
     cam = F.concat(F.lit("cam"), (F.col("c_custkey") % 3).cast("string"))
     one = F.create_map(cam, F.array(F.col("c_acctbal"), F.col("c_acctbal") / 3))
     points = F.map_from_entries(F.collect_list(F.struct(F.col("c_name").alias("key"), one.alias("value"))))
     sizes = F.create_map(*[x for k in range(3) for x in (F.lit(f"cam{k}"), F.array(F.lit(1000 + k), F.lit(768)))])
-    rows = t("customer").where("c_custkey < 300")
-    path = _each(rows, "c_mktsegment", F.to_json(F.struct(F.first(sizes).alias("resolutions"), points.alias("points"))))
-    return a.read_clicks(rows.sparkSession, path)
+    path = _each(t("customer"), F.to_json(F.struct(F.first(sizes).alias("resolutions"), points.alias("points"))))
+    return a.read_clicks(t("customer").sparkSession, path)
 
 
-@query("a13_read_seq_info", "SELECT c_mktsegment AS name, count(*) AS n, true AS resolved FROM customer GROUP BY 1")
+@query("a13_read_seq_info", "SELECT 'unit ' || (c_custkey // 200) AS name, count(*) AS n, true AS resolved FROM customer GROUP BY 1")
 def _(t):
-    value = F.to_json(F.struct(F.first("c_mktsegment").alias("name"), F.count("*").alias("n"), F.lit("calib/k0.json").alias("calib_path")))
-    path = _each(t("customer").withColumn("segment", F.col("c_mktsegment")), "segment", value)
+    name = F.concat(F.lit("unit "), F.first(F.floor(F.col("c_custkey") / UNIT)).cast("string"))
+    path = _each(t("customer"), F.to_json(F.struct(name.alias("name"), F.count("*").alias("n"), F.lit("calib/k0.json").alias("calib_path"))))
     found = a.read_seq_info(t("customer").sparkSession, path, "name string, n long, calib_path string")
     return found.select("name", "n", (F.col("calib_path") == F.concat("folder", F.lit("/calib/k0.json"))).alias("resolved"))
 

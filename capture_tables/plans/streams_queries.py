@@ -66,18 +66,24 @@ def _(t):
     return u.augmented(t("fx_depth"), specs, 3, "frame", "v", "u").select("frame", "v", "u", "z")
 
 
+#: Events in a file.
+EVENTS = 1_000_000
+
+
 def _stream(t, extra=()):
     """The events as a stream: seq, event_id, ts, x, vis, tracked and more columns."""
     e = t("events")
     spark = e.sparkSession
     path = shared_path(spark, "events")
-    # one write for each quarter of the time, so that files arrive in order of time
+    # one write for each quarter of the time, so that files arrive in order of time; all files
+    # of a quarter are taken at once, since a part of them would make the others late
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    span = e.agg(F.min(at).alias("lo"), (F.max(at) + 1).alias("hi")).first()
+    span = e.agg(F.min(at).alias("lo"), (F.max(at) + 1).alias("hi"), F.count("*").alias("n")).first()
+    files = max(4, span["n"] // (4 * EVENTS))
     quarter = F.floor((at - span["lo"]) * 4 / (span["hi"] - span["lo"]))
     for k in range(4):
-        e.where(quarter == k).coalesce(1).write.mode("append").parquet(path)
-    rows = s.read_frames(spark, path, e.schema)
+        e.where(quarter == k).repartition(files).write.mode("append").parquet(path)
+    rows = s.read_frames(spark, path, e.schema, files)
     x = F.col("event_id")
     return rows.select(
         F.col("user_id").alias("seq"), "event_id", "ts", "event_type", (F.col("value") / 100.0).alias("x"), ((x % 13) / 12.0).alias("vis"),

@@ -48,41 +48,49 @@ def tracked_sessions(frames: DataFrame, late: str, gap: str, by=("seq",)) -> Dat
     return on.groupBy(*by, F.session_window("ts", gap).alias("window")).agg(F.count("*").alias("tracked"))
 
 
-def smoothed(frames: DataFrame, column: str, least_cutoff: float = 1.0, beta: float = 0.1, speed_cutoff: float = 1.0) -> DataFrame:
+def _idle_until(state: GroupState, micros: int, idle: float) -> None:
+    """Let the state go once the watermark is `idle` seconds past the track's last event."""
+    state.setTimeoutTimestamp(max(micros // 1000 + int(idle * 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def smoothed(frames: DataFrame, column: str, least_cutoff: float = 1.0, beta: float = 0.1, speed_cutoff: float = 1.0, late: str = "10 minutes", idle: float = 86400.0) -> DataFrame:
     """seq, event_id, ts, smooth: causal one-euro filtering of each track; the state is three
-    numbers for each track."""
+    numbers for each track, forgotten `idle` seconds behind its last event: the filter then
+    starts anew. Events later than the watermark are dropped."""
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        rows = pd.concat(list(parts)).sort_values(["micros", "event_id"])
         held = state.get if state.exists else None
         f = OneEuro(least_cutoff, beta, speed_cutoff, held)
-        out = [float(f.step(np.float64(x), t.timestamp())) for x, t in zip(rows["x"], rows["ts"], strict=True)]
+        out = [float(f.step(np.float64(x), t / 1e6)) for x, t in zip(rows["x"], rows["micros"], strict=True)]
         state.update((float(f.value), float(f.speed), float(f.time)))
+        _idle_until(state, int(rows["micros"].iloc[-1]), idle)
         yield pd.DataFrame({"seq": rows["seq"], "event_id": rows["event_id"], "ts": rows["ts"], "smooth": out})
 
-    picked = frames.select("seq", "event_id", "ts", F.col(column).cast("double").alias("x"))
+    picked = frames.withWatermark("ts", late).select("seq", "event_id", "ts", F.unix_micros("ts").alias("micros"), F.col(column).cast("double").alias("x"))
     return picked.groupBy("seq").applyInPandasWithState(
-        step, "seq long, event_id long, ts timestamp, smooth double", "value double, speed double, time double", "append", GroupStateTimeout.NoTimeout
+        step, "seq long, event_id long, ts timestamp, smooth double", "value double, speed double, time double", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def visibility_gate(frames: DataFrame, threshold: float, omega: float, base: float = 13.0, fps: float = 30.0) -> DataFrame:
+def visibility_gate(frames: DataFrame, threshold: float, omega: float, base: float = 13.0, fps: float = 30.0, late: str = "10 minutes", idle: float = 86400.0) -> DataFrame:
     """seq, event_id, gap (seconds since the last visible frame), gate (degrees), mask_source: the
     event whose mask is the most recent of 20 pixels or more. The state is two numbers for each
-    track."""
+    track, forgotten `idle` seconds behind its last event. Events later than the watermark are
+    dropped."""
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        rows = pd.concat(list(parts)).sort_values(["micros", "event_id"])
         seen, source = state.get if state.exists else (None, None)
         gaps, sources = [], []
         for r in rows.itertuples():
-            t = r.ts.timestamp()
+            t = r.micros / 1e6
             gaps.append(None if seen is None else t - seen)
             if r.area >= 20:
                 source = int(r.event_id)
@@ -90,13 +98,14 @@ def visibility_gate(frames: DataFrame, threshold: float, omega: float, base: flo
             if r.vis > threshold:
                 seen = t
         state.update((seen, source))
+        _idle_until(state, int(rows["micros"].iloc[-1]), idle)
 
         gap = pd.Series(gaps, dtype="Float64", index=rows.index)
         yield pd.DataFrame({"seq": rows["seq"], "event_id": rows["event_id"], "gap": gap, "gate": base + gap * fps * omega, "mask_source": pd.Series(sources, dtype="Int64", index=rows.index)})
 
-    picked = frames.select("seq", "event_id", "ts", F.col("vis").cast("double").alias("vis"), F.col("area").cast("double").alias("area"))
+    picked = frames.withWatermark("ts", late).select("seq", "event_id", "ts", F.unix_micros("ts").alias("micros"), F.col("vis").cast("double").alias("vis"), F.col("area").cast("double").alias("area"))
     return picked.groupBy("seq").applyInPandasWithState(
-        step, "seq long, event_id long, gap double, gate double, mask_source long", "seen double, source long", "append", GroupStateTimeout.NoTimeout
+        step, "seq long, event_id long, gap double, gate double, mask_source long", "seen double, source long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -141,16 +150,11 @@ def upsert_frames(frames: DataFrame, path: str, keys: list[str], partition: str)
     def merge(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        try:
-            old = spark.read.schema(schema).parquet(f"{path}/data").join(batch.select(partition).distinct(), partition, "left_semi")
-            kept = old.join(batch.select(*keys).distinct(), keys, "left_anti").select(*batch.columns)
-            merged = kept.unionByName(batch)
-        except Exception as e:  # the first batch finds no data yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            merged = batch
+        old = spark.read.schema(schema).parquet(f"{path}/data").join(batch.select(partition).distinct(), partition, "left_semi")
+        merged = old.join(batch.select(*keys).distinct(), keys, "left_anti").select(*batch.columns).unionByName(batch)
         staged = f"{path}/staged"
         merged.write.mode("overwrite").parquet(staged)
         spark.read.schema(schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(f"{path}/data")
 
+    spark.createDataFrame([], schema).write.mode("append").partitionBy(partition).parquet(f"{path}/data")
     return frames.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()

@@ -2,10 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from capture_tables.operators import filters, geometry, masks, metrics, ranking, temporal
+from capture_tables.operators import columns, filters, geometry, masks, metrics, ranking, temporal
 from capture_tables.operators import joins
 
 
@@ -110,6 +111,108 @@ def test_rotation_filters_keep_a_constant_rotation(spark):
         assert all(r.r01 == pytest.approx(-math.sin(0.7)) for r in out)
 
 
+def _turn(v):
+    angle = np.linalg.norm(v)
+    if angle < 1e-12:
+        return np.eye(3)
+    x, y, z = v / angle
+    k = np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]])
+    return np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * k @ k
+
+
+def test_rotation_filters_equal_a_plain_loop(spark):
+    """About one axis the filters are those of the angles between the last result and the next."""
+    r = np.random.default_rng(2)
+    axis = np.array([0.6, 0.0, 0.8])
+    angles = np.cumsum(r.normal(0, 0.3, 30))
+    rows = [(1, k, *map(float, _turn(a * axis).ravel())) for k, a in enumerate(angles)]
+    df = spark.createDataFrame(rows, "seq int, frame int, " + ", ".join(f"r{i}{j} double" for i in range(3) for j in range(3)))
+    dt, alpha = 1 / 30, lambda cut: 1 / (1 + 30 / (2 * np.pi * cut))
+    last, seen, speed, tangent = angles[0], None, np.zeros(3), [angles[0]]
+    for a in angles[1:]:
+        v = (a - last) * axis
+        if seen is None:
+            seen = v
+        else:
+            speed = alpha(1.0) * (v - seen) / dt + (1 - alpha(1.0)) * speed
+            share = np.array([alpha(0.5 + 2.0 * abs(x)) for x in speed])
+            seen = share * v + (1 - share) * seen
+        last = last + seen @ axis
+        tangent.append(last)
+    last, geodesic = angles[0], [angles[0]]
+    for a in angles[1:]:
+        last += (a - last) * alpha(0.5 + 2.0 * abs(a - last) / dt)
+        geodesic.append(last)
+    for mode, wanted in (("geodesic", geodesic), ("tangent", tangent)):
+        out = filters.one_euro_rotation(df, ["seq"], mode).orderBy("frame").collect()
+        if mode == "tangent":  # the three axes are filtered apart: the result leaves the plane
+            assert out[1].r01 == pytest.approx(_turn(tangent[1] * axis)[0, 1])
+            turn, seen, speed = _turn(angles[0] * axis), None, np.zeros(3)
+            for k, a in enumerate(angles[1:], 1):
+                m = turn.T @ _turn(a * axis)
+                angle = np.arccos(np.clip((np.trace(m) - 1) / 2, -1, 1))
+                v = np.array([m[2, 1] - m[1, 2], m[0, 2] - m[2, 0], m[1, 0] - m[0, 1]]) * (angle / (2 * np.sin(angle)))
+                if seen is None:
+                    seen = v
+                else:
+                    speed = alpha(1.0) * (v - seen) / dt + (1 - alpha(1.0)) * speed
+                    share = np.array([alpha(0.5 + 2.0 * abs(x)) for x in speed])
+                    seen = share * v + (1 - share) * seen
+                turn = turn @ _turn(seen)
+                assert [out[k][f"r{i}{j}"] for i in range(3) for j in range(3)] == pytest.approx(turn.ravel().tolist(), abs=1e-6)
+        else:
+            for row, angle in zip(out, wanted, strict=True):
+                assert row.r01 == pytest.approx(_turn(angle * axis)[0, 1], abs=1e-6)
+
+
+def test_lens_terms_are_told_apart(spark):
+    """One tangential or prism term at a time, by its formula at a point off both axes."""
+    names = columns.F624
+    zero = dict.fromkeys(names, 0.0) | {"f": 1.0}
+    scale = np.arctan(0.5) / 0.5
+    x, y = 0.3 * scale, 0.4 * scale
+    q = x * x + y * y
+    moved = {"p0": (2 * x * y, q + 2 * y * y), "p1": (q + 2 * x * x, 2 * x * y), "s0": (q, 0), "s1": (q * q, 0), "s2": (0, q), "s3": (0, q * q)}
+    for name, (dx, dy) in moved.items():
+        p = zero | {name: 0.01}
+        df = spark.createDataFrame([(0.3, 0.4, 1.0, *[p[n] for n in names])], ["x", "y", "z", *names])
+        row = columns.project_f624(df).first()
+        assert (row.u, row.v) == pytest.approx((x + 0.01 * dx, y + 0.01 * dy))
+    p = zero | {"p0": 0.1, "s0": 0.2}  # the prism's radius follows the tangential step
+    u, v = x + 0.1 * 2 * x * y, y + 0.1 * (q + 2 * y * y)
+    df = spark.createDataFrame([(0.3, 0.4, 1.0, *[p[n] for n in names])], ["x", "y", "z", *names])
+    assert (columns.project_f624(df).first().u, columns.project_f624(df).first().v) == pytest.approx((u + 0.2 * (u * u + v * v), v))
+
+
+def test_depth_registration_finds_shift_and_scale(spark):
+    r = np.random.default_rng(5)
+    cloud = r.uniform(-0.3, 0.3, (400, 3)) * [1, 1, 0.2] + [0, 0, 2.0]
+    rows = [(1, *map(float, x)) for x in cloud]
+    other = [(1, *map(float, x * [1.1, 1.1, 1.1])) for x in cloud] + [(2, 0.0, 0.0, 3.0)]
+    a, b = spark.createDataFrame(rows, "cloud int, x double, y double, z double"), spark.createDataFrame(other, "cloud int, x double, y double, z double")
+    out = {x.cloud: x for x in geometry.register_z(a, b, ["cloud"]).collect()}
+    assert out[1].scale == pytest.approx(1.1, abs=0.01) and abs(out[1].z_shift) < 0.02 and out[1].inliers > 100
+    assert out[2].z_shift is None and out[2].inliers == 0
+    near = a.withColumn("z", F.col("z") / 4)
+    assert geometry.register_z(near, near, ["cloud"]).first().z_shift is None
+
+
+def test_the_gate_sleeps_after_a_long_occlusion(spark):
+    def hyp(frame, rank, angle, vis, iou=0.5):
+        c, s = math.cos(angle), math.sin(angle)
+        return (1, frame, rank, vis, iou, frame / 30, c, -s, 0.0, s, c, 0.0, 0.0, 0.0, 1.0)
+
+    names = "seq int, frame int, rank int, visibility double, iou double, t double, " + ", ".join(f"r{i}{j} double" for i in range(3) for j in range(3))
+    rows = [hyp(0, 0, 0.0, 0.9), hyp(40, 0, 0.1, 0.1), hyp(41, 0, 2.0, 0.1), hyp(41, 1, 0.0, 0.1)]
+    df = spark.createDataFrame(rows, names)
+    pick = lambda **given: {x.frame: x["rank"] for x in filters.select_track(df, ["seq"], **given).collect()}
+    assert pick() == {0: 0, 40: 0, 41: 0}
+    assert pick(occluded=100) == {0: 0, 40: 0, 41: 1} == pick(occluded=100, time="t")
+    rows += [hyp(42, 0, 0.0, 0.1, 0.1), hyp(42, 1, 0.0, 0.1, 0.9)]
+    df = spark.createDataFrame(rows, names)
+    assert pick(iou="iou", iou_kept=0)[42] == 1 and pick()[42] == 0
+
+
 def test_track_selection_jumps_ahead_and_fills_back(spark):
     def hyp(frame, rank, angle, vis):
         c, s = math.cos(angle), math.sin(angle)
