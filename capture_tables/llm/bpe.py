@@ -307,13 +307,13 @@ def encode(docs: DataFrame, path: str | None = None, with_texts: bool = False) -
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256; `with_texts` adds
     ids (array of ints) and decoded. A null or empty text has no tokens and decodes to the
     empty text. Rows that repeat a doc_id are encoded each; an empty table gives an empty one."""
-    path = path or vocabulary_path(VOCABULARY)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     names = [field.split()[0] for field in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        translate = model(path or vocabulary_path(VOCABULARY)).translate  # a file of the machine that runs the task
         for ids, texts in common.chunks(batches):
-            rows = [model(path).translate(t) for t in texts]
+            rows = [translate(t) for t in texts]
             columns = [
                 pa.array(ids, pa.int64()),
                 pa.array([len(r[0]) // 4 for r in rows], pa.int64()),

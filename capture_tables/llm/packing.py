@@ -196,11 +196,11 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str
     A null or empty text is the single id `end_id`. Rows that repeat a doc_id, or have none,
     are packed each for itself. An empty table gives an empty one.
     """
-    path = path or vocabulary_path(VOCABULARY)
     end = np.array([end_id], "<u4").tobytes()
     names = [field.split()[0] for field in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found_at = path or vocabulary_path(VOCABULARY)  # on the machine that runs the task
         packer, base = Packer(window), TaskContext.get().partitionId() * _SEQUENCES_A_TASK
         held: dict[int, tuple] = {}  # rows with pieces in open windows: doc_id, ids, pieces left
         row = 0
@@ -220,7 +220,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
         for ids, texts in common.chunks(batches, 2 << 20):
-            for doc_id, found in zip(ids, encoder(path).encode(texts), strict=True):
+            for doc_id, found in zip(ids, encoder(found_at).encode(texts), strict=True):
                 found += end
                 held[row] = (doc_id, found, len(found) // 4, len(found) // 4)
                 packer.add(row, len(found) // 4)

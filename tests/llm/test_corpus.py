@@ -491,3 +491,114 @@ def test_pipeline_runs_its_stages(spark, tmp_path):
         assert docs.columns == columns and docs.count() > 0, name
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def corpus_rows():
+    """(doc_id, text): clean texts, toxic ones, exact and near copies, repeated lines and passages,
+    null and empty texts, a repeated row and two texts of one id."""
+    passage, base = words(60, 301), words(120, 302).split()
+    rows = [(k, words(50, 6000 + k) + "\n" + words(12, 7000 + k)) for k in range(120)]
+    rows += [(200 + k, words(30, 8000 + k) + " vile nasty rotten filthy") for k in range(40)]
+    rows += [(300 + k, f"{words(60, 310 + k)} {passage} {words(30, 320 + k)}") for k in range(4)]
+    rows += [(400 + k, " ".join(base[:k] + ["changed"] + base[k + 1 :])) for k in (3, 60)]
+    rows += [(420, words(50, 6005) + "\n" + words(9, 1)), (421, words(12, 7009)), (430, None), (431, ""), (432, " \n"), (None, words(20, 55)), (None, None)]
+    rows += [(440, rows[0][1] + "\n" + words(8, 99)), (440, words(70, 98)), rows[7], (450, words(30, 8001) + " vile nasty rotten filthy")]
+    return rows
+
+
+def by_hand(rows, toxic):
+    """What the first four stages keep of the rows, by plain Python: [(doc_id, text)]."""
+    import re
+
+    blank = lambda t: not t.encode().split()
+    kept = [(k, t) for k, t in rows if k not in toxic]
+    prints = {(k, t): xxhash.xxh64_intdigest((t or "").encode(), 42) for k, t in kept}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    in_order = lambda kept: [(k, t, 0) for k, t in sorted({(k, t or "") for k, t in kept if k is not None}, key=lambda x: (x[0], signed(xxhash.xxh64_intdigest(x[1].encode(), 42))))]
+    assert prints
+    gone, out = removed_by_brute_force(in_order(kept)), []
+    for k, t in kept:
+        numbers = gone.get((k, t or ""), [])
+        if numbers:
+            t = "\n".join(line for n, line in enumerate(t.split("\n")) if n not in numbers)
+            if blank(t):
+                continue
+        out.append((k, t))
+    prints = [simhash.fingerprint(t or "") for _, t in out]
+    root = list(range(len(out)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    known = [i for i, (k, _) in enumerate(out) if k is not None]
+    for i in known:
+        for j in known:
+            if i < j and (prints[i] ^ prints[j]).bit_count() <= 2:
+                root[find(j)] = find(i)
+    least = {}
+    for i in known:
+        least[find(i)] = min(least.get(find(i), 1 << 62), out[i][0])
+    dropped = {out[i][0] for i in known if least[find(i)] != out[i][0]}
+    out = [(k, t) for k, t in out if k not in dropped]
+    cut, kept = cut_by_brute_force(in_order(out)), []
+    for k, t in out:
+        hit = cut.get((k, t or ""), [])
+        if k is not None and any(hit):
+            data, parts, at = t.encode(), [], 0
+            places = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+            n = 0
+            while n < len(hit):
+                if hit[n]:
+                    parts.append(data[at : places[n][0]])
+                    while n < len(hit) and hit[n]:
+                        n += 1
+                    at = places[n - 1][1]
+                else:
+                    n += 1
+            t = b"".join([*parts, data[at:]]).decode()
+            if blank(t):
+                continue
+        kept.append((k, t))
+    return kept
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    """run() over a small corpus against plain Python: which ids go into which windows is free,
+    but each kept document's ids stand once, in order, in windows of 2048 without gaps."""
+    import corpus_pipeline
+
+    rows = corpus_rows()
+    labels = [(k, int(200 <= k < 240)) for k, _ in rows if k is not None and k % 2 == 0 and k < 240]
+    path = str(tmp_path)
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], columns)
+    docs.repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(k, 1, x) for k, x in labels], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    kept = by_hand(rows, {k for k, _ in rows if k is not None and 200 <= k < 240} | {450})
+    assert {401, 403, 420, 421, 431} & {k for k, _ in kept} != {401, 403, 420, 421, 431} and 120 < len(kept) < len(rows) - 41
+    library = Tokenizer.from_file(packing.vocabulary_path(packing.VOCABULARY))
+    wanted = Counter()
+    for k, t in kept:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        wanted[k, len(ids), zlib.crc32(ids.tobytes()) if len(ids) <= 2048 else None] += 1
+    found = corpus_pipeline.run(spark, path).collect()
+    whole = Counter((r.doc_id, r.doc_tokens, r.ids_crc32) for r in found if r.length == r.doc_tokens)
+    assert not whole - wanted
+    assert sum(r.length for r in found) == sum(n * c for (_, n, _), c in wanted.items())
+    assert Counter(r.doc_id for r in found if r.start == 0) == Counter(k for k, _ in kept)
+    windows = defaultdict(list)
+    for r in found:
+        windows[r.sequence_id].append((r.offset, r.length))
+    for pieces in windows.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    # without documents or labels
+    none = str(tmp_path / "none")
+    docs.where("false").write.parquet(f"{none}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{none}/labels.parquet")
+    assert corpus_pipeline.run(spark, none).count() == 0
