@@ -1,5 +1,10 @@
 """A corpus pipeline of five stages: toxicity, line dedup, SimHash near-dedup, suffix-array
-dedup, packing. Each stage reads what its predecessor kept."""
+dedup, packing. Each stage reads what its predecessor kept.
+
+In all stages a null text counts as the empty one and stays null, columns that a stage does not
+know stay as they are, whatever their names, and an empty table gives an empty one. Rows of one
+doc_id and text are one document. Rows without doc_id are neither compared nor removed, and are
+packed like any other."""
 
 from __future__ import annotations
 
@@ -10,27 +15,33 @@ from capture_tables.llm import common, line_dedup, packing, simhash, suffix_dedu
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal severity model does not reject."""
+    """Documents that the ordinal severity model, fitted on `labels`, does not reject; without
+    toxic and clean labels all stay. Rows of one doc_id go together if one of them is rejected."""
     return toxicity.remove_toxic(docs, common.table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that nearly repeat an earlier one; n_chars follows."""
-    return _counted(line_dedup.remove_lines(docs, least_words=1))
+    """Documents without the lines that nearly repeat an earlier one, of a smaller doc_id or above
+    it; of one doc_id's different texts the one with the smaller hash comes first. Documents
+    of which nothing is left go, but those that held nothing before stay. n_chars follows."""
+    return _counted(line_dedup.remove_lines(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose SimHash fingerprints link."""
+    """One document of each group whose SimHash fingerprints link, the smallest doc_id, with all
+    its rows; texts without words link with each other."""
     return simhash.deduplicate(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 50 words or more that stand earlier; n_chars follows."""
+    """Documents without the passages of 50 words or more that stand earlier, in the order of the
+    line stage. Documents of which nothing is left go. n_chars follows."""
     return _counted(suffix_dedup.remove_repeats(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the remaining documents, in windows of 2048 tokens."""
+    """The pieces of the remaining documents, in windows of 2048 tokens; each row is packed, an
+    empty text as its end alone."""
     return packing.pack(docs)
 
 
