@@ -12,7 +12,10 @@ words before it, to the shard of the word's hash; of a word so frequent that it
 its shard, to the shard of the hash of it and the word before it. Occurrences travel in
 packed form, each different word, pair and triple of a batch of texts once. A shard numbers
 its words, counts the training texts' n-grams and builds its part of the trie: a level of
-words, below each the words that stand before it, and below those the words before them. All
+words, below each the words that stand before it, and below those the words before them. Words
+are told apart by 64 bits of hash, those before one word by 40 and those before one pair by 32:
+of a million different words before the same word one pair in two such words is taken for one,
+and of ten thousand before the same pair one in 86 such pairs. All
 levels are monotone sequences in Elias-Fano form, with pointers from one to the next likewise,
 and two bytes for each entry's quantised logarithm. They lie in a memory-mapped file for as
 long as the shard's task runs. A trigram is looked up word by word, each by binary search
@@ -43,6 +46,7 @@ BATCH, SHARD_WORDS = 12 << 20, 1_000_000
 HOT = 1_000_000
 #: Bytes of text counted at once, and different words that a task holds before handing them on.
 CHUNK, HELD = 1 << 20, 2_000_000
+BEFORE, SECOND = np.uint64(40), np.uint64(32)
 END, BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -106,31 +110,25 @@ class Trie:
     the model's numerators at every level, and of its denominators at the first two."""
 
     def __init__(self, c_word, pair, c_pair, triple, c_triple, total: float, pair_weight: float, word_weight: float):
-        """c_word: counts by word number; pair: sorted `word << 32 | before`; triple: sorted
-        `place in pair << 32 | before`; c_pair, c_triple: their counts."""
+        """c_word: counts by word number; pair: sorted `word << BEFORE | before`; triple: sorted
+        `place in pair << SECOND | before`; c_pair, c_triple: their counts."""
         self.file = tempfile.TemporaryFile()
-        share = word_weight * (c_word + 0.5) / total
-        numerator = pair_weight * c_pair + share[pair >> 32]
+        share, of_pair, of_triple = word_weight * (c_word + 0.5) / total, (pair >> BEFORE).astype(np.int64), (triple >> SECOND).astype(np.int64)
+        numerator = pair_weight * c_pair + share[of_pair]
         self.unknown = (np.log10(word_weight * 0.5 / total), -np.log10(word_weight))
-        word, held = np.flatnonzero(c_word > 0), np.flatnonzero(c_pair > 0)
-        deep = np.flatnonzero(c_triple > 0)
+        word, held, deep = np.flatnonzero(c_word > 0), np.flatnonzero(c_pair > 0), np.flatnonzero(c_triple > 0)
         self.words = EliasFano(word, self._keep)
-        place = np.zeros(len(c_word) + 1, np.int64)
-        place[1:] = np.cumsum(c_word > 0)
-        parent = place[pair[held] >> 32]
-        self.pairs, self.to_pairs = self._level(parent, pair[held] & 0xFFFFFFFF, len(word))
-        at = np.zeros(len(pair) + 1, np.int64)
-        at[1:] = np.cumsum(c_pair > 0)
-        owner = at[triple[deep] >> 32]
-        self.triples, self.to_triples = self._level(owner, triple[deep] & 0xFFFFFFFF, len(held))
-        self.numerators = [self._quantised(np.log10(x)) for x in (share[word], numerator[held], c_triple[deep] + numerator[triple[deep] >> 32])]
+        place = lambda counts: np.cumsum(counts > 0) - 1
+        self.pairs, self.to_pairs = self._level(place(c_word)[of_pair[held]], pair[held], BEFORE, len(word))
+        self.triples, self.to_triples = self._level(place(c_pair)[of_triple[deep]], triple[deep], SECOND, len(held))
+        self.numerators = [self._quantised(np.log10(x)) for x in (share[word], numerator[held], c_triple[deep] + numerator[of_triple[deep]])]
         inner = pair_weight * c_word
-        self.denominators = [self._quantised(-np.log10(x)) for x in (inner[word] + word_weight, c_pair[held] + inner[pair[held] >> 32] + word_weight)]
+        self.denominators = [self._quantised(-np.log10(x)) for x in (inner[word] + word_weight, c_pair[held] + inner[of_pair[held]] + word_weight)]
 
-    def _level(self, parent: np.ndarray, below: np.ndarray, parents: int) -> tuple[EliasFano, EliasFano]:
-        """What is below the kth parent is written from k * 2^32 on: one monotone sequence."""
-        pointers = np.searchsorted(parent, np.arange(parents + 1))
-        return EliasFano(parent.astype(np.uint64) << np.uint64(32) | below.astype(np.uint64), self._keep), EliasFano(pointers, self._keep)
+    def _level(self, parent: np.ndarray, keys: np.ndarray, bits: np.uint64, parents: int) -> tuple[EliasFano, EliasFano]:
+        """What is below the kth parent is written from k * 2^bits on: one monotone sequence."""
+        below = keys & ((np.uint64(1) << bits) - np.uint64(1))
+        return EliasFano(parent.astype(np.uint64) << bits | below, self._keep), EliasFano(np.searchsorted(parent, np.arange(parents + 1)), self._keep)
 
     def _quantised(self, values: np.ndarray) -> tuple[np.ndarray, float, float]:
         low = float(values.min()) if len(values) else 0.0
@@ -151,15 +149,15 @@ class Trie:
     def _value(codes: tuple[np.ndarray, float, float], at: np.ndarray) -> np.ndarray:
         return codes[0][at] * codes[2] + codes[1]
 
-    def _below(self, level: EliasFano, pointers: EliasFano, parent: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Where `wanted` stands below each parent (a place in the level above), or -1."""
+    def _below(self, level: EliasFano, pointers: EliasFano, parent: np.ndarray, keys: np.ndarray, bits: np.uint64) -> np.ndarray:
+        """Where a key's lower bits stand below its parent (a place in the level above), or -1."""
         out = np.full(len(parent), -1, np.int64)
         known = np.flatnonzero(parent >= 0)
         if not len(known) or not level.n:
             return out
         above = parent[known]
         low, high = pointers[above].astype(np.int64), pointers[above + 1].astype(np.int64)
-        target = above.astype(np.uint64) << np.uint64(32) | wanted[known].astype(np.uint64)
+        target = above.astype(np.uint64) << bits | keys[known] & ((np.uint64(1) << bits) - np.uint64(1))
         place = level.find(target, low, high)
         hit = np.flatnonzero(place < high)
         hit = hit[level[place[hit]] == target[hit]]
@@ -168,22 +166,20 @@ class Trie:
 
     def look_up(self, pair: np.ndarray, triple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(logarithms of the numerators of the triples, of the denominators behind the pairs)."""
-        word = pair >> 32
-        new = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        wanted = word[new].astype(np.uint64)
-        at = self.words.find(wanted, np.zeros(len(new), np.int64), np.full(len(new), self.words.n))
+        wanted, sizes = np.unique(pair >> BEFORE, return_counts=True)
+        at = self.words.find(wanted, np.zeros(len(wanted), np.int64), np.full(len(wanted), self.words.n))
         hit = np.flatnonzero(at < self.words.n)
         hit = hit[self.words[at[hit]] == wanted[hit]]
-        first = np.full(len(new), -1, np.int64)
+        first = np.full(len(wanted), -1, np.int64)
         first[hit] = at[hit]
-        first = np.repeat(first, np.diff(np.concatenate((new, [len(pair)]))))
-        second = self._below(self.pairs, self.to_pairs, first, pair & 0xFFFFFFFF)
+        first = np.repeat(first, sizes)
+        second = self._below(self.pairs, self.to_pairs, first, pair, BEFORE)
         numerator, denominator = np.full(len(pair), self.unknown[0]), np.full(len(pair), self.unknown[1])
         for k, place in enumerate((first, second)):
             held = place >= 0
             numerator[held], denominator[held] = self._value(self.numerators[k], place[held]), self._value(self.denominators[k], place[held])
-        above = triple >> 32
-        third = self._below(self.triples, self.to_triples, second[above], triple & 0xFFFFFFFF)
+        above = (triple >> SECOND).astype(np.int64)
+        third = self._below(self.triples, self.to_triples, second[above], triple, SECOND)
         out, held = numerator[above], third >= 0
         out[held] = self._value(self.numerators[2], third[held])
         return out, denominator
@@ -304,8 +300,7 @@ def _packed_head(part: pa.RecordBatch, train: np.ndarray, sizes: np.ndarray) ->
 
 def _packed(hashed, word, before, second, doc, flags: bytes, texts: int) -> bytes:
     """Occurrences, sorted by word, word before and word before that: each different word, pair
-    and triple once, then the texts. The words before are told apart by 48 bits, since only
-    those before one word are ever compared."""
+    and triple once, then the texts."""
     import zstandard
 
     new_word = np.concatenate(([True], word[1:] != word[:-1]))
@@ -313,8 +308,8 @@ def _packed(hashed, word, before, second, doc, flags: bytes, texts: int) -> byte
     new_triple = new_pair | np.concatenate(([True], second[1:] != second[:-1]))
     pairs, triples = np.flatnonzero(new_pair), np.flatnonzero(new_triple)
     size = lambda new, of: np.diff(np.concatenate((np.flatnonzero(new), [of])))
-    contexts, at = np.unique(np.concatenate((before[pairs], second[triples])), return_inverse=True)
-    parts = [hashed[word[new_word]], size(new_word[pairs], len(pairs)), hashed[contexts] >> np.uint64(16), at[: len(pairs)], size(new_pair[triples], len(triples)), at[len(pairs) :], size(new_triple, len(word)), doc]
+    lower = lambda at, bits: hashed[at] >> (np.uint64(64) - bits)
+    parts = [hashed[word[new_word]], size(new_word[pairs], len(pairs)), lower(before[pairs], BEFORE), size(new_pair[triples], len(triples)), lower(second[triples], SECOND), size(new_triple, len(word)), doc]
     head = np.array([texts, len(flags)], "<i8").tobytes() + flags
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(map(_planes, parts)))
 
@@ -327,9 +322,9 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
     texts, length = (int(x) for x in np.frombuffer(data, "<i8", 2))
     train = np.unpackbits(np.frombuffer(data, np.uint8, length, 16), count=texts).astype(bool)
     at, parts = 16 + length, []
-    for k in range(8):
+    for k in range(7):
         part, at = _from_planes(data, at)
-        parts.append(part if k in (0, 2) else part.astype(np.int32))
+        parts.append(part if k in (0, 2, 4) else part.astype(np.int32))
     return train, parts
 
 
@@ -340,47 +335,57 @@ def _shard(hot, total: float, pair_weight: float, word_weight: float):
         del rows
         if not given:
             return pd.DataFrame(out, columns=["batch", "kind", "data"])
-        hashes, contexts = (np.unique(np.concatenate([p[k] for _, _, p in given])) for k in (0, 2))
+        hashes = np.unique(np.concatenate([p[0] for _, _, p in given]))
         pairs, triples, learnt = [], [], []
         for _, train, p in given:
-            word, context = np.searchsorted(hashes, p[0]), np.searchsorted(contexts, p[2])
-            pairs.append(np.repeat(word, p[1]) << 32 | context[p[3]])
-            triples.append((np.repeat(np.arange(len(p[3]), dtype=np.int32), p[4]), context[p[5]].astype(np.int32)))
-            learnt.append(np.bincount(np.repeat(np.arange(len(p[6]), dtype=np.int32), p[6]), train[p[7]], len(p[6])).astype(np.int32))
-            p[1:6] = []  # sizes of triples and texts are needed again
+            pairs.append(np.repeat(np.searchsorted(hashes, p[0]).astype(np.uint64) << BEFORE, p[1]) | p[2])
+            triples.append((np.repeat(np.arange(len(p[2]), dtype=np.int32), p[3]), p[4]))
+            learnt.append(np.bincount(np.repeat(np.arange(len(p[5]), dtype=np.int32), p[5]), train[p[6]], len(p[5])).astype(np.int32))
+            p[:5] = []  # sizes of triples and texts are needed again
         pair, pair_at = np.unique(np.concatenate(pairs), return_inverse=True)
-        starts = np.cumsum([0, *map(len, pairs)])
+        starts, pair_at = np.cumsum([0, *map(len, pairs)]), pair_at.astype(np.uint64)
         del pairs
-        triple = np.concatenate([pair_at[lo + local] << 32 | second for lo, (local, second) in zip(starts, triples, strict=False)])
+        triple = np.concatenate([pair_at[lo + local] << SECOND | second for lo, (local, second) in zip(starts, triples, strict=False)])
         del triples, pair_at
         triple, triple_at = np.unique(triple, return_inverse=True)
+        of_pair, of_triple = (pair >> BEFORE).astype(np.int64), (triple >> SECOND).astype(np.int64)
         c_triple = np.bincount(triple_at, np.concatenate(learnt), len(triple))
         del learnt
-        c_pair = np.bincount(triple >> 32, c_triple, len(pair))
-        c_word = np.bincount(pair >> 32, c_pair, len(hashes))
+        c_pair = np.bincount(of_triple, c_triple, len(pair))
+        c_word = np.bincount(of_pair, c_pair, len(hashes))
         known, counts = hot.value
         if (frequent := np.flatnonzero(_in(hashes, known))).size:  # other shards have them too
             c_word[frequent] = counts[np.searchsorted(known, hashes[frequent])]
         numerator, denominator = Trie(c_word, pair, c_pair, triple, c_triple, total, pair_weight, word_weight).look_up(pair, triple)
-        word = (pair >> 32)[triple >> 32]
-        ending = hashes[word] == END
-        value = numerator + np.where(ending, 0.0, denominator[triple >> 32])
+        word = of_pair[of_triple]
+        value = numerator + np.where(hashes[word] == END, 0.0, denominator[of_triple])
         base, seen = np.log10(c_word + 0.5)[word], (c_word > 0)[word]
-        del numerator, denominator, word, ending, triple, pair
+        del numerator, denominator, word, triple, pair, of_pair, of_triple
         lo = 0
-        for batch, _, (_, sizes, doc) in given:
+        for batch, train, (sizes, doc) in given:
             each = triple_at[lo : lo + len(sizes)]
             lo += len(sizes)
-            at, inner = np.unique(doc, return_inverse=True)
-            sums = [np.bincount(inner, np.repeat(x[each], sizes), len(at)) for x in (seen, base, value)]
-            out.append((batch, 1, _planes(at) + _planes(sums[0].astype(np.int64)) + sums[1].astype("<f4").tobytes() + sums[2].astype("<f4").tobytes()))
+            out.append((batch, 1, _packed_sums(doc, [np.repeat(x[each], sizes) for x in (seen, base, value)], len(train))))
         return pd.DataFrame(out, columns=["batch", "kind", "data"])
 
     return run
 
 
+def _packed_sums(doc: np.ndarray, values: list[np.ndarray], texts: int) -> bytes:
+    """For the texts in `doc` how many words are known, and the sums of both logarithms."""
+    import zstandard
+
+    there = np.zeros(texts, bool)
+    there[doc] = True
+    known, base, score = (np.bincount(doc, x, texts)[there] for x in values)
+    parts = [_planes(np.packbits(there)), _planes(known.astype(np.int64)), base.astype("<f4").tobytes(), score.astype("<f4").tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
 def _scores(total: float, begin: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
         head = next(d for k, d in zip(rows["kind"], rows["data"], strict=True) if k == 0)
         ids, at = _from_planes(head, 0)
         null, at = _from_planes(head, at)
@@ -389,9 +394,10 @@ def _scores(total: float, begin: float):
         known, base, score = (np.zeros(len(ids)) for _ in range(3))
         for kind, data in zip(rows["kind"], rows["data"], strict=True):
             if kind == 1:
-                doc, at = _from_planes(data, 0)
+                data = zstandard.ZstdDecompressor().decompress(data)
+                bits, at = _from_planes(data, 0)
                 seen, at = _from_planes(data, at)
-                doc = doc.astype(np.int64)
+                doc = np.flatnonzero(np.unpackbits(bits.astype(np.uint8), count=len(ids)))
                 known[doc] += seen
                 base[doc] += np.frombuffer(data, "<f4", len(doc), at)
                 score[doc] += np.frombuffer(data, "<f4", len(doc), at + 4 * len(doc))
