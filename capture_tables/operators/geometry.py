@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from capture_tables.functions import linalg as la
 from capture_tables.functions.hashing import uniform
-from capture_tables.operators.joins import nearest
+from capture_tables.operators.joins import nearest, nearest_row
 
 AXES = ("x", "y", "z")
 
@@ -144,11 +144,10 @@ def voxel_downsample(points: DataFrame, size: float, by: list[str]) -> DataFrame
 
 def contact_distances(joints: DataFrame, points: DataFrame, by: list[str], key: str, squared: bool = True) -> DataFrame:
     """by..., key, distance to the nearest object point and that point, px, py, pz."""
-    right = points.select(*by, F.col("pid").alias("_pid"), *[F.col(a).alias(f"p{a}") for a in AXES])
-    d2 = F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2) + F.pow(F.col("z") - F.col("pz"), 2)
-    best = joints.select(*by, key, *AXES).join(right, by).groupBy(*by, key).agg(F.min(F.struct(d2.alias("d"), "_pid", "px", "py", "pz")).alias("b"))
-    d = F.col("b.d") if squared else F.sqrt("b.d")
-    return best.select(*by, key, d.alias("distance"), F.col("b._pid").alias("pid"), "b.px", "b.py", "b.pz")
+    named = points.select(*by, *AXES, "pid", *[F.col(a).alias(f"p{a}") for a in AXES])
+    best = nearest_row(joints, named, by, key, ["pid", "px", "py", "pz"])
+    d = F.col("best.d2") if squared else F.sqrt("best.d2")
+    return best.select(*by, key, d.alias("distance"), "best._keep.pid", *[f"best._keep.p{a}" for a in AXES])
 
 
 def point_triangle_distance(df: DataFrame) -> DataFrame:

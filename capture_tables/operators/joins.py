@@ -131,13 +131,42 @@ def knn_join(a: DataFrame, b: DataFrame, by: list[str], key: str, other: str, k:
     return out.select(*by, key, other, "rank", distance.alias("distance"))
 
 
+def nearest_row(a: DataFrame, b: DataFrame, by: list[str], key: str, keep: list[str], rounds: int = 2) -> DataFrame:
+    """by..., key, best: for each row of `a` the smallest struct (d2, *keep) of the rows of `b` in
+    its group, d2 the squared distance. Exact; rows whose group `b` lacks are left out.
+
+    Cells have a width of their own in each group, about twice the spacing of its points. A point
+    meets the eight cells around it, which hold everything within half their width; a point whose
+    nearest is farther goes on with cells eight times as wide. What is left after the last round,
+    far from all points of `b`, is compared with its whole group.
+    """
+    axes = ("x", "y", "z")
+    wide = [F.max(n) - F.min(n) for n in axes]
+    far = F.greatest(*[F.max(F.abs(F.col(n))) for n in axes])
+    width = b.groupBy(*by).agg((F.greatest(2.0 * F.greatest(*wide) / F.sqrt(F.count("*").cast("double")), far * 1e-12, F.lit(1e-12))).alias("_w"))
+    right = b.select(*by, *[F.col(n).cast("double").alias(f"_b{n}") for n in axes], F.struct(*keep).alias("_keep")).join(width, by)
+    rest = a.select(*by, key, *[F.col(n).cast("double").alias(n) for n in axes]).join(width, by)
+    d2 = sum((F.pow(F.col(n) - F.col(f"_b{n}"), 2) for n in axes[1:]), F.pow(F.col("x") - F.col("_bx"), 2))
+    best = F.min(F.struct(d2.alias("d2"), "_keep")).alias("best")
+    out = []
+    for r in range(rounds):
+        size = F.col("_w") * float(8**r)
+        low = [F.floor(F.col(n) / size - 0.5) for n in axes]
+        corners = F.array(*[F.struct(*[(c + ((k >> i) & 1)).cast("long").alias(f"_{n}") for i, (n, c) in enumerate(zip(axes, low, strict=True))]) for k in range(8)])
+        cells = right.withColumns({f"_{n}": F.floor(F.col(f"_b{n}") / size).cast("long") for n in axes}).drop("_w")
+        near = rest.select("*", F.explode(corners).alias("_cell")).select(*rest.columns, "_cell.*").join(cells, [*by, "_x", "_y", "_z"])
+        found = near.groupBy(*by, key).agg(best, F.first("_w").alias("_w"))
+        good = found.where(F.col("best.d2") <= F.pow(size / 2, 2)).select(*by, key, "best")
+        out.append(good)
+        rest = rest.join(good.select(*by, key), [*by, key], "left_anti")
+    out.append(rest.join(right.drop("_w"), by).groupBy(*by, key).agg(best))
+    return reduce(lambda p, q: p.unionByName(q), out)
+
+
 def nearest(a: DataFrame, b: DataFrame, by: list[str], squared: bool = False) -> DataFrame:
-    """by..., pid, distance to the nearest row of `b` in the group, by comparing the group's
-    rows: the form for clouds of a few thousand points, which many groups make parallel."""
-    d2 = F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2) + F.pow(F.col("z") - F.col("bz"), 2)
-    right = b.select(*by, *[F.col(n).alias(f"b{n}") for n in "xyz"])
-    least = a.select(*by, "pid", "x", "y", "z").join(right, by).groupBy(*by, "pid").agg(F.min(d2).alias("_d2"))
-    return least.select(*by, "pid", (F.col("_d2") if squared else F.sqrt("_d2")).alias("distance"))
+    """by..., pid, distance to the nearest row of `b` in the group."""
+    least = nearest_row(a, b.withColumn("_one", F.lit(1)), by, "pid", ["_one"])
+    return least.select(*by, "pid", (F.col("best.d2") if squared else F.sqrt("best.d2")).alias("distance"))
 
 
 def knn_interpolate(queries: DataFrame, points: DataFrame, by: list[str], value: str, k: int = 4, std: float = 0.1, cell: float = 0.25) -> DataFrame:
