@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Weights of the bigram's count and of the unigram, in observations of the trigram.
-PAIR_WEIGHT, WORD_WEIGHT = 0.02, 4.0
+PAIR_WEIGHT, WORD_WEIGHT = 0.003, 10.0
 #: Bytes of text in a batch, and words in a shard on average.
 BATCH, SHARD_WORDS = 12 << 20, 1_000_000
 #: Words that are dealt by pairs: those with more occurrences than this share of a shard and of

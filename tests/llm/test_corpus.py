@@ -602,3 +602,45 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     docs.where("false").write.parquet(f"{none}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{none}/labels.parquet")
     assert corpus_pipeline.run(spark, none).count() == 0
+
+
+CONTRACT = {
+    "op1_language_id": {"doc_id", "held_out", "lang_pred", "score"},
+    "op2_exact_dedup": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
+    "op3_suffix_dedup": {"doc_id", "n_words", "n_removed", "spans"},
+    "op6_lm_score": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
+    "op7_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
+    "op8_simhash": {"doc_id", "fingerprint", "component_id"},
+    "op9_toxicity": {"doc_id", "severity", "p_toxic", "grade", "rejected"},
+    "op10_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_registered_queries_give_a_row_for_each_document(spark, name):
+    from capture_tables.llm import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    found = queries.QUERIES[name](spark, sf_dir).collect()
+    assert set(found[0].asDict()) == CONTRACT[name]
+    assert {r.doc_id for r in found} == set(docs) and (len(found) == len(docs) or name == "op10_packing")
+    if name == "op1_language_id":
+        held = [r for r in found if r.held_out and docs[r.doc_id].lang is not None and any(map(str.isalpha, docs[r.doc_id].text or ""))]
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in found)
+        assert np.mean([r.lang_pred == docs[r.doc_id].lang for r in held]) > 0.9
+    if name == "op8_simhash":
+        assert all(int(r.fingerprint, 16) == simhash.fingerprint(docs[r.doc_id].text or "") for r in found)
+
+
+def test_sql_and_queries_agree(spark):
+    import duckdb
+    from capture_tables.llm import queries
+
+    con, sf_dir = duckdb.connect(), "/root/testdata/sf0.001"
+    for name in ("documents", "embeddings"):
+        con.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        wanted = con.sql(sql)
+        found = queries.QUERIES[name](spark, sf_dir).select(*wanted.columns)
+        assert sorted(map(tuple, found.collect())) == sorted(wanted.fetchall())
