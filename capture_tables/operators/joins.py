@@ -84,7 +84,7 @@ def restrict_view(df: DataFrame, views: DataFrame, default: int, on=("seq",)) ->
 
 def expand_symmetries(pose: DataFrame, symmetries: DataFrame) -> DataFrame:
     """A row for each symmetry of the pose's object, with the rotation R S in r00..r22."""
-    joined = pose.join(symmetries, "object")
+    joined = with_dimension(pose, symmetries, ["object"])
     product = la.times(la.matrix("r"), la.matrix("s"))
     keep = [c for c in pose.columns if not (len(c) == 3 and c[0] == "r" and c[1:].isdigit())]
     return joined.select(*keep, "sym_id", *la.named(product))
@@ -208,13 +208,13 @@ def observation_combos(observations: DataFrame, by: list[str], payload: list[str
 def match_offsets(probes: DataFrame, source: DataFrame, offsets: DataFrame) -> DataFrame:
     """offset, score: mean absolute difference of the probes' cells (pos, cells) from those of
     the source (idx, cells) at offset + pos; offsets that miss a probe are left out."""
-    wanted = offsets.crossJoin(F.broadcast(probes))  # a handful of probe frames
+    n = probes.count()
+    wanted = offsets.crossJoin(F.broadcast(probes) if n <= SMALL_ROWS else probes)
     keyed = wanted.select("offset", "pos", F.col("cells").alias("_p"), (F.col("offset") + F.col("pos")).alias("idx"))
     distance = F.aggregate(
         F.zip_with("_p", "cells", lambda p, q: F.abs(p - q)), F.lit(0.0), lambda s, x: s + x, lambda s: s / F.size("_p")
     )
     scored = keyed.join(source, "idx").select("offset", distance.alias("d"))
-    n = probes.count()
     return scored.groupBy("offset").agg(F.avg("d").alias("score"), F.count("*").alias("n")).where(F.col("n") == n).drop("n")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capture_tables.functions import linalg as la
-from capture_tables.operators.joins import expand_symmetries, knn_join, nearest
+from capture_tables.operators.joins import expand_symmetries, knn_join, nearest, with_dimension
 
 FRAME = ("seq", "frame")
 AXES = ("x", "y", "z")
@@ -206,7 +206,7 @@ def pa_error(pr: DataFrame, gt: DataFrame, by=FRAME, key: str = "joint", reducti
 def _posed(pose: DataFrame, model: DataFrame, on, prefix: str) -> DataFrame:
     moved = la.plus(la.apply(la.matrix("r"), la.columns("mx", "my", "mz")), la.columns("tx", "ty", "tz"))
     names = [f"{prefix}{a}" for a in AXES]
-    return pose.join(model, "object").select(*on, "pid", *[m.alias(n) for m, n in zip(moved, names, strict=True)])
+    return with_dimension(pose, model, ["object"]).select(*on, "pid", *[m.alias(n) for m, n in zip(moved, names, strict=True)])
 
 
 def add_error(pr: DataFrame, gt: DataFrame, model: DataFrame, on=FRAME) -> DataFrame:
