@@ -210,26 +210,36 @@ def at_most(codes: np.ndarray) -> np.ndarray:
     return np.where(c < 200, c, 1 << np.clip(c - 192, 0, 62))
 
 
-def counted(rows: DataFrame, hashes) -> np.ndarray:
-    """How often each counter's values occur in all rows, as codes. `hashes` gives arrays of
-    64-bit values from batches. A task hands on its own sums, cut into slices; slices are
-    added in two steps as they arrive."""
-    width = COUNTERS // SLICES
-    schema = "slice int, share int, places binary, counts binary"
+#: Rows of partial counts.
+PARTS = "slice int, share int, places binary, counts binary"
 
-    def packed(slices, share: int) -> Iterator[pa.RecordBatch]:
-        for k, total in slices:
-            at = np.flatnonzero(total)
-            if len(at):
-                columns = [[k], [share], [at.astype("<u2").tobytes()], [np.minimum(total[at], (1 << 31) - 1).astype("<i4").tobytes()]]
-                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["slice", "share", "places", "counts"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int32)
-        for values in hashes(batches):
-            np.add.at(total, (values & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-        yield from packed(enumerate(total.reshape(SLICES, width)), TaskContext.get().partitionId() % SHARES)
+def _packed_counts(slices, share: int) -> Iterator[pa.RecordBatch]:
+    for k, total in slices:
+        at = np.flatnonzero(total)
+        if len(at):
+            columns = [[k], [share], [at.astype("<u2").tobytes()], [np.minimum(total[at], (1 << 31) - 1).astype("<i4").tobytes()]]
+            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["slice", "share", "places", "counts"])
+
+
+class Counts:
+    """A task's own counters."""
+
+    def __init__(self):
+        self.total = np.zeros(COUNTERS, np.int32)
+
+    def add(self, values: np.ndarray) -> None:
+        np.add.at(self.total, (values & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+
+    def parts(self) -> Iterator[pa.RecordBatch]:
+        """Rows of PARTS, one for each slice."""
+        yield from _packed_counts(enumerate(self.total.reshape(SLICES, -1)), TaskContext.get().partitionId() % SHARES)
+
+
+def summed(parts: DataFrame) -> np.ndarray:
+    """The codes of all counters from all tasks' rows of PARTS, added in two steps as they arrive."""
+    width = COUNTERS // SLICES
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
@@ -237,11 +247,23 @@ def counted(rows: DataFrame, hashes) -> np.ndarray:
             for k, places, counts in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 total = totals.setdefault(k, np.zeros(width, np.int64))
                 total[np.frombuffer(places.as_buffer(), "<u2")] += np.frombuffer(counts.as_buffer(), "<i4")
-        yield from packed(totals.items(), TaskContext.get().partitionId() % SHARES)
+        yield from _packed_counts(totals.items(), TaskContext.get().partitionId() % SHARES)
 
-    parts = rows.mapInArrow(count, schema).repartition("slice", "share").mapInArrow(add, schema)
     out = np.zeros(COUNTERS, np.uint8)
-    for row in parts.repartition("slice").mapInArrow(add, schema).collect():  # of SLICES slices
+    for row in parts.repartition("slice", "share").mapInArrow(add, PARTS).repartition("slice").mapInArrow(add, PARTS).collect():  # of SLICES slices
         at = np.frombuffer(row["places"], "<u2").astype(np.int64) + row["slice"] * width
         out[at] = _codes(np.frombuffer(row["counts"], "<i4"))
     return out
+
+
+def counted(rows: DataFrame, hashes) -> np.ndarray:
+    """How often each counter's values occur in all rows, as codes. `hashes` gives arrays of
+    64-bit values from batches."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
+        for values in hashes(batches):
+            counts.add(values)
+        yield from counts.parts()
+
+    return summed(rows.mapInArrow(count, PARTS))

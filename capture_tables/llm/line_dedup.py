@@ -71,9 +71,34 @@ def least_overlap(n, m):
     return -(-(n + m) * top // (top + bottom))
 
 
-def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    for part in common.slices(batches, CHUNK):
-        yield common.Scan(part.column(1)).hashes
+_READ = f"{common.PARTS}, doc_id long, print long, n_lines long, every array<int>"
+_READ_NAMES = [f.split()[0] for f in _READ.split(", ")]
+
+
+def _read(least: int):
+    """Of all texts doc_id, print, n_lines and the numbers of the lines that take part; and the
+    task's counts of all words, as rows of common.PARTS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = common.Counts()
+        for part in common.slices(batches, CHUNK):
+            scan = common.Scan(part.column(1))
+            counts.add(scan.hashes)
+            if least <= 1:
+                row, number, _ = scan.lines()
+            else:
+                lines = Lines(part.column(1), least=least)
+                row, number = lines.row, lines.number
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=part.num_rows)))).astype(np.int32)
+            every = pa.ListArray.from_arrays(pa.array(offsets), pa.array(number.astype(np.int32)))
+            n_lines = pc.add(pc.count_substring(part.column(1), "\n").cast(pa.int64()), 1)
+            none = [pa.nulls(part.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, part.column(0), part.column(2), n_lines, every], _READ_NAMES)
+        for batch in counts.parts():
+            none = [pa.nulls(batch.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *none], _READ_NAMES)
+
+    return run
 
 
 def _prefix_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -392,21 +417,10 @@ def _verified(text: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select(F.col("late").alias("id"), ok.alias("ok")).groupBy("id").agg(F.max("ok").alias("ok"))
 
 
-def kept_lines(docs: DataFrame, least_words: int = 1) -> DataFrame:
-    """(doc_id, print, line) of the lines that stay out of those of `least_words` different
-    words or more: the others repeat or nearly repeat an earlier one, a line of a smaller
-    doc_id or one before it in its own document, with a Jaccard similarity of word sets of 0.8
-    or more, whether or not that line is itself removed. Lines are counted from 0; `print` is
-    the hash of the text.
-
-    Null and empty texts have no lines that hold words. Rows of the same doc_id and text are
-    one document; rows of one doc_id and different texts are several, of which the one with the
-    smaller hash comes first. Rows without doc_id take no part. An empty table gives an empty
-    one.
-    """
-    spark = docs.sparkSession
-    text = common.documents(docs)
-    order = spark.sparkContext.broadcast(common.counted(text, _word_hashes))  # common.COUNTERS bytes
+def _kept_lines(text: DataFrame, read: DataFrame, least_words: int) -> DataFrame:
+    """(doc_id, print, line) of the lines that stay out of those that take part."""
+    spark = text.sparkSession
+    order = spark.sparkContext.broadcast(common.summed(read.where("slice is not null").select("slice", "share", "places", "counts")))  # COUNTERS bytes
     rows = text.mapInArrow(_sets(order, least_words), _SET)
     rest = [name for name in _SET_NAMES if name not in ("h0", "h1")]
     firsts = rows.groupBy("h0", "h1").agg(F.min(F.struct(*rest)).alias("first"))
@@ -433,26 +447,23 @@ def _prefix_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64))], ["word"])
 
 
-def _numbers(least: int):
-    """doc_id, print, n_lines and the numbers of the lines that take part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, CHUNK):
-            row, number = common.Scan(part.column(1)).lines()[:2] if least <= 1 else (x := Lines(part.column(1), least=least)) and (x.row, x.number)
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=part.num_rows)))).astype(np.int32)
-            lines = pc.add(pc.count_substring(part.column(1), "\n").cast(pa.int64()), 1)
-            every = pa.ListArray.from_arrays(pa.array(offsets), pa.array(number.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lines, every], ["doc_id", "print", "n_lines", "every"])
-
-    return run
-
-
 def report(docs: DataFrame, least_words: int = 1) -> DataFrame:
     """One row for each different (doc_id, text): doc_id, print (a hash of the text), n_lines,
-    n_removed, removed (line numbers in order). Rows without doc_id are left out."""
-    kept = kept_lines(docs, least_words).groupBy("doc_id", "print").agg(F.collect_list("line").alias("kept"))
-    sizes = common.documents(docs).mapInArrow(_numbers(least_words), "doc_id long, print long, n_lines long, every array<int>")
-    sizes = sizes.dropDuplicates(["doc_id", "print"])
+    n_removed, removed (line numbers in order, from 0).
+
+    Of the lines of `least_words` different words or more those go that repeat or nearly repeat
+    an earlier one, a line of a smaller doc_id or one before it in its own document, with a
+    Jaccard similarity of word sets of 0.8 or more, whether or not that line is itself removed.
+
+    Null and empty texts have no lines that hold words. Rows of the same doc_id and text are
+    one document; rows of one doc_id and different texts are several, of which the one with the
+    smaller hash comes first. Rows without doc_id take no part and are left out. An empty table
+    gives an empty one.
+    """
+    text = common.documents(docs)
+    read = common.stored(text.mapInArrow(_read(least_words), _READ))
+    kept = _kept_lines(text, read, least_words).groupBy("doc_id", "print").agg(F.collect_list("line").alias("kept"))
+    sizes = read.where("slice is null").select("doc_id", "print", "n_lines", "every").dropDuplicates(["doc_id", "print"])
     removed = F.array_sort(F.array_except("every", F.coalesce("kept", F.array().cast("array<int>"))))
     found = sizes.join(kept, ["doc_id", "print"], "left").select("doc_id", "print", "n_lines", removed.alias("removed"))
     return found.select("doc_id", "print", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
