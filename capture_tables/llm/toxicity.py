@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Labelled documents that the model is fitted on, at most; they are chosen by a hash of the id.
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: The least number of labelled documents of a feature, and the unit of a feature's value.
 LEAST_DOCS, STEP = 4, 10.0
 #: Bytes of the beginnings of words.
-BEGINNINGS = (4, 5, 7)
+BEGINNINGS = (4, 7)
 GRADES = 4
 #: Steps of a fit, and of the fits that grade.
 ROUNDS, GRADING = 200, 80
@@ -170,10 +170,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         row, toxic = np.repeat(number, sizes), toxic[kept]
         if not 0 < toxic.sum() < len(toxic):
             return
-        hashes, column, count = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-        place = np.cumsum(count >= LEAST_DOCS) - 1
-        keep = (row >= 0) & (count >= LEAST_DOCS)[column]
-        row, column, hashes = row[keep], place[column[keep]], hashes[count >= LEAST_DOCS]
+        found = np.concatenate(held)
+        del held
+        hashes, count = np.unique(found, return_counts=True)
+        hashes = hashes[count >= LEAST_DOCS]
+        if not len(hashes):
+            return
+        column = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+        keep = (row >= 0) & (hashes[column] == found)
+        row, column = row[keep], column[keep]
+        del found, keep
         grade = graded(row, column, toxic, len(hashes))
         w, t = _fitted(row, column, toxic, grade, GRADES, len(hashes), ROUNDS)
         yield pa.RecordBatch.from_arrays([pa.array([hashes.tobytes()]), pa.array([w.tobytes()]), pa.array([t.tolist()])], ["h", "w", "t"])
