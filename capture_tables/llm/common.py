@@ -241,19 +241,25 @@ def summed(parts: DataFrame) -> np.ndarray:
     """The codes of all counters from all tasks' rows of PARTS, added in two steps as they arrive."""
     width = COUNTERS // SLICES
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
+    def totals(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        out: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, places, counts in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                total = totals.setdefault(k, np.zeros(width, np.int64))
+                total = out.setdefault(k, np.zeros(width, np.int64))
                 total[np.frombuffer(places.as_buffer(), "<u2")] += np.frombuffer(counts.as_buffer(), "<i4")
-        yield from _packed_counts(totals.items(), TaskContext.get().partitionId() % SHARES)
+        return out
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _packed_counts(totals(batches).items(), TaskContext.get().partitionId() % SHARES)
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, total in totals(batches).items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_codes(total).tobytes()])], ["slice", "codes"])
 
-    out = np.zeros(COUNTERS, np.uint8)
-    for row in parts.repartition("slice", "share").mapInArrow(add, PARTS).repartition("slice").mapInArrow(add, PARTS).collect():  # of SLICES slices
-        at = np.frombuffer(row["places"], "<u2").astype(np.int64) + row["slice"] * width
-        out[at] = _codes(np.frombuffer(row["counts"], "<i4"))
-    return out
+    out = np.zeros((SLICES, width), np.uint8)
+    for row in parts.repartition("slice", "share").mapInArrow(add, PARTS).repartition("slice").mapInArrow(codes, "slice int, codes binary").collect():
+        out[row["slice"]] = np.frombuffer(row["codes"], np.uint8)  # of COUNTERS bytes in all
+    return out.ravel()
 
 
 def counted(rows: DataFrame, hashes) -> np.ndarray:
