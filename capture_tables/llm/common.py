@@ -88,6 +88,8 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Itera
             size += length or 0
         if start < batch.num_rows:
             yield tuple(column.to_pylist() for column in batch.slice(start).columns)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def slices(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
@@ -101,6 +103,8 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Itera
             size += length or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+        del batch  # freed before the next one comes: executors run several such tasks
+        pa.default_memory_pool().release_unused()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
