@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -76,6 +78,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _trimmed() -> None:
+    """Give free memory back: a worker that is kept for the next task holds none of this one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Iterator[tuple]:
     """Lists (doc ids, texts, *other columns) of up to `limit` bytes of text, never across
     Arrow batches. The first two columns are doc_id and text."""
@@ -89,7 +98,7 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Itera
         if start < batch.num_rows:
             yield tuple(column.to_pylist() for column in batch.slice(start).columns)
         del batch
-        pa.default_memory_pool().release_unused()
+    _trimmed()
 
 
 def slices(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
@@ -104,7 +113,7 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Itera
         if start < batch.num_rows:
             yield batch.slice(start)
         del batch  # freed before the next one comes: executors run several such tasks
-        pa.default_memory_pool().release_unused()
+    _trimmed()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
