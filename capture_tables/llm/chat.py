@@ -237,7 +237,7 @@ class _Piece:
         self.size, self.turns = start + len(inside) + len(after), self.turns + 1
 
 
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
     names = ["conv_id", "part", "piece", "whole", "n_turns", "formatted", "loss"]
@@ -251,13 +251,13 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, text, role in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             role, text = role or "", text or ""
             new = piece is None or piece.conv != conv
-            if piece is not None and (new or piece.size + len(text) > PIECE):
+            if piece is not None and (new or piece.size + len(text) > most):
                 done.append(row(new and seen and piece.first))
                 number, size, seen = number + 1, size + piece.size, seen or new
-            if new or piece.size + len(text) > PIECE:
+            if new or piece.size + len(text) > most:
                 piece = _Piece(conv, new)
             piece.add(role, text)
-            if size > PIECE:
+            if size > most:
                 yield _batch(done, kinds, names)
                 done, size = [], 0
     if piece is not None:
@@ -265,13 +265,13 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(done, kinds, names)
 
 
-def formatted(turns: DataFrame) -> DataFrame:
-    """PIECES of the conversations: `formatted`, the characters in it under the loss mask (escaped, as
+def formatted(turns: DataFrame, most: int = PIECE) -> DataFrame:
+    """PIECES of the conversations, of up to `most` characters or one turn: `formatted`, the characters in it under the loss mask (escaped, as
     they stand), and whether it is sure to be all of its conversation. A conversation's pieces follow
     by (part, piece). Rows of no known layout say nothing."""
     said = turns.where("role is not null or text is not null or layout is not null")
     dealt = said.select("conv_id", "role", "text", "turn", "record", "pos").repartitionByRange("conv_id", "turn")
-    return dealt.sortWithinPartitions("conv_id", "turn", "record", "pos").select("conv_id", "text", "role").mapInArrow(_write, PIECES)
+    return dealt.sortWithinPartitions("conv_id", "turn", "record", "pos").select("conv_id", "text", "role").mapInArrow(lambda batches: _write(batches, most), PIECES)
 
 
 CONVERSATIONS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"

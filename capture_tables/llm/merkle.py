@@ -29,7 +29,6 @@ from .common import stored
 
 #: Children of a node, and levels of a block.
 FAN, LEVELS = 3, 7
-LEAVES = FAN**LEVELS
 #: What the leaf of a document tells, in this order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -45,23 +44,14 @@ def joined(nodes: list[str]) -> str:
 
 
 class Block:
-    """The levels of one block's tree, from the leaves up. Its last level is one node, as far as
-    `levels` go: a block that is not full has as many as the whole tree needs."""
+    """The levels of one block's tree, from the leaves up, `levels` at most. Its last level is one
+    node: a block without others beside it has as many levels as the whole tree needs."""
 
-    def __init__(self, leaves: list[str]):
+    def __init__(self, leaves: list[str], levels: int = LEVELS, alone: bool = True):
         self.nodes = [leaves]
-        while len(self.nodes[-1]) > 1 and len(self.nodes) <= LEVELS:
-            self._up()
-
-    def _up(self) -> None:
-        last = self.nodes[-1]
-        self.nodes.append([joined(last[k : k + FAN]) for k in range(0, len(last), FAN)])
-
-    def raised(self) -> Block:
-        """All LEVELS of them: the block has others beside it."""
-        while len(self.nodes) <= LEVELS:
-            self._up()
-        return self
+        while len(self.nodes) <= levels and not (alone and len(self.nodes[-1]) == 1):
+            last = self.nodes[-1]
+            self.nodes.append([joined(last[k : k + FAN]) for k in range(0, len(last), FAN)])
 
     @property
     def root(self) -> str:
@@ -123,47 +113,52 @@ def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
 
 _PATH = "array<struct<before: string, behind: string>>"
 _PATH_TYPE = pa.list_(pa.struct([("before", pa.string()), ("behind", pa.string())]))
+Key = tuple[pa.Scalar, ...]
 
 
-def _block(key: tuple[pa.Scalar, ...], table: pa.Table) -> Block:
-    """The tree over nodes in order of their numbers; key is (group, number of the block)."""
-    block = Block(table["digest"].to_pylist())
-    return block.raised() if key[1].as_py() else block
+def _block(key: Key, nodes: pa.Table, levels: int) -> Block:
+    """The tree over nodes in order of their numbers; key is (group, number of the block). The first
+    block of several is full, so that it needs all levels."""
+    return Block(nodes["digest"].to_pylist(), levels, key[1].as_py() == 0)
 
 
-def _root(key: tuple[pa.Scalar, ...], nodes: pa.Table) -> pa.Table:
-    root = _block(key, nodes.sort_by("number")).root
-    return pa.table([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int64()), pa.array([root])], ["group", "block", "digest"])
+def _keyed(nodes: DataFrame, levels: int) -> DataFrame:
+    return nodes.withColumn("block", F.floor(F.col("number") / FAN**levels).cast("long"))
 
 
-def _down(key: tuple[pa.Scalar, ...], nodes: pa.Table, above: pa.Table) -> pa.Table:
-    """Each node's path to the root of its group's tree, by that of its block."""
-    nodes = nodes.sort_by("number")
-    block, up, n = _block(key, nodes), above.to_pylist()[0], nodes.num_rows
-    paths = [[{"before": a, "behind": b} for a, b in block.path(k)] + up["path"] for k in range(n)]
-    return pa.table([nodes["group"], nodes["number"], pa.array(paths, _PATH_TYPE), pa.array([up["top"]] * n)], ["group", "number", "path", "top"])
+def _roots(nodes: DataFrame, levels: int) -> DataFrame:
+    """group, block, digest: the root of each block of the nodes (group, number, digest)."""
 
+    def root(key: Key, rows: pa.Table) -> pa.Table:
+        digest = _block(key, rows.sort_by("number"), levels).root
+        return pa.table([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int64()), pa.array([digest])], ["group", "block", "digest"])
 
-def _keyed(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("number") / LEAVES).cast("long"))
+    keyed = _keyed(nodes.select("group", "number", "digest"), levels)
+    return stored(keyed.groupBy("group", "block").applyInArrow(root, "group string, block long, digest string"))
 
 
-def _paths(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def _paths(nodes: DataFrame, above: DataFrame, levels: int) -> DataFrame:
     """group, number, path, top: the siblings on the way from each node (group, number, digest) to top,
     the root of its group's tree; `above` has the same for the blocks' roots, by block."""
-    both = _keyed(nodes.select("group", "number", "digest")).groupBy("group", "block").cogroup(above.groupBy("group", "block"))
-    return both.applyInArrow(_down, f"group string, number long, path {_PATH}, top string")
-
-
-def paths_above(nodes: DataFrame) -> DataFrame:
-    """group, block, path, top: the same from the root of each block of LEAVES of the nodes."""
-    roots = lambda df: stored(_keyed(df).groupBy("group", "block").applyInArrow(_root, "group string, block long, digest string"))
-    levels = [roots(nodes.select("group", "number", "digest"))]
-    while levels[-1].where("block > 0").limit(1).count():
-        levels.append(roots(levels[-1].withColumnRenamed("block", "number")))
-    above = levels.pop().select("group", "block", F.array().cast(_PATH).alias("path"), F.col("digest").alias("top"))
-    while levels:
-        above = stored(_paths(levels.pop().withColumnRenamed("block", "number"), above).withColumnRenamed("number", "block"))
+
+    def down(key: Key, rows: pa.Table, over: pa.Table) -> pa.Table:
+        rows = rows.sort_by("number")
+        block, up, n = _block(key, rows, levels), over.to_pylist()[0], rows.num_rows
+        paths = [[{"before": a, "behind": b} for a, b in block.path(k)] + up["path"] for k in range(n)]
+        return pa.table([rows["group"], rows["number"], pa.array(paths, _PATH_TYPE), pa.array([up["top"]] * n)], ["group", "number", "path", "top"])
+
+    both = _keyed(nodes.select("group", "number", "digest"), levels).groupBy("group", "block").cogroup(above.groupBy("group", "block"))
+    return both.applyInArrow(down, f"group string, number long, path {_PATH}, top string")
+
+
+def paths_above(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """group, block, path, top: the same from the root of each block of the nodes."""
+    found = [_roots(nodes, levels)]
+    while found[-1].where("block > 0").limit(1).count():
+        found.append(_roots(found[-1].withColumnRenamed("block", "number"), levels))
+    above = found.pop().select("group", "block", F.array().cast(_PATH).alias("path"), F.col("digest").alias("top"))
+    while found:
+        above = stored(_paths(found.pop().withColumnRenamed("block", "number"), above, levels).withColumnRenamed("number", "block"))
     return above
 
 
@@ -182,35 +177,34 @@ FEW_GROUPS = 10_000
 PROOFS = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
 
-def _prove(key: tuple[pa.Scalar, ...], nodes: pa.Table, above: pa.Table) -> pa.Table:
-    """Rows of PROOFS for the leaves of a block."""
-    nodes = nodes.sort_by("number")
-    block, up, n = _block(key, nodes), above.to_pylist()[0], nodes.num_rows
-    rest = [(p["before"], p["behind"]) for p in [*up["path"], *up["group_path"]]]
-    shared = "".join(a + b for a, b in rest)
-    own, proofs, roots, versions = nodes["digest"].to_pylist(), [], [], {}
-    for k, other in enumerate(nodes["tampered"].to_pylist()):
-        proofs.append(sha256(("".join(a + b for a, b in block.path(k)) + shared).encode()).hexdigest())
-        version = block.version(k, other or own[k])
-        if version not in versions:  # all untampered leaves go on as one version
-            versions[version] = folded(version, rest)
-        roots.append(versions[version])
-    columns = [nodes["doc_id"], nodes["digest"], pa.array([up["top"]] * n), pa.array([up["root"]] * n), pa.array(proofs), pa.array(roots), pa.array([r == up["root"] for r in roots])]
-    return pa.table(columns, [c.split()[0] for c in PROOFS.split(", ")])
-
-
-def manifest(found: DataFrame) -> DataFrame:
+def manifest(found: DataFrame, levels: int = LEVELS) -> DataFrame:
     """PROOFS of `leaves`: each row's leaf, its group's root (leaves by doc_id), the root over the
     groups' roots (groups by their bytes, null first), the digest of the siblings from the leaf to it,
     the root that follows along them from the tampered leaf, else from the leaf, and whether it is
     the same."""
+
+    def prove(key: Key, rows: pa.Table, over: pa.Table) -> pa.Table:
+        rows = rows.sort_by("number")
+        block, up, n = _block(key, rows, levels), over.to_pylist()[0], rows.num_rows
+        rest = [(p["before"], p["behind"]) for p in [*up["path"], *up["group_path"]]]
+        shared = "".join(a + b for a, b in rest)
+        own, proofs, roots, versions = rows["digest"].to_pylist(), [], [], {}
+        for k, other in enumerate(rows["tampered"].to_pylist()):
+            proofs.append(sha256(("".join(a + b for a, b in block.path(k)) + shared).encode()).hexdigest())
+            version = block.version(k, other or own[k])
+            if version not in versions:  # all untampered leaves go on as one version
+                versions[version] = folded(version, rest)
+            roots.append(versions[version])
+        columns = [rows["doc_id"], rows["digest"], pa.array([up["top"]] * n), pa.array([up["root"]] * n), pa.array(proofs), pa.array(roots), pa.array([r == up["root"] for r in roots])]
+        return pa.table(columns, [c.split()[0] for c in PROOFS.split(", ")])
+
     # repeated rows are dealt over the tasks of the sort
     nodes = numbered(stored(found).withColumn("tie", F.monotonically_increasing_id()), "group", "doc_id", "digest", "tie").drop("tie")
-    above = paths_above(nodes)
+    above = paths_above(nodes, levels)
     groups = above.where("block = 0").select(F.lit("").alias("all"), F.col("group").alias("name"), F.col("top").alias("digest"))
     groups = numbered(groups, "all", "name").withColumnRenamed("all", "group")
-    group_paths = stored(_paths(groups, paths_above(groups)).select("number", F.col("path").alias("group_path"), F.col("top").alias("root")))
+    group_paths = stored(_paths(groups, paths_above(groups, levels), levels).select("number", F.col("path").alias("group_path"), F.col("top").alias("root")))
     group_paths = groups.select("number", F.col("name").alias("group")).join(group_paths, "number").drop("number")
     few = groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
     up = above.join(F.broadcast(group_paths) if few else group_paths, "group")
-    return _keyed(nodes).groupBy("group", "block").cogroup(up.groupBy("group", "block")).applyInArrow(_prove, PROOFS)
+    return _keyed(nodes, levels).groupBy("group", "block").cogroup(up.groupBy("group", "block")).applyInArrow(prove, PROOFS)

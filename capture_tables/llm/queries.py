@@ -158,6 +158,51 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(merkle.leaves(docs, "source", changed={"text": F.translate("text", "\n", "")}, when=chosen))
 
 
+def _crc32(text: str) -> str:
+    """Bit by bit, since DuckDB has no function for it."""
+    bits = f"[(ascii({text}[k // 8 + 1]) >> (k % 8)) & 1 for k in range(8 * length({text}))]"
+    return f"xor(list_reduce({bits}, lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384), 4294967295), 4294967295)"
+
+
+def _told(*values: str) -> str:
+    return "sha256(concat(" + ", ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE concat(strlen(CAST({v} AS VARCHAR)), ':', {v}) END" for v in values) + "))"
+
+
+def _siblings(tree: str) -> str:
+    return f"""SELECT a.g, a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS before,
+    coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS behind
+  FROM {tree} a JOIN {tree} b ON a.g = b.g AND a.lvl = b.lvl AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY ALL"""
+
+
+def _above(tree: str) -> str:
+    return f"SELECT g, lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM {tree} WHERE n > 1 GROUP BY g, lvl, idx // 3"
+
+
+def _folds(fold: str, siblings: str) -> str:
+    return f"""SELECT f.rid, f.g, f.lvl + 1, f.idx // 3, sha256(concat(s.before, f.h, s.behind)), concat(f.proof, s.before, s.behind)
+  FROM {fold} f JOIN {siblings} s ON s.g = f.g AND s.lvl = f.lvl AND s.idx = f.idx"""
+
+
+ORACLE_SQL["op13_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS g, {_told("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+    {_told("doc_id", "source", "lang", "n_chars", "replace(text, chr(10), '')")} AS tampered, row_number() OVER () AS rid FROM documents),
+c AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM d),
+tree(g, lvl, idx, h, n) AS (SELECT g, 0, idx, leaf, n FROM c UNION ALL {_above("tree")}),
+subroots AS (SELECT g AS own, h, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n FROM tree WHERE n = 1),
+top(g, lvl, idx, h, n) AS (SELECT 0, 0, idx, h, n FROM subroots UNION ALL {_above("top")}),
+low AS MATERIALIZED ({_siblings("tree")}), high AS MATERIALIZED ({_siblings("top")}),
+up(rid, g, lvl, idx, h, proof) AS (
+  SELECT rid, g, 0, idx, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN tampered ELSE leaf END, '' FROM c UNION ALL {_folds("up", "low")}),
+half AS (SELECT rid, any_value(g) AS own, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof FROM up GROUP BY rid),
+over(rid, g, lvl, idx, h, proof) AS (
+  SELECT rid, 0, 0, idx, half.h, proof FROM half JOIN subroots USING (own) UNION ALL {_folds("over", "high")}),
+whole AS (SELECT rid, arg_max(h, lvl) AS folded_root, sha256(arg_max(proof, lvl)) AS proof_sha256 FROM over GROUP BY rid)
+SELECT c.doc_id, c.leaf, s.h AS subroot, r.h AS root, w.proof_sha256, w.folded_root, w.folded_root = r.h AS verified
+FROM c JOIN whole w USING (rid) JOIN subroots s ON s.own = c.g CROSS JOIN (SELECT h FROM top WHERE n = 1) r
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -638,7 +638,7 @@ def test_sql_and_queries_agree(spark):
     from capture_tables.llm import queries
 
     con, sf_dir = duckdb.connect(), "/root/testdata/sf0.001"
-    for name in ("documents", "embeddings"):
+    for name in ("documents", "embeddings", "conversations"):
         con.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         wanted = con.sql(sql)
