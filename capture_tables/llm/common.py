@@ -129,19 +129,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 #: Bytes of text hashed at once; a longer word is hashed alone.
 _SEGMENT = 1 << 16
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.isin(np.arange(256), [0x20, *range(9, 14)])
-_VALUES = mix64(np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint64) + np.uint64(0xA0761D6478BD642F))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number and of its inverse modulo 2^64."""
-    if len(_powers[0]) < n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for k, base in enumerate((_BASE, inverse)):
-            _powers[k] = np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(n - 1, base))))
-    return _powers[0][:n], _powers[1][:n]
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+#: What is kept of eight bytes, by the number of those that belong to the word.
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _lane(eight: np.ndarray, place: np.ndarray | int) -> np.ndarray:
+    """A value for the eight bytes that stand at a place of a word, counted in eights."""
+    key = mix64(np.atleast_1d(np.asarray(place, np.uint64)) + np.uint64(0xA0761D6478BD642F))
+    return mix64(eight ^ key)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64 bits for each word of the bytes: the sum of scrambled lanes of eight bytes, each with a key
+    of its place, scrambled again with the length."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    total = _lane(eights[starts] & _KEPT[np.minimum(lengths, 8)], 0)
+    long = np.flatnonzero(lengths > 8)
+    if len(long):
+        more = (lengths[long] - 1) // 8
+        heads = np.cumsum(more) - more
+        place = np.arange(more.sum()) - np.repeat(heads, more) + 1
+        left = np.repeat(lengths[long], more) - 8 * place
+        lanes = _lane(eights[np.repeat(starts[long], more) + 8 * place] & _KEPT[np.minimum(left, 8)], place)
+        total[long] += np.add.reduceat(lanes, heads)
+    return mix64(total + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 class Scan:
@@ -171,16 +185,12 @@ class Scan:
         while lo < len(self.starts):
             base = self.starts[lo]
             hi = max(lo + 1, int(np.searchsorted(self.ends, base + _SEGMENT, "right")))
-            size = int(self.ends[hi - 1] - base)
-            up, down = powers(max(size, _SEGMENT))
-            values = _VALUES[self.data[base : base + size]] * down[:size]
-            sums = np.cumsum(values, dtype=np.uint64)
-            a, b = self.starts[lo:hi] - base, self.ends[lo:hi] - base - 1
-            self.hashes[lo:hi] = mix64((sums[b] - sums[a] + values[a]) * up[a])
+            part = _LOWER[self.data[base : self.ends[hi - 1]]]
+            a, lengths = self.starts[lo:hi] - base, self.ends[lo:hi] - self.starts[lo:hi]
+            self.hashes[lo:hi] = word_hashes(part, a, lengths)
             for found, k in zip(begun, beginnings, strict=True):
-                long = np.flatnonzero(b - a >= k)
-                c = a[long]
-                found.append((long + lo, mix64((sums[c + k - 1] - sums[c] + values[c]) * up[c] + np.uint64(k))))
+                long = np.flatnonzero(lengths > k)
+                found.append((long + lo, ~word_hashes(part, a[long], np.full(len(long), k))))
             lo = hi
         self.begun = [tuple(map(np.concatenate, zip(*found, strict=True))) for found in begun]
 

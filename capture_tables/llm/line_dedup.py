@@ -124,6 +124,10 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out.view("<u8").ravel(), np.diff(offsets) // PREFIX_BYTES
 
 
+#: Lines that 24 bits number.
+LINES = 1 << 24
+
+
 class Lines:
     """The lines of a part of the corpus as sets of word hashes, each in the order of `codes`
     (or of the hashes), rarest first: row and number of each line, its size, and the words.
@@ -141,14 +145,11 @@ class Lines:
         rarity = codes[(hashes & np.uint64(common.COUNTERS - 1)).astype(np.int64)].astype(np.uint64) if codes is not None else np.uint64(0)
         key = line << np.uint64(40) | rarity << np.uint64(32) | hashes >> np.uint64(32)
         order = np.argsort(key)
-        key, hashes = key[order], hashes[order]
-        alike = key[1:] == key[:-1]
-        if (hashes[1:] != hashes[:-1])[alike].any():  # 32 bits are not enough here
-            line, key = line[order], key >> np.uint64(32)
-            order = np.lexsort((hashes, key))
-            line, hashes = line[order], hashes[order]
-        else:
-            line = key >> np.uint64(40)
+        ordered = key[order]
+        alike = ordered[1:] == ordered[:-1]
+        if len(words) > LINES or (hashes[order][1:] != hashes[order][:-1])[alike].any():  # 64 bits are not enough here
+            order = np.lexsort((hashes, np.broadcast_to(rarity, len(hashes)), line))
+        line, hashes = line[order], hashes[order]
         new = np.ones(len(hashes), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
         self.words = hashes[new]

@@ -240,7 +240,7 @@ def repeating(docs: DataFrame, place: Column) -> DataFrame:
     n = F.size("_w").cast("long")
     a = F.when(n > 0, F.col("_g") % n)
     set_up = chosen.select("doc_id", "text", "_w", a.alias("_a"), (1 + F.floor((n - a) / (3 + F.col("_g") % 8))).cast("long").alias("_p"))
-    head = F.slice("_w", F.lit(1), F.col("_a").cast("int"))
-    tail = F.slice("_w", (F.col("_a") + 1).cast("int"), F.size("_w"))
-    again = F.transform(tail, lambda w, i: F.element_at(tail, (F.pmod(i.cast("long"), F.col("_p")) + 1).cast("int")))
-    return set_up.select("doc_id", F.when(F.col("_a").isNull(), F.col("text")).otherwise(F.concat_ws(" ", head, again)).alias("text"))
+    at = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + F.pmod(i - F.col("_a"), F.col("_p")))
+    places = F.sequence(F.lit(0).cast("long"), F.size("_w").cast("long") - 1)
+    again = F.transform(places, lambda i: F.element_at(F.col("_w"), (at(i) + 1).cast("int")))
+    return set_up.select("doc_id", F.when(F.col("_a").isNull(), F.col("text")).otherwise(F.concat_ws(" ", again)).alias("text"))

@@ -7,12 +7,13 @@ from collections import Counter, defaultdict
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from capture_tables.llm import bpe, components, exact_dedup, language_id, line_dedup, ngram_lm, packing, simhash, suffix_dedup, topk, toxicity
+from capture_tables.llm import bpe, common, components, exact_dedup, language_id, line_dedup, ngram_lm, packing, simhash, suffix_dedup, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, component_id long, kept boolean"
 random.seed(5)
@@ -633,6 +634,36 @@ def test_registered_queries_give_a_row_for_each_document(spark, name):
         assert all(int(r.fingerprint, 16) == simhash.fingerprint(docs[r.doc_id].text or "") for r in found)
 
 
+def structured(n):
+    """Two words of n letters that polynomial hashes modulo a power of two take for one."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_structured_words_are_told_apart(spark):
+    hashes = [h for n in (8, 1024, 4096, 65536) for h in common.Scan(pa.array([" ".join(structured(n))])).hashes.tolist()]
+    assert len(set(hashes)) == len(hashes)
+    same = common.Scan(pa.array(["AbC ABCDEFGHIJ\nabc abcdefghij", "abcdefgh abcdefghi " + "é" * 9]), (4, 7))
+    assert [same.hashes[k] == same.hashes[k + 2] for k in (0, 1)] == [True, True] and len(set(same.hashes.tolist())) == 5
+    assert [(at.tolist(), len(set(h.tolist()))) for at, h in same.begun] == [([1, 3, 4, 5, 6], 2), ([1, 3, 4, 5, 6], 2)]
+    one, other = structured(1024)
+    lines = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    assert [r.n_removed for r in line_dedup.report(lines).collect()] == [0, 0]
+    passage = lambda w: " ".join([w] * 50)
+    assert [r.n_removed for r in suffix_dedup.repeats(spark.createDataFrame([(1, passage(one)), (2, passage(other))], lines.schema)).collect()] == [0, 0]
+    known = ngram_lm.score(spark.createDataFrame([(1, one), (2, other)], lines.schema), F.col("doc_id") == 1)
+    assert {r.doc_id: (r.n_known, r.train_tokens) for r in known.collect()} == {1: (2, 2), 2: (1, 2)}
+
+
+def test_lines_beyond_what_24_bits_number(monkeypatch):
+    r = random.Random(1)
+    text = pa.array(["\n".join(" ".join(r.choices("abcdefg", k=r.randint(0, 9))) for _ in range(300)) for _ in range(3)])
+    few = line_dedup.Lines(text)
+    monkeypatch.setattr(line_dedup, "LINES", 10)
+    many = line_dedup.Lines(text)
+    assert all((getattr(few, n) == getattr(many, n)).all() for n in ("row", "number", "size", "words", "heads"))
+
+
 def test_sql_and_queries_agree(spark):
     import duckdb
     from capture_tables.llm import queries
