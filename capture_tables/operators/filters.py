@@ -103,58 +103,101 @@ def one_euro_rotation(df: DataFrame, by: list[str], mode: str = "tangent", order
     return df.select(*by, order, *_R).groupBy(*by).applyInPandas(run, schema)
 
 
-def select_track(hypotheses: DataFrame, by: list[str], visible: float = 0.3, base: float = 13.0, omega: float = 0.5, ahead: int = 30, occluded: int = 30, time: str | None = None, iou: str | None = None, iou_kept: int = 30) -> DataFrame:
+class _Track:
+    """The hypotheses of a track's frames, the first ranked first, and how they are chosen in both
+    directions of time."""
+
+    def __init__(self, frames: list[pd.DataFrame], clock: list[float], iou: str | None, visible: float, base: float, omega: float, ahead: int, occluded: int, iou_kept: int, reliable_iou: float, reliable_visibility: float):
+        self.turns = [g[_R].to_numpy(float).reshape(-1, 3, 3) for g in frames]
+        self.visibility = [g["visibility"].to_numpy(float) for g in frames]
+        self.ious = [g[iou].to_numpy(float) for g in frames] if iou else None
+        self.number, self.clock = [int(g["frame"].iloc[0]) for g in frames], clock
+        self.visible, self.base, self.omega, self.ahead, self.occluded = visible, base, omega, ahead, occluded
+        self.iou_kept, self.reliable_iou, self.reliable_visibility = iou_kept, reliable_iou, reliable_visibility
+        #: For each frame the place of its choice among its hypotheses, and whether a gate let it through.
+        self.chosen: dict[int, tuple[int, bool]] = {}
+
+    def _good(self, k: int) -> np.ndarray:
+        """Those no worse than the frame's best but iou_kept."""
+        if self.ious is None:
+            return np.ones(len(self.turns[k]), bool)
+        own = self.ious[k]
+        return own >= np.sort(own)[::-1][min(self.iou_kept, len(own) - 1)]
+
+    def _near(self, k: int, other: np.ndarray, seen: float) -> np.ndarray:
+        """Good ones within the gate around a rotation; it widens with the time since `seen`."""
+        trace = np.einsum("nij,ij->n", self.turns[k], other)
+        angle = np.degrees(np.arccos(np.clip((trace - 1) / 2, -1, 1)))
+        return self._good(k) & (angle < self.base + abs(self.clock[k] - seen) * self.omega)
+
+    def forward(self) -> None:
+        k = at = 0  # at: the last visible frame
+        last, visibility = None, 0.0
+        while k < len(self.turns):
+            awake = last is not None and (visibility > self.visible or self.number[k] - self.number[at] < self.occluded)
+            near = self._near(k, last, self.clock[at]) if awake else self._good(k)
+            if k + self.ahead < len(self.turns) and not (near.any() if awake else k == 0):
+                until, pick, visibility = self._landing(k)
+                last = self.turns[until][pick]
+                self._backward(k, until, last)
+                k = at = until
+                continue
+            pick = int(near.argmax())
+            self.chosen[k] = (pick, bool(awake and near.any()))
+            last, visibility = self.turns[k][pick], self.visibility[k][pick]
+            if visibility > self.visible:
+                at = k
+            k += 1
+
+    def _landing(self, k: int) -> tuple[int, int, float]:
+        """The first last frame of a stride with a reliable hypothesis, or the track's last frame."""
+        while True:
+            end = min(k + self.ahead, len(self.turns)) - 1
+            final = k + self.ahead >= len(self.turns)
+            sure = np.ones(len(self.turns[end]), bool) if self.ious is None else self.ious[end] >= self.reliable_iou
+            if final or (sure.any() and self.visibility[end][0] >= self.reliable_visibility):
+                first = int(sure.argmax())
+                return end, 0 if final else first, self.visibility[end][first]
+            k += self.ahead
+
+    def _backward(self, start: int, until: int, last: np.ndarray) -> None:
+        """Frames start .. until - 1 from behind; a gate that lets none through stays open from there."""
+        seen, awake = self.clock[until], True
+        for k in range(until - 1, start - 1, -1):
+            near = self._near(k, last, seen) if awake else self._good(k)
+            if awake and not near.any():
+                awake, near = False, self._good(k)
+            pick = int(near.argmax())
+            self.chosen[k] = (pick, awake)
+            last = self.turns[k][pick]
+            if self.visibility[k][pick] > self.visible:
+                seen = self.clock[k]
+
+
+def select_track(hypotheses: DataFrame, by: list[str], visible: float = 0.3, base: float = 13.0, omega: float = 0.5, ahead: int = 30, occluded: int = 30, time: str | None = None, iou: str | None = None, iou_kept: int = 30, reliable_iou: float = 0.5, reliable_visibility: float = 0.7) -> DataFrame:
     """by..., frame, rank, gated: one hypothesis for each frame (columns rank, visibility,
     r00 .. r22, and those named by `time`, in seconds, and `iou`).
 
-    With `iou`, a frame's candidates are those no worse than its best but `iou_kept`. A frame
-    whose predecessor is visible enough, or that comes fewer than `occluded` frames behind the
-    last reliable choice, takes the first ranked that is less than base + gap * omega degrees
-    from that choice's rotation; the gap is counted in frames, or with `time` in thirtieths of a
-    second. Other frames take their first ranked candidate. Where the gate lets none through, the track jumps to the next reliable frame within `ahead`, and the
-    frames passed over take, from there backwards, the hypothesis nearest to the rotation behind
-    them; without such a frame the best ranked is taken, ungated.
+    With `iou`, a frame's candidates are those no worse than its best but `iou_kept`. While the last
+    choice is visible, or a visible one is fewer than `occluded` frames behind, a frame takes its
+    first candidate less than base + gap * omega degrees from the last choice's rotation; the gap to
+    the last visible choice is counted in frames, or with `time` in thirtieths of a second.
+    Where that lets none through, or the gate sleeps, the track jumps in strides of `ahead` frames
+    until a stride's last frame has a hypothesis of `reliable_iou` and its first ranked is visible by
+    `reliable_visibility`, or until the track ends. The frames passed over are chosen backwards from
+    there with a gate of their own, which stays open once it lets none through, and the track goes on
+    from the frame it landed on. The first frame, and those in reach of the end, take their first
+    candidate where the gate does not decide.
     """
+    if ahead < 2:
+        raise ValueError("strides have two frames at least")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         frames = [g.sort_values("rank") for _, g in rows.sort_values("frame").groupby("frame", sort=True)]
-        if iou:
-            frames = [g[g[iou] >= np.sort(g[iou])[::-1][min(iou_kept, len(g) - 1)]] for g in frames]
-        number = [int(g["frame"].iloc[0]) for g in frames]
-        turns = [g[_R].to_numpy(float).reshape(-1, 3, 3) for g in frames]
-        reliable = [float(g["visibility"].iloc[0]) >= visible for g in frames]
-
-        def angles(k: int, other: np.ndarray) -> np.ndarray:
-            trace = np.einsum("nij,ij->n", turns[k], other)
-            return np.degrees(np.arccos(np.clip((trace - 1) / 2, -1, 1)))
-
-        chosen: dict[int, tuple[int, bool]] = {}
-        clock = [float(g[time].iloc[0]) * 30 for g in frames] if time else number
-        last, k = None, 0  # last: (frame, rotation) of the last reliable choice
-        while k < len(frames):
-            if last is None or not (reliable[k - 1] or number[k] - number[last[0]] < occluded):
-                chosen[k] = (0, bool(reliable[k]))
-            else:
-                gate = base + abs(clock[k] - clock[last[0]]) * omega
-                near = np.flatnonzero(angles(k, last[1]) < gate)
-                if len(near):
-                    chosen[k] = (int(near[0]), True)
-                else:
-                    until = next((j for j in range(k, len(frames)) if number[j] - number[k] <= ahead and reliable[j]), None)
-                    if until is None:
-                        chosen[k] = (0, False)
-                    else:
-                        chosen[until] = (0, True)
-                        behind = turns[until][0]
-                        for j in range(until - 1, k - 1, -1):
-                            pick = int(angles(j, behind).argmin())
-                            chosen[j], behind = (pick, False), turns[j][pick]
-                        k = until
-            if reliable[k] and chosen[k][1]:
-                last = (k, turns[k][chosen[k][0]])
-            k += 1
-        out = [frames[k].iloc[[p]][[*by, "frame", "rank"]].assign(gated=g) for k, (p, g) in sorted(chosen.items())]
-        return pd.concat(out)
+        clock = [float(g[time].iloc[0]) * 30 if time else float(g["frame"].iloc[0]) for g in frames]
+        track = _Track(frames, clock, iou, visible, base, omega, ahead, occluded, iou_kept, reliable_iou, reliable_visibility)
+        track.forward()
+        return pd.concat([frames[k].iloc[[pick]][[*by, "frame", "rank"]].assign(gated=gated) for k, (pick, gated) in sorted(track.chosen.items())])
 
     schema = _schema(hypotheses, [*by, "frame", "rank"]) + ", gated boolean"
     return hypotheses.select(*by, "frame", "rank", "visibility", *[c for c in (time, iou) if c], *_R).groupBy(*by).applyInPandas(run, schema)

@@ -186,6 +186,105 @@ def select_instance(candidates: DataFrame, by: list[str], previous: DataFrame, p
     return out.select(*by, (-F.col("b._i")).alias("instance"), how.alias("chosen_by"))
 
 
+def _first_best(value: str) -> Column:
+    """The instance of the greatest value in a group, the first listed of several."""
+    return F.max_by("instance", F.struct(F.col(value), -F.col("instance")))
+
+
+def chained_instances(candidates: DataFrame, person: DataFrame, chunk: int, d: int, by=("seq",)) -> DataFrame:
+    """by..., chunk, instance, chosen_by: the instance that is followed through each chunk of frames.
+
+    Instances are told apart within a chunk only. A chunk's is chosen among those of its first frame:
+    the one that overlaps the last mask of the instance followed before most; without such an overlap
+    the dilated person; without that the largest. The first listed wins ties. A chunk without masks in
+    its first frame has none, and the mask before is kept for the next one.
+
+    What each possible choice would lead to is found for all chunks at once by joins of runs; only
+    these few numbers for each chunk are followed in order."""
+    by = list(by)
+    keys = [*by, "chunk", "instance"]
+    runs = candidates.withColumn("chunk", F.floor(F.col("frame") / F.lit(chunk)).cast("long"))
+    at_start = F.col("frame") == F.col("chunk") * chunk
+    first = runs.where(at_start).select(*keys, "v", "u0", "u1")
+    near = dilate(person.withColumn("chunk", F.floor(F.col("frame") / F.lit(chunk)).cast("long")).where(at_start), [*by, "chunk"], d)
+    part = F.greatest(F.least("u1", "_b") - F.greatest("u0", "_a"), F.lit(0))
+    renamed = lambda df, *names: df.select(*names, "v", F.col("u0").alias("_a"), F.col("u1").alias("_b"))
+    on = [*by, "chunk", "v"]
+    areas = first.join(renamed(near, *by, "chunk"), on, "left")
+    areas = areas.groupBy(*keys, "v", "u0", "u1").agg(F.coalesce(F.sum(part), F.lit(0)).alias("_n"))
+    areas = areas.groupBy(*keys).agg(F.sum("_n").alias("_near"), F.sum(_length()).alias("_area"))
+    own = areas.groupBy(*by, "chunk").agg(_first_best("_near").alias("_p"), F.max("_near").alias("_most"), _first_best("_area").alias("_l"))
+    own = own.select(*by, "chunk", F.when(F.col("_most") > 0, F.col("_p")).otherwise(F.col("_l")).alias("instance"), F.when(F.col("_most") > 0, "person").otherwise("largest").alias("chosen_by"))
+
+    following = own.select(*by, "chunk", F.lead("chunk").over(Window.partitionBy(*by).orderBy("chunk")).alias("_next"))
+    lasts = runs.groupBy(*keys).agg(F.max(F.struct("frame")).alias("_at")).select(*keys, F.col("_at.frame").alias("frame"))
+    before = runs.join(lasts, [*keys, "frame"]).join(following, [*by, "chunk"]).where("_next is not null")
+    before = before.select(*by, F.col("_next").alias("chunk"), F.col("instance").alias("before"), "v", F.col("u0").alias("_a"), F.col("u1").alias("_b"))
+    shared = first.join(before, on).groupBy(*keys, "before").agg(F.sum(part).alias("_shared")).where("_shared > 0")
+    led = shared.groupBy(*by, "chunk", "before").agg(_first_best("_shared").alias("instance"))
+
+    steps = own.select(*by, "chunk", F.lit(None).cast(candidates.schema["instance"].dataType).alias("before"), "instance", "chosen_by")
+    steps = steps.unionByName(led.select(*by, "chunk", "before", "instance", F.lit("previous").alias("chosen_by")))
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        picked, current = [], None
+        for _, choices in rows.groupby("chunk", sort=True):
+            led_to = choices[choices["before"] == current] if current is not None else choices[:0]
+            picked.append(led_to if len(led_to) else choices[choices["chosen_by"] != "previous"])
+            current = picked[-1]["instance"].iloc[0]
+        return pd.concat(picked)[[*by, "chunk", "instance", "chosen_by"]]
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in steps.select(*by, "chunk", "instance", "chosen_by").schema)
+    return steps.groupBy(*by).applyInPandas(follow, schema)
+
+
+def choose_instance(candidates, previous: list, person, d: int) -> tuple[int | None, str | None, list]:
+    """(instance, chosen_by, its runs) of one frame, as chained_instances chooses: `candidates` have
+    instance, v, u0, u1, the other masks are lists of (v, u0, u1). Without candidates the previous
+    mask stays."""
+    found: dict[int, list] = {}
+    for r in [] if candidates is None else candidates:
+        found.setdefault(int(r["instance"]), []).append((int(r["v"]), int(r["u0"]), int(r["u1"])))
+    if not found:
+        return None, None, previous
+    grown: dict[int, list] = {}
+    for r in [] if person is None else person:
+        for v in range(int(r["v"]) - d, int(r["v"]) + d + 1):
+            grown.setdefault(v, []).append((int(r["u0"]) - d, int(r["u1"]) + d))
+    near = [(v, *r) for v, runs in grown.items() for r in _merged(runs)]
+    for how, other in (("previous", previous), ("person", near)):
+        shared = {k: _shared(runs, other) for k, runs in found.items()}
+        best = max(sorted(shared), key=shared.get)
+        if shared[best] > 0:
+            return best, how, found[best]
+    best = max(sorted(found), key=lambda k: sum(u1 - u0 for _, u0, u1 in found[k]))
+    return best, "largest", found[best]
+
+
+def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for u0, u1 in sorted(runs):
+        if out and u0 <= out[-1][1]:
+            out[-1] = (out[-1][0], max(u1, out[-1][1]))
+        else:
+            out.append((u0, u1))
+    return out
+
+
+def _shared(a: list, b: list) -> int:
+    """Pixels of two masks without overlapping runs that both have."""
+    rows: dict[int, list] = {}
+    for v, u0, u1 in b:
+        rows.setdefault(v, []).append((u0, u1))
+    return sum(max(min(u1, w1) - max(u0, w0), 0) for v, u0, u1 in a for w0, w1 in rows.get(v, ()))
+
+
+def followed_masks(candidates: DataFrame, chosen: DataFrame, chunk: int, by=("seq",)) -> DataFrame:
+    """The runs of each chunk's chosen instance in all its frames."""
+    runs = candidates.withColumn("chunk", F.floor(F.col("frame") / F.lit(chunk)).cast("long"))
+    return runs.join(chosen.select(*by, "chunk", "instance"), [*by, "chunk", "instance"]).drop("chunk")
+
+
 def union_instances(candidates: DataFrame, by: list[str]) -> DataFrame:
     """All instances of a frame as one mask."""
     return merge_runs(candidates, by)

@@ -130,5 +130,6 @@ def with_views(sql: str) -> str:
     if not order:
         return sql
     made = ",\n".join(f"{n} AS ({VIEWS[n].replace('ELEMENT(', 'list_extract(')})" for n in order)
-    body = re.sub(r"(?i)^\s*with\s", ", ", sql, count=1) if re.match(r"(?i)\s*with\s", sql) else "\n" + sql
-    return f"WITH {made}{body}"
+    own = re.match(r"(?i)\s*with(\s+recursive)?\s", sql)
+    body = ", " + sql[own.end() :] if own else "\n" + sql
+    return f"WITH {'RECURSIVE ' if own and own[1] else ''}{made}{body}"

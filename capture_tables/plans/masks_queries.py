@@ -79,6 +79,32 @@ def _(t):
     return m.select_instance(cands, ["f"], prev, person, 1)
 
 
+_CHUNKED = "(SELECT frame // 800 AS seq, cast((frame // 8) % 100 as int) AS frame, cast(frame % 8 as int) AS instance, role, v, u0, u1 FROM fx_runs)"
+
+
+@query("g15_chained_instances", f"""WITH RECURSIVE c AS (SELECT seq, frame, frame // 4 AS chunk, instance, v, unnest(range(u0, u1)) AS u FROM {_CHUNKED} r WHERE role = 'object'),
+h AS (SELECT DISTINCT seq, frame // 4 AS chunk, v + dv AS v, unnest(range(u0 - 2, u1 + 2)) AS u FROM {_CHUNKED} r, (SELECT unnest(range(-2, 3)) AS dv) a WHERE role = 'person' AND frame % 4 = 0),
+s AS (SELECT c.seq, c.chunk, c.instance, count(*) AS area, count(h.u) AS near FROM c LEFT JOIN h ON h.seq = c.seq AND h.chunk = c.chunk AND h.v = c.v AND h.u = c.u WHERE c.frame % 4 = 0 GROUP BY 1, 2, 3),
+w AS (SELECT *, max(near) OVER (PARTITION BY seq, chunk) AS most FROM s),
+own AS (SELECT seq, chunk, instance, CASE WHEN most > 0 THEN 'person' ELSE 'largest' END AS how FROM w QUALIFY row_number() OVER (PARTITION BY seq, chunk ORDER BY CASE WHEN most > 0 THEN near ELSE area END DESC, instance) = 1),
+nx AS (SELECT seq, chunk, row_number() OVER (PARTITION BY seq ORDER BY chunk) AS n, lead(chunk) OVER (PARTITION BY seq ORDER BY chunk) AS after FROM own),
+l AS (SELECT seq, chunk, instance, max(frame) AS frame FROM c GROUP BY 1, 2, 3),
+b AS (SELECT c.seq, nx.after AS chunk, c.instance AS before, c.v, c.u FROM c JOIN l USING (seq, chunk, instance, frame) JOIN nx ON nx.seq = c.seq AND nx.chunk = c.chunk WHERE nx.after IS NOT NULL),
+o AS (SELECT b.seq, b.chunk, b.before, c.instance, count(*) AS n FROM b JOIN c ON c.seq = b.seq AND c.chunk = b.chunk AND c.v = b.v AND c.u = b.u WHERE c.frame % 4 = 0 GROUP BY 1, 2, 3, 4),
+led AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY seq, chunk, before ORDER BY n DESC, instance) = 1),
+chain(seq, n, chunk, instance, how) AS (SELECT own.seq, nx.n, own.chunk, own.instance, own.how FROM own JOIN nx ON nx.seq = own.seq AND nx.chunk = own.chunk WHERE nx.n = 1
+  UNION ALL SELECT nx.seq, nx.n, nx.chunk, coalesce(led.instance, own.instance), CASE WHEN led.instance IS NULL THEN own.how ELSE 'previous' END
+  FROM chain k JOIN nx ON nx.seq = k.seq AND nx.n = k.n + 1 JOIN own ON own.seq = nx.seq AND own.chunk = nx.chunk LEFT JOIN led ON led.seq = nx.seq AND led.chunk = nx.chunk AND led.before = k.instance)
+SELECT k.seq, k.chunk, k.instance, k.how AS chosen_by, count(DISTINCT c.frame) AS frames, count(*) AS pixels FROM chain k JOIN c ON c.seq = k.seq AND c.chunk = k.chunk AND c.instance = k.instance GROUP BY 1, 2, 3, 4""")
+def _(t):
+    """Sequences of a hundred frames of eight orders each, followed in chunks of four frames."""
+    runs = t("fx_runs").select(F.floor(F.col("frame") / 800).alias("seq"), (F.floor(F.col("frame") / 8) % 100).cast("int").alias("frame"), (F.col("frame") % 8).cast("int").alias("instance"), "role", "v", "u0", "u1")
+    cands = runs.where("role = 'object'").drop("role")
+    chosen = m.chained_instances(cands, runs.where("role = 'person'").drop("role", "instance"), 4, 2)
+    masks = m.followed_masks(cands, chosen, 4).groupBy("seq", F.floor(F.col("frame") / 4).alias("chunk"), "instance").agg(F.count_distinct("frame").alias("frames"), F.sum(F.col("u1") - F.col("u0")).cast("long").alias("pixels"))
+    return chosen.join(masks, ["seq", "chunk", "instance"])
+
+
 @query("g16_union_instances", """WITH px AS (SELECT DISTINCT frame % 300 AS f, v, unnest(range(u0, u1)) AS u FROM fx_runs), s AS (SELECT *, u - row_number() OVER (PARTITION BY f, v ORDER BY u) AS g FROM px)
 SELECT f, v, cast(min(u) as int) AS u0, cast(max(u) + 1 as int) AS u1 FROM s GROUP BY f, v, g""")
 def _(t):

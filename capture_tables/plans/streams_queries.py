@@ -142,18 +142,29 @@ def _(t):
     return _done(s.smoothed(_stream(t), "x")).select("seq", "event_id", "smooth")
 
 
-@query("s6_visibility_gate", f"""WITH a AS (SELECT seq, event_id, epoch_us(ts) / 1e6 AS t, last_value(CASE WHEN vis > 5e-1 THEN epoch_us(ts) / 1e6 END IGNORE NULLS) OVER (PARTITION BY seq ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen,
-  last_value(CASE WHEN event_id % 30 >= 20 THEN event_id END IGNORE NULLS) OVER (PARTITION BY seq ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS src FROM {_E} e)
-SELECT seq, event_id, round(t - seen, 3) AS gap, src AS mask_source FROM a""")
-def _(t):
-    rows = _stream(t).withColumn("area", F.col("event_id") % 30)
-    return _done(s.visibility_gate(rows, 0.5, 0.5)).select("seq", "event_id", F.round("gap", 3).alias("gap"), "mask_source")
-
-
-@query("s7_paired", f"""SELECT c.event_id AS colour_id, d.event_id AS depth_id FROM {_E} c JOIN {_E} d ON c.seq = d.seq AND c.event_type = 'view' AND d.event_type = 'click' AND d.ts BETWEEN c.ts - INTERVAL 30 MINUTE AND c.ts + INTERVAL 30 MINUTE""")
-def _(t):
+@query("s6_visibility_gate", f"""WITH RECURSIVE e AS (SELECT seq, event_id, ts, epoch_us(ts) / 1e6 AS t, last_value(CASE WHEN vis > 5e-1 THEN epoch_us(ts) / 1e6 END IGNORE NULLS) OVER (PARTITION BY seq ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM {_E} x),
+c AS (SELECT seq, event_id, i, dense_rank() OVER (PARTITION BY seq ORDER BY ts, event_id) AS n, event_id * 7 % 40 + i * 3 AS u0, event_id * 7 % 40 + i * 3 + 3 + (event_id + i) % 5 AS u1, event_id * 13 % 40 AS p FROM e, range(3) r(i) WHERE event_id % 9 <> 0),
+k AS (SELECT *, greatest(0, least(u1, p + 6) - greatest(u0, p - 2)) AS near FROM c), w AS (SELECT *, max(near) OVER (PARTITION BY seq, event_id) AS most FROM k),
+own AS (SELECT seq, event_id, n, i, CASE WHEN most > 0 THEN 'person' ELSE 'largest' END AS how FROM w QUALIFY row_number() OVER (PARTITION BY seq, event_id ORDER BY CASE WHEN most > 0 THEN near ELSE u1 - u0 END DESC, i) = 1),
+led AS (SELECT b.seq, b.n, a.i AS before, b.i FROM c a JOIN c b ON a.seq = b.seq AND b.n = a.n + 1 WHERE least(a.u1, b.u1) > greatest(a.u0, b.u0) QUALIFY row_number() OVER (PARTITION BY b.seq, b.n, a.i ORDER BY least(a.u1, b.u1) - greatest(a.u0, b.u0) DESC, b.i) = 1),
+chain(seq, event_id, n, i, how) AS (SELECT seq, event_id, n, i, how FROM own WHERE n = 1 UNION ALL
+  SELECT o.seq, o.event_id, o.n, coalesce(l.i, o.i), CASE WHEN l.i IS NULL THEN o.how ELSE 'previous' END FROM chain k JOIN own o ON o.seq = k.seq AND o.n = k.n + 1 LEFT JOIN led l ON l.seq = k.seq AND l.n = k.n + 1 AND l.before = k.i)
+SELECT e.seq, e.event_id, round(t - seen, 3) AS gap, k.i AS instance, k.how AS chosen_by FROM e LEFT JOIN chain k ON k.seq = e.seq AND k.event_id = e.event_id""")
+def _(t):
+    """Three masks of two rows in most events, and a person."""
+    rows, e = _stream(t), F.col("event_id")
+    run = lambda u0, width, v, *more: F.struct(*more, F.lit(v).alias("v"), u0.cast("int").alias("u0"), (u0 + width).cast("int").alias("u1"))
+    made = [run(e * 7 % 40 + i * 3, 3 + (e + i) % 5, v, F.lit(i).alias("instance")) for i in range(3) for v in range(2)]
+    rows = rows.withColumns({"candidates": F.when(e % 9 != 0, F.array(*made)), "person": F.array(*[run(e * 13 % 40, F.lit(4), v) for v in range(2)])})
+    return _done(s.visibility_gate(rows, 0.5, 0.5, d=2)).select("seq", "event_id", F.round("gap", 3).alias("gap"), "instance", "chosen_by")
+
+
+@query("s7_paired", f"""SELECT c.event_id AS colour_id, d.event_id AS depth_id FROM {_E} c JOIN {_E} d ON c.seq = d.seq AND c.event_type = 'view' AND d.event_type = 'click' AND d.ts BETWEEN c.ts - INTERVAL 30 MINUTE AND c.ts + INTERVAL 30 MINUTE
+WHERE c.ts + INTERVAL 30 MINUTE <= {_MARK} - INTERVAL 10 HOUR QUALIFY row_number() OVER (PARTITION BY c.event_id ORDER BY abs(epoch_us(d.ts) - epoch_us(c.ts)), d.ts, d.event_id) = 1""")
+def _(t):
+    """Pairs that the watermark has settled."""
     colour, depth = _stream(t).where("event_type = 'view'"), _stream(t).where("event_type = 'click'")
-    return _done(s.paired(colour, depth, "30 MINUTES", "10 hours").select("colour_id", "depth_id"))
+    return _done(s.paired(colour, depth, 1800.0, "10 hours")).select("colour_id", "depth_id")
 
 
 @query("s8_with_calibration", f"SELECT e.event_id, R6(c.fx) AS fx FROM {_E} e JOIN fx_cameras c ON c.cam = e.event_id % 4")
@@ -161,15 +172,19 @@ def _(t):
     return _done(s.with_calibration(_stream(t), t("fx_cameras").select("cam", "fx"))).select("event_id", "fx")
 
 
-@query("s9_live_triangulation")
+@query("s9_live_triangulation", f"""WITH r AS (SELECT seq, time_bucket(INTERVAL '6 hours', ts) AS start, ts, event_id % 4 AS cam FROM {_E} e),
+f AS (SELECT *, first_value(cam) OVER w AS first, row_number() OVER w AS n FROM r WINDOW w AS (PARTITION BY seq, start ORDER BY ts, cam))
+SELECT seq, start, 5e-1 AS x, 1e-1 AS y, 7e0 AS z, min(n) AS n_views FROM f WHERE cam <> first GROUP BY seq, start""")
 def _(t):
-    """Rays of the events' cameras towards one point for each sequence and six hours."""
+    """Rays of the events' cameras towards one point for each sequence and six hours: a row for each of
+    these spans, also of those that are still open when the stream ends, from its first two cameras."""
     rows = _stream(t)
     target = rows.withColumns({"y": F.lit(0.1), "z": F.lit(7.0)}).join(t("fx_cameras").select("cam", *[c for c in t("fx_cameras").columns if c not in ("cam", "width", "height")]), "cam")
     seen = target.withColumns({"px": F.col("r00") * 0.5 + F.col("r02") * F.col("z") + F.col("tx"), "py": F.col("y") + F.col("ty"), "pz": F.col("r20") * 0.5 + F.col("r22") * F.col("z") + F.col("tz")})
-    pixels = seen.withColumns({"u": F.col("fx") * F.col("px") / F.col("pz") + F.col("cx"), "v": F.col("fy") * F.col("py") / F.col("pz") + F.col("cy")}).select("seq", "ts", "cam", "u", "v")
-    out = _finished(s.live_triangulation(g.camera_rays(pixels, t("fx_cameras")), "10 minutes", "6 hours"))
-    return out.select("seq", F.col("window.start").cast("timestamp_ntz").alias("start"), "x", "y", "z", "n_views")
+    pixels = seen.withColumns({"u": F.col("fx") * F.col("px") / F.col("pz") + F.col("cx"), "v": F.col("fy") * F.col("py") / F.col("pz") + F.col("cy")})
+    frame = F.window("ts", "6 hours")["start"].cast("timestamp").alias("start")
+    out = _done(s.live_triangulation(g.camera_rays(pixels.select("seq", frame, "ts", "cam", "u", "v"), t("fx_cameras")), "10 minutes", 86400.0, ["seq", "start"]))
+    return out.select("seq", F.col("start").cast("timestamp_ntz").alias("start"), "x", "y", "z", "n_views")
 
 
 @query("s10_upserted", f"SELECT seq, max(event_id) AS event_id, count(*) AS n FROM (SELECT seq, event_id FROM {_E} e) q GROUP BY seq")
@@ -178,5 +193,5 @@ def _(t):
     spark = rows.sparkSession
     path = shared_path(spark, "upsert")
     s.upsert_frames(rows, path, ["seq", "event_id"], "part").awaitTermination()
-    back = spark.read.parquet(f"{path}/data")
+    back = s.read_upserted(spark, path, rows.schema, "part")
     return back.groupBy("seq").agg(F.max("event_id").alias("event_id"), F.count("*").alias("n"))

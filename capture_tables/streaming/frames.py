@@ -9,9 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from capture_tables.functions import linalg as la
+from capture_tables.operators import masks
 from capture_tables.operators.filters import OneEuro
 
 
@@ -76,64 +79,179 @@ def smoothed(frames: DataFrame, column: str, least_cutoff: float = 1.0, beta: fl
     )
 
 
-def visibility_gate(frames: DataFrame, threshold: float, omega: float, base: float = 13.0, fps: float = 30.0, late: str = "10 minutes", idle: float = 86400.0) -> DataFrame:
-    """seq, event_id, gap (seconds since the last visible frame), gate (degrees), mask_source: the
-    event whose mask is the most recent of 20 pixels or more. The state is two numbers for each
-    track, forgotten `idle` seconds behind its last event. Events later than the watermark are
-    dropped."""
+def _keyed_states(frames: DataFrame, by: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    """`frames` through a processor with states for each key, in event time. Such states need the
+    RocksDB store, which is set for the session."""
+    frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return frames.groupBy(*by).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def _wake(handle: StatefulProcessorHandle, at: int | None) -> None:
+    """Let the key's only timer ring when the watermark has reached `at` milliseconds; None: never."""
+    for old in list(handle.listTimers()):
+        handle.deleteTimer(old)
+    if at is not None:
+        handle.registerTimer(at)
+
+
+class _Gate(StatefulProcessor):
+    """A track's last visible time, and the mask that was followed last."""
+
+    def __init__(self, threshold: float, d: int, idle: float):
+        self.threshold, self.d, self.idle = threshold, d, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "seen double")
+        self.mask = handle.getListState("mask", "v int, u0 int, u1 int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = pd.concat(list(rows)).sort_values(["micros", "event_id"], ignore_index=True)
+        before = self.seen.get()[0] if self.seen.exists() else np.nan
+        seconds = frames["micros"] / 1e6
+        visible = seconds.where(frames["vis"] > self.threshold)
+        last = visible.ffill().fillna(before)
+        gap = (seconds - last.shift(fill_value=before)).astype("Float64")
+        mask = [tuple(r) for r in self.mask.get()] if self.mask.exists() else []
+        chosen = []
+        for candidates, person in zip(frames["candidates"], frames["person"], strict=True):
+            pick, how, mask = masks.choose_instance(candidates, mask, person, self.d)
+            chosen.append((pick, how))
+        if mask:
+            self.mask.put(mask)
+        if not np.isnan(last.iloc[-1]):
+            self.seen.update((float(last.iloc[-1]),))
+        _wake(self.handle, int(frames["micros"].iloc[-1]) // 1000 + int(self.idle * 1000))
+        instance = pd.Series([pick for pick, _ in chosen], dtype="Int64")
+        yield pd.DataFrame({"seq": key[0], "event_id": frames["event_id"], "gap": gap, "instance": instance, "chosen_by": [how for _, how in chosen]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        self.mask.clear()
+        return iter(())
+
+
+def visibility_gate(frames: DataFrame, threshold: float, omega: float, base: float = 13.0, fps: float = 30.0, d: int = 15, late: str = "10 minutes", idle: float = 86400.0) -> DataFrame:
+    """seq, event_id, gap (seconds since the last visible frame), gate (degrees), instance, chosen_by:
+    of a frame's masks (`candidates`, an array of instance, v, u0, u1) the one that overlaps the mask
+    chosen before most, else the dilated `person` (an array of v, u0, u1), else the largest, as
+    `masks.chained_instances` with chunks of one frame. The state of a track is its last visible time
+    and its last mask's runs, forgotten `idle` seconds behind its last event. Events later than the
+    watermark are dropped."""
+    picked = frames.withWatermark("ts", late).select("seq", "event_id", "ts", F.unix_micros("ts").alias("micros"), F.col("vis").cast("double").alias("vis"), "candidates", "person")
+    out = _keyed_states(picked, ["seq"], _Gate(threshold, d, idle), "seq long, event_id long, gap double, instance long, chosen_by string")
+    return out.withColumn("gate", base + F.col("gap") * fps * omega)
+
+
+class _Nearest(StatefulProcessor):
+    """The colour frames of a sequence that wait for a nearer depth frame, and the depth frames that a
+    waiting or a later colour frame may take."""
+
+    def __init__(self, within: int):
+        self.within = within  # microseconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.colour = handle.getListState("colour", "micros long, event_id long")
+        self.depth = handle.getListState("depth", "micros long, event_id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            for side, state in (("colour", self.colour), ("depth", self.depth)):
+                own = part[part["side"] == side]
+                if len(own):
+                    state.appendList([(int(t), int(e)) for t, e in zip(own["micros"], own["event_id"], strict=True)])
+        yield from self._settle(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._settle(key, timerValues)
+
+    def _settle(self, key, timerValues) -> Iterator[pd.DataFrame]:
+        """Pair the colour frames that nothing nearer can come for, and let go what none can take."""
+        reached = timerValues.getCurrentWatermarkInMs() * 1000
+        colour = np.array(sorted(map(tuple, self.colour.get())) if self.colour.exists() else [], np.int64).reshape(-1, 2)
+        depth = np.array(sorted(map(tuple, self.depth.get())) if self.depth.exists() else [], np.int64).reshape(-1, 2)
+        done = colour[:, 0] + self.within <= reached
+        if done.any() and len(depth):
+            at, ids = colour[done].T
+            # the first depth frame of the time before, and of the time behind
+            after = np.searchsorted(depth[:, 0], at, "left")
+            below = np.searchsorted(depth[:, 0], depth[np.maximum(after - 1, 0), 0], "left")
+            least, pick = np.full(len(at), self.within + 1), np.zeros(len(at), np.int64)
+            for there, place in ((after > 0, below), (after < len(depth), np.minimum(after, len(depth) - 1))):
+                apart = np.where(there, np.abs(depth[place, 0] - at), self.within + 1)
+                pick, least = np.where(apart < least, place, pick), np.minimum(apart, least)
+            near = least <= self.within
+            yield pd.DataFrame({"seq": key[0], "colour_id": ids[near], "depth_id": depth[pick[near], 1], "apart": (depth[pick[near], 0] - at[near]) / 1e6})
+        waiting = colour[~done]
+        since = min([reached, *waiting[:1, 0]]) - self.within
+        for state, kept in ((self.colour, waiting), (self.depth, depth[depth[:, 0] >= since])):
+            state.put([tuple(map(int, r)) for r in kept]) if len(kept) else state.clear()
+        due = waiting[0, 0] if len(waiting) else depth[-1, 0] + self.within if len(depth) else None
+        _wake(self.handle, None if due is None else int(due + self.within) // 1000 + 1)
+
+
+def paired(colour: DataFrame, depth: DataFrame, within: float, late: str) -> DataFrame:
+    """seq, colour_id, depth_id, apart: each colour frame with the depth frame of its sequence that is
+    nearest in time, ties to the earlier, if it is at most `within` seconds away; apart is how many
+    seconds later it is. A pair comes out once the watermark tells that nothing nearer can come; until
+    then both sides wait as states. Sides have event_id and ts."""
+    sides = [df.withWatermark("ts", late).select("seq", "event_id", "ts", F.unix_micros("ts").alias("micros"), F.lit(side).alias("side")) for df, side in ((colour, "colour"), (depth, "depth"))]
+    return _keyed_states(sides[0].unionByName(sides[1]), ["seq"], _Nearest(round(within * 1e6)), "seq long, colour_id long, depth_id long, apart double")
 
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(parts)).sort_values(["micros", "event_id"])
-        seen, source = state.get if state.exists else (None, None)
-        gaps, sources = [], []
-        for r in rows.itertuples():
-            t = r.micros / 1e6
-            gaps.append(None if seen is None else t - seen)
-            if r.area >= 20:
-                source = int(r.event_id)
-            sources.append(source)
-            if r.vis > threshold:
-                seen = t
-        state.update((seen, source))
-        _idle_until(state, int(rows["micros"].iloc[-1]), idle)
 
-        gap = pd.Series(gaps, dtype="Float64", index=rows.index)
-        yield pd.DataFrame({"seq": rows["seq"], "event_id": rows["event_id"], "gap": gap, "gate": base + gap * fps * omega, "mask_source": pd.Series(sources, dtype="Int64", index=rows.index)})
+def with_calibration(frames: DataFrame, cameras: DataFrame) -> DataFrame:
+    """A stream joined with the static camera table."""
+    return frames.join(cameras, "cam")
 
-    picked = frames.withWatermark("ts", late).select("seq", "event_id", "ts", F.unix_micros("ts").alias("micros"), F.col("vis").cast("double").alias("vis"), F.col("area").cast("double").alias("area"))
-    return picked.groupBy("seq").applyInPandasWithState(
-        step, "seq long, event_id long, gap double, gate double, mask_source long", "seen double, source long", "append", GroupStateTimeout.EventTimeTimeout
-    )
 
+_SUMS = [f"a{i}{j}" for i in range(3) for j in range(i, 3)] + [f"b{i}" for i in range(3)]
 
-def paired(colour: DataFrame, depth: DataFrame, within: str, late: str) -> DataFrame:
-    """All pairs of a colour and a depth frame of a sequence no further apart than `within`, a
-    stream-stream join under both watermarks. Sides have event_id and ts."""
-    c = colour.withWatermark("ts", late).select("seq", F.col("event_id").alias("colour_id"), F.col("ts").alias("colour_ts"))
-    d = depth.withWatermark("ts", late).select(F.col("seq").alias("_seq"), F.col("event_id").alias("depth_id"), F.col("ts").alias("depth_ts"))
-    span = F.expr(f"seq = _seq AND depth_ts BETWEEN colour_ts - INTERVAL {within} AND colour_ts + INTERVAL {within}")
-    return c.join(d, span, "inner").drop("_seq")
 
+class _Rays(StatefulProcessor):
+    """The sums of a frame's rays until a second camera sees it, then only that it is done."""
 
-def with_calibration(frames: DataFrame, cameras: DataFrame) -> DataFrame:
-    """A stream joined with the static camera table."""
-    return frames.join(cameras, "cam")
+    def __init__(self, names: list[str], hold: float):
+        self.names, self.hold = names, hold
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "cam int, n_views long, done boolean, " + ", ".join(f"{c} double" for c in _SUMS))
 
-def live_triangulation(rays: DataFrame, late: str, width: str) -> DataFrame:
-    """seq, window, x, y, z, n_views of rays (ox .. dz) as their windows close, from two views
-    on: the nine sums are the state, the solution is a projection."""
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rays = pd.concat(list(rows)).sort_values(["micros", "cam"], ignore_index=True)
+        cam, n, done, *sums = self.open.get() if self.open.exists() else (int(rays["cam"].iloc[0]), 0, False, *[0.0] * len(_SUMS))
+        if done:
+            return
+        other = np.flatnonzero(rays["cam"] != cam)
+        used = rays[: other[0] + 1] if len(other) else rays
+        sums = [float(s + t) for s, t in zip(sums, used[_SUMS].sum(), strict=True)]
+        n += len(used)
+        self.open.update((cam, n, bool(len(other)), *sums))
+        _wake(self.handle, max(int(rays["micros"].iloc[-1]) // 1000, timerValues.getCurrentWatermarkInMs()) + int(self.hold * 1000))
+        if len(other):
+            yield pd.DataFrame([[*key, int(rays["micros"][other[0]]), n, *sums]], columns=[*self.names, "micros", "n_views", *_SUMS])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.open.clear()
+        return iter(())
+
+
+def live_triangulation(rays: DataFrame, late: str, hold: float, by=("seq", "frame")) -> DataFrame:
+    """by..., ts, x, y, z, n_views of rays (cam, ts, ox .. dz): a frame comes out as soon as a second
+    camera sees it, once, from the rays up to this one in order of time; n_views counts them. Frames
+    that one camera alone sees never come out. The state of a frame is nine sums; it goes, and with it
+    the memory that the frame is done, `hold` seconds behind its last ray."""
+    by = list(by)
     d, o = la.columns("dx", "dy", "dz"), la.columns("ox", "oy", "oz")
     p = [[F.lit(1.0 if i == j else 0.0) - d[i] * d[j] for j in range(3)] for i in range(3)]
-    sums = [F.sum(p[i][j]).alias(f"a{i}{j}") for i in range(3) for j in range(i, 3)]
-    sums += [F.sum(la.dot(p[i], o)).alias(f"b{i}") for i in range(3)]
-    grouped = rays.withWatermark("ts", late).groupBy("seq", F.window("ts", width)).agg(*sums, F.count("*").alias("n_views"))
+    parts = [p[i][j].alias(f"a{i}{j}") for i in range(3) for j in range(i, 3)] + [la.dot(p[i], o).alias(f"b{i}") for i in range(3)]
+    picked = rays.withWatermark("ts", late).select(*by, F.col("cam").cast("int").alias("cam"), "ts", F.unix_micros("ts").alias("micros"), *parts)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.select(*by).schema) + ", micros long, n_views long, " + ", ".join(f"{c} double" for c in _SUMS)
+    out = _keyed_states(picked, by, _Rays(by, hold), schema)
     a = [[F.col(f"a{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)]
     x = la.solve(a, la.columns("b0", "b1", "b2"))
-    return grouped.where("n_views >= 2").select("seq", "window", *[c.alias(n) for c, n in zip(x, "xyz", strict=True)], "n_views")
+    return out.select(*by, F.timestamp_micros("micros").alias("ts"), *[c.alias(n) for c, n in zip(x, "xyz", strict=True)], "n_views")
 
 
 def write_frames(frames: DataFrame, path: str, mode: str = "append"):
@@ -142,19 +260,58 @@ def write_frames(frames: DataFrame, path: str, mode: str = "append"):
     return frames.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
 
 
-def upsert_frames(frames: DataFrame, path: str, keys: list[str], partition: str):
-    """Each micro-batch overwrites the partitions that it touches, old rows of other keys kept, so
-    that a batch that runs twice leaves the same rows."""
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The batches whose manifests stand, oldest first."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(int(f.getPath().getName()) for f in files.listStatus(at) if f.getPath().getName().isdigit()) if files.exists(at) else []
+
+
+def _manifest(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """Each partition's value and the batch that wrote its present rows; as many rows as partitions."""
+    return spark.read.parquet(f"{path}/manifests/{version}")
+
+
+def read_upserted(spark: SparkSession, path: str, schema, partition: str, version: int | None = None) -> DataFrame:
+    """The table that upsert_frames keeps, as its newest batch left it, or an older one."""
+    found = _versions(spark, path)
+    if not found:
+        return spark.createDataFrame([], schema)
+    at = _manifest(spark, path, found[-1] if version is None else version)
+    kind = schema[partition].dataType
+    kept = spark.read.schema(StructType([*[f for f in schema if f.name != partition], StructField("_batch", LongType()), StructField(partition, kind)])).parquet(f"{path}/data")
+    # as many rows as there are partitions; only their folders of the right batch are read
+    return kept.join(F.broadcast(at), ["_batch", partition], "left_semi").select(*schema.names)
+
+
+def upsert_frames(frames: DataFrame, path: str, keys: list[str], partition: str, between=None):
+    """Each micro-batch replaces the rows of its keys: the partitions that it touches are written anew
+    below data/_batch=<number>, next to the old ones, and then a manifest that names each partition's
+    folder is moved into place in one step. Until then readers see what was there before, and a batch
+    that is run again after a crash starts from it; a batch whose manifest stands is left alone. A key
+    that comes twice in a batch keeps both rows. `between` is called before the manifest is moved."""
     spark, schema = frames.sparkSession, frames.schema
 
-    def merge(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
+    def merge(batch: DataFrame, number: int) -> None:
+        found = _versions(spark, path)
+        if (found and found[-1] >= number) or batch.isEmpty():
             return
-        old = spark.read.schema(schema).parquet(f"{path}/data").join(batch.select(partition).distinct(), partition, "left_semi")
-        merged = old.join(batch.select(*keys).distinct(), keys, "left_anti").select(*batch.columns).unionByName(batch)
-        staged = f"{path}/staged"
-        merged.write.mode("overwrite").parquet(staged)
-        spark.read.schema(schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(f"{path}/data")
+        touched = batch.select(partition).distinct()
+        merged = batch
+        if found:
+            old = read_upserted(spark, path, schema, partition).join(touched, partition, "left_semi")
+            merged = old.join(batch.select(*keys).distinct(), keys, "left_anti").select(*batch.columns).unionByName(batch)
+        merged.write.mode("overwrite").partitionBy(partition).parquet(f"{path}/data/_batch={number}")
+        at = touched.withColumn("_batch", F.lit(number).cast("long"))
+        if found:
+            at = _manifest(spark, path, found[-1]).join(touched, partition, "left_anti").select(*at.columns).unionByName(at)
+        at.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifests/next-{number}")
+        if between:
+            between(number)
+        jvm = spark.sparkContext._jvm
+        staged, final = (jvm.org.apache.hadoop.fs.Path(f"{path}/manifests/{name}") for name in (f"next-{number}", str(number)))
+        if not staged.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(staged, final):
+            raise OSError(f"the manifest of batch {number} could not be moved into place")
 
-    spark.createDataFrame([], schema).write.mode("append").partitionBy(partition).parquet(f"{path}/data")
     return frames.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()

@@ -1,6 +1,7 @@
 """Hand-made cases: mask runs, geometry, filters and guards."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -197,32 +198,111 @@ def test_depth_registration_finds_shift_and_scale(spark):
     assert geometry.register_z(near, near, ["cloud"]).first().z_shift is None
 
 
+_HYPOTHESIS = "seq int, frame int, rank int, visibility double, iou double, t double, " + ", ".join(f"r{i}{j} double" for i in range(3) for j in range(3))
+
+
+def hypothesis(frame, rank, degrees, visibility=0.9, iou=0.6):
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    return (1, frame, rank, visibility, iou, frame / 30, c, -s, 0.0, s, c, 0.0, 0.0, 0.0, 1.0)
+
+
+def track(spark, rows, **given):
+    found = filters.select_track(spark.createDataFrame(rows, _HYPOTHESIS), ["seq"], **given)
+    return {r.frame: (r["rank"], r.gated) for r in found.collect()}
+
+
+def test_a_visible_frame_outside_the_gate_is_no_reference(spark):
+    """Frame 2 is turned by 170 degrees: the track passes over it and comes back from behind."""
+    rows = [hypothesis(k, 0, 170 if k == 2 else 0) for k in range(8)]
+    found = track(spark, rows, ahead=3)
+    assert found[2] == (0, False) and all(found[k] == (0, True) for k in (1, 3, 4, 5, 6, 7))
+    # with another hypothesis for it, the one within the gate is taken
+    assert track(spark, [*rows, hypothesis(2, 1, 5)], ahead=3)[2] == (1, True)
+    # near the end nothing can be jumped to
+    assert track(spark, rows[:5], ahead=3) == {0: (0, False), 1: (0, True), 2: (0, False), 3: (0, False), 4: (0, True)}
+
+
 def test_the_gate_sleeps_after_a_long_occlusion(spark):
-    def hyp(frame, rank, angle, vis, iou=0.5):
-        c, s = math.cos(angle), math.sin(angle)
-        return (1, frame, rank, vis, iou, frame / 30, c, -s, 0.0, s, c, 0.0, 0.0, 0.0, 1.0)
-
-    names = "seq int, frame int, rank int, visibility double, iou double, t double, " + ", ".join(f"r{i}{j} double" for i in range(3) for j in range(3))
-    rows = [hyp(0, 0, 0.0, 0.9), hyp(40, 0, 0.1, 0.1), hyp(41, 0, 2.0, 0.1), hyp(41, 1, 0.0, 0.1)]
-    df = spark.createDataFrame(rows, names)
-    pick = lambda **given: {x.frame: x["rank"] for x in filters.select_track(df, ["seq"], **given).collect()}
-    assert pick() == {0: 0, 40: 0, 41: 0}
-    assert pick(occluded=100) == {0: 0, 40: 0, 41: 1} == pick(occluded=100, time="t")
-    rows += [hyp(42, 0, 0.0, 0.1, 0.1), hyp(42, 1, 0.0, 0.1, 0.9)]
-    df = spark.createDataFrame(rows, names)
-    assert pick(iou="iou", iou_kept=0)[42] == 1 and pick()[42] == 0
-
-
-def test_track_selection_jumps_ahead_and_fills_back(spark):
-    def hyp(frame, rank, angle, vis):
-        c, s = math.cos(angle), math.sin(angle)
-        return (1, frame, rank, vis, c, -s, 0.0, s, c, 0.0, 0.0, 0.0, 1.0)
-
-    rows = [hyp(0, 0, 0.0, 0.9), hyp(1, 0, 2.0, 0.1), hyp(1, 1, 1.4, 0.1), hyp(2, 0, 1.5, 0.9)]
-    names = ", ".join(f"r{i}{j} double" for i in range(3) for j in range(3))
-    df = spark.createDataFrame(rows, f"seq int, frame int, rank int, visibility double, {names}")
-    out = {r.frame: (r.rank, r.gated) for r in filters.select_track(df, ["seq"]).collect()}
-    assert out == {0: (0, True), 1: (1, False), 2: (0, True)}
+    rows = [hypothesis(0, 0, 0), *[hypothesis(k, 0, 3, 0.1) for k in range(40, 44)], hypothesis(44, 0, 90, 0.1), hypothesis(44, 1, 4, 0.1)]
+    assert track(spark, rows)[44] == (0, False)
+    assert track(spark, rows, occluded=100)[44] == (1, True) == track(spark, rows, occluded=100, time="t")[44]
+    # asleep, the track jumps: the frames passed over follow the one it lands on
+    rows = [hypothesis(0, 0, 0), *[h for k in range(40, 46) for h in (hypothesis(k, 0, 0, 0.1), hypothesis(k, 1, 92, 0.1))], *[hypothesis(k, 0, 90) for k in range(46, 50)]]
+    assert [track(spark, rows, ahead=4)[k] for k in (40, 43, 45, 46)] == [(1, True), (1, True), (1, True), (0, True)]
+
+
+def test_track_candidates_are_the_best_by_overlap(spark):
+    rows = [hypothesis(0, 0, 0), hypothesis(1, 0, 0, iou=0.1), hypothesis(1, 1, 0, iou=0.9)]
+    assert track(spark, rows, iou="iou", iou_kept=0)[1] == (1, True) and track(spark, rows)[1] == (0, True)
+    # strides go on until a last frame is reliable
+    rows = [hypothesis(0, 0, 0), *[hypothesis(k, 0, 170, 0.9, 0.2 if k < 7 else 0.8) for k in range(1, 12)]]
+    assert {k for k, (_, gated) in track(spark, rows, ahead=3, iou="iou").items() if gated} == set(range(1, 12))
+    with pytest.raises(ValueError, match="two frames"):
+        track(spark, rows, ahead=1)
+
+
+def plain_track(frames, visible=0.3, base=13.0, omega=0.5, ahead=4, occluded=3, kept=2, sure_iou=0.5, sure_vis=0.7):
+    """Frames are lists of (degrees, visibility, iou) about one axis; the choices as a plain loop."""
+    apart = lambda a, b: min(abs(a - b) % 360, 360 - abs(a - b) % 360)
+    choice, n, k = {}, len(frames), 0
+    pose = None
+    vis_last = last_vis = 0
+
+    def good(f):
+        least = sorted((h[2] for h in frames[f]), reverse=True)[min(kept, len(frames[f]) - 1)]
+        return [j for j, h in enumerate(frames[f]) if h[2] >= least]
+
+    while k < n:
+        jump, ids, gate = False, good(k), False
+        if pose is not None and (vis_last > visible or k - last_vis < occluded):
+            ids = [j for j in ids if apart(frames[k][j][0], pose) < base + (k - last_vis) * omega]
+            gate = bool(ids)
+            if not ids:
+                ids, jump = list(range(len(frames[k]))), True
+        else:
+            jump = k > 0
+        if k + ahead >= n:
+            jump = False
+        if not jump:
+            choice[k] = (ids[0], gate)
+            pose, vis_last = frames[k][ids[0]][:2]
+            if vis_last > visible:
+                last_vis = k
+            k += 1
+            continue
+        start = k
+        while True:
+            i = min(start + ahead, n) - 1
+            ok = [j for j, h in enumerate(frames[i]) if h[2] >= sure_iou]
+            if (not ok or frames[i][0][1] < sure_vis) and start + ahead < n:
+                start += ahead
+                continue
+            ok = ok or list(range(len(frames[i])))
+            landed = 0 if start + ahead >= n else ok[0]
+            break
+        before, seen, active = frames[i][landed][0], i, True
+        for f in range(i - 1, k - 1, -1):
+            ids = good(f)
+            if active:
+                close = [j for j in ids if apart(frames[f][j][0], before) < base + (seen - f) * omega]
+                active, ids = bool(close), close or ids
+            choice[f] = (ids[0], active)
+            before = frames[f][ids[0]][0]
+            if frames[f][ids[0]][1] > visible:
+                seen = f
+        last_vis, vis_last, pose, k = i, frames[i][ok[0]][1], frames[i][landed][0], i
+    return choice
+
+
+def test_track_selection_equals_a_plain_loop(spark):
+    r = random.Random(8)
+    for _ in range(12):
+        angle, frames = 0.0, []
+        for _ in range(r.randint(1, 60)):
+            angle += r.uniform(-8, 8)
+            frames.append([(angle + r.choice([0, 0, 5, 60, 170]), r.choice([0.1, 0.2, 0.5, 0.9]), round(r.random(), 3)) for _ in range(r.randint(1, 5))])
+        rows = [hypothesis(k, j, *h) for k, f in enumerate(frames) for j, h in enumerate(f)]
+        assert track(spark, rows, ahead=4, occluded=3, iou="iou", iou_kept=2) == plain_track(frames)
 
 
 def test_kth_best_threshold_is_clamped(spark):
