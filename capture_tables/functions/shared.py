@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -24,3 +24,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _own["dir"], True)
         folder = f"file://{_own['dir']}"
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_stored: dict[str, str] = {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may be gone already; the folder then stays
+        return
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder and read again: what is numbered or dealt by ranges
+    stays as it is, and a lost executor costs nothing that was finished. An application's folder
+    goes when its driver ends."""
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    if app not in _stored:
+        _stored[app] = shared_path(spark, "tables")
+        atexit.register(_remove, spark, _stored[app])
+    path = f"{_stored[app]}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

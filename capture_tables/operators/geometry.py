@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from capture_tables.functions import linalg as la
 from capture_tables.functions.hashing import uniform
-from capture_tables.operators.joins import nearest, nearest_row
+from capture_tables.operators.neighbours import nearest, nearest_row
 
 AXES = ("x", "y", "z")
 

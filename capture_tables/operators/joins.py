@@ -1,4 +1,4 @@
-"""Joins of per-frame tables: by key, nearest time, nearest point, overlap and offset."""
+"""Joins of per-frame tables: by key, nearest time, overlap and offset."""
 
 from __future__ import annotations
 
@@ -90,93 +90,6 @@ def expand_symmetries(pose: DataFrame, symmetries: DataFrame) -> DataFrame:
     return joined.select(*keep, "sym_id", *la.named(product))
 
 
-def _cells(names, size):
-    return [F.floor(F.col(n) / F.lit(size)).cast("long") for n in names]
-
-
-def knn_join(a: DataFrame, b: DataFrame, by: list[str], key: str, other: str, k: int = 1, cell: float = 0.25, squared: bool = False, rounds: int = 2) -> DataFrame:
-    """The k nearest rows of `b` to each row of `a` in its group: by..., key, other, rank,
-    distance. Exact.
-
-    Both sides are bucketed by cubic cells, so that the join is on equal keys. Round r joins
-    each point with the cells next to its own, the cells 2^r times as wide; a point is done
-    once its kth distance is within the cell's width, since nothing nearer can lie outside.
-    What is left after the last round is compared with its whole group.
-    """
-    axes = ("x", "y", "z")
-    right = b.select(*by, F.col(key).alias(other), *[F.col(n).alias(f"b{n}") for n in axes])
-    left = a.select(*by, key, *axes)
-    d2 = sum((F.pow(F.col(n) - F.col(f"b{n}"), 2) for n in axes[1:]), F.pow(F.col("x") - F.col("bx"), 2))
-    ranked = Window.partitionBy(*by, key).orderBy("_d2", other)
-
-    def best(pairs: DataFrame) -> DataFrame:
-        return pairs.withColumn("_d2", d2).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-
-    done, rest = [], left
-    for r in range(rounds):
-        size = cell * 2**r
-        steps = F.sequence(F.lit(-1), F.lit(1))
-        near = rest.select(*by, key, *axes, *[c.alias(f"_{n}") for n, c in zip(axes, _cells(axes, size), strict=True)])
-        for n in axes:
-            near = near.withColumn("_s", F.explode(steps)).withColumn(f"_{n}", F.col(f"_{n}") + F.col("_s")).drop("_s")
-        cells = right.select("*", *[c.alias(f"_{n}") for n, c in zip(axes, _cells([f"b{n}" for n in axes], size), strict=True)])
-        found = best(near.join(cells, [*by, *[f"_{n}" for n in axes]]))
-        certain = (F.max("rank").over(Window.partitionBy(*by, key)) >= k) & (F.max("_d2").over(Window.partitionBy(*by, key)) <= size * size)
-        good = found.withColumn("_ok", certain).where("_ok").select(*by, key, other, "rank", "_d2")
-        done.append(good)
-        rest = rest.join(good.select(*by, key).distinct(), [*by, key], "left_anti")
-    done.append(best(rest.join(right, by)).select(*by, key, other, "rank", "_d2"))
-    out = reduce(lambda p, q: p.unionByName(q), done)
-    distance = F.col("_d2") if squared else F.sqrt("_d2")
-    return out.select(*by, key, other, "rank", distance.alias("distance"))
-
-
-def nearest_row(a: DataFrame, b: DataFrame, by: list[str], key: str, keep: list[str], rounds: int = 2) -> DataFrame:
-    """by..., key, best: for each row of `a` the smallest struct (d2, *keep) of the rows of `b` in
-    its group, d2 the squared distance. Exact; rows whose group `b` lacks are left out.
-
-    Cells have a width of their own in each group, about twice the spacing of its points. A point
-    meets the eight cells around it, which hold everything within half their width; a point whose
-    nearest is farther goes on with cells eight times as wide. What is left after the last round,
-    far from all points of `b`, is compared with its whole group.
-    """
-    axes = ("x", "y", "z")
-    wide = [F.max(n) - F.min(n) for n in axes]
-    far = F.greatest(*[F.max(F.abs(F.col(n))) for n in axes])
-    width = b.groupBy(*by).agg((F.greatest(2.0 * F.greatest(*wide) / F.sqrt(F.count("*").cast("double")), far * 1e-12, F.lit(1e-12))).alias("_w"))
-    right = b.select(*by, *[F.col(n).cast("double").alias(f"_b{n}") for n in axes], F.struct(*keep).alias("_keep")).join(width, by)
-    rest = a.select(*by, key, *[F.col(n).cast("double").alias(n) for n in axes]).join(width, by)
-    d2 = sum((F.pow(F.col(n) - F.col(f"_b{n}"), 2) for n in axes[1:]), F.pow(F.col("x") - F.col("_bx"), 2))
-    best = F.min(F.struct(d2.alias("d2"), "_keep")).alias("best")
-    out = []
-    for r in range(rounds):
-        size = F.col("_w") * float(8**r)
-        low = [F.floor(F.col(n) / size - 0.5) for n in axes]
-        corners = F.array(*[F.struct(*[(c + ((k >> i) & 1)).cast("long").alias(f"_{n}") for i, (n, c) in enumerate(zip(axes, low, strict=True))]) for k in range(8)])
-        cells = right.withColumns({f"_{n}": F.floor(F.col(f"_b{n}") / size).cast("long") for n in axes}).drop("_w")
-        near = rest.select("*", F.explode(corners).alias("_cell")).select(*rest.columns, "_cell.*").join(cells, [*by, "_x", "_y", "_z"])
-        found = near.groupBy(*by, key).agg(best, F.first("_w").alias("_w"))
-        good = found.where(F.col("best.d2") <= F.pow(size / 2, 2)).select(*by, key, "best")
-        out.append(good)
-        rest = rest.join(good.select(*by, key), [*by, key], "left_anti")
-    out.append(rest.join(right.drop("_w"), by).groupBy(*by, key).agg(best))
-    return reduce(lambda p, q: p.unionByName(q), out)
-
-
-def nearest(a: DataFrame, b: DataFrame, by: list[str], squared: bool = False) -> DataFrame:
-    """by..., pid, distance to the nearest row of `b` in the group."""
-    least = nearest_row(a, b.withColumn("_one", F.lit(1)), by, "pid", ["_one"])
-    return least.select(*by, "pid", (F.col("best.d2") if squared else F.sqrt("best.d2")).alias("distance"))
-
-
-def knn_interpolate(queries: DataFrame, points: DataFrame, by: list[str], value: str, k: int = 4, std: float = 0.1, cell: float = 0.25) -> DataFrame:
-    """`value` at the queries: of the k nearest points the mean with weights exp(-d / 2 std^2)."""
-    near = knn_join(queries, points, by, "pid", "other", k, cell)
-    joined = near.join(points.select(*by, F.col("pid").alias("other"), value), [*by, "other"])
-    weight = F.exp(-F.col("distance") / (2.0 * std * std))
-    return joined.groupBy(*by, "pid").agg((F.sum(weight * F.col(value)) / F.sum(weight)).alias(value))
-
-
 def mask_overlap(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """on..., area_a, area_b, inter, iou of two run-encoded masks (v, u0, u1 half-open)."""
     keys = [*on, "v"]

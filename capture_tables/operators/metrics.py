@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capture_tables.functions import linalg as la
-from capture_tables.operators.joins import expand_symmetries, knn_join, nearest, with_dimension
+from capture_tables.operators.joins import expand_symmetries, with_dimension
+from capture_tables.operators.neighbours import nearest
 
 FRAME = ("seq", "frame")
 AXES = ("x", "y", "z")
@@ -85,17 +86,10 @@ def jitter(df: DataFrame, names: list[str], by=("seq",)) -> DataFrame:
     return out.withColumn("jitter", filled).drop("_j")
 
 
-def _both_ways(a: DataFrame, b: DataFrame, by: list[str], cell: float | None) -> tuple[DataFrame, DataFrame]:
-    if cell is None:
-        return nearest(a, b, by), nearest(b, a, by)
-    one = knn_join(a, b, by, "pid", "other", 1, cell).select(*by, "pid", "distance")
-    return one, knn_join(b, a, by, "pid", "other", 1, cell).select(*by, "pid", "distance")
-
-
-def chamfer(gt: DataFrame, pr: DataFrame, by: list[str], direction: str = "bi", cell: float | None = None) -> DataFrame:
+def chamfer(gt: DataFrame, pr: DataFrame, by: list[str], direction: str = "bi") -> DataFrame:
     """Mean distance from each side's points to the nearest of the other: gt_to_pr, pr_to_gt and
-    their sum, chamfer. `cell` gives large clouds the bucketed search."""
-    there, back = _both_ways(gt, pr, by, cell)
+    their sum, chamfer."""
+    there, back = nearest(gt, pr, by), nearest(pr, gt, by)
     one = there.groupBy(*by).agg(F.avg("distance").alias("gt_to_pr"))
     two = back.groupBy(*by).agg(F.avg("distance").alias("pr_to_gt"))
     if direction == "x_to_y":
@@ -105,10 +99,10 @@ def chamfer(gt: DataFrame, pr: DataFrame, by: list[str], direction: str = "bi",
     return one.join(two, by).withColumn("chamfer", F.col("gt_to_pr") + F.col("pr_to_gt"))
 
 
-def fscore(gt: DataFrame, pr: DataFrame, by: list[str], threshold: float, cell: float | None = None) -> DataFrame:
+def fscore(gt: DataFrame, pr: DataFrame, by: list[str], threshold: float) -> DataFrame:
     """share_gt and share_pr: points of a side within the threshold of the other; fscore, 0 where
     both are 0."""
-    there, back = _both_ways(gt, pr, by, cell)
+    there, back = nearest(gt, pr, by), nearest(pr, gt, by)
     share = F.avg(F.when(F.col("distance") < threshold, 1.0).otherwise(0.0))
     both = there.groupBy(*by).agg(share.alias("share_gt")).join(back.groupBy(*by).agg(share.alias("share_pr")), by)
     f = F.try_divide(2.0 * F.col("share_gt") * F.col("share_pr"), F.col("share_gt") + F.col("share_pr"))

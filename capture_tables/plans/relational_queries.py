@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from capture_tables.operators import joins as c
+from capture_tables.operators import neighbours as n
 from capture_tables.plans.registry import query
 
 
@@ -99,7 +100,7 @@ _D2 = "power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)"
   FROM fx_points a JOIN fx_points b ON a.cloud = b.cloud WHERE a.side = 0 AND b.side = 1) q WHERE k <= 3""")
 def _(t):
     p = t("fx_points")
-    return c.knn_join(p.where("side = 0"), p.where("side = 1"), ["cloud"], "pid", "other", 3, cell=0.1)
+    return n.knn_join(p.where("side = 0"), p.where("side = 1"), ["cloud"], "pid", "other", 3)
 
 
 @query("c10_knn_interpolate", f"""SELECT cloud, pid, R6(sum(exp(-sqrt(d) / 2e-2) * val) / sum(exp(-sqrt(d) / 2e-2))) AS val FROM (
@@ -108,7 +109,7 @@ def _(t):
 def _(t):
     p = t("fx_points")
     known = p.where("side = 1").withColumn("val", F.col("x") + F.col("y"))
-    return c.knn_interpolate(p.where("side = 0"), known, ["cloud"], "val", 4, 0.1, cell=0.1)
+    return n.knn_interpolate(p.where("side = 0"), known, ["cloud"], "val", 4, 0.1)
 
 
 @query("c11_mask_overlap", """WITH a AS (SELECT * FROM fx_runs WHERE role = 'object'), b AS (SELECT * FROM fx_runs WHERE role = 'person'),

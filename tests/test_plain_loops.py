@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from capture_tables.operators import columns, filters, geometry, masks, metrics, temporal
+from capture_tables.operators import columns, filters, geometry, masks, metrics, neighbours, temporal
 from capture_tables.plans import fixtures, registry
 
 SF = "/root/testdata/sf0.001"
@@ -198,12 +198,60 @@ def test_nearest_rows_equal_all_pairs(spark):
     b = [(1, k, *map(float, p)) for k, p in enumerate(r.normal(size=(60, 3)))] + [(2, 0, 1.0, 1.0, 1.0), (2, 1, 1.0, 1.0, 1.0), (4, 0, 0.0, 0.0, 0.0)]
     a = [(1, k, *map(float, p)) for k, p in enumerate(r.normal(size=(40, 3)) * 3)] + [(1, 99, 1e6, -1e6, 0.0), (2, 0, 1.0, 1.0, 1.0), (2, 1, 9.0, 9.0, 9.0), (3, 0, 0.0, 0.0, 0.0)]
     schema = "g int, pid int, x double, y double, z double"
-    from capture_tables.operators import joins
+    from capture_tables.operators import neighbours
 
-    best = joins.nearest_row(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema).withColumn("own", F.col("pid")), ["g"], "pid", ["own"]).collect()
+    best = neighbours.nearest_row(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema).withColumn("own", F.col("pid")), ["g"], "pid", ["own"]).collect()
     found = {(x.g, x.pid): (x.best.d2, x.best._keep.own) for x in best}
     assert len(found) == 43
     for g, k, *p in a:
         if g != 3:
             d2, own = min((sum((i - j) ** 2 for i, j in zip(p, q, strict=True)), n) for h, n, *q in b if h == g)
             assert found[g, k] == (pytest.approx(d2), own)
+
+
+def _all_pairs(a, b, k):
+    """For each row of a the k smallest (d2, row of b), in blocks."""
+    out = []
+    for at in range(0, len(a), 256):
+        d2 = ((a[at : at + 256, None] - b[None]) ** 2).sum(axis=2)
+        near = np.argsort(d2, axis=1, kind="stable")[:, :k]
+        out += [[(float(row[j]), int(j)) for j in picks] for row, picks in zip(d2, near, strict=True)]
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_neighbours_of_skewed_clouds_equal_all_pairs(spark, monkeypatch, k):
+    """A volume, a surface, two distant clusters, a heavy tail and equal points, by blocks."""
+    monkeypatch.setattr(neighbours, "WHOLE", 10)
+    r = np.random.default_rng(3)
+    ball = r.normal(size=(900, 3))
+    clouds = {
+        1: (r.random((700, 3)), np.vstack([r.random((1200, 3)), [[1e7, -1e7, 1e7]]])),
+        2: (ball / np.linalg.norm(ball, axis=1, keepdims=True) * 1.1, ball / np.linalg.norm(ball, axis=1, keepdims=True)),
+        3: (np.vstack([r.normal(size=(300, 3)) * 1e-3, r.normal(size=(300, 3)) * 1e-3 + 500]), np.vstack([r.normal(size=(400, 3)) * 1e-3 + 1, r.normal(size=(400, 3)) * 1e-3 + 500])),
+        4: (r.standard_cauchy((300, 3)), r.standard_cauchy((800, 3))),
+        5: (np.zeros((50, 3)), np.zeros((100, 3))),
+        6: (r.random((40, 3)) + 1e5, r.random((2, 3))),
+    }
+    rows = [[(g, j, *map(float, p)) for g, sides in clouds.items() for j, p in enumerate(sides[side])] for side in range(2)]
+    a, b = (spark.createDataFrame(x, "g int, pid int, x double, y double, z double") for x in rows)
+    found = {}
+    for x in neighbours.knn_join(a, b, ["g"], "pid", "other", k, squared=True).collect():
+        found.setdefault((x.g, x.pid), {})[x["rank"]] = x.distance
+    for g, (one, two) in clouds.items():
+        for j, best in enumerate(_all_pairs(one, two, k)):
+            assert [found[g, j][n + 1] for n in range(len(best))] == pytest.approx([d2 for d2, _ in best], rel=1e-9, abs=1e-12)
+
+
+def test_few_pairs_are_compared_in_a_large_cloud_with_an_outlier(spark):
+    """60,000 points of a volume, one of them far away: the pairs for each point are bounded."""
+    cloud = spark.range(60_000).selectExpr("1 as g", "id as pid", "rand(1) as x", "rand(2) as y", "rand(3) as z")
+    b = cloud.unionByName(spark.createDataFrame([(1, -1, 1e9, 0.0, 0.0)], "g int, pid long, x double, y double, z double"))
+    a = spark.range(20_000).selectExpr("1 as g", "id as pid", "rand(4) as x", "rand(5) as y", "rand(6) as z")
+    pairs = neighbours.candidate_pairs(a, b, ["g"], "pid", ["pid"])
+    least = pairs.groupBy("pid").agg(F.min("d2").alias("d2"), F.count("*").alias("n"))
+    assert least.agg(F.avg("n")).first()[0] < 500
+    points = np.array([(x.x, x.y, x.z) for x in b.orderBy("pid").collect()])
+    some = a.where("pid % 200 = 7").join(least, "pid").collect()
+    wanted = _all_pairs(np.array([(x.x, x.y, x.z) for x in some]), points, 1)
+    assert len(some) == 100 and [x.d2 for x in some] == pytest.approx([w[0][0] for w in wanted])
