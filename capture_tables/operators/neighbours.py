@@ -20,6 +20,8 @@ AXES = ("x", "y", "z")
 WHOLE, BLOCK = 2048, 32
 #: Bundles of blocks on a side are at least so many blocks, and about so many at most.
 BUNDLE, BUNDLES = 64, 20_000
+#: Points of a task that compares blocks.
+PART = 20_000
 _BITS = 21
 #: Bounds are widened by what rounding may take from them.
 SLACK = 1 + 1e-9
@@ -32,13 +34,14 @@ def _spread(value: Column) -> Column:
     return value
 
 
-def _dealt(points: DataFrame, middles: DataFrame, by: list[str], block: int, bundle: int) -> DataFrame:
-    """The points in order of the curve, stored, with _block and _bundle."""
+def _dealt(points: DataFrame, middles: DataFrame, by: list[str], block: int, bundle: int, total: int) -> DataFrame:
+    """The points in order of the curve, stored, with _block and _bundle. These also end where the curve
+    goes from one cell of about so many of the `total` points to the next, so that none spans a wide jump of it."""
     places = []
     for n in AXES:
         q = F.col(f"_q{n}")
         wide = F.greatest(q[2] - q[0], F.col(f"_w{n}") * 1e-9, F.lit(1e-300))
-        at = F.floor((F.asinh((F.col(f"_{n}") - q[1]) / wide) + 64.0) * float(1 << (_BITS - 7)))
+        at = F.floor((F.asinh((F.col(f"_{n}") - q[1]) / wide) + 16.0) * float(1 << (_BITS - 5)))
         places.append(F.greatest(F.least(at, F.lit((1 << _BITS) - 1)), F.lit(0)).cast("long"))
     code = F.lit(0).cast("long")
     for k, n in enumerate(AXES):
@@ -47,7 +50,14 @@ def _dealt(points: DataFrame, middles: DataFrame, by: list[str], block: int, bun
     coded = with_dimension(points, middles, by).withColumns({f"_c{n}": c for n, c in zip(AXES, places, strict=True)}).withColumn("_code", code)
     ordered = coded.select(*kept, "_code").repartitionByRange(*by, "_code").sortWithinPartitions(*by, "_code", "_x", "_y", "_z")
     numbered = ordered.withColumn("_at", F.monotonically_increasing_id())
-    return stored(numbered.select(*kept, F.floor(F.col("_at") / block).alias("_block"), F.floor(F.col("_at") / (block * bundle)).alias("_bundle")))
+
+    # a group's middle lies within an eighth of each axis: cells are that much smaller
+    def part(size: int, name: str) -> Column:
+        cells = max(total // size, 1).bit_length()
+        cell = F.shiftright("_code", max(3 * _BITS - 9 - cells, 0))
+        return F.struct(F.floor(F.col("_at") / size).alias("at"), cell.alias("cell")).alias(name)
+
+    return stored(numbered.select(*kept, part(block, "_block"), part(block * bundle, "_bundle")))
 
 
 def _boxes(dealt: DataFrame, keys: list[str], side: str) -> DataFrame:
@@ -96,27 +106,42 @@ def candidate_pairs(a: DataFrame, b: DataFrame, by: list[str], key: str, keep: l
         block *= 2
     while size["all"] > block * bundle * BUNDLES:
         bundle *= 2
-    dealt = {side: _dealt(df, middles, by, block, bundle) for side, df in (("a", left), ("b", right))}
+    dealt = {side: _dealt(df, middles, by, block, bundle, size["all"]) for side, df in (("a", left), ("b", right))}
     bundles = {side: _boxes(df, [*by, "_bundle"], side) for side, df in dealt.items()}
     blocks = {side: _boxes(df, [*by, "_bundle", "_block"], side) for side, df in dealt.items()}
     met = _bundles_met(with_dimension(bundles["a"], bundles["b"], by), by, k)
-    met = stored(met).join(blocks["a"], [*by, "_bundle_a"]).join(blocks["b"], [*by, "_bundle_b"])
+    # each block of a with the bundles of b that its own bundle meets
+    met = blocks["a"].join(met, [*by, "_bundle_a"]).drop("_bundle_a", "_n_a")
+    met = stored(with_dimension(met, bundles["b"], [*by, "_bundle_b"]))
     two = dealt["b"].drop("_bundle").withColumnsRenamed({"_block": "_block_b", **{f"_{n}": f"_b{n}" for n in AXES}})
+    least, _ = _boxes_apart()
+    own, their = ([f"_{what}{n}_{side}" for what in ("lo", "hi") for n in AXES] for side in "ab")
+    # few small rows that become many pairs are dealt by their number, not by their bytes
+    parts = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), size["all"] // PART)
+    spread = lambda df, *keys: df.repartition(parts, *by, *keys)
+
+    # of the bundle about a block's centre the block about it: how far the k nearest are at most
+    def about(pairs: DataFrame, other: str) -> DataFrame:
+        apart = sum((F.pow(F.col(f"_lo{n}_a") + F.col(f"_hi{n}_a") - F.col(f"_lo{n}_b") - F.col(f"_hi{n}_b"), 2) for n in AXES), F.lit(0.0))
+        few = [(F.col("_n_b") < n).alias(name) for name, n in (("none", k), ("few", max(k, block // 4)))]
+        best = F.min(F.struct(*few, apart.alias("apart"), other)).alias("_h")
+        found = pairs.groupBy(*by, "_block_a").agg(best, *[F.first(c).alias(c) for c in own])
+        return found.select(*by, "_block_a", *own, F.col(f"_h.{other}").alias(other))
 
-    # the nearest block alone tells how far the k nearest are at most
-    least, most = _boxes_apart()
-    home = met.groupBy(*by, "_block_a").agg(F.min(F.struct((F.col("_n_b") < k).alias("few"), most.alias("most"), "_block_b")).alias("_h"))
-    home = home.select(*by, "_block_a", F.col("_h._block_b").alias("_block_b"))
+    point = [F.col(f"_{n}") for n in AXES]
     one = dealt["a"].drop("_bundle").withColumnRenamed("_block", "_block_a")
-    first = _measured(one.join(home, [*by, "_block_a"]).join(two, [*by, "_block_b"]), by, key)
+    home = about(about(met, "_bundle_b").join(blocks["b"], [*by, "_bundle_b"]), "_block_b").select(*by, "_block_a", "_block_b")
+    home = spread(one.join(home, [*by, "_block_a"]), "_block_b")
+    first = _measured(home.join(spread(two, "_block_b"), [*by, "_block_b"]), by, key)
     bound = first.groupBy(*by, key).agg(F.min("d2").alias("_d") if k == 1 else F.try_element_at(F.array_sort(F.collect_list("d2")), F.lit(k)).alias("_d"))
     one = stored(one.join(bound, [*by, key]).withColumn("_d", F.coalesce("_d", F.lit(float("inf"))) * SLACK))
 
+    # then bundles and blocks within a block's bound, and blocks within a point's
     reach = one.groupBy(*by, "_block_a").agg(F.max("_d").alias("_reach"))
-    box = [f"_{what}{n}_b" for what in ("lo", "hi") for n in AXES]
-    met = met.join(reach, [*by, "_block_a"]).where(least <= F.col("_reach")).select(*by, "_block_a", "_block_b", *box)
-    point = [F.col(f"_{n}") for n in AXES]
-    return _measured(one.join(met, [*by, "_block_a"]).where(_apart(point, point)[0] <= F.col("_d")).join(two, [*by, "_block_b"]), by, key)
+    met = met.join(reach, [*by, "_block_a"]).where(least <= F.col("_reach")).drop(*their, "_n_b")
+    met = spread(met, "_bundle_b").join(spread(blocks["b"], "_bundle_b"), [*by, "_bundle_b"]).where(least <= F.col("_reach")).select(*by, "_block_a", "_block_b", *their)
+    met = spread(one, "_block_a").join(spread(met, "_block_a"), [*by, "_block_a"]).where(_apart(point, point)[0] <= F.col("_d"))
+    return _measured(spread(met, "_block_b").join(spread(two, "_block_b"), [*by, "_block_b"]), by, key)
 
 
 def _measured(pairs: DataFrame, by: list[str], key: str) -> DataFrame:
