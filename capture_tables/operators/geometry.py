@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capture_tables.functions import linalg as la
 from capture_tables.functions.hashing import uniform
+from capture_tables.operators.joins import with_dimension
 from capture_tables.operators.neighbours import nearest, nearest_row
 
 AXES = ("x", "y", "z")
@@ -84,6 +85,44 @@ def triangulate_best(combos: DataFrame, cameras: DataFrame, by: list[str], ref_w
     return scored.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "gap")
 
 
+_MOMENTS = [f"a{i}{j}" for i in range(3) for j in range(i, 3)] + [f"b{i}" for i in range(3)]
+
+
+def triangulate_frames(observations: DataFrame, cameras: DataFrame, by: list[str], cap: int = 256, ref_width: float = 1024.0) -> DataFrame:
+    """by..., combo, x, y, z, n_views, residual: of all choices of one observation (by..., cam, obs, u, v)
+    for each camera of a frame the one whose point has the smallest mean residual, ties to the first;
+    combos as in joins.observation_combos, with its cap. A frame's observations meet once, as an array
+    with their rays' moments; a choice adds up those of its observations and is solved and measured
+    in its own row."""
+    rays = camera_rays(observations.select(*by, "cam", "obs", "u", "v"), cameras)
+    d, o = la.columns("dx", "dy", "dz"), la.columns("ox", "oy", "oz")
+    p = [[F.lit(1.0 if i == j else 0.0) - d[i] * d[j] for j in range(3)] for i in range(3)]
+    moments = [p[i][j] for i in range(3) for j in range(i, 3)] + [la.dot(p[i], o) for i in range(3)]
+    camera = ["fx", "fy", "cx", "cy", "width", *[f"r{i}{j}" for i in range(3) for j in range(3)], "tx", "ty", "tz"]
+    known = with_dimension(rays, cameras.select("cam", *camera), ["cam"]).withColumns(dict(zip(_MOMENTS, moments, strict=True)))
+    lists = known.groupBy(*by, "cam").agg(F.array_sort(F.collect_list(F.struct("obs", "u", "v", *_MOMENTS, *camera))).alias("o"))
+    frame = lists.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cam", "o"))).alias("cams"))
+    n = F.aggregate("cams", F.lit(1).cast("long"), lambda acc, c: F.least(acc * F.size(c["o"]), F.lit(cap + 1)).cast("long"))
+    later = F.expr("transform(cams, (c, i) -> aggregate(slice(cams, i + 2, size(cams)), 1L, (acc, d) -> least(acc * size(d.o), 1000000L)))")
+    sized = frame.withColumn("_n", n).withColumn("_later", later)
+    combos = sized.withColumn("combo", F.explode(F.sequence(F.lit(0), F.when(F.col("_n") > cap, 0).otherwise(F.col("_n") - 1).cast("int"))))
+    at = lambda c, i: F.when(F.col("_n") > cap, F.lit(0)).otherwise(F.floor(F.col("combo") / F.element_at("_later", i + 1)) % F.size(c["o"])).cast("int")
+    chosen = combos.select(*by, "combo", F.transform("cams", lambda c, i: F.get(c["o"], at(c, i))).alias("_c"))
+    total = lambda m: F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + c[m]).alias(m)
+    solved = chosen.select("*", *map(total, _MOMENTS))
+    a = [[F.col(f"a{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)]
+    solved = solved.select(*by, "combo", "_c", *[c.alias(name) for c, name in zip(la.solve(a, la.columns("b0", "b1", "b2")), AXES, strict=True)]).where("x is not null")
+
+    def error(c: Column) -> Column:
+        px, py, pz = la.plus(la.apply([[c[f"r{i}{j}"] for j in range(3)] for i in range(3)], la.columns(*AXES)), [c["tx"], c["ty"], c["tz"]])
+        du, dv = c["fx"] * px / pz + c["cx"] - c["u"], c["fy"] * py / pz + c["cy"] - c["v"]
+        return F.when(pz > 0, F.sqrt(du * du + dv * dv) * ref_width / c["width"]).otherwise(F.lit(float("inf")))
+
+    residual = F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + error(c)) / F.size("_c")
+    best = solved.groupBy(*by).agg(F.min(F.struct(residual.alias("residual"), "combo", *AXES, F.size("_c").cast("long").alias("n_views"))).alias("_b"))
+    return best.select(*by, "_b.combo", *[f"_b.{name}" for name in AXES], "_b.n_views", "_b.residual")
+
+
 def triangulate_clicks(clicks: DataFrame, cameras: DataFrame, most_residual: float, ref_width: float = 1024.0) -> DataFrame:
     """Static named points: point, x, y, z, n_views, residual, flagged where it is over the most."""
     points = triangulate(camera_rays(clicks.select("point", "cam", "u", "v"), cameras), ["point"])

@@ -38,15 +38,23 @@ def join_nearest(left: DataFrame, right: DataFrame, by: list[str], time: str, va
     near_time and near_<value>, NULL where the left time lies before the first right time by
     more than `before`, or after the last. One union and one sort for each group; the cost is
     linear in the rows."""
-    a = left.select(*by, F.col(time).alias("_t"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    b = right.select(*by, F.col(time).alias("_t"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), F.col(value).alias("_v"))
-    # right rows sort before left rows of the same time
-    both = a.unionByName(b).withColumn("_side", F.col("_l").isNotNull().cast("int"))
     w = Window.partitionBy(*by).orderBy("_t", "_side", "_v")
     own = F.when(F.col("_side") == 0, F.struct("_t", "_v"))
     back = F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.first(own, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    seen = both.withColumn("_p", back).withColumn("_n", ahead).where("_side = 1")
+    seen = both_sides(left, right, by, time, value).withColumn("_p", back).withColumn("_n", ahead).where("_side = 1")
+    return nearest_of(seen, value, before)
+
+
+def both_sides(left: DataFrame, right: DataFrame, by: list[str], time: str, value: str) -> DataFrame:
+    """by..., _t, _l, _v, _side: rows of both; right rows, of side 0, sort before left rows of one time."""
+    a = left.select(*by, F.col(time).alias("_t"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
+    b = right.select(*by, F.col(time).alias("_t"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), F.col(value).alias("_v"))
+    return a.unionByName(b).withColumn("_side", F.col("_l").isNotNull().cast("int"))
+
+
+def nearest_of(seen: DataFrame, value: str, before: float) -> DataFrame:
+    """The left rows with the nearer of the right rows _p, up to them, and _n, from them on."""
     earlier = F.col("_n").isNull() | (F.col("_p").isNotNull() & (F.col("_t") - F.col("_p._t") <= F.col("_n._t") - F.col("_t")))
     late = F.col("_n").isNull() & (F.col("_t") > F.col("_p._t"))
     early = F.col("_p").isNull() & (F.col("_n._t") - F.col("_t") > before)

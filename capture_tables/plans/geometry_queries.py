@@ -66,6 +66,18 @@ def _(t):
     return best.where("n_views = 2").select("seq", "grp", "combo", "x", "y", "z", "residual")
 
 
+@query("g5_triangulate_frames", f"""WITH {_RAYS}, o2 AS (SELECT *, frame // 3 AS grp, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY seq, frame // 3, cam) AS n FROM unit WINDOW w AS (PARTITION BY seq, frame // 3, cam ORDER BY frame)),
+cb AS (SELECT a.seq, a.grp, ((a.k * b.n + b.k) * c.n + c.k) * d.n + d.k AS combo, [a.frame, b.frame, c.frame, d.frame] AS f FROM o2 a JOIN o2 b ON a.seq = b.seq AND a.grp = b.grp JOIN o2 c ON a.seq = c.seq AND a.grp = c.grp JOIN o2 d ON a.seq = d.seq AND a.grp = d.grp WHERE a.cam = 0 AND b.cam = 1 AND c.cam = 2 AND d.cam = 3),
+ob AS (SELECT cb.seq, cb.grp, combo, o.cam, o.u, o.v, ox, oy, oz, dx, dy, dz FROM cb JOIN o2 o ON o.seq = cb.seq AND o.grp = cb.grp AND o.frame = cb.f[o.cam + 1]),
+{_solved('ob', 'seq, grp, combo')}, {_residual('seq, grp, combo', 'ob')}, rk AS (SELECT p.*, residual, row_number() OVER (PARTITION BY p.seq, p.grp ORDER BY round(residual, 9), p.combo) AS k FROM p JOIN res ON p.seq = res.seq AND p.grp = res.grp AND p.combo = res.combo WHERE x IS NOT NULL)
+SELECT seq, grp, CAST(combo AS INTEGER) AS combo, R6(x) AS x, R6(y) AS y, R6(z) AS z, R6(residual) AS residual FROM rk WHERE k = 1""")
+def _(t):
+    """All observations of all cameras in three frames; groups that four cameras see."""
+    obs = t("fx_rays").select("seq", F.floor(F.col("frame") / 3).cast("int").alias("grp"), "cam", F.col("frame").alias("obs"), "u", "v")
+    best = g.triangulate_frames(obs, t("fx_cameras"), ["seq", "grp"])
+    return best.where("n_views = 4").select("seq", "grp", "combo", "x", "y", "z", "residual")
+
+
 @query("g6_triangulate_clicks", f"""WITH {_RAYS}, c0 AS (SELECT concat('p', cast(seq as varchar(9))) AS point, * FROM unit WHERE frame = 0), {_solved('c0', 'point')}, {_residual('point', 'c0')}
 SELECT p.point, R6(x) AS x, R6(y) AS y, R6(z) AS z, n_views, R6(residual) AS residual, residual > 2e-1 AS flagged FROM p JOIN res ON p.point = res.point""")
 def _(t):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from capture_tables.operators import joins as c
 from capture_tables.operators import neighbours as n
+from capture_tables.operators import ranges as r
 from capture_tables.plans.registry import query
 
 
@@ -45,6 +46,17 @@ def _(t):
     return found.select("event_id", "near_time", "near_event_id")
 
 
+@query("c3_join_nearest_long", f"""WITH b AS (SELECT event_id, t_sec, 1 AS side FROM {_TIMES.format('view')} l UNION ALL SELECT event_id, t_sec, 0 FROM {_TIMES.format('click')} r),
+w AS (SELECT *, max(CASE WHEN side = 0 THEN {{'t': t_sec, 'v': event_id}} END) OVER (ORDER BY t_sec, side, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p,
+  min(CASE WHEN side = 0 THEN {{'t': t_sec, 'v': event_id}} END) OVER (ORDER BY t_sec, side, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM b),
+k AS (SELECT event_id, CASE WHEN n IS NULL AND t_sec > p.t OR p IS NULL AND n.t - t_sec > 3e3 THEN NULL WHEN n IS NULL OR t_sec - p.t <= n.t - t_sec THEN p ELSE n END AS near FROM w WHERE side = 1)
+SELECT event_id, R6(near.t) AS near_time, near.v AS near_event_id FROM k""")
+def _(t):
+    """All events as one sequence."""
+    found = r.join_nearest(times(t, "view").drop("seq"), times(t, "click").drop("seq"), [], "t_sec", "event_id", before=3000.0)
+    return found.select("event_id", "near_time", "near_event_id")
+
+
 _FT = "(SELECT seq, cam, t, frame FROM (SELECT seq, cam, frame, frame + (event_id % 7) / 16e0 AS t FROM fx_obs) q)"
 
 

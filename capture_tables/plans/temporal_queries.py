@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from capture_tables.operators import ranking as k
+from capture_tables.operators import ranges as r
 from capture_tables.operators import sets as h
 from capture_tables.operators import temporal as e
 from capture_tables.plans.registry import query
@@ -19,6 +20,19 @@ def _(t):
     return e.tracked_runs(t("fx_obs"), F.col("tracked"), 1)
 
 
+@query("e1_tracked_runs_long", """WITH o AS (SELECT event_id AS frame, CASE WHEN event_id - lag(event_id) OVER (ORDER BY event_id) <= 2 THEN 0 ELSE 1 END AS new FROM events WHERE event_type <> 'error'),
+i AS (SELECT frame, sum(new) OVER (ORDER BY frame) AS run FROM o) SELECT min(frame) AS lo, max(frame) AS hi, count(*) AS tracked, max(frame) - min(frame) + 1 AS length FROM i GROUP BY run""")
+def _(t):
+    """All events as one sequence, their ids as frames."""
+    return r.tracked_runs(t("events").withColumn("frame", F.col("event_id")), F.col("event_type") != "error", 1, [])
+
+
+@query("e8_last_mask_long", """SELECT event_id, max(CASE WHEN event_type = 'view' THEN event_id END) OVER (ORDER BY event_id) AS source_frame FROM events""")
+def _(t):
+    """All events as one sequence: the last view up to each."""
+    return r.last_where(t("events").select("event_id", "event_type"), F.col("event_type") == "view", "event_id", []).select("event_id", "source_frame")
+
+
 @query("e2_trim_to_run", f"""WITH {_RUNS}, best AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY length DESC, lo) AS rk FROM runs) q WHERE rk = 1)
 SELECT o.seq, o.frame, CAST(o.frame - lo AS INTEGER) AS new_frame, R6(tracked_n * 100e0 / length) AS coverage
