@@ -207,7 +207,7 @@ def chained_instances(candidates: DataFrame, person: DataFrame, chunk: int, d: i
     at_start = F.col("frame") == F.col("chunk") * chunk
     first = runs.where(at_start).select(*keys, "v", "u0", "u1")
     near = dilate(person.withColumn("chunk", F.floor(F.col("frame") / F.lit(chunk)).cast("long")).where(at_start), [*by, "chunk"], d)
-    part = F.greatest(F.least("u1", "_b") - F.greatest("u0", "_a"), F.lit(0))
+    part = F.when(F.col("_a").isNotNull(), F.greatest(F.least("u1", "_b") - F.greatest("u0", "_a"), F.lit(0)))
     renamed = lambda df, *names: df.select(*names, "v", F.col("u0").alias("_a"), F.col("u1").alias("_b"))
     on = [*by, "chunk", "v"]
     areas = first.join(renamed(near, *by, "chunk"), on, "left")

@@ -280,8 +280,10 @@ def read_upserted(spark: SparkSession, path: str, schema, partition: str, versio
         return spark.createDataFrame([], schema)
     at = _manifest(spark, path, found[-1] if version is None else version)
     kind = schema[partition].dataType
-    kept = spark.read.schema(StructType([*[f for f in schema if f.name != partition], StructField("_batch", LongType()), StructField(partition, kind)])).parquet(f"{path}/data")
-    # as many rows as there are partitions; only their folders of the right batch are read
+    whole = StructType([*[f for f in schema if f.name != partition], StructField("_batch", LongType()), StructField(partition, kind)])
+    # folders that a manifest names, as many as partitions at most: what a batch left unfinished is not even listed
+    folders = [f"{path}/data/_batch={r[0]}" for r in at.select("_batch").distinct().collect()]
+    kept = spark.read.schema(whole).option("basePath", f"{path}/data").parquet(*folders)
     return kept.join(F.broadcast(at), ["_batch", partition], "left_semi").select(*schema.names)
 
 
