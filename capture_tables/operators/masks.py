@@ -368,35 +368,61 @@ def apply_scale_shift(depth: DataFrame, fitted: DataFrame, by: list[str], inside
     return out.withColumn("z", new if inside is None else F.when(inside, new).otherwise(F.col("z"))).drop("scale", "shift")
 
 
-def _stencil(depth: DataFrame, by: list[str], radius: int) -> DataFrame:
-    """Each pixel with its valid neighbours within the square, itself among them: by..., v, u, z,
-    dv, du, nz. Each pixel is sent to the places around it, so the join is on equal keys."""
-    steps = F.sequence(F.lit(-radius), F.lit(radius))
-    sent = depth.select(*by, "v", "u", F.col("z").alias("nz")).withColumn("dv", F.explode(steps)).withColumn("du", F.explode(steps))
-    sent = sent.select(*by, (F.col("v") - F.col("dv")).alias("v"), (F.col("u") - F.col("du")).alias("u"), "dv", "du", "nz")
-    return depth.select(*by, "v", "u", "z").join(sent, [*by, "v", "u"])
+#: Pixels along a tile's side.
+TILE = 32
+
+
+def _on_tiles(depth: DataFrame, by: list[str], radius: int, work) -> DataFrame:
+    """Pixels by square tiles, each with a border of `radius`, so that a pixel is sent once, or two or
+    four times near an edge. `work` gets the (2 radius + 1)-squares around a tile's places, NaN where no
+    pixel is, and the places' v and u; it gives which pixels stay, and their z."""
+    at = lambda c: F.sequence(F.floor((F.col(c) - radius) / TILE), F.floor((F.col(c) + radius) / TILE))
+    sent = depth.withColumn("_tv", F.explode(at("v"))).withColumn("_tu", F.explode(at("u")))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        v0, u0 = (int(rows[c].iloc[0]) * TILE for c in ("_tv", "_tu"))
+        v, u = rows["v"].to_numpy() - v0, rows["u"].to_numpy() - u0
+        image = np.full((TILE + 2 * radius, TILE + 2 * radius), np.nan)
+        image[v + radius, u + radius] = rows["z"].to_numpy(float)
+        own = (v >= 0) & (v < TILE) & (u >= 0) & (u < TILE)
+        kept, z = work(np.lib.stride_tricks.sliding_window_view(image, (2 * radius + 1, 2 * radius + 1)), v0 + np.arange(TILE)[:, None], u0 + np.arange(TILE)[None])
+        own[own] = kept[v[own], u[own]]
+        return rows[own].drop(columns=["_tv", "_tu"]).assign(z=z[v[own], u[own]])
+
+    return sent.groupBy(*by, "_tv", "_tu").applyInPandas(run, depth.withColumn("z", F.col("z").cast("double")).schema)
 
 
 def erode_depth(depth: DataFrame, by: list[str], height: int, width: int, radius: int = 2, most: float = 0.001, share: float = 0.8) -> DataFrame:
     """Pixels without those of whose neighbours inside the image more than the share are invalid
     (have no row) or differ by more than `most`."""
-    near = _stencil(depth, by, radius).groupBy(*by, "v", "u", "z").agg(F.sum((F.abs(F.col("z") - F.col("nz")) <= most).cast("int")).alias("_good"))
-    span = lambda c, n: F.least(F.col(c) + radius, F.lit(n - 1)) - F.greatest(F.col(c) - radius, F.lit(0)) + 1
-    n = span("v", height) * span("u", width)
-    return near.where((n - F.col("_good")) / n <= share).drop("_good")
+
+    def work(near: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = near[:, :, radius, radius]
+        good = (np.abs(near - z[:, :, None, None]) <= most).sum(axis=(2, 3))
+        span = lambda c, n: np.minimum(c + radius, n - 1) - np.maximum(c - radius, 0) + 1
+        n = np.maximum(span(v, height) * span(u, width), 1)
+        return (n - good) / n <= share, z
+
+    return _on_tiles(depth.select(*by, "v", "u", "z"), by, radius, work)
 
 
 def bilateral_depth(depth: DataFrame, by: list[str], radius: int = 2, near: float = 0.01, sigma_d: float = 2.0, sigma_r: float = 0.1) -> DataFrame:
     """z as the mean of neighbours within `near` of the local mean, weighted by the distance in the
     image and in depth from the pixel; a pixel without such neighbours keeps its z."""
-    pairs = _stencil(depth, by, radius)
-    keys = [*by, "v", "u"]
-    mean = pairs.groupBy(*keys).agg(F.avg("nz").alias("_mean"))
-    kept = pairs.join(mean, keys).where(F.abs(F.col("nz") - F.col("_mean")) < near)
-    d2, r2 = F.col("dv") * F.col("dv") + F.col("du") * F.col("du"), F.pow(F.col("nz") - F.col("z"), 2)
-    weight = F.exp(-d2 / (2.0 * sigma_d * sigma_d) - r2 / (2.0 * sigma_r * sigma_r))
-    smooth = kept.groupBy(*keys).agg(F.try_divide(F.sum(weight * F.col("nz")), F.sum(weight)).alias("_s"))
-    return depth.join(smooth, keys, "left").withColumn("z", F.coalesce("_s", "z")).drop("_s")
+    step = np.arange(-radius, radius + 1) ** 2
+    apart = (step[:, None] + step[None]) / (2.0 * sigma_d * sigma_d)
+
+    def work(around: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z, there = around[:, :, radius, radius], ~np.isnan(around)
+        value = np.where(there, around, 0.0)
+        mean = value.sum(axis=(2, 3)) / np.maximum(there.sum(axis=(2, 3)), 1)
+        used = there & (np.abs(value - mean[:, :, None, None]) < near)
+        weight = np.where(used, np.exp(-apart - (value - np.nan_to_num(z)[:, :, None, None]) ** 2 / (2.0 * sigma_r * sigma_r)), 0.0)
+        total = weight.sum(axis=(2, 3))
+        smooth = (weight * value).sum(axis=(2, 3)) / np.where(total > 0, total, 1.0)
+        return np.ones(z.shape, bool), np.where(total > 0, smooth, z)
+
+    return _on_tiles(depth, by, radius, work)
 
 
 def fill_depth(grid: DataFrame, by: list[str], width: int) -> DataFrame:

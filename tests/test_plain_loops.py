@@ -255,3 +255,26 @@ def test_few_pairs_are_compared_in_a_large_cloud_with_an_outlier(spark):
     some = a.where("pid % 200 = 7").join(least, "pid").collect()
     wanted = _all_pairs(np.array([(x.x, x.y, x.z) for x in some]), points, 1)
     assert len(some) == 100 and [x.d2 for x in some] == pytest.approx([w[0][0] for w in wanted])
+
+
+@pytest.mark.parametrize("radius", [1, 2])
+def test_depth_filters_on_tiles_equal_a_plain_loop(spark, radius):
+    """An image over several tiles, with holes, from negative places on."""
+    r = np.random.default_rng(4)
+    z = {(v, u): float(np.round(r.normal(2, 0.3), 3)) for v in range(-3, 70) for u in range(60, 101) if r.random() < 0.7}
+    df = spark.createDataFrame([(1, v, u, x, "kept") for (v, u), x in z.items()], "img int, v int, u int, z double, more string")
+    window = lambda v, u: {(dv, du): z[v + dv, u + du] for dv in range(-radius, radius + 1) for du in range(-radius, radius + 1) if (v + dv, u + du) in z}
+    smooth = {(x.v, x.u): x.z for x in masks.bilateral_depth(df, ["img"], radius, near=0.20037).where("more = 'kept'").collect()}
+    inside = {k for k in z if k[0] >= 0}
+    eroded = {(x.v, x.u): x.z for x in masks.erode_depth(df.where("v >= 0"), ["img"], 70, 101, radius, 0.3, 0.6).collect()}
+    assert smooth.keys() == z.keys()
+    for (v, u), own in z.items():
+        near = window(v, u)
+        mean = sum(near.values()) / len(near)
+        weights = {k: math.exp(-(k[0] ** 2 + k[1] ** 2) / 8 - (x - own) ** 2 / 0.02) for k, x in near.items() if abs(x - mean) < 0.20037}
+        total = sum(weights.values())
+        assert smooth[v, u] == pytest.approx(sum(w * near[k] for k, w in weights.items()) / total if total > 0 else own)
+        if v >= 0:
+            n = (min(v + radius, 69) - max(v - radius, 0) + 1) * (min(u + radius, 100) - max(u - radius, 0) + 1)
+            good = sum(abs(x - own) <= 0.3 for k, x in near.items() if (v + k[0], u + k[1]) in inside)
+            assert ((v, u) in eroded) == ((n - good) / n <= 0.6)
