@@ -59,23 +59,42 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Of each table that `stored` wrote its path and a weak reference to the JVM's listing of its files,
+#: which every plan that reads the table holds on to.
+_tables: list[tuple[str, object]] = []
+
+
+def let_go(spark: SparkSession) -> None:
+    """Delete what no DataFrame can ask for any more: stored tables that no plan reads, and shuffles,
+    whose files Spark deletes once the driver's JVM has collected them. Left alone that may take half
+    an hour, and an executor's disk holds what earlier steps left behind."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    for table in list(_tables):
+        path, listing = table
+        if listing.get() is None:
+            _tables.remove(table)
+            _remove(spark, path)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again: lineage ends
-    here, and a lost executor costs nothing that was finished. An application has one folder
-    for all of them, which goes when the driver ends: results may be read until then."""
+    here, and a lost executor costs nothing that was finished. A table goes when no plan reads it
+    any more, and an application's folder when the driver ends: results may be read until then."""
     spark, schema = df.sparkSession, df.schema
     app = spark.sparkContext.applicationId
     if app not in _folders:
         _folders[app] = shared_path(spark, "stored")
+        _tables.clear()  # of an application that ended, in one of whose folders they lay
         atexit.register(_remove, spark, _folders[app])
     path = f"{_folders[app]}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # the shuffles behind it are garbage now; Spark deletes their files once the driver's JVM
-    # has collected it, which left alone may take half an hour
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    let_go(spark)
+    found = spark.read.schema(schema).parquet(path)
+    listing = found._jdf.queryExecution().analyzed().relation().location()
+    _tables.append((path, spark.sparkContext._jvm.java.lang.ref.WeakReference(listing)))
+    return found
 
 
 def _trimmed() -> None:

@@ -237,6 +237,7 @@ def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
     of which the one with the smaller hash comes first. Rows without doc_id take no part. An
     empty table gives an empty one.
     """
+    common.let_go(docs.sparkSession)
     text = common.documents(docs)
     counts = docs.sparkSession.sparkContext.broadcast(common.counted(text, _seeds(least, seed)))  # COUNTERS bytes
     rows = text.mapInArrow(_suffixes(counts, least, seed), _SCHEMA)
