@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capture_tables.functions import linalg as la
@@ -38,14 +38,20 @@ def join_nearest(left: DataFrame, right: DataFrame, by: list[str], time: str, va
     near_time and near_<value>, NULL where the left time lies before the first right time by
     more than `before`, or after the last. One union and one sort for each group; the cost is
     linear in the rows."""
-    w = Window.partitionBy(*by).orderBy("_t", "_side", "_v")
-    own = F.when(F.col("_side") == 0, F.struct("_t", "_v"))
-    back = F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(own, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back, ahead = own_sides(by)
     seen = both_sides(left, right, by, time, value).withColumn("_p", back).withColumn("_n", ahead).where("_side = 1")
     return nearest_of(seen, value, before)
 
 
+def own_sides(by: list[str]) -> tuple[Column, Column]:
+    """The last right row up to each row of both_sides, and the first from it on. A frame that ends at the
+    last row is gone through anew for each row, so the second looks back in the order turned round."""
+    own = F.when(F.col("_side") == 0, F.struct("_t", "_v"))
+    order = ["_t", "_side", "_v"]
+    looking = lambda *o: F.last(own, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0))
+    return looking(*order), looking(*map(F.desc, order))
+
+
 def both_sides(left: DataFrame, right: DataFrame, by: list[str], time: str, value: str) -> DataFrame:
     """by..., _t, _l, _v, _side: rows of both; right rows, of side 0, sort before left rows of one time."""
     a = left.select(*by, F.col(time).alias("_t"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))

@@ -433,7 +433,8 @@ def fill_depth(grid: DataFrame, by: list[str], width: int) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("_i")
     known = F.when(F.col("z").isNotNull(), F.struct("_i", "z"))
     out = out.withColumn("_p", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.withColumn("_n", F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy(*by).orderBy(F.desc("_i"))
+    out = out.withColumn("_n", F.last(known, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     t = F.try_divide(F.col("_i") - F.col("_p._i"), F.col("_n._i") - F.col("_p._i"))
     line = F.col("_p.z") + (F.col("_n.z") - F.col("_p.z")) * t
     return out.withColumn("z", F.coalesce(F.col("z"), line, F.col("_p.z"), F.col("_n.z"))).drop("_i", "_p", "_n")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capture_tables.functions.shared import stored
-from capture_tables.operators.joins import both_sides, nearest_of, with_dimension
+from capture_tables.operators.joins import both_sides, nearest_of, own_sides, with_dimension
 
 
 def in_ranges(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -23,10 +23,12 @@ def _carried(ranged: DataFrame, by: list[str], **values: tuple[Column, str]) ->
     `before` or `behind` their own, or the `sum` of all before."""
     ranges = ranged.groupBy(*by, "_range").agg(*[value.alias(f"_v_{name}") for name, (value, _) in values.items()])
     w = Window.partitionBy(*by).orderBy("_range")
-    before, behind = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    # a frame up to the last row is gone through anew for each row: the order is turned round instead
+    back = Window.partitionBy(*by).orderBy(F.desc("_range"))
+    before, behind = w.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, -1)
     take = {
         "before": lambda c: F.last(c, ignorenulls=True).over(before),
-        "behind": lambda c: F.first(c, ignorenulls=True).over(behind),
+        "behind": lambda c: F.last(c, ignorenulls=True).over(behind),
         "sum": lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)),
     }
     found = ranges.select(*by, "_range", *[take[how](f"_v_{name}").alias(name) for name, (_, how) in values.items()])
@@ -38,9 +40,7 @@ def join_nearest(left: DataFrame, right: DataFrame, by: list[str], time: str, va
     ranged = in_ranges(both_sides(left, right, by, time, value), by, ["_t"])
     own = F.when(F.col("_side") == 0, F.struct("_t", "_v"))
     both = _carried(ranged, by, _earlier=(F.max(own), "before"), _later=(F.min(own), "behind"))
-    w = Window.partitionBy(*by, "_range").orderBy("_t", "_side", "_v")
-    back = F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(own, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back, ahead = own_sides([*by, "_range"])
     seen = both.withColumn("_p", F.coalesce(back, "_earlier")).withColumn("_n", F.coalesce(ahead, "_later")).where("_side = 1")
     return nearest_of(seen, value, before)
 
