@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from capture_tables.functions import linalg as la
 from capture_tables.operators.joins import expand_symmetries, with_dimension
-from capture_tables.operators.neighbours import nearest
+from capture_tables.operators.neighbours import WHOLE, nearest
 
 FRAME = ("seq", "frame")
 AXES = ("x", "y", "z")
@@ -197,24 +197,68 @@ def pa_error(pr: DataFrame, gt: DataFrame, by=FRAME, key: str = "joint", reducti
     return d.groupBy(*by).agg((F.avg if reduction == "mean" else F.sum)("pa_error").alias("pa_error"))
 
 
-def _posed(pose: DataFrame, model: DataFrame, on, prefix: str) -> DataFrame:
-    moved = la.plus(la.apply(la.matrix("r"), la.columns("mx", "my", "mz")), la.columns("tx", "ty", "tz"))
-    names = [f"{prefix}{a}" for a in AXES]
-    return with_dimension(pose, model, ["object"]).select(*on, "pid", *[m.alias(n) for m, n in zip(moved, names, strict=True)])
+_R = [f"r{i}{j}" for i in range(3) for j in range(3)]
+_T = ["tx", "ty", "tz"]
+#: Poses of a task that meets model points, about.
+POSES = 20_000
+
+
+def _places(model: DataFrame) -> DataFrame:
+    """Each object's different model points, and how many stand there (_n)."""
+    return model.groupBy("object", "mx", "my", "mz").agg(F.count("*").alias("_n"))
+
+
+def _both_poses(pr: DataFrame, gt: DataFrame, on) -> DataFrame:
+    """on..., object and both poses of a frame, the predicted one's columns with a p before."""
+    keep = [*on, "object", *_R, *_T]
+    return renamed(pr.select(*keep), [*_R, *_T], "p").join(gt.select(*keep), [*on, "object"])
 
 
 def add_error(pr: DataFrame, gt: DataFrame, model: DataFrame, on=FRAME) -> DataFrame:
-    """ADD: mean distance of each object's model points (object, pid, mx, my, mz) under both poses."""
-    keep = [*on, "object", *[f"r{i}{j}" for i in range(3) for j in range(3)], "tx", "ty", "tz"]
-    both = _posed(pr.select(*keep), model, on, "p").join(_posed(gt.select(*keep), model, on, ""), [*on, "pid"])
-    return both.groupBy(*on).agg(F.avg(la.norm([F.col(f"p{a}") - F.col(a) for a in AXES])).alias("add"))
+    """ADD: mean distance of each object's model points (object, pid, mx, my, mz) under both poses. The
+    poses meet first, so that no posed point is moved between tasks."""
+    posed = lambda p: la.plus(la.apply(la.matrix(f"{p}r"), la.columns("mx", "my", "mz")), la.columns(*[f"{p}{c}" for c in _T]))
+    d = la.norm(la.minus(posed("p"), posed("")))
+    apart = with_dimension(_both_poses(pr, gt, on), _places(model), ["object"]).select(*on, d.alias("_d"), "_n")
+    mean = F.try_divide(F.sum(F.col("_d") * F.col("_n")), F.sum(F.when(F.col("_d").isNotNull(), F.col("_n"))))
+    return apart.groupBy(*on).agg(mean.alias("add"))
 
 
 def adds_error(pr: DataFrame, gt: DataFrame, model: DataFrame, on=FRAME) -> DataFrame:
-    """ADD-S: mean distance from each true model point to the nearest predicted one."""
-    keep = [*on, "object", *[f"r{i}{j}" for i in range(3) for j in range(3)], "tx", "ty", "tz"]
-    truth, found = _posed(gt.select(*keep), model, on, ""), _posed(pr.select(*keep), model, on, "")
-    return nearest(truth, found, list(on)).groupBy(*on).agg(F.avg("distance").alias("adds"))
+    """ADD-S: mean distance from each true model point to the nearest predicted one. A true point seen
+    from the predicted pose lies among the model's own points, so that only poses and models are moved.
+    Models of more than neighbours.WHOLE different points go through `nearest`."""
+    places = _places(model).dropna()
+    most = places.groupBy("object").count().agg(F.max("count")).first()[0] or 0
+    poses = _both_poses(pr, gt, on)
+    if most > WHOLE:
+        numbered = places.withColumn("pid", F.row_number().over(Window.partitionBy("object").orderBy("mx", "my", "mz")))
+        posed = with_dimension(poses, numbered, ["object"])
+        at = lambda p: [m.alias(a) for a, m in zip(AXES, la.plus(la.apply(la.matrix(f"{p}r"), la.columns("mx", "my", "mz")), la.columns(*[f"{p}{c}" for c in _T])), strict=True)]
+        near = nearest(posed.select(*on, F.struct("pid", "_n").alias("pid"), *at("")), posed.select(*on, "pid", *at("p")), list(on))
+        return near.groupBy(*on).agg((F.sum(F.col("distance") * F.col("pid._n")) / F.sum("pid._n")).alias("adds"))
+    back = la.transpose(la.matrix("pr"))
+    shift = la.apply(back, la.minus(la.columns(*_T), la.columns(*[f"p{c}" for c in _T])))
+    parts = pr.count() // POSES + 1
+    seen = poses.select(*on, "object", *la.named(la.times(back, la.matrix("r"))), *[c.alias(n) for c, n in zip(shift, _T, strict=True)], F.pmod(F.xxhash64(*on), F.lit(parts)).alias("_part"))
+    spread = places.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+    def run(poses: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        m, n = points[["mx", "my", "mz"]].to_numpy(float), points["_n"].to_numpy(float)
+        turns, shifts = poses[_R].to_numpy(float).reshape(-1, 3, 3), poses[_T].to_numpy(float)
+        out, d2, part = np.full(len(poses), np.nan), np.empty((len(m), len(m))), np.empty((len(m), len(m)))
+        for k in range(len(poses)) if len(m) else ():
+            moved = m @ turns[k].T + shifts[k]
+            for axis in range(3):
+                np.subtract.outer(moved[:, axis], m[:, axis], out=part)
+                np.multiply(part, part, out=part) if axis else np.multiply(part, part, out=d2)
+                if axis:
+                    np.add(d2, part, out=d2)
+            out[k] = np.sqrt(d2.min(axis=1)) @ n / n.sum()
+        return poses[list(on)].assign(adds=out)[lambda x: x["adds"].notna()]
+
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seen.select(*on).schema)
+    return seen.groupBy("object", "_part").cogroup(spread.groupBy("object", "_part")).applyInPandas(run, keys + ", adds double")
 
 
 def accuracy_auc(errors: DataFrame, column: str, most: float = 0.1, step: float = 0.001, by=()) -> DataFrame:
