@@ -7,6 +7,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from capture_tables.operators.grouped import over_groups, schema_of
+
 
 def _alpha(cutoff, dt):
     """Weight of the new value in an exponential filter of that cutoff frequency."""
@@ -55,27 +57,31 @@ def one_euro(df: DataFrame, columns: list[str], by: list[str], order: str = "fra
 _R = [f"r{i}{j}" for i in range(3) for j in range(3)]
 
 
-def _log(m: np.ndarray) -> np.ndarray:
-    c = np.clip((np.trace(m) - 1) / 2, -1, 1)
-    angle = np.arccos(c)
-    v = np.array([m[2, 1] - m[1, 2], m[0, 2] - m[2, 0], m[1, 0] - m[0, 1]])
-    if angle < 1e-8:
-        return v / 2
-    if np.pi - angle < 1e-6:
-        axis = np.sqrt(np.maximum((np.diag(m) + 1) / 2, 0))
-        k = int(axis.argmax())
-        axis = (m[k] + np.eye(3)[k]) / (2 * axis[k])
-        return axis * angle
-    return v * angle / (2 * np.sin(angle))
-
-
-def _exp(v: np.ndarray) -> np.ndarray:
-    angle = float(np.linalg.norm(v))
-    if angle < 1e-12:
-        return np.eye(3)
-    x, y, z = v / angle
-    k = np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]])
-    return np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * (k @ k)
+def _logs(m: np.ndarray) -> np.ndarray:
+    """The rotation vectors of many matrices."""
+    angle = np.arccos(np.clip((np.trace(m, axis1=1, axis2=2) - 1) / 2, -1, 1))
+    v = np.stack([m[:, 2, 1] - m[:, 1, 2], m[:, 0, 2] - m[:, 2, 0], m[:, 1, 0] - m[:, 0, 1]], axis=1)
+    small, half = angle < 1e-8, np.pi - angle < 1e-6
+    scale = np.where(small, 0.5, angle / np.where(small | half, 1.0, 2 * np.sin(angle)))
+    out = v * scale[:, None]
+    if half.any():
+        own = m[half]
+        size = np.sqrt(np.maximum((np.diagonal(own, axis1=1, axis2=2) + 1) / 2, 0))
+        k = size.argmax(axis=1)
+        rows = np.arange(len(own))
+        out[half] = (own[rows, k] + np.eye(3)[k]) / (2 * size[rows, k])[:, None] * angle[half][:, None]
+    return out
+
+
+def _exps(v: np.ndarray) -> np.ndarray:
+    angle = np.linalg.norm(v, axis=1)
+    still = angle < 1e-12
+    x, y, z = (v / np.where(still, 1.0, angle)[:, None]).T
+    o = np.zeros_like(x)
+    k = np.stack([o, -z, y, z, o, -x, -y, x, o], axis=1).reshape(-1, 3, 3)
+    out = np.eye(3) + np.sin(angle)[:, None, None] * k + (1 - np.cos(angle))[:, None, None] * (k @ k)
+    out[still] = np.eye(3)
+    return out
 
 
 def one_euro_rotation(df: DataFrame, by: list[str], mode: str = "tangent", order: str = "frame", freq: float = 30.0, least_cutoff: float = 0.5, beta: float = 2.0, speed_cutoff: float = 1.0) -> DataFrame:
@@ -83,35 +89,43 @@ def one_euro_rotation(df: DataFrame, by: list[str], mode: str = "tangent", order
     rotation, as a vector. mode tangent: the vectors go through the filter, the first as it is;
     geodesic: a share of the vector, that follows from its own speed alone."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
+    def work(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         turns = rows[_R].to_numpy(float).reshape(-1, 3, 3)
         times = rows[order].to_numpy(float) / freq
-        out, f = [turns[0]], OneEuro(least_cutoff, beta, speed_cutoff)
-        for k in range(1, len(turns)):
-            step = _log(out[-1].T @ turns[k])
+        out, length = np.empty_like(turns), np.diff(starts)
+        value, speed, time, last = (np.zeros((len(length), 3)), np.zeros((len(length), 3)), np.zeros(len(length)), turns[starts[:-1]])
+        out[starts[:-1]] = last
+        # all tracks take their k-th step together
+        for k in range(1, int(length.max())):
+            on = np.flatnonzero(length > k)
+            at = starts[on] + k
+            step = _logs(last[on].transpose(0, 2, 1) @ turns[at])
             if mode == "tangent":
-                step = f.step(step, times[k])
+                if k > 1:
+                    dt = np.maximum(times[at] - time[on], 1e-9)[:, None]
+                    a = _alpha(speed_cutoff, dt)
+                    speed[on] = a * (step - value[on]) / dt + (1 - a) * speed[on]
+                    b = _alpha(least_cutoff + beta * np.abs(speed[on]), dt)
+                    step = b * step + (1 - b) * value[on]
+                value[on], time[on] = step, times[at]
             else:
-                dt = max(times[k] - times[k - 1], 1e-9)
-                step = step * _alpha(least_cutoff + beta * float(np.linalg.norm(step)) / dt, dt)
-            out.append(out[-1] @ _exp(step))
-        flat = np.array(out).reshape(-1, 9)
-        return rows[[*by, order]].assign(**dict(zip(_R, flat.T, strict=True)))
+                dt = np.maximum(times[at] - times[at - 1], 1e-9)
+                step = step * _alpha(least_cutoff + beta * np.linalg.norm(step, axis=1) / dt, dt)[:, None]
+            last[on] = last[on] @ _exps(step)
+            out[at] = last[on]
+        return rows[[*by, order]].assign(**dict(zip(_R, out.reshape(-1, 9).T, strict=True)))
 
-    schema = _schema(df, [*by, order]) + ", " + ", ".join(f"{c} double" for c in _R)
-    return df.select(*by, order, *_R).groupBy(*by).applyInPandas(run, schema)
+    schema = schema_of(df, [*by, order]) + ", " + ", ".join(f"{c} double" for c in _R)
+    return over_groups(df.select(*by, order, *_R), by, [order], work, schema)
 
 
 class _Track:
     """The hypotheses of a track's frames, the first ranked first, and how they are chosen in both
     directions of time."""
 
-    def __init__(self, frames: list[pd.DataFrame], clock: list[float], iou: str | None, visible: float, base: float, omega: float, ahead: int, occluded: int, iou_kept: int, reliable_iou: float, reliable_visibility: float):
-        self.turns = [g[_R].to_numpy(float).reshape(-1, 3, 3) for g in frames]
-        self.visibility = [g["visibility"].to_numpy(float) for g in frames]
-        self.ious = [g[iou].to_numpy(float) for g in frames] if iou else None
-        self.number, self.clock = [int(g["frame"].iloc[0]) for g in frames], clock
+    def __init__(self, turns: list[np.ndarray], visibility: list[np.ndarray], ious: list[np.ndarray] | None, number: list[int], clock: list[float], visible: float, base: float, omega: float, ahead: int, occluded: int, iou_kept: int, reliable_iou: float, reliable_visibility: float):
+        self.turns, self.visibility, self.ious = turns, visibility, ious
+        self.number, self.clock = number, clock
         self.visible, self.base, self.omega, self.ahead, self.occluded = visible, base, omega, ahead, occluded
         self.iou_kept, self.reliable_iou, self.reliable_visibility = iou_kept, reliable_iou, reliable_visibility
         #: For each frame the place of its choice among its hypotheses, and whether a gate let it through.
@@ -192,15 +206,25 @@ def select_track(hypotheses: DataFrame, by: list[str], visible: float = 0.3, bas
     if ahead < 2:
         raise ValueError("strides have two frames at least")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        frames = [g.sort_values("rank") for _, g in rows.sort_values("frame").groupby("frame", sort=True)]
-        clock = [float(g[time].iloc[0]) * 30 if time else float(g["frame"].iloc[0]) for g in frames]
-        track = _Track(frames, clock, iou, visible, base, omega, ahead, occluded, iou_kept, reliable_iou, reliable_visibility)
-        track.forward()
-        return pd.concat([frames[k].iloc[[pick]][[*by, "frame", "rank"]].assign(gated=gated) for k, (pick, gated) in sorted(track.chosen.items())])
-
-    schema = _schema(hypotheses, [*by, "frame", "rank"]) + ", gated boolean"
-    return hypotheses.select(*by, "frame", "rank", "visibility", *[c for c in (time, iou) if c], *_R).groupBy(*by).applyInPandas(run, schema)
+    def work(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        turns = rows[_R].to_numpy(float).reshape(-1, 3, 3)
+        number, visibility = rows["frame"].to_numpy(), rows["visibility"].to_numpy(float)
+        clock = rows[time].to_numpy(float) * 30 if time else number.astype(float)
+        ious = rows[iou].to_numpy(float) if iou else None
+        picked, gates = [], []
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            at = [lo, *(lo + 1 + np.flatnonzero(number[lo + 1 : hi] != number[lo : hi - 1])).tolist(), hi]
+            part = lambda x: [x[p:q] for p, q in zip(at[:-1], at[1:], strict=True)]  # noqa: B023, E731
+            first = at[:-1]
+            track = _Track(part(turns), part(visibility), None if ious is None else part(ious), number[first].tolist(), clock[first].tolist(), visible, base, omega, ahead, occluded, iou_kept, reliable_iou, reliable_visibility)
+            track.forward()
+            for k, (pick, gated) in sorted(track.chosen.items()):
+                picked.append(at[k] + pick)
+                gates.append(gated)
+        return rows[[*by, "frame", "rank"]].iloc[picked].assign(gated=gates)
+
+    schema = schema_of(hypotheses, [*by, "frame", "rank"]) + ", gated boolean"
+    return over_groups(hypotheses.select(*by, "frame", "rank", "visibility", *[c for c in (time, iou) if c], *_R), by, ["frame", "rank"], work, schema)
 
 
 def smoothed_with(df: DataFrame, *steps) -> DataFrame:
