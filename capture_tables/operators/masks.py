@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from capture_tables.operators.grouped import over_groups, schema_of
 from capture_tables.operators.joins import mask_overlap
 
 
@@ -63,11 +64,10 @@ def ring_contact(objects: DataFrame, people: DataFrame, by: list[str], d: int) -
     return both.select(*by, F.try_divide(F.col("_gi") - F.col("inter"), F.col("_ga") - F.col("area_a")).alias("contact"))
 
 
-def _hull_area(points: np.ndarray) -> float:
-    """Area of the convex hull of 2-D points, by the monotone chain."""
-    points = np.unique(points, axis=0)
+def _hull_area(points: list[tuple[float, float]]) -> tuple[float, list[tuple[float, float]]]:
+    """Area of the convex hull of different, sorted 2-D points, and its corners, by the monotone chain."""
     if len(points) < 3:
-        return 0.0
+        return 0.0, points
 
     def half(seq):
         out: list = []
@@ -77,11 +77,12 @@ def _hull_area(points: np.ndarray) -> float:
             out.append(p)
         return out[:-1]
 
-    h = np.array(half(points.tolist()) + half(points[::-1].tolist()))
-    return float(abs(np.dot(h[:, 0], np.roll(h[:, 1], -1)) - np.dot(h[:, 1], np.roll(h[:, 0], -1))) / 2)
+    h = half(points) + half(points[::-1])
+    twice = sum(h[k - 1][0] * h[k][1] - h[k - 1][1] * h[k][0] for k in range(len(h)))
+    return abs(twice) / 2, h
 
 
-def _circle(points: np.ndarray) -> float:
+def _circle(points: list[tuple[float, float]]) -> float:
     """Radius of the smallest circle around 2-D points: a point outside the circle so far lies on
     the border of the next, which is settled with the points before it."""
 
@@ -101,7 +102,7 @@ def _circle(points: np.ndarray) -> float:
         return p[0] + x, p[1] + y, x * x + y * y
 
     circle = None
-    for i, p in enumerate(points := points.tolist()):
+    for i, p in enumerate(points):
         if holds(circle, p):
             continue
         circle = (p[0], p[1], 0.0)
@@ -117,12 +118,10 @@ def _circle(points: np.ndarray) -> float:
 
 def mask_shape(runs: DataFrame, by: list[str]) -> DataFrame:
     """by..., area, solidity (area over the hull's) and fill (area over the enclosing circle's) of
-    the largest connected part, rows joined where their runs overlap; one pass for each frame."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.select(*by).schema)
+    the largest connected part, rows joined where their runs overlap. The circle goes around the hull's
+    corners."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["v", "u0"])
-        v, a, b = (rows[c].to_numpy(np.int64) for c in ("v", "u0", "u1"))
+    def shape(v: list[int], a: list[int], b: list[int]) -> tuple[int, float | None, float]:
         root = list(range(len(v)))
 
         def find(k: int) -> int:
@@ -131,24 +130,33 @@ def mask_shape(runs: DataFrame, by: list[str]) -> DataFrame:
                 k = root[k]
             return k
 
-        above: list[int] = []
-        for row in np.unique(v):
-            here = np.flatnonzero(v == row).tolist()
-            for k in here:
-                for j in above:
-                    if v[j] == row - 1 and a[j] < b[k] and a[k] < b[j]:
-                        root[find(k)] = find(j)
-            above = here
-        top = np.array([find(k) for k in range(len(v))])
-        area = np.bincount(top, b - a)
-        part = np.flatnonzero(top == int(area.argmax()))
-        size = float(area.max())
-        corners = np.concatenate([np.stack([x[part], v[part] + dv], 1) for x in (a, b) for dv in (0, 1)]).astype(float)
-        hull = _hull_area(corners)
-        radius = _circle(np.unique(corners, axis=0))
-        return rows[by].iloc[:1].assign(area=int(size), solidity=size / hull if hull else None, fill=size / (np.pi * radius * radius))
-
-    return runs.select(*by, "v", "u0", "u1").groupBy(*by).applyInPandas(run, schema + ", area long, solidity double, fill double")
+        lo = 0  # the runs of the row before start here, and end where this row starts
+        row = 0
+        for k in range(len(v)):
+            if v[k] != v[row]:
+                lo, row = row, k
+            if v[lo] != v[k] - 1:
+                continue
+            for j in range(lo, row):
+                if a[j] < b[k] and a[k] < b[j]:
+                    root[find(k)] = find(j)
+        area: dict[int, int] = {}
+        top = [find(k) for k in range(len(v))]
+        for k, t in enumerate(top):
+            area[t] = area.get(t, 0) + b[k] - a[k]
+        best = min(area, key=lambda t: (-area[t], t))
+        size = area[best]
+        corners = sorted({(float(x), float(v[k] + dv)) for k, t in enumerate(top) if t == best for x in (a[k], b[k]) for dv in (0, 1)})
+        hull, border = _hull_area(corners)
+        radius = _circle(border)
+        return size, size / hull if hull else None, size / (np.pi * radius * radius)
+
+    def work(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        v, a, b = (rows[c].tolist() for c in ("v", "u0", "u1"))
+        found = [shape(v[p:q], a[p:q], b[p:q]) for p, q in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        return pd.concat([rows[by].iloc[starts[:-1]].reset_index(drop=True), pd.DataFrame(found, columns=["area", "solidity", "fill"])], axis=1)
+
+    return over_groups(runs.select(*by, "v", "u0", "u1"), by, ["v", "u0"], work, schema_of(runs, by) + ", area long, solidity double, fill double")
 
 
 def rank_frames(features: DataFrame, by: list[str], gains: list[str], penalties: list[str] = (), order: str = "frame") -> DataFrame:
