@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from capture_tables.functions import linalg as la
 from capture_tables.functions.hashing import uniform
+from capture_tables.operators.grouped import over_groups, schema_of
 from capture_tables.operators.joins import with_dimension
 from capture_tables.operators.neighbours import nearest, nearest_row
 
@@ -91,36 +92,66 @@ _MOMENTS = [f"a{i}{j}" for i in range(3) for j in range(i, 3)] + [f"b{i}" for i
 def triangulate_frames(observations: DataFrame, cameras: DataFrame, by: list[str], cap: int = 256, ref_width: float = 1024.0) -> DataFrame:
     """by..., combo, x, y, z, n_views, residual: of all choices of one observation (by..., cam, obs, u, v)
     for each camera of a frame the one whose point has the smallest mean residual, ties to the first;
-    combos as in joins.observation_combos, with its cap. A frame's observations meet once, as an array
-    with their rays' moments; a choice adds up those of its observations and is solved and measured
-    in its own row."""
+    combos as in joins.observation_combos, with its cap. A frame's observations meet once, with their
+    rays' moments; a choice adds up those of its observations. Frames whose cameras have the same numbers
+    of observations are solved and measured together."""
     rays = camera_rays(observations.select(*by, "cam", "obs", "u", "v"), cameras)
     d, o = la.columns("dx", "dy", "dz"), la.columns("ox", "oy", "oz")
     p = [[F.lit(1.0 if i == j else 0.0) - d[i] * d[j] for j in range(3)] for i in range(3)]
     moments = [p[i][j] for i in range(3) for j in range(i, 3)] + [la.dot(p[i], o) for i in range(3)]
     camera = ["fx", "fy", "cx", "cy", "width", *[f"r{i}{j}" for i in range(3) for j in range(3)], "tx", "ty", "tz"]
     known = with_dimension(rays, cameras.select("cam", *camera), ["cam"]).withColumns(dict(zip(_MOMENTS, moments, strict=True)))
-    lists = known.groupBy(*by, "cam").agg(F.array_sort(F.collect_list(F.struct("obs", "u", "v", *_MOMENTS, *camera))).alias("o"))
-    frame = lists.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cam", "o"))).alias("cams"))
-    n = F.aggregate("cams", F.lit(1).cast("long"), lambda acc, c: F.least(acc * F.size(c["o"]), F.lit(cap + 1)).cast("long"))
-    later = F.expr("transform(cams, (c, i) -> aggregate(slice(cams, i + 2, size(cams)), 1L, (acc, d) -> least(acc * size(d.o), 1000000L)))")
-    sized = frame.withColumn("_n", n).withColumn("_later", later)
-    combos = sized.withColumn("combo", F.explode(F.sequence(F.lit(0), F.when(F.col("_n") > cap, 0).otherwise(F.col("_n") - 1).cast("int"))))
-    at = lambda c, i: F.when(F.col("_n") > cap, F.lit(0)).otherwise(F.floor(F.col("combo") / F.element_at("_later", i + 1)) % F.size(c["o"])).cast("int")
-    chosen = combos.select(*by, "combo", F.transform("cams", lambda c, i: F.get(c["o"], at(c, i))).alias("_c"))
-    total = lambda m: F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + c[m]).alias(m)
-    solved = chosen.select("*", *map(total, _MOMENTS))
-    a = [[F.col(f"a{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)]
-    solved = solved.select(*by, "combo", "_c", *[c.alias(name) for c, name in zip(la.solve(a, la.columns("b0", "b1", "b2")), AXES, strict=True)]).where("x is not null")
-
-    def error(c: Column) -> Column:
-        px, py, pz = la.plus(la.apply([[c[f"r{i}{j}"] for j in range(3)] for i in range(3)], la.columns(*AXES)), [c["tx"], c["ty"], c["tz"]])
-        du, dv = c["fx"] * px / pz + c["cx"] - c["u"], c["fy"] * py / pz + c["cy"] - c["v"]
-        return F.when(pz > 0, F.sqrt(du * du + dv * dv) * ref_width / c["width"]).otherwise(F.lit(float("inf")))
-
-    residual = F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + error(c)) / F.size("_c")
-    best = solved.groupBy(*by).agg(F.min(F.struct(residual.alias("residual"), "combo", *AXES, F.size("_c").cast("long").alias("n_views"))).alias("_b"))
-    return best.select(*by, "_b.combo", *[f"_b.{name}" for name in AXES], "_b.n_views", "_b.residual")
+    names = ["u", "v", *_MOMENTS, *camera]
+
+    def best_of(value: dict[str, np.ndarray], first: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+        """residual, combo, x, y, z of frames whose cameras have so many observations; `first` are their rows."""
+        n = int(np.prod([float(k) for k in sizes]))
+        places = [np.zeros(1, np.int64)] * len(sizes) if n > cap else list(np.unravel_index(np.arange(n), sizes))
+        begin = np.cumsum([0, *sizes[:-1]])
+        at = [first[:, None] + b + p[None] for b, p in zip(begin, places, strict=True)]
+        sums = {m: sum((value[m][k] for k in at), 0.0) for m in _MOMENTS}
+        m = [[sums[f"a{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)]
+        v = [sums[f"b{i}"] for i in range(3)]
+        det = la.determinant(m)
+        solid = np.abs(det) > 1e-9
+        x = [la.determinant([[v[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]) / np.where(solid, det, 1.0) for k in range(3)]
+        total = 0.0
+        for k in at:
+            c = {name: value[name][k] for name in ("u", "v", *camera)}
+            px, py, pz = (c[f"r{i}0"] * x[0] + c[f"r{i}1"] * x[1] + c[f"r{i}2"] * x[2] + c[t] for i, t in enumerate(("tx", "ty", "tz")))
+            ahead = pz > 0
+            depth = np.where(ahead, pz, 1.0)
+            du, dv = c["fx"] * px / depth + c["cx"] - c["u"], c["fy"] * py / depth + c["cy"] - c["v"]
+            total = total + np.where(ahead, np.sqrt(du * du + dv * dv) * ref_width / c["width"], np.inf)
+        residual = np.where(solid & ~np.isnan(total), total / len(sizes), np.inf)
+        # a choice behind a camera still comes before one without a point
+        least = np.where(solid, residual, np.nan)
+        some = solid.any(axis=1)
+        pick = np.nanargmin(np.where(some[:, None], least, 0.0), axis=1)
+        rows = np.arange(len(first))
+        return some, least[rows, pick], pick, *(c[rows, pick] for c in x)
+
+    def work(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        value = {name: rows[name].to_numpy(float) for name in names}
+        cam = rows["cam"].to_numpy()
+        new = np.union1d(np.flatnonzero(cam[1:] != cam[:-1]) + 1, starts)
+        shapes: dict[tuple[int, ...], list[int]] = {}
+        inside = np.searchsorted(new, starts)
+        length = np.diff(new).tolist()
+        for k, (p, q) in enumerate(zip(inside[:-1].tolist(), inside[1:].tolist(), strict=True)):
+            shapes.setdefault(tuple(length[p:q]), []).append(k)
+        out = []
+        for sizes, groups in shapes.items():
+            step = max(1, 50_000 // min(cap, int(min(np.prod([float(k) for k in sizes]), cap))))
+            for lo in range(0, len(groups), step):
+                first = starts[groups[lo : lo + step]]
+                some, residual, combo, *point = best_of(value, first, sizes)
+                found = rows[by].iloc[first].reset_index(drop=True).assign(combo=combo, **dict(zip(AXES, point, strict=True)), n_views=len(sizes), residual=residual)
+                out.append(found[some])
+        return pd.concat(out)
+
+    picked = known.select(*by, "cam", "obs", *[F.col(n).cast("double").alias(n) for n in names])
+    return over_groups(picked, by, ["cam", "obs", "u", "v"], work, schema_of(picked, by) + ", combo int, x double, y double, z double, n_views long, residual double")
 
 
 def triangulate_clicks(clicks: DataFrame, cameras: DataFrame, most_residual: float, ref_width: float = 1024.0) -> DataFrame:
@@ -230,14 +261,38 @@ def sample_surface(faces: DataFrame, n: int, seed: int, by: list[str], face: str
     return drawn.select(*by, "draw", face, *[v.alias(k) for v, k in zip(point, AXES, strict=True)])
 
 
-def cloud_diameter(points: DataFrame, by: list[str], most: int = 500, seed: int = 0) -> DataFrame:
-    """by..., diameter: the largest distance between two of a cloud's points, over a sample of
-    `most` chosen by a hash where it has more."""
-    w = Window.partitionBy(*by).orderBy(F.xxhash64("pid", F.lit(seed)), "pid")
-    few = points.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most)
-    other = few.select(*by, F.col("_k").alias("_j"), *[F.col(a).alias(f"_{a}") for a in AXES])
+#: Directions along which a cloud's extreme points bound its diameter from below, and cells along an axis.
+_DIRECTIONS = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, -1, 0), (1, 0, 1), (1, 0, -1), (0, 1, 1), (0, 1, -1), (1, 1, 1), (1, 1, -1), (1, -1, 1), (-1, 1, 1)]
+_CELLS = 16
+
+
+def cloud_diameter(points: DataFrame, by: list[str]) -> DataFrame:
+    """by..., diameter: the largest distance between two of a cloud's points. The extremes along a few
+    directions bound it from below. Points too near the middle to reach that bound go; the others meet
+    by cells of a grid, and only cells whose farthest corners reach it."""
+    cloud = points.select(*by, *AXES).dropna(subset=list(AXES)).distinct()
+    here = F.struct(*AXES)
+    ends, spans = [], []
+    for k, way in enumerate(_DIRECTIONS):
+        along = la.total(F.col(a) * float(w) for a, w in zip(AXES, way, strict=True) if w)
+        ends += [F.min_by(here, along).alias(f"_p{k}"), F.max_by(here, along).alias(f"_q{k}")]
+        spans.append(la.norm([F.col(f"_p{k}.{a}") - F.col(f"_q{k}.{a}") for a in AXES]))
+    box = [f(a).alias(f"_{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in AXES]
+    known = cloud.groupBy(*by).agg(*ends, *box).select(*by, F.greatest(*spans).alias("_least"), *[f"_{n}{a}" for n in ("lo", "hi") for a in AXES])
+    radius = la.norm([F.col(a) - (F.col(f"_lo{a}") + F.col(f"_hi{a}")) / 2.0 for a in AXES])
+    placed = with_dimension(cloud, known, by).withColumn("_r", radius)
+    known = placed.groupBy(*by, "_least").agg(F.max("_r").alias("_far"))
+    cell = [F.floor((F.col(a) - F.col(f"_lo{a}")) / F.when(F.col(f"_hi{a}") > F.col(f"_lo{a}"), F.col(f"_hi{a}") - F.col(f"_lo{a}")).otherwise(1.0) * _CELLS) for a in AXES]
+    slack = 1.0 - 1e-9
+    outer = with_dimension(placed.drop("_least"), known, by).where(F.col("_r") + F.col("_far") >= F.col("_least") * slack)
+    outer = outer.select(*by, "_least", *AXES, F.struct(*[c.alias(a) for a, c in zip(AXES, cell, strict=True)]).alias("_cell"))
+    boxes = outer.groupBy(*by, "_least", "_cell").agg(*[f(a).alias(f"_{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in AXES])
+    other = boxes.select(*by, F.col("_cell").alias("_other"), *[F.col(f"_{n}{a}").alias(f"_o{n}{a}") for n in ("lo", "hi") for a in AXES])
+    reach = la.norm([F.greatest(F.col(f"_hi{a}") - F.col(f"_olo{a}"), F.col(f"_ohi{a}") - F.col(f"_lo{a}")) for a in AXES])
+    met = boxes.join(other, by).where((F.col("_cell") <= F.col("_other")) & (reach >= F.col("_least") * slack)).select(*by, "_cell", "_other")
+    right = outer.select(*by, F.col("_cell").alias("_other"), *[F.col(a).alias(f"_{a}") for a in AXES])
     d = la.norm([F.col(a) - F.col(f"_{a}") for a in AXES])
-    return few.join(other, by).where("_k <= _j").groupBy(*by).agg(F.max(d).alias("diameter"))
+    return outer.join(met, [*by, "_cell"]).join(right, [*by, "_other"]).groupBy(*by).agg(F.max(d).alias("diameter"))
 
 
 def covariance(points: DataFrame, by: list[str]) -> DataFrame:
@@ -350,29 +405,34 @@ def cluster_poses(hypotheses: DataFrame, symmetries: DataFrame | None, by: list[
     else:
         base = hypotheses.withColumn("_sym", F.lit(None).cast("array<array<double>>"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, key], ascending=[False, True])
+    def work(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         turn = rows[names].to_numpy(float).reshape(-1, 3, 3)
         place = rows[["tx", "ty", "tz"]].to_numpy(float)
-        kept: list[int] = []
+        objects = rows["object"].tolist()
+        known: dict = {}
+        for k, o in enumerate(objects):
+            if o not in known:
+                own = rows["_sym"].iloc[k]
+                known[o] = np.eye(3)[None] if own is None else np.array([np.array(m, float) for m in own]).reshape(-1, 3, 3)
         cluster = np.empty(len(rows), np.int64)
-        for k in range(len(rows)):
-            own = rows["_sym"].iloc[k]
-            sym = np.eye(3)[None] if own is None else np.array([np.array(m, float) for m in own]).reshape(-1, 3, 3)
-            if kept:
-                reps = np.array(kept)
-                trace = np.einsum("rij,sij->rs", turn[reps], turn[k] @ sym)
-                near = np.arccos(np.clip((trace.max(axis=1) - 1) / 2, -1, 1)) <= angle
-                near &= np.linalg.norm(place[reps] - place[k], axis=1) <= distance
-                if near.any():
-                    cluster[k] = int(np.argmax(near))
-                    continue
-            cluster[k] = len(kept)
-            kept.append(k)
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            kept: list[int] = []
+            for k in range(lo, hi):
+                if kept:
+                    turned = (turn[k] @ known[objects[k]]).reshape(-1, 9)
+                    trace = (turn[kept].reshape(-1, 9) @ turned.T).max(axis=1)
+                    apart = place[kept] - place[k]
+                    near = (np.arccos(np.clip((trace - 1) / 2, -1, 1)) <= angle) & (np.sqrt((apart * apart).sum(axis=1)) <= distance)
+                    first = int(near.argmax())
+                    if near[first]:
+                        cluster[k] = first
+                        continue
+                cluster[k] = len(kept)
+                kept.append(k)
         return rows[[*by, key]].assign(cluster=cluster)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.select(*by, key).schema)
-    return base.select(*by, key, score, *names, "tx", "ty", "tz", "_sym").groupBy(*by).applyInPandas(run, schema + ", cluster long")
+    picked = base.select(*by, key, score, "object", *names, "tx", "ty", "tz", "_sym")
+    return over_groups(picked, by, [F.desc(score), key], work, schema_of(base, [*by, key]) + ", cluster long")
 
 
 def fuse_views(depth: DataFrame, masks: DataFrame, cameras: DataFrame, by: list[str]) -> DataFrame:
