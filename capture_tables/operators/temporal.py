@@ -83,7 +83,8 @@ def filter_clips(clips: DataFrame, value: str, rule: str, threshold: float, chan
     """Rows of the clips that a rule keeps. drop-occ: none of its frames has a value below the
     threshold. mixed: clips with all values at or over it go with probability `chance`.
     fp-error: clips with a mean below it go with probability `chance`."""
-    w = Window.partitionBy(*by, "clip")
+    # in order of the frames: a mean at the threshold is above or below it by the order of its sum
+    w = along([*by, "clip"]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     low, mean = F.min(value).over(w), F.avg(value).over(w)
     goes = {"drop-occ": low < threshold, "mixed": low >= threshold, "fp-error": mean < threshold}[rule]
     if rule != "drop-occ" and chance < 1.0:
