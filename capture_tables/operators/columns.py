@@ -254,6 +254,18 @@ ROTATIONS = {
 }
 
 
+def continued_turn(df: DataFrame, names: list[str], angle: Column) -> DataFrame:
+    """Rotation vectors, of half a turn at most, as those of the same rotations whose lengths are nearest
+    to `angle`, which may be more than half a turn."""
+    v = la.columns(*names)
+    size = la.norm(v)
+    k = F.round((angle - size) / (2.0 * F.pi())), F.round((-angle - size) / (2.0 * F.pi()))
+    off = [F.abs(F.abs(size + n * 2.0 * F.pi()) - angle) for n in k]
+    turns = F.when(off[1] < off[0], k[1]).otherwise(k[0])
+    scale = F.when((size > 1e-12) & (turns != 0), 1.0 + turns * 2.0 * F.pi() / size).otherwise(F.lit(1.0))
+    return df.withColumn("_k", scale).withColumns({n: F.col(n) * F.col("_k") for n in names}).drop("_k")
+
+
 def convert_rotation(df: DataFrame, source: str, target: str) -> DataFrame:
     """Columns of the target representation (see ROTATIONS) from those of the source."""
     names = ROTATIONS[source]
