@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from capture_tables.operators.grouped import over_groups, schema_of
 
 
-def _alpha(cutoff, dt):
+def alpha(cutoff, dt):
     """Weight of the new value in an exponential filter of that cutoff frequency."""
     tau = 1.0 / (2.0 * np.pi * cutoff)
     return 1.0 / (1.0 + tau / dt)
@@ -29,9 +29,9 @@ class OneEuro:
             self.value, self.speed, self.time = x, np.zeros_like(x), t
             return x
         dt = max(t - self.time, 1e-9)
-        a = _alpha(self.speed_cutoff, dt)
+        a = alpha(self.speed_cutoff, dt)
         self.speed = a * (x - self.value) / dt + (1 - a) * self.speed
-        b = _alpha(self.least + self.beta * np.abs(self.speed), dt)
+        b = alpha(self.least + self.beta * np.abs(self.speed), dt)
         self.value, self.time = b * x + (1 - b) * self.value, t
         return self.value
 
@@ -103,14 +103,14 @@ def one_euro_rotation(df: DataFrame, by: list[str], mode: str = "tangent", order
             if mode == "tangent":
                 if k > 1:
                     dt = np.maximum(times[at] - time[on], 1e-9)[:, None]
-                    a = _alpha(speed_cutoff, dt)
+                    a = alpha(speed_cutoff, dt)
                     speed[on] = a * (step - value[on]) / dt + (1 - a) * speed[on]
-                    b = _alpha(least_cutoff + beta * np.abs(speed[on]), dt)
+                    b = alpha(least_cutoff + beta * np.abs(speed[on]), dt)
                     step = b * step + (1 - b) * value[on]
                 value[on], time[on] = step, times[at]
             else:
                 dt = np.maximum(times[at] - times[at - 1], 1e-9)
-                step = step * _alpha(least_cutoff + beta * np.linalg.norm(step, axis=1) / dt, dt)[:, None]
+                step = step * alpha(least_cutoff + beta * np.linalg.norm(step, axis=1) / dt, dt)[:, None]
             last[on] = last[on] @ _exps(step)
             out[at] = last[on]
         return rows[[*by, order]].assign(**dict(zip(_R, out.reshape(-1, 9).T, strict=True)))

@@ -3,19 +3,20 @@ event time column `ts`, and hold state only within their watermarks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from capture_tables.functions import linalg as la
 from capture_tables.operators import masks
-from capture_tables.operators.filters import OneEuro
+from capture_tables.operators.filters import alpha
+from capture_tables.operators.grouped import schema_of
 
 
 def read_frames(spark: SparkSession, path: str, schema, files_each: int = 1) -> DataFrame:
@@ -51,9 +52,57 @@ def tracked_sessions(frames: DataFrame, late: str, gap: str, by=("seq",)) -> Dat
     return on.groupBy(*by, F.session_window("ts", gap).alias("window")).agg(F.count("*").alias("tracked"))
 
 
-def _idle_until(state: GroupState, micros: int, idle: float) -> None:
-    """Let the state go once the watermark is `idle` seconds past the track's last event."""
-    state.setTimeoutTimestamp(max(micros // 1000 + int(idle * 1000), state.getCurrentWatermarkMs() + 1))
+#: Buckets of groups: those of one bucket share a state, so that a call and a state's way to Python and
+#: back are paid for a bucket, not for each group. The number stays as it is over a stream's restarts.
+BUCKETS = 256
+Step = Callable[[pd.DataFrame | None, pd.DataFrame | None, int], tuple[pd.DataFrame | None, pd.DataFrame]]
+
+
+def _in_buckets(frames: DataFrame, by: list[str], step: Step, schema: str) -> DataFrame:
+    """`frames` through a step with states for each bucket of groups, in event time: a bucket's groups are one
+    table, with a time `due` for each row. `step` gets the new rows, or None when a due time has passed, the
+    table, or None, and the watermark in milliseconds; it gives what comes out, and the new table. A state
+    comes and goes with its rows: states that are asked for one by one (transformWithState) cost a wait each."""
+
+    def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows, now = None if state.hasTimedOut else pd.concat(list(parts), ignore_index=True), state.getCurrentWatermarkMs()
+        held = pa.ipc.open_stream(bytes(state.get[0])).read_pandas() if state.exists else None
+        out, held = step(rows, held, now)
+        if len(held):
+            table, sink = pa.Table.from_pandas(held, preserve_index=False), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            state.update((sink.getvalue().to_pybytes(),))
+            state.setTimeoutTimestamp(max(int(held["due"].min()), now + 1))
+        elif state.exists:
+            state.remove()
+        if out is not None and len(out):
+            yield out
+
+    bucketed = frames.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(BUCKETS)).cast("int"))
+    return bucketed.groupBy("_bucket").applyInPandasWithState(run, schema, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _grouped(held: pd.DataFrame | None, rows: pd.DataFrame, by: list[str], order: list[str]) -> tuple[pd.DataFrame, np.ndarray, pd.DataFrame]:
+    """The rows by group, each in its order, the number of each row's group, and the groups: those of the
+    table first."""
+    rows = rows.sort_values(order, ignore_index=True)
+    keys = rows[by] if held is None else pd.concat([held[by], rows[by]], ignore_index=True)
+    number = keys.groupby(by, sort=False, dropna=False).ngroup().to_numpy()[-len(rows) :]
+    turn = np.argsort(number, kind="stable")
+    return rows.iloc[turn].reset_index(drop=True), number[turn], keys.drop_duplicates(ignore_index=True)
+
+
+def _carried(held: pd.DataFrame | None, n: int, name: str, fill) -> np.ndarray:
+    """A column of the table for n groups, `fill` for new ones."""
+    out = np.full(n, fill)
+    if held is not None:
+        out[: len(held)] = held[name]
+    return out
+
+
+def _waiting(held: pd.DataFrame, now: int) -> pd.DataFrame:
+    return held[held["due"] > now]
 
 
 def smoothed(frames: DataFrame, column: str, least_cutoff: float = 1.0, beta: float = 0.1, speed_cutoff: float = 1.0, late: str = "10 minutes", idle: float = 86400.0) -> DataFrame:
@@ -61,74 +110,34 @@ def smoothed(frames: DataFrame, column: str, least_cutoff: float = 1.0, beta: fl
     numbers for each track, forgotten `idle` seconds behind its last event: the filter then
     starts anew. Events later than the watermark are dropped."""
 
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(parts)).sort_values(["micros", "event_id"])
-        held = state.get if state.exists else None
-        f = OneEuro(least_cutoff, beta, speed_cutoff, held)
-        out = [float(f.step(np.float64(x), t / 1e6)) for x, t in zip(rows["x"], rows["micros"], strict=True)]
-        state.update((float(f.value), float(f.speed), float(f.time)))
-        _idle_until(state, int(rows["micros"].iloc[-1]), idle)
-        yield pd.DataFrame({"seq": rows["seq"], "event_id": rows["event_id"], "ts": rows["ts"], "smooth": out})
+    def step(rows, held, now):
+        if rows is None:
+            return None, _waiting(held, now)
+        rows, at, groups = _grouped(held, rows, ["seq"], ["micros", "event_id"])
+        value, speed, time = (_carried(held, len(groups), c, np.nan) for c in ("value", "speed", "time"))
+        known, due = np.arange(len(groups)) < (0 if held is None else len(held)), _carried(held, len(groups), "due", 0)
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        length, x, t = np.diff(np.append(starts, len(at))), rows["x"].to_numpy(float), rows["micros"].to_numpy() / 1e6
+        out = np.empty(len(rows))
+        # all tracks take their k-th step together
+        for k in range(int(length.max())):
+            i = starts[length > k] + k
+            g = at[i]
+            dt = np.maximum(t[i] - time[g], 1e-9)
+            a = alpha(speed_cutoff, dt)
+            fast = a * (x[i] - value[g]) / dt + (1 - a) * speed[g]
+            b = alpha(least_cutoff + beta * np.abs(fast), dt)
+            value[g] = np.where(known[g], b * x[i] + (1 - b) * value[g], x[i])
+            speed[g], time[g], known[g] = np.where(known[g], fast, 0.0), t[i], True
+            out[i] = value[g]
+        own = at[starts]
+        last = rows["micros"].to_numpy()[starts + length - 1]
+        due[own] = np.maximum(last // 1000 + int(idle * 1000), now + 1)
+        kept = groups.assign(value=value, speed=speed, time=time, due=due)
+        return rows[["seq", "event_id", "ts"]].assign(smooth=out), _waiting(kept, now)
 
     picked = frames.withWatermark("ts", late).select("seq", "event_id", "ts", F.unix_micros("ts").alias("micros"), F.col(column).cast("double").alias("x"))
-    return picked.groupBy("seq").applyInPandasWithState(
-        step, "seq long, event_id long, ts timestamp, smooth double", "value double, speed double, time double", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-def _keyed_states(frames: DataFrame, by: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
-    """`frames` through a processor with states for each key, in event time. Such states need the
-    RocksDB store, which is set for the session."""
-    frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return frames.groupBy(*by).transformWithStateInPandas(processor, schema, "Append", "EventTime")
-
-
-def _wake(handle: StatefulProcessorHandle, at: int | None) -> None:
-    """Let the key's only timer ring when the watermark has reached `at` milliseconds; None: never."""
-    for old in list(handle.listTimers()):
-        handle.deleteTimer(old)
-    if at is not None:
-        handle.registerTimer(at)
-
-
-class _Gate(StatefulProcessor):
-    """A track's last visible time, and the mask that was followed last."""
-
-    def __init__(self, threshold: float, d: int, idle: float):
-        self.threshold, self.d, self.idle = threshold, d, idle
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "seen double")
-        self.mask = handle.getListState("mask", "v int, u0 int, u1 int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = pd.concat(list(rows)).sort_values(["micros", "event_id"], ignore_index=True)
-        before = self.seen.get()[0] if self.seen.exists() else np.nan
-        seconds = frames["micros"] / 1e6
-        visible = seconds.where(frames["vis"] > self.threshold)
-        last = visible.ffill().fillna(before)
-        gap = (seconds - last.shift(fill_value=before)).astype("Float64")
-        mask = [tuple(r) for r in self.mask.get()] if self.mask.exists() else []
-        chosen = []
-        for candidates, person in zip(frames["candidates"], frames["person"], strict=True):
-            pick, how, mask = masks.choose_instance(candidates, mask, person, self.d)
-            chosen.append((pick, how))
-        if mask:
-            self.mask.put(mask)
-        if not np.isnan(last.iloc[-1]):
-            self.seen.update((float(last.iloc[-1]),))
-        _wake(self.handle, int(frames["micros"].iloc[-1]) // 1000 + int(self.idle * 1000))
-        instance = pd.Series([pick for pick, _ in chosen], dtype="Int64")
-        yield pd.DataFrame({"seq": key[0], "event_id": frames["event_id"], "gap": gap, "instance": instance, "chosen_by": [how for _, how in chosen]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
-        self.mask.clear()
-        return iter(())
+    return _in_buckets(picked, ["seq"], step, "seq long, event_id long, ts timestamp, smooth double")
 
 
 def visibility_gate(frames: DataFrame, threshold: float, omega: float, base: float = 13.0, fps: float = 30.0, d: int = 15, late: str = "10 minutes", idle: float = 86400.0) -> DataFrame:
@@ -138,57 +147,34 @@ def visibility_gate(frames: DataFrame, threshold: float, omega: float, base: flo
     `masks.chained_instances` with chunks of one frame. The state of a track is its last visible time
     and its last mask's runs, forgotten `idle` seconds behind its last event. Events later than the
     watermark are dropped."""
-    picked = frames.withWatermark("ts", late).select("seq", "event_id", "ts", F.unix_micros("ts").alias("micros"), F.col("vis").cast("double").alias("vis"), "candidates", "person")
-    out = _keyed_states(picked, ["seq"], _Gate(threshold, d, idle), "seq long, event_id long, gap double, instance long, chosen_by string")
-    return out.withColumn("gate", base + F.col("gap") * fps * omega)
-
 
-class _Nearest(StatefulProcessor):
-    """The colour frames of a sequence that wait for a nearer depth frame, and the depth frames that a
-    waiting or a later colour frame may take."""
+    def step(rows, held, now):
+        if rows is None:
+            return None, _waiting(held, now)
+        rows, at, groups = _grouped(held, rows, ["seq"], ["micros", "event_id"])
+        seen, due = _carried(held, len(groups), "seen", np.nan), _carried(held, len(groups), "due", 0)
+        mask: list = [[] for _ in range(len(groups))]
+        for k, flat in enumerate([] if held is None else held["mask"]):
+            mask[k] = [tuple(r) for r in np.reshape(flat, (-1, 3)).tolist()]
+        seconds = rows["micros"] / 1e6
+        first = pd.Series(seen[at])
+        last = seconds.where(rows["vis"] > threshold).groupby(at).ffill().fillna(first)
+        before = last.groupby(at).shift().where(at == np.roll(at, 1), first) if len(rows) > 1 else first
+        before[:1] = first[:1]
+        instance, how = [], []
+        for k, candidates, person in zip(at, rows["candidates"], rows["person"], strict=True):
+            pick, chosen_by, mask[k] = masks.choose_instance(candidates, mask[k], person, d)
+            instance.append(pick)
+            how.append(chosen_by)
+        seen[at] = last  # of a group's rows the last one stays
+        due[at] = rows["micros"].to_numpy() // 1000 + int(idle * 1000)
+        kept = groups.assign(seen=seen, mask=[np.array(m, np.int64).ravel() for m in mask], due=due)
+        out = rows[["seq", "event_id"]].assign(gap=(seconds - before).astype("Float64"), instance=pd.Series(instance, dtype="Int64"), chosen_by=how)
+        return out, _waiting(kept, now)
 
-    def __init__(self, within: int):
-        self.within = within  # microseconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.colour = handle.getListState("colour", "micros long, event_id long")
-        self.depth = handle.getListState("depth", "micros long, event_id long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            for side, state in (("colour", self.colour), ("depth", self.depth)):
-                own = part[part["side"] == side]
-                if len(own):
-                    state.appendList([(int(t), int(e)) for t, e in zip(own["micros"], own["event_id"], strict=True)])
-        yield from self._settle(key, timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._settle(key, timerValues)
-
-    def _settle(self, key, timerValues) -> Iterator[pd.DataFrame]:
-        """Pair the colour frames that nothing nearer can come for, and let go what none can take."""
-        reached = timerValues.getCurrentWatermarkInMs() * 1000
-        colour = np.array(sorted(map(tuple, self.colour.get())) if self.colour.exists() else [], np.int64).reshape(-1, 2)
-        depth = np.array(sorted(map(tuple, self.depth.get())) if self.depth.exists() else [], np.int64).reshape(-1, 2)
-        done = colour[:, 0] + self.within <= reached
-        if done.any() and len(depth):
-            at, ids = colour[done].T
-            # the first depth frame of the time before, and of the time behind
-            after = np.searchsorted(depth[:, 0], at, "left")
-            below = np.searchsorted(depth[:, 0], depth[np.maximum(after - 1, 0), 0], "left")
-            least, pick = np.full(len(at), self.within + 1), np.zeros(len(at), np.int64)
-            for there, place in ((after > 0, below), (after < len(depth), np.minimum(after, len(depth) - 1))):
-                apart = np.where(there, np.abs(depth[place, 0] - at), self.within + 1)
-                pick, least = np.where(apart < least, place, pick), np.minimum(apart, least)
-            near = least <= self.within
-            yield pd.DataFrame({"seq": key[0], "colour_id": ids[near], "depth_id": depth[pick[near], 1], "apart": (depth[pick[near], 0] - at[near]) / 1e6})
-        waiting = colour[~done]
-        since = min([reached, *waiting[:1, 0]]) - self.within
-        for state, kept in ((self.colour, waiting), (self.depth, depth[depth[:, 0] >= since])):
-            state.put([tuple(map(int, r)) for r in kept]) if len(kept) else state.clear()
-        due = waiting[0, 0] if len(waiting) else depth[-1, 0] + self.within if len(depth) else None
-        _wake(self.handle, None if due is None else int(due + self.within) // 1000 + 1)
+    picked = frames.withWatermark("ts", late).select("seq", "event_id", "ts", F.unix_micros("ts").alias("micros"), F.col("vis").cast("double").alias("vis"), "candidates", "person")
+    out = _in_buckets(picked, ["seq"], step, "seq long, event_id long, gap double, instance long, chosen_by string")
+    return out.withColumn("gate", base + F.col("gap") * fps * omega)
 
 
 def paired(colour: DataFrame, depth: DataFrame, within: float, late: str) -> DataFrame:
@@ -196,8 +182,29 @@ def paired(colour: DataFrame, depth: DataFrame, within: float, late: str) -> Dat
     nearest in time, ties to the earlier, if it is at most `within` seconds away; apart is how many
     seconds later it is. A pair comes out once the watermark tells that nothing nearer can come; until
     then both sides wait as states. Sides have event_id and ts."""
-    sides = [df.withWatermark("ts", late).select("seq", "event_id", "ts", F.unix_micros("ts").alias("micros"), F.lit(side).alias("side")) for df, side in ((colour, "colour"), (depth, "depth"))]
-    return _keyed_states(sides[0].unionByName(sides[1]), ["seq"], _Nearest(round(within * 1e6)), "seq long, colour_id long, depth_id long, apart double")
+    near = round(within * 1e6)
+
+    def step(rows, held, now):
+        """Pair the colour frames that nothing nearer can come for, and let go what none can take."""
+        reached, names = now * 1000, ["seq", "micros", "event_id", "colour"]
+        both = pd.concat([df[names] for df in (held, rows) if df is not None], ignore_index=True).sort_values(["micros", "event_id"], ignore_index=True)
+        both["group"] = both.groupby("seq", sort=False, dropna=False).ngroup()
+        asks, gives = both[both["colour"]], both[~both["colour"]]
+        done = asks["micros"] + near <= reached
+        settled, waiting, out = asks[done], asks[~done], None
+        if len(settled) and len(gives):
+            places = gives.drop_duplicates(["group", "micros"])[["group", "micros", "event_id"]].assign(at=lambda p: p["micros"])
+            before, after = (pd.merge_asof(settled, places.rename(columns={"event_id": "depth_id"}), on="micros", by="group", direction=way, tolerance=near) for way in ("backward", "forward"))
+            ahead = (after["at"] - after["micros"]).fillna(np.inf) < (before["micros"] - before["at"]).fillna(np.inf)
+            best = before.where(~ahead, after)
+            best = best[best["at"].notna()]
+            out = pd.DataFrame({"seq": best["seq"], "colour_id": best["event_id"], "depth_id": best["depth_id"].astype("int64"), "apart": (best["at"] - best["micros"]) / 1e6})
+        since = gives["group"].map(waiting.groupby("group")["micros"].min()).fillna(reached).clip(upper=reached) - near
+        kept = pd.concat([waiting, gives[gives["micros"] >= since]])
+        return out, kept[names].assign(due=-(-(kept["micros"] + near) // 1000) - 1)
+
+    sides = [df.withWatermark("ts", late).select("seq", "event_id", "ts", F.unix_micros("ts").alias("micros"), F.lit(side).alias("colour")) for df, side in ((colour, True), (depth, False))]
+    return _in_buckets(sides[0].unionByName(sides[1]), ["seq"], step, "seq long, colour_id long, depth_id long, apart double")
 
 
 def with_calibration(frames: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -208,35 +215,6 @@ def with_calibration(frames: DataFrame, cameras: DataFrame) -> DataFrame:
 _SUMS = [f"a{i}{j}" for i in range(3) for j in range(i, 3)] + [f"b{i}" for i in range(3)]
 
 
-class _Rays(StatefulProcessor):
-    """The sums of a frame's rays until a second camera sees it, then only that it is done."""
-
-    def __init__(self, names: list[str], hold: float):
-        self.names, self.hold = names, hold
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "cam int, n_views long, done boolean, " + ", ".join(f"{c} double" for c in _SUMS))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rays = pd.concat(list(rows)).sort_values(["micros", "cam"], ignore_index=True)
-        cam, n, done, *sums = self.open.get() if self.open.exists() else (int(rays["cam"].iloc[0]), 0, False, *[0.0] * len(_SUMS))
-        if done:
-            return
-        other = np.flatnonzero(rays["cam"] != cam)
-        used = rays[: other[0] + 1] if len(other) else rays
-        sums = [float(s + t) for s, t in zip(sums, used[_SUMS].sum(), strict=True)]
-        n += len(used)
-        self.open.update((cam, n, bool(len(other)), *sums))
-        _wake(self.handle, max(int(rays["micros"].iloc[-1]) // 1000, timerValues.getCurrentWatermarkInMs()) + int(self.hold * 1000))
-        if len(other):
-            yield pd.DataFrame([[*key, int(rays["micros"][other[0]]), n, *sums]], columns=[*self.names, "micros", "n_views", *_SUMS])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.open.clear()
-        return iter(())
-
-
 def live_triangulation(rays: DataFrame, late: str, hold: float, by=("seq", "frame")) -> DataFrame:
     """by..., ts, x, y, z, n_views of rays (cam, ts, ox .. dz): a frame comes out as soon as a second
     camera sees it, once, from the rays up to this one in order of time; n_views counts them. Frames
@@ -247,8 +225,34 @@ def live_triangulation(rays: DataFrame, late: str, hold: float, by=("seq", "fram
     p = [[F.lit(1.0 if i == j else 0.0) - d[i] * d[j] for j in range(3)] for i in range(3)]
     parts = [p[i][j].alias(f"a{i}{j}") for i in range(3) for j in range(i, 3)] + [la.dot(p[i], o).alias(f"b{i}") for i in range(3)]
     picked = rays.withWatermark("ts", late).select(*by, F.col("cam").cast("int").alias("cam"), "ts", F.unix_micros("ts").alias("micros"), *parts)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.select(*by).schema) + ", micros long, n_views long, " + ", ".join(f"{c} double" for c in _SUMS)
-    out = _keyed_states(picked, by, _Rays(by, hold), schema)
+    schema = schema_of(picked, by) + ", micros long, n_views long, " + ", ".join(f"{c} double" for c in _SUMS)
+
+    def step(rows, held, now):
+        """Sums of a frame's rays until a second camera sees it, then only that it is done."""
+        if rows is None:
+            return None, _waiting(held, now)
+        rows, at, groups = _grouped(held, rows, by, ["micros", "cam"])
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        own, size = at[starts], np.diff(np.append(starts, len(at)))
+        camera, n, done, due = (_carried(held, len(groups), c, fill) for c, fill in (("cam", 0), ("n_views", 0), ("done", False), ("due", 0)))
+        fresh = own[own >= (0 if held is None else len(held))]
+        camera[fresh] = rows["cam"].to_numpy()[starts[np.isin(own, fresh)]]
+        other = np.where(rows["cam"].to_numpy() != camera[at], np.arange(len(rows)), len(rows))
+        second = np.minimum.reduceat(other, starts)
+        used = (np.arange(len(rows)) <= np.repeat(second, size)) & ~done[at]
+        n[own] += np.add.reduceat(used.astype(np.int64), starts)
+        sums = {}
+        for c in _SUMS:
+            sums[c] = _carried(held, len(groups), c, 0.0)
+            sums[c][own] += np.add.reduceat(np.where(used, rows[c].to_numpy(float), 0.0), starts)
+        micros, still = rows["micros"].to_numpy(), ~done[own]
+        due[own[still]] = np.maximum(micros[starts + size - 1] // 1000, now)[still] + int(hold * 1000)
+        seen = still & (second < len(rows))
+        done[own[seen]] = True
+        out = groups.iloc[own[seen]].assign(micros=micros[second[seen]], n_views=n[own[seen]], **{c: v[own[seen]] for c, v in sums.items()})
+        return out, _waiting(groups.assign(cam=camera, n_views=n, done=done, **sums, due=due), now)
+
+    out = _in_buckets(picked, by, step, schema)
     a = [[F.col(f"a{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)]
     x = la.solve(a, la.columns("b0", "b1", "b2"))
     return out.select(*by, F.timestamp_micros("micros").alias("ts"), *[c.alias(n) for c, n in zip(x, "xyz", strict=True)], "n_views")

@@ -6,11 +6,13 @@ import datetime as dt
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from capture_tables.functions.shared import shared_path
 from capture_tables.operators import geometry, joins, masks, ranges, temporal
+from capture_tables.operators.filters import OneEuro
 from capture_tables.streaming import frames as s
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -160,3 +162,32 @@ def test_combinations_beyond_the_cap_fall_back_to_the_first(spark):
     best = geometry.triangulate_frames(obs, cameras, ["frame"]).first()
     assert (best.combo, best.n_views) == (13, 3) and (best.x, best.y, best.z) == pytest.approx((0.3, 0, 6)) and best.residual < 1e-6
     assert geometry.triangulate_frames(obs, cameras, ["frame"], cap=26).first().combo == 0
+
+
+def test_states_of_many_tracks_share_a_bucket(spark, monkeypatch):
+    """Calls are made for buckets of tracks; a track that rests for longer than the idle time starts anew."""
+    monkeypatch.setattr(s, "BUCKETS", 2)
+    r = random.Random(4)
+    files = [[(seq, 1000 * part + 10 * seq + k, at(3600 * part + 60 * k + r.randint(0, 50)), r.random()) for seq in range(9) for k in range(r.randint(0, 4))] for part in range(3)]
+    files.append([(seq, 9000 + seq, at(3600 * 60), r.random()) for seq in range(3)])
+    files += [[(8, 9300 + k, at(3600 * (110 + k)), r.random())] for k in range(2)]  # the watermark goes on, while the others rest
+    files.append([(seq, 9500 + seq, at(3600 * 120), r.random()) for seq in range(3)])
+    stream = s.smoothed(arriving(spark, "seq long, event_id long, ts timestamp, x double", *files), "x", idle=86400.0)
+    found = {x.event_id: x.smooth for x in result(stream)}
+    assert len(found) == sum(map(len, files))
+    for seq in range(9):
+        own = sorted((t, e, x) for rows in files[:3] for q, e, t, x in rows if q == seq)
+        f = OneEuro(1.0, 0.1, 1.0)
+        for t, e, x in own:
+            assert found[e] == pytest.approx(float(f.step(np.float64(x), t.timestamp())))
+    for q, e, _, x in files[6]:
+        assert found[e] == pytest.approx(x)
+
+
+def test_frames_of_one_bucket_are_triangulated_apart(spark, monkeypatch):
+    monkeypatch.setattr(s, "BUCKETS", 1)
+    schema = "seq long, frame long, cam int, ts timestamp, ox double, oy double, oz double, dx double, dy double, dz double"
+    first = [(seq, 1, 0, at(1 + seq), float(seq), 0.0, 0.0, 0.0, 0.0, 1.0) for seq in range(6)]
+    second = [(seq, 1, 1, at(9 + seq), -5.0, 0.0, 5.0 + seq, 1.0, 0.0, 0.0) for seq in range(4)] + [(7, 1, 1, at(9), 0.0, 0.0, 0.0, 1.0, 0.0, 0.0)]
+    found = result(s.live_triangulation(arriving(spark, schema, first, second), "1 hour", 86400.0))
+    assert sorted((x.seq, round(x.x, 6), round(x.z, 6), x.n_views) for x in found) == [(k, float(k), 5.0 + k, 2) for k in range(4)]
