@@ -49,3 +49,24 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{_stored[app]}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of Parquet input for a partition of a shuffle, at most; of a shuffle's bytes for a task that
+#: takes several; and of a file for a task.
+PART_BYTES, TASK_BYTES, SPLIT_BYTES = 2 << 20, 8 << 20, 32 << 20
+
+
+def deal_finely(spark: SparkSession, path: str) -> None:
+    """Let shuffles have as many partitions as the input at `path` asks for, so that a task's memory stays as
+    it is while the input grows: several sorts and hash tables of one stage are held at once. Counts
+    are raised and sizes lowered in the session, never the other way; AQE joins what is small."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    parts = -(-size // PART_BYTES)
+    if parts <= spark.sparkContext.defaultParallelism:
+        return
+    if int(spark.conf.get("spark.sql.shuffle.partitions")) < parts:
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    for name, most in (("spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_BYTES), ("spark.sql.files.maxPartitionBytes", SPLIT_BYTES)):
+        if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > most:
+            spark.conf.set(name, str(most))

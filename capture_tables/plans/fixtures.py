@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from capture_tables.functions.shared import deal_finely
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 _POSE = """
@@ -100,6 +102,7 @@ def _spark_text(sql: str) -> str:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of `sf_dir`, or a capture view over its tables."""
     if name in TABLES:
+        deal_finely(spark, f"{sf_dir}/{name}.parquet")
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spark.sql(_spark_text(VIEWS[name]), **{s: view(spark, sf_dir, s) for s in _sources(VIEWS[name])})
 
