@@ -161,9 +161,9 @@ def _(t):
 def _(t):
     frames = d.root_error(t("fx_pose_pr"), t("fx_pose_gt")).withColumn("run", F.lit("base"))
     path = shared_path(frames.sparkSession, "metrics")
-    sinks.write_metrics(frames.repartition(4, "seq"), d.summarise(frames, ["root_error"]), path)
+    sinks.write_metrics(frames, d.summarise(frames, ["root_error"]), path)
     back = frames.sparkSession.read.parquet(f"{path}/frames")
-    return back.groupBy("run", "seq").agg(F.count("*").alias("frames"), F.avg("root_error").alias("root_error"))
+    return back.groupBy("run", F.col("seq").cast("int").alias("seq")).agg(F.count("*").alias("frames"), F.avg("root_error").alias("root_error"))
 
 
 @query("a18_write_track", "SELECT seq, frame, R6(x) AS x, R6(vis) AS residual FROM fx_obs WHERE vis <= 5e-1")

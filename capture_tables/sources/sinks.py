@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def write_metrics(frames: DataFrame, summary: DataFrame, path: str) -> None:
-    """Frame metrics as Parquet by run and sequence, overwriting only the partitions written, and
-    the summary as JSON beside it."""
-    frames.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "seq").parquet(f"{path}/frames")
+from capture_tables.functions.shared import stored
+
+
+def write_metrics(frames: DataFrame, summary: DataFrame, path: str, parts: int = 64) -> None:
+    """Frame metrics as Parquet by run and part, of which each sequence is in one, and the summary as JSON
+    beside it. A run's sequences replace what stood of them there, all others stay; only partitions that
+    hold one are written. A folder for each sequence would cost as many files as there are sequences."""
+    spark, at = frames.sparkSession, f"{path}/frames"
+    rows = frames.withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(parts)).cast("int"))
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        old = spark.read.parquet(at).select(*[F.col(f.name).cast(f.dataType) for f in rows.schema])
+        old = old.join(rows.select("run", "part").distinct(), ["run", "part"], "left_semi").join(rows.select("run", "seq").distinct(), ["run", "seq"], "left_anti")
+        rows = stored(rows.unionByName(old))
+    rows.repartition("run", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "part").parquet(at)
     summary.write.mode("overwrite").json(f"{path}/summary")
 
 
