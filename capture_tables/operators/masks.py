@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from capture_tables.functions.shared import stored
 from capture_tables.operators.grouped import over_groups, schema_of
-from capture_tables.operators.joins import mask_overlap
+from capture_tables.operators.joins import mask_overlap, with_dimension
 
 
 def _length() -> Column:
@@ -359,19 +360,39 @@ def clean_depth(depth: DataFrame, human: DataFrame, by: list[str], band: float,
     return tight.withColumn("_use", use).where("_in or not _use").select(*depth.columns)
 
 
+def large_medians(df: DataFrame, by: list[str], names: dict[str, str]) -> DataFrame:
+    """by... and the exact median of each column under its new name, of groups of any size: approximate
+    quantiles on both sides of the middle leave a hundredth of a group's values to be counted and ranked, and
+    how many lie below them. NaN counts as the largest, and has all of its group's values ranked."""
+    part = lambda n: F.struct(F.lit(n).alias("c"), F.col(n).cast("double").alias("v"))
+    long = df.select(*by, F.explode(F.array(*map(part, names))).alias("_p")).select(*by, "_p.c", "_p.v").where("v is not null")
+    some = F.bool_or(F.isnan("v"))
+    ends = F.percentile_approx(F.when(~F.isnan("v"), F.col("v")), [0.495, 0.505], 10000)
+    bound = [F.when(~some, ends[0]).otherwise(float("-inf")).alias("lo"), F.when(~some, ends[1]).otherwise(float("nan")).alias("hi")]
+    bounds = stored(long.groupBy(*by, "c").agg(*bound, F.count("*").alias("n")))
+    near = with_dimension(long, bounds, [*by, "c"]).where("v <= hi").withColumn("v", F.when(F.col("v") >= F.col("lo"), F.col("v")))
+    counted = near.groupBy(*by, "c", "n", "v").agg(F.count("*").alias("k"))  # v is null below the bound, and sorts first
+    ranked = counted.withColumn("to", F.sum("k").over(Window.partitionBy(*by, "c").orderBy("v")))
+    at = lambda rank: F.max(F.when((F.col("to") - F.col("k") <= rank) & (rank < F.col("to")), F.col("v")))
+    pair = ranked.groupBy(*by, "c").agg(at(F.floor((F.col("n") - 1) / 2)).alias("a"), at(F.floor(F.col("n") / 2)).alias("b"))
+    middle = F.when(F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("a median lies outside its bounds")).cast("double")).otherwise(F.col("a") * 0.5 + F.col("b") * 0.5)
+    return pair.groupBy(*by).agg(*[F.max(F.when(F.col("c") == n, middle)).alias(to) for n, to in names.items()])
+
+
 def fit_scale_shift(predicted: DataFrame, target: DataFrame, by: list[str], pixel=("v", "u")) -> DataFrame:
     """by..., scale, shift from medians and mean absolute deviations over common pixels:
     scale = dev(target) / dev(predicted), shift = med(target) - scale * med(predicted)."""
     both = predicted.select(*by, *pixel, F.col("z").alias("p")).join(target.select(*by, *pixel, F.col("z").alias("t")), [*by, *pixel])
-    med = both.groupBy(*by).agg(F.median("p").alias("_mp"), F.median("t").alias("_mt"))
-    dev = both.join(med, by).groupBy(*by, "_mp", "_mt").agg(F.avg(F.abs(F.col("p") - F.col("_mp"))).alias("_dp"), F.avg(F.abs(F.col("t") - F.col("_mt"))).alias("_dt"))
+    both = stored(both.select(*by, "p", "t"))
+    med = stored(large_medians(both, by, {"p": "_mp", "t": "_mt"}))
+    dev = with_dimension(both, med, by).groupBy(*by, "_mp", "_mt").agg(F.avg(F.abs(F.col("p") - F.col("_mp"))).alias("_dp"), F.avg(F.abs(F.col("t") - F.col("_mt"))).alias("_dt"))
     scale = F.try_divide(F.col("_dt"), F.col("_dp"))
-    return dev.select(*by, scale.alias("scale"), (F.col("_mt") - scale * F.col("_mp")).alias("shift"))
+    return stored(dev.select(*by, scale.alias("scale"), (F.col("_mt") - scale * F.col("_mp")).alias("shift")))
 
 
 def apply_scale_shift(depth: DataFrame, fitted: DataFrame, by: list[str], inside: Column | None = None) -> DataFrame:
     """z scaled and shifted, on pixels where `inside` holds; groups without a fit stay."""
-    out = depth.join(fitted, by, "left")
+    out = with_dimension(depth, fitted, by, "left")
     new = F.coalesce(F.col("z") * F.col("scale") + F.col("shift"), F.col("z"))
     return out.withColumn("z", new if inside is None else F.when(inside, new).otherwise(F.col("z"))).drop("scale", "shift")
 
