@@ -235,16 +235,23 @@ def chained_instances(candidates: DataFrame, person: DataFrame, chunk: int, d: i
     steps = own.select(*by, "chunk", F.lit(None).cast(candidates.schema["instance"].dataType).alias("before"), "instance", "chosen_by")
     steps = steps.unionByName(led.select(*by, "chunk", "before", "instance", F.lit("previous").alias("chosen_by")))
 
-    def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        picked, current = [], None
-        for _, choices in rows.groupby("chunk", sort=True):
-            led_to = choices[choices["before"] == current] if current is not None else choices[:0]
-            picked.append(led_to if len(led_to) else choices[choices["chosen_by"] != "previous"])
-            current = picked[-1]["instance"].iloc[0]
-        return pd.concat(picked)[[*by, "chunk", "instance", "chosen_by"]]
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in steps.select(*by, "chunk", "instance", "chosen_by").schema)
-    return steps.groupBy(*by).applyInPandas(follow, schema)
+    def follow(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        chunks, before, instance, led_to = (rows[c].tolist() for c in ("chunk", "before", "instance", "_led"))
+        picked = []
+        for p, q in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            current = None
+            while p < q:
+                at, pick = chunks[p], -1
+                while p < q and chunks[p] == at:
+                    if before[p] == current if led_to[p] else pick < 0:
+                        pick = p
+                    p += 1
+                picked.append(pick)
+                current = instance[pick]
+        return rows.iloc[picked][[*by, "chunk", "instance", "chosen_by"]]
+
+    steps = steps.withColumns({"_led": F.col("before").isNotNull(), "before": F.coalesce("before", "instance")})
+    return over_groups(steps, by, ["chunk", "_led"], follow, schema_of(steps, [*by, "chunk", "instance", "chosen_by"]))
 
 
 def choose_instance(candidates, previous: list, person, d: int) -> tuple[int | None, str | None, list]:

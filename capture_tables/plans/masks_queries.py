@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from capture_tables.functions.shared import stored
 from capture_tables.operators import masks as m
 from capture_tables.plans.registry import query
 
@@ -98,7 +99,8 @@ chain(seq, n, chunk, instance, how) AS (SELECT own.seq, nx.n, own.chunk, own.ins
 SELECT k.seq, k.chunk, k.instance, k.how AS chosen_by, count(DISTINCT c.frame) AS frames, count(*) AS pixels FROM chain k JOIN c ON c.seq = k.seq AND c.chunk = k.chunk AND c.instance = k.instance GROUP BY 1, 2, 3, 4""")
 def _(t):
     """Sequences of a hundred frames of eight orders each, followed in chunks of four frames."""
-    runs = t("fx_runs").select(F.floor(F.col("frame") / 800).alias("seq"), (F.floor(F.col("frame") / 8) % 100).cast("int").alias("frame"), (F.col("frame") % 8).cast("int").alias("instance"), "role", "v", "u0", "u1")
+    made = t("fx_runs").select(F.floor(F.col("frame") / 800).alias("seq"), (F.floor(F.col("frame") / 8) % 100).cast("int").alias("frame"), (F.col("frame") % 8).cast("int").alias("instance"), "role", "v", "u0", "u1")
+    runs = stored(made)  # read six times below
     cands = runs.where("role = 'object'").drop("role")
     chosen = m.chained_instances(cands, runs.where("role = 'person'").drop("role", "instance"), 4, 2)
     masks = m.followed_masks(cands, chosen, 4).groupBy("seq", F.floor(F.col("frame") / 4).alias("chunk"), "instance").agg(F.count_distinct("frame").alias("frames"), F.sum(F.col("u1") - F.col("u0")).cast("long").alias("pixels"))
