@@ -295,6 +295,73 @@ def _shared(a: list, b: list) -> int:
     return sum(max(min(u1, w1) - max(u0, w0), 0) for v, u0, u1 in a for w0, w1 in rows.get(v, ()))
 
 
+def _first_of(key: np.ndarray, *worth: np.ndarray) -> np.ndarray:
+    """The place of each key's row of the greatest worth, the first one of several; keys ascending."""
+    order = np.lexsort((*[-w for w in reversed(worth)], key))
+    return order[np.flatnonzero(np.diff(key[order], prepend=-1))]
+
+
+def _meeting(key: np.ndarray, runs: np.ndarray, other: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of runs (u0, u1) of one key, and the pixels that both have, where there are any; `other` ascends."""
+    first = np.searchsorted(other, key)
+    n = np.searchsorted(other, key, side="right") - first
+    a = np.repeat(np.arange(len(key)), n)
+    b = np.arange(len(a)) + np.repeat(first - np.cumsum(n) + n, n)
+    both = np.minimum(runs[a, 1], others[b, 1]) - np.maximum(runs[a, 0], others[b, 0])
+    hit = both > 0
+    return a[hit], b[hit], both[hit]
+
+
+def _merged_by(key: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`_merged` for the runs of each key, sorted by key."""
+    order = np.lexsort((runs[:, 0], key))
+    key, runs = key[order], runs[order]
+    low = runs[:, 0].min(initial=0)
+    turn = np.cumsum(np.diff(key, prepend=key[:1]) != 0) * (runs[:, 1].max(initial=0) - low + 1)
+    reach = np.maximum.accumulate(runs[:, 1] - low + turn)
+    new = np.append(True, runs[1:, 0] - low + turn[1:] > reach[:-1])[: len(key)]
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(key))[: len(starts)] - 1
+    return key[starts], np.stack([runs[starts, 0], (reach - turn)[ends] + low], axis=1)
+
+
+def choose_instances(runs: np.ndarray, frame: np.ndarray, person: np.ndarray, seen: np.ndarray, track: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """choose_instance for the frames of many tracks, each following the one before it in its track: the
+    chosen instance and how (0 previous, 1 person, 2 largest) of each frame, and whether a run is of its
+    frame's choice. `runs` are rows of instance, v, u0, u1 in order of `frame`, the number of their frame,
+    `person` rows of v, u0, u1 in `seen`; `track` is each frame's. Every frame has runs."""
+    names, own = np.unique(np.stack([frame, runs[:, 0]], axis=1), axis=0, return_inverse=True)
+    own, n = own.ravel(), len(names)
+    grown_v = (person[:, :1] + np.arange(-d, d + 1)).ravel()
+    low, high = (f(np.append(runs[:, 1], grown_v)) for f in (np.min, np.max))
+    key = lambda f, v: f * (high - low + 1) + v - low
+    grown = np.repeat(person[:, 1:] + [-d, d], 2 * d + 1, axis=0)
+    other, others = _merged_by(key(np.repeat(seen, 2 * d + 1), grown_v), grown)
+    at, _, both = _meeting(key(frame, runs[:, 1]), runs[:, 2:], other, others)
+    near = np.bincount(own[at], both, n)
+    area = np.bincount(own, runs[:, 3] - runs[:, 2], n)
+    by_near, by_area = _first_of(names[:, 0], near), _first_of(names[:, 0], area)
+    alone, how = np.where(near[by_near] > 0, by_near, by_area), np.where(near[by_near] > 0, 1, 2)
+
+    # what each choice leads to in the frame behind it
+    goes_on = np.append(track[1:] == track[:-1], False)[frame]
+    order = np.flatnonzero(goes_on)[np.argsort(key(frame[goes_on] + 1, runs[goes_on, 1]), kind="stable")]
+    a, b, both = _meeting(key(frame, runs[:, 1]), runs[:, 2:], key(frame[order] + 1, runs[order, 1]), runs[order, 2:])
+    pair, place = np.unique(own[order][b] * n + own[a], return_inverse=True)
+    best = _first_of(pair // n, np.bincount(place.ravel(), both, len(pair)))
+    leads = np.full(n, -1)
+    leads[pair[best] // n] = pair[best] % n
+
+    # all tracks take their k-th step together
+    starts = np.flatnonzero(np.diff(track, prepend=-1))
+    length, chosen = np.diff(np.append(starts, len(track))), alone.copy()
+    for k in range(1, int(length.max(initial=0))):
+        i = starts[length > k] + k
+        led = leads[chosen[i - 1]]
+        chosen[i], how[i] = np.where(led >= 0, led, alone[i]), np.where(led >= 0, 0, how[i])
+    return names[chosen, 1], how, chosen[frame] == own
+
+
 def followed_masks(candidates: DataFrame, chosen: DataFrame, chunk: int, by=("seq",)) -> DataFrame:
     """The runs of each chunk's chosen instance in all its frames."""
     runs = candidates.withColumn("chunk", F.floor(F.col("frame") / F.lit(chunk)).cast("long"))

@@ -101,6 +101,13 @@ def _carried(held: pd.DataFrame | None, n: int, name: str, fill) -> np.ndarray:
     return out
 
 
+def _flat(lists, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of `width` numbers out of lists that may be null, and the place of each row's list."""
+    sizes = np.array([0 if x is None else len(x) // width for x in lists], np.int64)
+    rows = [np.asarray(x, np.int64) for x in lists if x is not None]
+    return np.concatenate([np.empty(0, np.int64), *rows]).reshape(-1, width), np.repeat(np.arange(len(sizes)), sizes)
+
+
 def _waiting(held: pd.DataFrame, now: int) -> pd.DataFrame:
     return held[held["due"] > now]
 
@@ -153,26 +160,43 @@ def visibility_gate(frames: DataFrame, threshold: float, omega: float, base: flo
             return None, _waiting(held, now)
         rows, at, groups = _grouped(held, rows, ["seq"], ["micros", "event_id"])
         seen, due = _carried(held, len(groups), "seen", np.nan), _carried(held, len(groups), "due", 0)
-        mask: list = [[] for _ in range(len(groups))]
-        for k, flat in enumerate([] if held is None else held["mask"]):
-            mask[k] = [tuple(r) for r in np.reshape(flat, (-1, 3)).tolist()]
         seconds = rows["micros"] / 1e6
         first = pd.Series(seen[at])
         last = seconds.where(rows["vis"] > threshold).groupby(at).ffill().fillna(first)
         before = last.groupby(at).shift().where(at == np.roll(at, 1), first) if len(rows) > 1 else first
         before[:1] = first[:1]
-        instance, how = [], []
-        for k, candidates, person in zip(at, rows["candidates"], rows["person"], strict=True):
-            pick, chosen_by, mask[k] = masks.choose_instance(candidates, mask[k], person, d)
-            instance.append(pick)
-            how.append(chosen_by)
+        # a track's mask from before is a frame of its own ahead of the others
+        old, kept_at = _flat([] if held is None else held["mask"], 3)
+        new, own = _flat(rows["candidates"], 4)
+        had, has = np.unique(kept_at), np.unique(own)
+        order = np.argsort(np.concatenate([had, at[has]]), kind="stable")
+        number = np.argsort(order, kind="stable")
+        runs = np.concatenate([np.insert(old, 0, 0, axis=1), new])
+        frame = np.concatenate([number[np.searchsorted(had, kept_at)], number[len(had) + np.searchsorted(has, own)]])
+        turn = np.argsort(frame, kind="stable")
+        person, person_at = _flat(rows["person"], 3)
+        met = np.isin(person_at, has)
+        instance, how, mask = np.full(len(rows), -1), np.full(len(rows), 3), [np.empty(0, np.int64)] * len(groups)
+        if len(order):
+            track = np.concatenate([had, at[has]])[order]
+            pick, by_what, taken = masks.choose_instances(runs[turn], frame[turn], person[met], number[len(had) + np.searchsorted(has, person_at[met])], track, d)
+            instance[has], how[has] = pick[number[len(had) :]], by_what[number[len(had) :]]
+            ends = np.flatnonzero(np.diff(track, append=-1))
+            last_runs = taken & np.isin(frame[turn], ends)
+            of = track[frame[turn][last_runs]]
+            cuts = np.flatnonzero(np.diff(of)) + 1
+            for g, part in zip(of[np.append(0, cuts)].tolist(), np.split(runs[turn][last_runs][:, 1:], cuts), strict=True):
+                mask[g] = part.ravel()
         seen[at] = last  # of a group's rows the last one stays
         due[at] = rows["micros"].to_numpy() // 1000 + int(idle * 1000)
-        kept = groups.assign(seen=seen, mask=[np.array(m, np.int64).ravel() for m in mask], due=due)
-        out = rows[["seq", "event_id"]].assign(gap=(seconds - before).astype("Float64"), instance=pd.Series(instance, dtype="Int64"), chosen_by=how)
+        kept = groups.assign(seen=seen, mask=mask, due=due)
+        out = rows[["seq", "event_id"]].assign(gap=(seconds - before).astype("Float64"), instance=pd.array(instance, "Int64"), chosen_by=np.array(["previous", "person", "largest", None], object)[how])
+        out.loc[how == 3, "instance"] = pd.NA
         return out, _waiting(kept, now)
 
-    picked = frames.withWatermark("ts", late).select("seq", "event_id", "ts", F.unix_micros("ts").alias("micros"), F.col("vis").cast("double").alias("vis"), "candidates", "person")
+    # arrays of numbers come to Python at once, arrays of structs value by value
+    numbers = lambda name, *fields: F.flatten(F.transform(name, lambda r: F.array(*[r[f].cast("long") for f in fields]))).alias(name)
+    picked = frames.withWatermark("ts", late).select("seq", "event_id", "ts", F.unix_micros("ts").alias("micros"), F.col("vis").cast("double").alias("vis"), numbers("candidates", "instance", "v", "u0", "u1"), numbers("person", "v", "u0", "u1"))
     out = _in_buckets(picked, ["seq"], step, "seq long, event_id long, gap double, instance long, chosen_by string")
     return out.withColumn("gate", base + F.col("gap") * fps * omega)
 
