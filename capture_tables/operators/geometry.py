@@ -461,9 +461,11 @@ def pick_scale(candidates: DataFrame, source: DataFrame, target: DataFrame, by:
     centre = source.groupBy(*by).agg(*[F.avg(a).alias(f"_c{a}") for a in AXES])
     scaled = source.join(centre, by).join(candidates, by)
     moved = scaled.withColumns({a: F.col(f"_c{a}") + (F.col(a) - F.col(f"_c{a}")) * F.col("scale") for a in AXES})
-    pid = moved.select(*by, "k", "scale", "pid", *AXES)
-    near = nearest(pid, target.join(candidates.select(*by, "k"), by), [*by, "k"])
-    return near.groupBy(*by, "k").agg(F.avg("distance").alias("score")).join(candidates, [*by, "k"])
+    # all candidates meet one target: a copy for each would be dealt and bounded anew
+    asks = moved.select(*by, F.struct("k", "pid").alias("_ask"), *AXES)
+    near = nearest_row(asks, target.withColumn("_one", F.lit(1)), by, "_ask", ["_one"])
+    found = near.select(*by, F.col("_ask.k").alias("k"), F.sqrt("best.d2").alias("distance"))
+    return found.groupBy(*by, "k").agg(F.avg("distance").alias("score")).join(candidates, [*by, "k"])
 
 
 def _thinned(points: np.ndarray, voxel: float) -> np.ndarray:
