@@ -140,7 +140,8 @@ def read_seq_info(spark: SparkSession, path: str, fields: str) -> DataFrame:
     return rows
 
 
-FRAME_FILE = r"([^/]+)/([^/]+)/k(\d+)\.(color|depth)\.\w+$"
+#: The name of a camera's file in the folder <seq>/<frame_key>.
+FRAME_FILE = r"^k\d+\.(color|depth)\.\w+$"
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -150,10 +151,15 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 def complete_frames(files: DataFrame, cameras: int, need_depth: bool) -> DataFrame:
     """seq, frame_key of frame folders with all cameras' colour (and depth) files."""
-    part = lambda k: F.regexp_extract("path", FRAME_FILE, k)
-    rows = files.where(F.col("path").rlike(FRAME_FILE)).select(part(1).alias("seq"), part(2).alias("frame_key"), part(3).alias("cam"), part(4).alias("kind"))
-    n = lambda kind: F.countDistinct(F.when(F.col("kind") == kind, F.col("cam")))
-    out = rows.groupBy("seq", "frame_key").agg(n("color").alias("_c"), n("depth").alias("_d"))
+    steps = files.select(F.split("path", "/").alias("_s"))
+    part = lambda k: F.try_element_at("_s", F.lit(k))
+    rows = steps.select(part(-3).alias("seq"), part(-2).alias("frame_key"), part(-1).alias("_f")).where("seq <> '' and frame_key <> ''").where(F.col("_f").rlike(FRAME_FILE))
+    named = rows.select("seq", "frame_key", F.substring_index("_f", ".", 1).alias("cam"), F.split_part("_f", F.lit("."), F.lit(2)).alias("kind"))
+    # a frame's files meet in one task, where each camera is one row before cameras are counted: two
+    # distinct counts at once would hold every file twice
+    has = lambda kind: F.max((F.col("kind") == kind).cast("int"))
+    cams = named.repartition("seq", "frame_key").groupBy("seq", "frame_key", "cam").agg(has("color").alias("_c"), has("depth").alias("_d"))
+    out = cams.groupBy("seq", "frame_key").agg(F.sum("_c").alias("_c"), F.sum("_d").alias("_d"))
     keep = F.col("_c") == cameras
     return out.where(keep & (F.col("_d") == cameras) if need_depth else keep).select("seq", "frame_key")
 
