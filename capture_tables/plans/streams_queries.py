@@ -90,17 +90,23 @@ def _stream(t, extra=()):
         (x % 4).cast("int").alias("cam"), (F.col("event_type") != "error").alias("tracked"), *extra)
 
 
-def _done(stream, mode="append"):
+#: Events of a batch, a quarter of all, for one part of a stream's states.
+STATE_EVENTS = 100_000
+
+
+def _done(t, stream, mode="append"):
     spark = stream.sparkSession
     path = shared_path(spark, "stream")
-    running = s.write_frames(stream, path, mode)
+    # each part costs some 0.4 s in every batch, whatever it holds
+    parts = max(spark.sparkContext.defaultParallelism, -(-t("events").count() // (4 * STATE_EVENTS)))
+    running = s.write_frames(stream, path, mode, parts)
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
-def _finished(stream):
+def _finished(t, stream):
     """Windows that closed: the last ones stay open until the watermark passes."""
-    return _done(stream)
+    return _done(t, stream)
 
 
 _E = "(SELECT user_id AS seq, event_id, ts, event_type, value / 100e0 AS x, (event_id % 13) / 12e0 AS vis, event_type <> 'error' AS tracked FROM events)"
@@ -112,34 +118,34 @@ def _(t):
     """Every event twice in the stream, once behind it."""
     once = _stream(t)
     both = once.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    return _done(s.deduplicated(both, "1 hour", ["seq", "event_id"]).select("seq", "event_id", "x"))
+    return _done(t, s.deduplicated(both, "1 hour", ["seq", "event_id"]).select("seq", "event_id", "x"))
 
 
 @query("s2_quality_windows", f"""SELECT seq, w AS start, frames, R6(pct) AS tracked_pct, R6(res) AS mean_residual FROM (SELECT seq, time_bucket(INTERVAL '6 hours', ts) AS w, count(*) AS frames, avg(CASE WHEN tracked THEN 1e0 ELSE 0e0 END) * 100 AS pct, avg(x) AS res FROM {_E} e GROUP BY 1, 2) q
 WHERE w + INTERVAL '6 hours' <= {_MARK} - INTERVAL '10 minutes'""")
 def _(t):
     rows = _stream(t).withColumns({"residual": F.col("x"), "ratio": F.col("vis")})
-    out = _finished(s.quality_windows(rows, "10 minutes", "6 hours"))
+    out = _finished(t, s.quality_windows(rows, "10 minutes", "6 hours"))
     return out.select("seq", F.col("window.start").cast("timestamp_ntz").alias("start"), "frames", "tracked_pct", "mean_residual")
 
 
 @query("s3_sliding_meters", f"""SELECT seq, w AS start, count(*) AS n, R6(avg(sin(x * 9))) AS "avg", R6(max(sin(x * 9))) AS "max" FROM (SELECT *, unnest([time_bucket(INTERVAL '6 hours', ts), time_bucket(INTERVAL '6 hours', ts) - INTERVAL '6 hours']) AS w FROM {_E} e) q WHERE w + INTERVAL '12 hours' <= {_MARK} - INTERVAL '10 minutes' GROUP BY seq, w""")
 def _(t):
     rows = _stream(t).withColumn("value", F.sin(F.col("x") * 9))
-    out = _finished(s.sliding_meters(rows, "10 minutes", "12 hours", "6 hours"))
+    out = _finished(t, s.sliding_meters(rows, "10 minutes", "12 hours", "6 hours"))
     return out.select("seq", F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "avg", "max")
 
 
 @query("s4_tracked_sessions", f"""WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY seq ORDER BY ts) < INTERVAL '2 hours' THEN 0 ELSE 1 END AS new FROM {_E} e WHERE tracked), r AS (SELECT *, sum(new) OVER (PARTITION BY seq ORDER BY ts) AS run FROM o)
 SELECT seq, min(ts) AS start, count(*) AS tracked FROM r GROUP BY seq, run HAVING max(ts) + INTERVAL '2 hours' <= {_MARK} - INTERVAL '10 minutes'""")
 def _(t):
-    out = _finished(s.tracked_sessions(_stream(t), "10 minutes", "2 hours"))
+    out = _finished(t, s.tracked_sessions(_stream(t), "10 minutes", "2 hours"))
     return out.select("seq", F.col("window.start").cast("timestamp_ntz").alias("start"), "tracked")
 
 
 @query("s5_smoothed")
 def _(t):
-    return _done(s.smoothed(_stream(t), "x")).select("seq", "event_id", "smooth")
+    return _done(t, s.smoothed(_stream(t), "x")).select("seq", "event_id", "smooth")
 
 
 @query("s6_visibility_gate", f"""WITH RECURSIVE e AS (SELECT seq, event_id, ts, epoch_us(ts) / 1e6 AS t, last_value(CASE WHEN vis > 5e-1 THEN epoch_us(ts) / 1e6 END IGNORE NULLS) OVER (PARTITION BY seq ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM {_E} x),
@@ -156,7 +162,7 @@ def _(t):
     run = lambda u0, width, v, *more: F.struct(*more, F.lit(v).alias("v"), u0.cast("int").alias("u0"), (u0 + width).cast("int").alias("u1"))
     made = [run(e * 7 % 40 + i * 3, 3 + (e + i) % 5, v, F.lit(i).alias("instance")) for i in range(3) for v in range(2)]
     rows = rows.withColumns({"candidates": F.when(e % 9 != 0, F.array(*made)), "person": F.array(*[run(e * 13 % 40, F.lit(4), v) for v in range(2)])})
-    return _done(s.visibility_gate(rows, 0.5, 0.5, d=2)).select("seq", "event_id", F.round("gap", 3).alias("gap"), "instance", "chosen_by")
+    return _done(t, s.visibility_gate(rows, 0.5, 0.5, d=2)).select("seq", "event_id", F.round("gap", 3).alias("gap"), "instance", "chosen_by")
 
 
 @query("s7_paired", f"""SELECT c.event_id AS colour_id, d.event_id AS depth_id FROM {_E} c JOIN {_E} d ON c.seq = d.seq AND c.event_type = 'view' AND d.event_type = 'click' AND d.ts BETWEEN c.ts - INTERVAL 30 MINUTE AND c.ts + INTERVAL 30 MINUTE
@@ -164,12 +170,12 @@ WHERE c.ts + INTERVAL 30 MINUTE <= {_MARK} - INTERVAL 10 HOUR QUALIFY row_number
 def _(t):
     """Pairs that the watermark has settled."""
     colour, depth = _stream(t).where("event_type = 'view'"), _stream(t).where("event_type = 'click'")
-    return _done(s.paired(colour, depth, 1800.0, "10 hours")).select("colour_id", "depth_id")
+    return _done(t, s.paired(colour, depth, 1800.0, "10 hours")).select("colour_id", "depth_id")
 
 
 @query("s8_with_calibration", f"SELECT e.event_id, R6(c.fx) AS fx FROM {_E} e JOIN fx_cameras c ON c.cam = e.event_id % 4")
 def _(t):
-    return _done(s.with_calibration(_stream(t), t("fx_cameras").select("cam", "fx"))).select("event_id", "fx")
+    return _done(t, s.with_calibration(_stream(t), t("fx_cameras").select("cam", "fx"))).select("event_id", "fx")
 
 
 @query("s9_live_triangulation", f"""WITH r AS (SELECT seq, time_bucket(INTERVAL '6 hours', ts) AS start, ts, event_id % 4 AS cam FROM {_E} e),
@@ -183,7 +189,7 @@ def _(t):
     seen = target.withColumns({"px": F.col("r00") * 0.5 + F.col("r02") * F.col("z") + F.col("tx"), "py": F.col("y") + F.col("ty"), "pz": F.col("r20") * 0.5 + F.col("r22") * F.col("z") + F.col("tz")})
     pixels = seen.withColumns({"u": F.col("fx") * F.col("px") / F.col("pz") + F.col("cx"), "v": F.col("fy") * F.col("py") / F.col("pz") + F.col("cy")})
     frame = F.window("ts", "6 hours")["start"].cast("timestamp").alias("start")
-    out = _done(s.live_triangulation(g.camera_rays(pixels.select("seq", frame, "ts", "cam", "u", "v"), t("fx_cameras")), "10 minutes", 86400.0, ["seq", "start"]))
+    out = _done(t, s.live_triangulation(g.camera_rays(pixels.select("seq", frame, "ts", "cam", "u", "v"), t("fx_cameras")), "10 minutes", 86400.0, ["seq", "start"]))
     return out.select("seq", F.col("start").cast("timestamp_ntz").alias("start"), "x", "y", "z", "n_views")
 
 

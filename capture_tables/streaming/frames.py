@@ -282,10 +282,17 @@ def live_triangulation(rays: DataFrame, late: str, hold: float, by=("seq", "fram
     return out.select(*by, F.timestamp_micros("micros").alias("ts"), *[c.alias(n) for c, n in zip(x, "xyz", strict=True)], "n_views")
 
 
-def write_frames(frames: DataFrame, path: str, mode: str = "append"):
+def write_frames(frames: DataFrame, path: str, mode: str = "append", partitions: int | None = None):
     """Start a restartable Parquet sink that takes what is there and stops: the checkpoint lies
-    beside the data."""
-    return frames.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    beside the data. States lie in `partitions` parts, or the session's number of shuffle partitions, from
+    the first start on: each costs a task and files of its own in every batch."""
+    conf = frames.sparkSession.conf
+    before = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", str(partitions or before))
+    try:  # a stream keeps the settings of its start
+        return frames.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        conf.set("spark.sql.shuffle.partitions", before)
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
