@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capture_tables.functions import linalg as la
+from capture_tables.operators.grouped import over_groups, schema_of
 from capture_tables.operators.joins import expand_symmetries, with_dimension
 from capture_tables.operators.neighbours import WHOLE, nearest
 
@@ -136,22 +137,24 @@ def similarity_moments(pr: DataFrame, gt: DataFrame, by: list[str], key: str) ->
     return both.groupBy(*by).agg(*sums)
 
 
-def _procrustes(rows: pd.DataFrame) -> list[np.ndarray]:
-    """scale, rotation (row by row) and shift of the similarity that takes pr to gt, for each
-    row of moments."""
-    out = []
-    for r in rows.itertuples():
-        get = lambda name: float(getattr(r, name))  # noqa: B023, E731
-        n = max(1.0, get("n"))
-        mp, mg = (np.array([get(f"s_{c}") for c in names]) / n for names in (("px", "py", "pz"), AXES))
-        cov = np.array([[get(f"m_p{a}_{b}") for b in AXES] for a in AXES]) / n - np.outer(mp, mg)
-        var = sum(get(f"q_p{a}") for a in AXES) / n - mp @ mp
-        u, d, vt = np.linalg.svd(cov)
-        sign = np.diag([1.0, 1.0, np.sign(np.linalg.det(vt.T @ u.T)) or 1.0])
-        rotation = vt.T @ sign @ u.T
-        scale = float(np.trace(np.diag(d) @ sign) / var) if var > 1e-12 else 1.0
-        out.append(np.concatenate(([scale], rotation.ravel(), mg - scale * rotation @ mp)))
-    return out
+def _procrustes(n: np.ndarray, p: np.ndarray, g: np.ndarray, q: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scale, rotation and shift of the similarity that takes pr to gt for each group, of its size, the sums
+    of both sides (p, g), of pr's squares (q) and of products (m); NaN where a sum is not finite."""
+    n = np.maximum(n, 1.0)[:, None]
+    mp, mg = p / n, g / n
+    cov = m / n[:, :, None] - mp[:, :, None] * mg[:, None, :]
+    var = q / n[:, 0] - (mp * mp).sum(axis=1)
+    bad = ~(np.isfinite(cov).all(axis=(1, 2)) & np.isfinite(var))
+    cov[bad] = 0.0
+    u, d, vt = np.linalg.svd(cov)
+    back = vt.transpose(0, 2, 1)
+    sign = np.ones_like(d)
+    sign[:, 2] = np.where(np.linalg.det(back @ u.transpose(0, 2, 1)) < 0, -1.0, 1.0)
+    rotation = (back * sign[:, None, :]) @ u.transpose(0, 2, 1)
+    wide = var > 1e-12
+    scale = np.where(wide, (d * sign).sum(axis=1) / np.where(wide, var, 1.0), 1.0)
+    scale[bad] = np.nan
+    return scale, rotation, mg - scale[:, None] * (rotation @ mp[:, :, None])[:, :, 0]
 
 
 SIMILARITY = ["scale", *[f"s{i}{j}" for i in range(3) for j in range(3)], "ux", "uy", "uz"]
@@ -164,7 +167,10 @@ def fit_similarity(pr: DataFrame, gt: DataFrame, by: list[str], key: str) -> Dat
 
     def run(parts):
         for rows in parts:
-            found = pd.DataFrame(np.reshape(_procrustes(rows), (-1, len(SIMILARITY))), columns=SIMILARITY)
+            sums = lambda names: rows[names].to_numpy(float)  # noqa: B023, E731
+            m = sums([f"m_p{a}_{b}" for a in AXES for b in AXES]).reshape(-1, 3, 3)
+            scale, rotation, shift = _procrustes(rows["n"].to_numpy(float), sums([f"s_p{a}" for a in AXES]), sums([f"s_{a}" for a in AXES]), sums([f"q_p{a}" for a in AXES]).sum(axis=1), m)
+            found = pd.DataFrame(np.column_stack([scale, rotation.reshape(-1, 9), shift]), columns=SIMILARITY)
             yield pd.concat([rows[by].reset_index(drop=True), found], axis=1)
 
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in moments.select(*by).schema)
@@ -187,14 +193,26 @@ def align_first_frame(pr: DataFrame, gt: DataFrame, by=("seq",), key: str = "joi
 
 
 def pa_error(pr: DataFrame, gt: DataFrame, by=FRAME, key: str = "joint", reduction: str = "mean") -> DataFrame:
-    """Joint distance after each frame's own similarity; reduction mean, sum or none."""
+    """Joint distance after each frame's own similarity; reduction mean, sum or none. Both sides meet
+    once: frames are fitted and measured in batches. Joints without all their values have no distance."""
     by = list(by)
-    moved = apply_similarity(pr, fit_similarity(pr, gt, by, key), by)
-    both = renamed(moved.select(*by, key, *AXES), AXES, "p").join(gt.select(*by, key, *AXES), [*by, key])
-    d = both.withColumn("pa_error", la.norm([F.col(f"p{a}") - F.col(a) for a in AXES]))
-    if reduction == "none":
-        return d.select(*by, key, "pa_error")
-    return d.groupBy(*by).agg((F.avg if reduction == "mean" else F.sum)("pa_error").alias("pa_error"))
+    both = renamed(pr.select(*by, key, *AXES), AXES, "p").join(gt.select(*by, key, *AXES), [*by, key])
+
+    def work(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        first, size = starts[:-1], np.diff(starts)
+        p, g = (rows[names].to_numpy(float) for names in ([f"p{a}" for a in AXES], list(AXES)))
+        known = np.isfinite(p).all(axis=1) & np.isfinite(g).all(axis=1)
+        p0, g0 = (np.where(known[:, None], side, 0.0) for side in (p, g))
+        n, *sums = (np.add.reduceat(x, first) for x in (known.astype(float), p0, g0, (p0 * p0).sum(axis=1), p0[:, :, None] * g0[:, None, :]))
+        scale, rotation, shift = (np.repeat(x, size, axis=0) for x in _procrustes(n, *sums))
+        moved = scale[:, None] * (rotation @ p0[:, :, None])[:, :, 0] + shift
+        d = np.where(known, np.sqrt(((moved - g0) ** 2).sum(axis=1)), np.nan)
+        if reduction == "none":
+            return rows[[*by, key]].assign(pa_error=d)
+        total = np.where(n > 0, np.add.reduceat(np.where(known, d, 0.0), first), np.nan)
+        return rows[by].iloc[first].assign(pa_error=total / np.maximum(n, 1.0) if reduction == "mean" else total)
+
+    return over_groups(both, by, [key], work, schema_of(both, [*by, key] if reduction == "none" else by) + ", pa_error double")
 
 
 _R = [f"r{i}{j}" for i in range(3) for j in range(3)]
