@@ -56,13 +56,33 @@ def dilate(runs: DataFrame, by: list[str], d: int) -> DataFrame:
 
 
 def ring_contact(objects: DataFrame, people: DataFrame, by: list[str], d: int) -> DataFrame:
-    """by..., contact: share of the object's dilated ring that a person covers."""
-    people = merge_runs(people, by)
-    objects = merge_runs(objects, by)
-    grown = mask_overlap(dilate(objects, by, d), people, by).select(*by, F.col("area_a").alias("_ga"), F.col("inter").alias("_gi"))
-    own = mask_overlap(objects, people, by).where("area_a > 0").select(*by, "area_a", "inter")
-    both = own.join(grown, by)
-    return both.select(*by, F.try_divide(F.col("_gi") - F.col("inter"), F.col("_ga") - F.col("area_a")).alias("contact"))
+    """by..., contact: share of the object's dilated ring that a person covers. The runs of both move once;
+    a frame's rows are swept from edge to edge, with the number of masks of each kind that are open."""
+    runs = [side.select(*by, F.lit(kind).alias("_kind"), "v", "u0", "u1").where("u0 < u1").dropna() for kind, side in enumerate((objects, people))]
+    both = runs[0].unionByName(runs[1])
+
+    def work(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        first = starts[:-1]
+        place = np.repeat(np.arange(len(first)), np.diff(starts))
+        person = rows["_kind"].to_numpy() == 1
+        line = np.stack([place, *(rows[c].to_numpy() for c in ("v", "u0", "u1"))])
+        own = line[:, ~person]
+        grown = np.concatenate([own + np.array([0, dv, -d, d])[:, None] for dv in range(-d, d + 1)], axis=1)
+        kinds = (own, grown, line[:, person])
+        edges = np.concatenate([side[[0, 1, k]] for side in kinds for k in (2, 3)], axis=1)
+        kind, sign = (np.concatenate([np.full(side.shape[1], x) for k, side in enumerate(kinds) for x in pair(k)]) for pair in (lambda k: (k, k), lambda k: (1, -1)))
+        turn = np.lexsort(edges[::-1])
+        at, kind, sign = edges[:, turn], kind[turn], sign[turn]
+        object_, near, body = (np.cumsum(np.where(kind == k, sign, 0)) > 0 for k in range(3))
+        length = np.diff(at[2], append=0)  # nothing is open behind a row's last edge
+        ring = near & ~object_
+        count = lambda which: np.bincount(at[0][which], length[which], len(first))
+        has = np.unique(own[0])
+        with np.errstate(invalid="ignore"):
+            contact = count(ring & body)[has] / count(ring)[has]
+        return rows[by].iloc[first[has]].assign(contact=contact)
+
+    return over_groups(both, by, ["_kind"], work, schema_of(both, by) + ", contact double")
 
 
 def _hull_area(points: list[tuple[float, float]]) -> tuple[float, list[tuple[float, float]]]:
