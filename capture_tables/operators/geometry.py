@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import prod
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -86,15 +88,18 @@ def triangulate_best(combos: DataFrame, cameras: DataFrame, by: list[str], ref_w
     return scored.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "gap")
 
 
+#: So many choices of observations are solved and measured at once.
+CHOICES = 50_000
 _MOMENTS = [f"a{i}{j}" for i in range(3) for j in range(i, 3)] + [f"b{i}" for i in range(3)]
 
 
-def triangulate_frames(observations: DataFrame, cameras: DataFrame, by: list[str], cap: int = 256, ref_width: float = 1024.0) -> DataFrame:
+def triangulate_frames(observations: DataFrame, cameras: DataFrame, by: list[str], cap: int | None = None, ref_width: float = 1024.0) -> DataFrame:
     """by..., combo, x, y, z, n_views, residual: of all choices of one observation (by..., cam, obs, u, v)
     for each camera of a frame the one whose point has the smallest mean residual, ties to the first;
-    combos as in joins.observation_combos, with its cap. A frame's observations meet once, with their
-    rays' moments; a choice adds up those of its observations. Frames whose cameras have the same numbers
-    of observations are solved and measured together."""
+    combos as in joins.observation_combos. Where a `cap` is given, frames with more choices have the first
+    alone. A frame's observations meet once, with their rays' moments; a choice adds up those of its
+    observations. Frames whose cameras have the same numbers of observations are solved and measured
+    together, CHOICES of them at once."""
     rays = camera_rays(observations.select(*by, "cam", "obs", "u", "v"), cameras)
     d, o = la.columns("dx", "dy", "dz"), la.columns("ox", "oy", "oz")
     p = [[F.lit(1.0 if i == j else 0.0) - d[i] * d[j] for j in range(3)] for i in range(3)]
@@ -103,10 +108,10 @@ def triangulate_frames(observations: DataFrame, cameras: DataFrame, by: list[str
     known = with_dimension(rays, cameras.select("cam", *camera), ["cam"]).withColumns(dict(zip(_MOMENTS, moments, strict=True)))
     names = ["u", "v", *_MOMENTS, *camera]
 
-    def best_of(value: dict[str, np.ndarray], first: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, ...]:
-        """residual, combo, x, y, z of frames whose cameras have so many observations; `first` are their rows."""
-        n = int(np.prod([float(k) for k in sizes]))
-        places = [np.zeros(1, np.int64)] * len(sizes) if n > cap else list(np.unravel_index(np.arange(n), sizes))
+    def best_of(value: dict[str, np.ndarray], first: np.ndarray, sizes: tuple[int, ...], choices: range) -> tuple[np.ndarray, ...]:
+        """Whether there is one, residual, combo, x, y, z of these choices of frames whose cameras have so many observations;
+        `first` are their rows."""
+        places = list(np.unravel_index(np.arange(choices.start, choices.stop), sizes))
         begin = np.cumsum([0, *sizes[:-1]])
         at = [first[:, None] + b + p[None] for b, p in zip(begin, places, strict=True)]
         sums = {m: sum((value[m][k] for k in at), 0.0) for m in _MOMENTS}
@@ -129,7 +134,7 @@ def triangulate_frames(observations: DataFrame, cameras: DataFrame, by: list[str
         some = solid.any(axis=1)
         pick = np.nanargmin(np.where(some[:, None], least, 0.0), axis=1)
         rows = np.arange(len(first))
-        return some, least[rows, pick], pick, *(c[rows, pick] for c in x)
+        return some, least[rows, pick], choices.start + pick, *(c[rows, pick] for c in x)
 
     def work(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         value = {name: rows[name].to_numpy(float) for name in names}
@@ -142,16 +147,24 @@ def triangulate_frames(observations: DataFrame, cameras: DataFrame, by: list[str
             shapes.setdefault(tuple(length[p:q]), []).append(k)
         out = []
         for sizes, groups in shapes.items():
-            step = max(1, 50_000 // min(cap, int(min(np.prod([float(k) for k in sizes]), cap))))
+            n = prod(sizes)
+            if cap is not None and n > cap:
+                n = 1
+            step = max(1, CHOICES // n)
             for lo in range(0, len(groups), step):
                 first = starts[groups[lo : lo + step]]
-                some, residual, combo, *point = best_of(value, first, sizes)
+                best = best_of(value, first, sizes, range(min(n, CHOICES)))
+                for at in range(CHOICES, n, CHOICES):
+                    other = best_of(value, first, sizes, range(at, min(n, at + CHOICES)))
+                    better = other[0] & (~best[0] | (other[1] < best[1]))
+                    best = tuple(np.where(better, p, q) for p, q in zip(other, best, strict=True))
+                some, residual, combo, *point = best
                 found = rows[by].iloc[first].reset_index(drop=True).assign(combo=combo, **dict(zip(AXES, point, strict=True)), n_views=len(sizes), residual=residual)
                 out.append(found[some])
         return pd.concat(out)
 
     picked = known.select(*by, "cam", "obs", *[F.col(n).cast("double").alias(n) for n in names])
-    return over_groups(picked, by, ["cam", "obs", "u", "v"], work, schema_of(picked, by) + ", combo int, x double, y double, z double, n_views long, residual double")
+    return over_groups(picked, by, ["cam", "obs", "u", "v"], work, schema_of(picked, by) + ", combo long, x double, y double, z double, n_views long, residual double")
 
 
 def triangulate_clicks(clicks: DataFrame, cameras: DataFrame, most_residual: float, ref_width: float = 1024.0) -> DataFrame:

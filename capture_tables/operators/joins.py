@@ -12,6 +12,9 @@ from capture_tables.functions import linalg as la
 #: A dimension of at most so many rows is broadcast; a larger one is shuffled.
 SMALL_ROWS = 100_000
 
+#: So many choices of observations of a frame are made in one stretch, at least.
+STRETCH = 4096
+
 
 def with_dimension(df: DataFrame, dimension: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join a lookup table, broadcast only where a bounded count shows it is small."""
@@ -116,20 +119,36 @@ def mask_overlap(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return out.withColumn("iou", F.col("inter") / (F.col("area_a") + F.col("area_b") - F.col("inter")))
 
 
-def observation_combos(observations: DataFrame, by: list[str], payload: list[str], cap: int = 256) -> DataFrame:
+def observation_choices(observations: DataFrame, by: list[str], payload: list[str]) -> DataFrame:
+    """by..., combo, cams, later: every choice of one observation for each camera of a frame, one row each, combo from
+    0 in the order of the lists. `cams` are the frame's cameras (cam) with their observations (o: obs, payload...) in
+    order of `obs`; `chosen` reads from them what a choice takes. A frame's choices are dealt over tasks in
+    stretches, and neither a list of stretches nor a stretch is longer than STRETCH or the root of their number."""
+    seen = observations.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cam", "obs", *payload))).alias("_all"))
+    own = lambda cam: F.struct(cam.alias("cam"), F.filter("_all", lambda x: x["cam"].eqNullSafe(cam)).alias("o"))
+    frame = seen.withColumn("cams", F.transform(F.array_distinct("_all.cam"), own)).drop("_all")
+    later = F.expr("transform(cams, (c, i) -> aggregate(slice(cams, i + 2, size(cams)), 1L, (acc, d) -> acc * size(d.o)))")
+    sized = frame.withColumn("later", later).withColumn("_n", F.col("later")[0] * F.size(F.col("cams")[0]["o"]))
+    begun = sized.withColumn("_step", F.greatest(F.lit(STRETCH), F.ceil(F.sqrt("_n")))).withColumn(
+        "_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.col("_step")))
+    )
+    until = F.least(F.col("_from") + F.col("_step"), F.col("_n")) - 1
+    dealt = begun.repartition(*by, "_from")
+    return dealt.select(*by, F.explode(F.sequence(F.col("_from"), until)).alias("combo"), "cams", "later")
+
+
+def chosen(camera: Column, later: Column) -> Column:
+    """The observation that a row of `observation_choices` takes of one of `cams`, given its entry of `later`."""
+    return camera["o"][F.call_function("div", F.col("combo"), later).cast("long") % F.size(camera["o"])]
+
+
+def observation_combos(observations: DataFrame, by: list[str], payload: list[str]) -> DataFrame:
     """Every choice of one observation for each camera of a frame, combo from 0 in the order of
-    the lists; where there would be more than `cap`, only the first observation of each camera.
-    One row for each (combo, camera) with the chosen payload; `obs` orders the observations."""
-    lists = observations.groupBy(*by, "cam").agg(F.array_sort(F.collect_list(F.struct("obs", *payload))).alias("o"))
-    frame = lists.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cam", "o"))).alias("cams"))
-    n = F.aggregate("cams", F.lit(1).cast("long"), lambda acc, c: F.least(acc * F.size(c["o"]), F.lit(cap + 1)).cast("long"))
-    sized = frame.withColumn("_n", n)
-    combos = sized.withColumn("combo", F.explode(F.sequence(F.lit(0), F.when(F.col("_n") > cap, 0).otherwise(F.col("_n") - 1).cast("int"))))
-    later = F.expr("transform(cams, (c, i) -> aggregate(slice(cams, i + 2, size(cams)), 1L, (acc, d) -> least(acc * size(d.o), 1000000L)))")
-    spread = combos.withColumn("_later", later).select(*by, "combo", F.posexplode("cams").alias("_i", "_c"), "_later", "_n")
-    at = F.floor(F.col("combo") / F.col("_later")[F.col("_i")]) % F.size("_c.o")
-    chosen = F.col("_c.o")[F.when(F.col("_n") > cap, 0).otherwise(at).cast("int")]
-    return spread.withColumn("_o", chosen).select(*by, "combo", F.col("_c.cam").alias("cam"), "_o.*")
+    the lists. One row for each (combo, camera) with the chosen payload; `obs` orders the observations."""
+    choices = observation_choices(observations, by, payload)
+    spread = choices.select(*by, "combo", F.posexplode("cams").alias("_i", "_c"), "later")
+    taken = chosen(F.col("_c"), F.col("later")[F.col("_i")])
+    return spread.withColumn("_o", taken).select(*by, "combo", F.col("_c.cam").alias("cam"), *[F.col(f"_o.{n}") for n in ("obs", *payload)])
 
 
 def match_offsets(probes: DataFrame, source: DataFrame, offsets: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def _(t):
     obs = t("fx_rays").where("cam < 2").withColumn("grp", F.floor(F.col("frame") / 3).cast("int")).withColumn("k", F.row_number().over(w)).where("k <= 2")
     combos = c.observation_combos(obs.select("seq", "grp", "cam", F.col("frame").alias("obs"), "u", "v"), ["seq", "grp"], ["u", "v"])
     best = g.triangulate_best(combos, t("fx_cameras"), ["seq", "grp"])
-    return best.where("n_views = 2").select("seq", "grp", "combo", "x", "y", "z", "residual")
+    return best.where("n_views = 2").select("seq", "grp", F.col("combo").cast("int").alias("combo"), "x", "y", "z", "residual")
 
 
 @query("g5_triangulate_frames", f"""WITH {_RAYS}, o2 AS (SELECT *, frame // 3 AS grp, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY seq, frame // 3, cam) AS n FROM unit WINDOW w AS (PARTITION BY seq, frame // 3, cam ORDER BY frame)),
@@ -75,7 +75,7 @@ def _(t):
     """All observations of all cameras in three frames; groups that four cameras see."""
     obs = t("fx_rays").select("seq", F.floor(F.col("frame") / 3).cast("int").alias("grp"), "cam", F.col("frame").alias("obs"), "u", "v")
     best = g.triangulate_frames(obs, t("fx_cameras"), ["seq", "grp"])
-    return best.where("n_views = 4").select("seq", "grp", "combo", "x", "y", "z", "residual")
+    return best.where("n_views = 4").select("seq", "grp", F.col("combo").cast("int").alias("combo"), "x", "y", "z", "residual")
 
 
 @query("g6_triangulate_clicks", f"""WITH {_RAYS}, c0 AS (SELECT concat('p', cast(seq as varchar(9))) AS point, * FROM unit WHERE frame = 0), {_solved('c0', 'point')}, {_residual('point', 'c0')}

@@ -135,20 +135,17 @@ def _(t):
     return c.mask_overlap(runs.where("role = 'object'"), runs.where("role = 'person'"), ["frame"])
 
 
-@query("c12_observation_combos", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY seq, grp, cam ORDER BY frame) AS k FROM (SELECT seq, frame // (CASE WHEN seq % 10 = 0 THEN 7 ELSE 2 END) AS grp, cam, frame, u FROM fx_rays) q),
-n AS (SELECT seq, grp, product(c) AS n FROM (SELECT seq, grp, cam, count(*) AS c FROM o GROUP BY seq, grp, cam) q GROUP BY seq, grp),
-w AS (SELECT o.* FROM o JOIN n ON o.seq = n.seq AND o.grp = n.grp WHERE n.n <= 256 OR o.k = 1),
+@query("c12_observation_combos", """WITH o AS (SELECT seq, frame // (CASE WHEN seq % 10 = 0 THEN 7 ELSE 2 END) AS grp, cam, frame, u FROM fx_rays),
 p AS (SELECT a.seq, a.grp, row_number() OVER (PARTITION BY a.seq, a.grp ORDER BY a.frame, b.frame, c.frame, d.frame) - 1 AS combo, a.u AS u0, b.u AS u1, c.u AS u2, d.u AS u3
-  FROM w a JOIN w b ON a.seq = b.seq AND a.grp = b.grp AND b.cam = 1 JOIN w c ON a.seq = c.seq AND a.grp = c.grp AND c.cam = 2 JOIN w d ON a.seq = d.seq AND a.grp = d.grp AND d.cam = 3 WHERE a.cam = 0)
+  FROM o a JOIN o b ON a.seq = b.seq AND a.grp = b.grp AND b.cam = 1 JOIN o c ON a.seq = c.seq AND a.grp = c.grp AND c.cam = 2 JOIN o d ON a.seq = d.seq AND a.grp = d.grp AND d.cam = 3 WHERE a.cam = 0)
 SELECT seq, CAST(grp AS INTEGER) AS grp, CAST(combo AS INTEGER) AS combo, R6(u0) AS u0, R6(u1) AS u1, R6(u2) AS u2, R6(u3) AS u3 FROM p""")
 def _(t):
-    """Groups of two frames, and of seven for some sequences, whose choices are too many."""
+    """Groups of two frames, and of seven for some sequences, which have up to 2,401 choices."""
     grp = F.floor(F.col("frame") / F.when(F.col("seq") % 10 == 0, 7).otherwise(2)).cast("int").alias("grp")
     rays = t("fx_rays").select("seq", grp, "cam", F.col("frame").alias("obs"), "u")
-    combos = c.observation_combos(rays, ["seq", "grp"], ["u"])
-    at = lambda k: F.max(F.when(F.col("cam") == k, F.col("u"))).alias(f"u{k}")
-    wide = combos.groupBy("seq", "grp", "combo").agg(*map(at, range(4)))
-    return wide.where("u0 is not null and u1 is not null and u2 is not null and u3 is not null")
+    whole = c.observation_choices(rays, ["seq", "grp"], ["u"]).where("cams.cam = array(0, 1, 2, 3)")
+    at = lambda k: c.chosen(F.col("cams")[k], F.col("later")[k])["u"].alias(f"u{k}")
+    return whole.select("seq", "grp", F.col("combo").cast("int").alias("combo"), *map(at, range(4)))
 
 
 @query("c13_match_offsets", """WITH p AS (SELECT idx - 120 AS pos, cells FROM fx_thumbs WHERE idx >= 120 AND idx <= 180 AND (idx - 120) % 20 = 0),
